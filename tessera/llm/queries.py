@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tessera.llm import bpe, media, packing, quality
+from tessera.llm import bpe, jaccard, linededup, media, packing, quality, toxicity
 from tessera.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -15,10 +15,22 @@ def op1_byte_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), RANKS)
 
 
+def op5_line_dedup(spark, sf_dir):
+    return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op6_quality_rules(spark, sf_dir):
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_jaccard(spark, sf_dir):
+    return jaccard.groups(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
+def op8_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -27,8 +39,11 @@ def op10_media_columns(spark, sf_dir):
     return media.digest(media.store_texts(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+QUERIES = (op1_byte_bpe, op5_line_dedup, op6_quality_rules, op7_ngram_jaccard, op8_toxicity, op9_packing, op10_media_columns)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_byte_bpe, op6_quality_rules, op9_packing, op10_media_columns)}
+    return {f.__name__: f for f in QUERIES}
 
 
 #: Words as the quality rules count them.
@@ -64,7 +79,43 @@ WITH d AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 AS base_failed, failures = 0 AS kept,
   n_lines, n_shouts, failures FROM f
 """
+OP5 = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents)
+, n AS (SELECT doc_id, l, unnest(range(0, len(l))) AS i FROM d)
+, worded AS (
+  SELECT doc_id, i, l[i + 1] AS line, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS place
+  FROM n WHERE regexp_matches(l[i + 1], '[^\x20\x09-\x0D]')
+), w AS (
+  SELECT doc_id, place, [line, lead(line, 1) OVER o, lead(line, 2) OVER o] AS three, lead(place, 2) OVER o AS last
+  FROM worded WINDOW o AS (PARTITION BY doc_id ORDER BY place)
+), later AS (
+  SELECT doc_id, place FROM w WHERE last IS NOT NULL QUALIFY row_number() OVER (PARTITION BY three ORDER BY doc_id, place) > 1
+), gone AS (SELECT DISTINCT doc_id, place + k AS place FROM later, (SELECT unnest(range(0, 3)) AS k))
+, removed AS (SELECT doc_id, i FROM gone JOIN worded USING (doc_id, place))
+, counts AS (SELECT doc_id, count(*) AS n_lines FROM worded GROUP BY doc_id)
+, cut AS (SELECT doc_id, count(*) AS n_removed FROM removed GROUP BY doc_id)
+, rest AS (
+  SELECT n.doc_id, string_agg(n.l[n.i + 1], chr(10) ORDER BY n.i) AS rest
+  FROM n JOIN cut USING (doc_id) ANTI JOIN removed USING (doc_id, i) GROUP BY n.doc_id
+)
+SELECT doc_id, CASE WHEN n_removed IS NULL THEN text ELSE coalesce(rest, '') END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed
+FROM d LEFT JOIN counts USING (doc_id) LEFT JOIN cut USING (doc_id) LEFT JOIN rest USING (doc_id)
+"""
+OP7 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM d
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id)
+, shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
+, links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c))
+, both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links)
+, reach(doc_id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT b, other FROM reach JOIN both_ways ON doc_id = a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) LEFT JOIN n USING (doc_id)
+"""
 
 
 def oracle_sql():
-    return {"op6_quality_rules": OP6}
+    return {"op5_line_dedup": OP5, "op6_quality_rules": OP6, "op7_ngram_jaccard": OP7}
