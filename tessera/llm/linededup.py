@@ -20,7 +20,7 @@ WORDED = r"[^\x20\x09-\x0D]"
 
 def numbers_of_lines(lines: str) -> Column:
     """Places of the lines that hold a word."""
-    return F.expr(f"filter(transform({lines}, (x, i) -> if(x rlike '{WORDED}', i, -1)), i -> i >= 0)")
+    return F.expr(f"filter(transform({lines}, (x, i) -> if(x rlike r'{WORDED}', i, -1)), i -> i >= 0)")
 
 
 def prepared(df: DataFrame, text: str) -> DataFrame:
