@@ -1,7 +1,7 @@
 """Byte-level BPE over Arrow batches: encoding with offsets, and decoding through the reversed byte table.
 
-Texts are split into the matches of the vocabulary's pattern; each distinct match goes through the tokenizers library
-once in a task (a bounded cache keeps its ids), so the work per text is a split and a lookup for each match.
+Texts are split into the matches of the vocabulary's pattern; the tokenizers library encodes matches that a task has not
+met lately (a bounded cache keeps the others' ids), so most of the work on a text is a split and a lookup for each match.
 
 A null text counts as empty: no ids. Long texts are encoded whole. Invalid ids raise KeyError. Equal texts give equal
 ids. Extra columns pass through; one with the name of an output column is replaced.
@@ -13,7 +13,7 @@ import base64
 import codecs
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache, partial
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -25,8 +25,9 @@ from tokenizers import Tokenizer, models, pre_tokenizers
 
 from tessera.llm.common import map_rows
 
-#: Distinct matches whose ids a task keeps; beyond, it starts afresh.
-CACHE = 400_000
+#: Distinct matches in a generation of what a task keeps, and those that go through the tokenizer in one call.
+CACHE = 250_000
+AT_ONCE = 20_000
 #: Characters that re and regex class alike; texts of these alone take the faster engine.
 PLAIN = re.compile(r"[^\t-\r\x20-\x7e¡-±´-¸º»¿-ɏ‐-‧‰-⁞₠-₿]")
 PLAIN_PATTERN = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\w\t-\r ]|_)+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
@@ -63,21 +64,53 @@ def json_tokenizer(path: str) -> Tokenizer:
     return tokenizer
 
 
-class Encoder(dict):
-    """From a match to its ids as little-endian unsigned 32-bit integers."""
+class Encoder:
+    """From texts to their ids as little-endian unsigned 32-bit integers.
+
+    The ids of matches are kept in two generations: when the younger is full it becomes the older one, so that matches in
+    use stay. Unknown matches go through the tokenizer together, as the words of one pre-split text; token lengths in
+    bytes tell which ids belong to which match.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = rank_tokenizer(path) if path.endswith(".tiktoken") else json_tokenizer(path)
-
-    def __missing__(self, match: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(match, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= CACHE:
-            self.clear()
-        self[match] = ids
-        return ids
+        back = {c: b for b, c in enumerate(byte_characters())}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        #: The bytes of each id; None where the vocabulary has a gap.
+        self.tokens: list[bytes | None] = [None] * (max(vocabulary.values()) + 1)
+        for token, i in vocabulary.items():
+            self.tokens[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
+        self.lengths = np.array([len(t or b"") for t in self.tokens], np.int64)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def learn(self, found: set[str]) -> None:
+        if len(self.young) > CACHE:
+            self.old, self.young = self.young, {}
+        known = found & self.old.keys()
+        self.young.update((m, self.old[m]) for m in known)
+        new = list(found - known)
+        for at in range(0, len(new), AT_ONCE):
+            part = new[at : at + AT_ONCE]
+            ids = np.array(self.tokenizer.encode_batch_fast([part], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(m.encode()) for m in part])) + 1
+            raw, begin = ids.tobytes(), 0
+            for match, end in zip(part, (4 * ends).tolist(), strict=True):
+                self.young[match] = raw[begin:end]
+                begin = end
+
+    def many(self, texts: list[str | None]) -> list[np.ndarray]:
+        split = [matches(t) if t else [] for t in texts]
+        known = self.young.get
+        ids = [list(map(known, found)) for found in split]
+        unknown = [i for i, row in enumerate(ids) if None in row]
+        self.learn({m for i in unknown for m, x in zip(split[i], ids[i], strict=True) if x is None})
+        for i in unknown:
+            ids[i] = [self.young[m] if x is None else x for m, x in zip(split[i], ids[i], strict=True)]
+        return [np.frombuffer(b"".join(row), "<u4") for row in ids]
 
     def encode(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, matches(text or ""))), "<u4")
+        return self.many([text])[0]
 
 
 @lru_cache(4)
@@ -89,13 +122,8 @@ class Decoder:
     """From ids to bytes: the vocabulary's characters are turned back into the bytes they stand for."""
 
     def __init__(self, path: str):
-        back = {c: b for b, c in enumerate(byte_characters())}
-        vocabulary = encoder(path).tokenizer.get_vocab(with_added_tokens=True)
-        table = {i: bytes(back[c] for c in token) if all(c in back for c in token) else token.encode() for token, i in vocabulary.items()}
-        size = max(table) + 1
-        self.known = np.array([i in table for i in range(size)])
-        self.lengths = np.array([len(table.get(i, b"")) for i in range(size)], np.int64)
-        self.tokens = [table.get(i, b"") for i in range(size)]
+        self.tokens, self.lengths = encoder(path).tokens, encoder(path).lengths
+        self.known = np.array([t is not None for t in self.tokens])
 
     def decode(self, ids: Iterable[int] | None) -> bytes:
         ids = np.asarray(ids if ids is not None else [], np.int64)
@@ -130,17 +158,22 @@ SPANS = T.StructType([*ENCODED.fields, T.StructField("starts", T.ArrayType(T.Int
 DECODED = T.StructType([T.StructField("decoded", T.BinaryType())])
 
 
-def encode_one(path: str, spans: bool, text: str | None) -> tuple:
-    ids = encoder(path).encode(text)
-    if not spans:
-        return (ids.astype(np.int32),)
-    starts, ends = offsets(text or "", ids, path)
-    return ids.astype(np.int32), starts.astype(np.int32), ends.astype(np.int32)
+class Rows:
+    """Tuples of ENCODED or SPANS for texts."""
+
+    def __init__(self, path: str, spans: bool):
+        self.path, self.spans, self.encoder = path, spans, encoder(path)
+
+    def many(self, texts: list[str | None]) -> list[tuple]:
+        each = self.encoder.many(texts)
+        if not self.spans:
+            return [(ids.view(np.int32),) for ids in each]
+        return [(ids.view(np.int32), *(x.astype(np.int32) for x in offsets(t or "", ids, self.path))) for t, ids in zip(texts, each, strict=True)]
 
 
 def encode(df: DataFrame, path: str, text: str = "text", spans: bool = False) -> DataFrame:
     """``df`` with ``ids``, and with ``starts`` and ``ends`` (characters) if ``spans``."""
-    return map_rows(df, text, SPANS if spans else ENCODED, lambda: partial(encode_one, path, spans))
+    return map_rows(df, text, SPANS if spans else ENCODED, lambda: Rows(path, spans))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:

@@ -55,7 +55,8 @@ def map_rows(df: DataFrame, column: str, added: T.StructType, compute: Callable[
     """``df`` with the columns of ``added``: for each row, what the function that ``compute()`` returns makes of ``column``.
 
     ``compute`` runs once in each Python task, to load what the task needs. The function takes the value (None where it is
-    null) and returns a tuple in the order of ``added``. A column of ``df`` with the name of an added one is replaced.
+    null) and returns a tuple in the order of ``added``; if it has a method ``many``, that gets the values of a slice and
+    returns their tuples. A column of ``df`` with the name of an added one is replaced.
     """
     kept = [f for f in df.schema.fields if f.name not in added.fieldNames()]
     schema = T.StructType([*kept, *added.fields])
@@ -68,7 +69,8 @@ def map_rows(df: DataFrame, column: str, added: T.StructType, compute: Callable[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = compute()
         for batch in slices(batches, source):
-            rows = [function(x) for x in values_of(batch.column(source))]
+            values = values_of(batch.column(source))
+            rows = function.many(values) if hasattr(function, "many") else [function(x) for x in values]
             made = [pa.array([r[k] for r in rows], type=f.type) for k, f in enumerate(fields)]
             yield pa.RecordBatch.from_arrays([*(batch.column(n).cast(arrow.field(n).type) for n in names), *made], schema=arrow)
 

@@ -15,10 +15,9 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import partial
 
-import pandas as pd
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,19 +52,28 @@ def piece_lengths(total: int, capacity: int = CAPACITY, tail: int = TAIL) -> Ite
         yield rest
 
 
-def cut(path: str, keep_ids: bool, text: str | None) -> tuple:
-    ids = np.append(encoder(path).encode(text), np.uint32(END)).astype("<u4")
-    pieces, start = [], 0
-    for length in piece_lengths(len(ids)):
-        part = ids[start : start + length]
-        pieces.append({"start": start, "length": length, "ids_crc32": zlib.crc32(part.tobytes()), "ids": part.tolist() if keep_ids else None})
-        start += length
-    return len(ids), pieces
+class Cutter:
+    """Tuples of PIECES for texts."""
+
+    def __init__(self, path: str, keep_ids: bool):
+        self.encoder, self.keep_ids = encoder(path), keep_ids
+
+    def many(self, texts: list[str | None]) -> list[tuple]:
+        return [self.cut(ids) for ids in self.encoder.many(texts)]
+
+    def cut(self, ids: np.ndarray) -> tuple:
+        ids = np.append(ids, np.uint32(END)).astype("<u4")
+        pieces, start = [], 0
+        for length in piece_lengths(len(ids)):
+            part = ids[start : start + length]
+            pieces.append({"start": start, "length": length, "ids_crc32": zlib.crc32(part), "ids": part.tolist() if self.keep_ids else None})
+            start += length
+        return len(ids), pieces
 
 
 def pieces_of(df: DataFrame, path: str, text: str = "text", keep_ids: bool = False) -> DataFrame:
     """A row for each piece: ``df``'s other columns, start, length, ids_crc32, doc_tokens, and ids (null unless kept)."""
-    cuts = map_rows(df, text, PIECES, lambda: partial(cut, path, keep_ids)).drop(text)
+    cuts = map_rows(df, text, PIECES, lambda: Cutter(path, keep_ids)).drop(text)
     return cuts.withColumn("piece", F.explode("pieces")).drop("pieces").select("*", "piece.*").drop("piece")
 
 
