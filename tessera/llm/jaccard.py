@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import cut_lineage, map_rows
+from tessera.llm.common import cut_lineage, map_rows, release
 
 #: Members of a bucket that are compared pair by pair; larger buckets go by a hub.
 SMALL = 16
@@ -63,8 +63,9 @@ class Shingler:
         if len(self.known) > CACHE:
             self.known.clear()
         known = self.known
-        for word in set(words) - known.keys():
-            known[word] = xxhash.xxh3_64_intdigest(word)
+        for word in words:
+            if word not in known:
+                known[word] = xxhash.xxh3_64_intdigest(word)
         ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         width = min(self.n, len(ids))
         if not width:
@@ -205,27 +206,38 @@ def components(links: DataFrame) -> DataFrame:
     return step.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def links(docs: DataFrame, signatures: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links (u, v) between representatives that connect whatever is similar, ``signatures`` as ``signed`` gives them."""
+def shared_signatures(signatures: DataFrame) -> DataFrame:
+    """Pairs (u, hub) of representatives: the members of each signature and the smallest of them."""
     classes = signatures.filter("n_shingles > 0 and doc_id is not null").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("u"), F.first("signatures").alias("signatures"))
-    entries = classes.select("u", F.explode("signatures").alias("signature"))
-    hubs = entries.groupBy("signature").agg(F.min("u").alias("hub"), F.max("u").alias("last")).filter("hub < last")
-    pairs = cut_lineage(entries.join(hubs, "signature").filter("u != hub").select("u", "hub").distinct())
-    involved = pairs.select("u").union(pairs.select("hub")).select(F.col("u").alias("doc_id")).distinct()
-    sets = cut_lineage(sets_of(docs.join(involved, "doc_id", "left_semi"), n))
-
-    def compared(pairs: DataFrame, differences: bool = True) -> DataFrame:
-        with_u = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("hashes").alias("set_u")), "u")
-        with_both = with_u.join(sets.select(F.col("doc_id").alias("hub"), F.col("hashes").alias("set_hub")), "hub")
-        found = with_both.mapInArrow(partial(compare, percent), COMPARED)
-        return found.withColumn("far", ~F.col("linked")) if differences else found.filter("linked")
+    entries = cut_lineage(classes.select("u", "signatures")).select("u", F.explode("signatures").alias("signature"))
+    hubs = entries.groupBy("signature").agg(F.min("u").alias("hub"), F.max("u").alias("last")).filter("hub < last").drop("last")
+    return cut_lineage(entries.join(hubs, "signature").filter("u != hub").select("u", "hub").distinct())
+
+
+def sets_of_pairs(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    involved = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("hub").alias("doc_id"))).distinct()
+    return cut_lineage(sets_of(docs.join(involved, "doc_id", "left_semi"), n))
+
 
+def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    with_u = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("hashes").alias("set_u")), "u")
+    with_both = with_u.join(sets.select(F.col("doc_id").alias("hub"), F.col("hashes").alias("set_hub")), "hub")
+    return with_both.mapInArrow(partial(compare, percent), COMPARED).withColumn("far", ~F.col("linked"))
+
+
+def links(docs: DataFrame, signatures: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (u, v) between representatives that connect whatever is similar, ``signatures`` as ``signed`` gives them."""
+    spark = docs.sparkSession
+    pairs = shared_signatures(signatures)
+    release(spark)
+    sets = sets_of_pairs(docs, pairs, n)
     found = []
     for round_ in range(1, ROUNDS + 1):
-        near = cut_lineage(compared(pairs))
+        release(spark)
+        near = cut_lineage(compared(pairs, sets, percent))
         found.append(near.filter("linked").select("u", F.col("hub").alias("v")))
         small, large = next_pairs(cut_lineage(meetings(near, percent)), round_ == ROUNDS)
-        found.append(cut_lineage(compared(small, False).select("u", F.col("hub").alias("v"))))
+        found.append(cut_lineage(compared(small, sets, percent).filter("linked").select("u", F.col("hub").alias("v"))))
         pairs = cut_lineage(large)
         if pairs.isEmpty():
             break
@@ -236,6 +248,7 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``."""
     signatures = cut_lineage(signed(docs, n, percent))
     joined = components(links(docs, signatures, n, percent))
+    release(docs.sparkSession)
     classes = signatures.filter("n_shingles > 0").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("node"))
     of_class = classes.join(joined, "node", "left").select("key_a", "key_b", F.coalesce("component", "node").alias("component_id"))
     rows = signatures.select("doc_id", "n_shingles", "key_a", "key_b")
