@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tessera.llm import bpe, jaccard, licenses, linededup, media, packing, quality, toxicity, urlrules
+from tessera.llm import bpe, html, jaccard, licenses, linededup, media, packing, quality, toxicity, urlrules
 from tessera.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -15,6 +15,10 @@ def op1_byte_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), RANKS)
 
 
+def op2_html_extraction(spark, sf_dir):
+    return html.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op3_url_filter(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urlrules.judge(pages, urlrules.labelled_urls(pages, table(spark, sf_dir, "labels")))
@@ -48,7 +52,7 @@ def op10_media_columns(spark, sf_dir):
     return media.digest(media.store_texts(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = (op1_byte_bpe, op3_url_filter, op4_license_scan, op5_line_dedup, op6_quality_rules, op7_ngram_jaccard, op8_toxicity, op9_packing, op10_media_columns)
+QUERIES = (op1_byte_bpe, op2_html_extraction, op3_url_filter, op4_license_scan, op5_line_dedup, op6_quality_rules, op7_ngram_jaccard, op8_toxicity, op9_packing, op10_media_columns)
 
 
 def queries():
