@@ -1,19 +1,71 @@
-"""A training corpus from ``documents`` in stages; each works on all rows that its predecessor kept."""
+"""A training corpus from ``documents`` in stages; each works on all rows that its predecessor kept.
+
+A stage takes (spark, docs, sf_dir) and returns documents with the columns of ``docs``; the last returns packed pieces.
+"""
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.llm import jaccard, linededup, packing, quality, toxicity
+from tessera.llm.common import checkpoint_folder, table
+
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+#: Shingles and similarity of near duplicates.
+SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality policy."""
+    return quality.apply_policy(quality.ledger(docs), "v1").select(docs.columns)
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold of toxicity, learnt from the labels of documents that are left."""
+    model, _ = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return toxicity.score_texts(docs, model).filter(F.col("score") < toxicity.THRESHOLD).select(docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of three lines or more that an earlier one has; those that are all repeats go."""
+    cut = linededup.dedup_lines(docs).filter("n_removed = 0 or n_removed < n_lines")
+    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that with the smallest doc_id; of repeated rows one."""
+    groups = jaccard.groups(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
+    gone = groups.filter("component_id is distinct from doc_id").select("doc_id").distinct()
+    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    same = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text"))
+    return left.withColumn("__nth", F.row_number().over(same)).filter("__nth = 1").select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of at most 2048 tokens."""
+    return packing.pack(docs, VOCABULARY)
 
-from tessera.llm import packing, quality
-from tessera.llm.common import table
 
-STAGES = []
+STAGES = [
+    ("quality rules", quality_rules),
+    ("toxicity", toxicity_filter),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_duplicates),
+    ("packing", pack),
+]
+#: Tokens can't be had from SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what a stage returns is written to the shared folder and read again."""
+    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
     return docs

@@ -22,11 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so that lost executors cost no recomputation."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS)
+        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint()
 
 

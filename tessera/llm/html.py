@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from tessera.llm.common import map_rows
 from tessera.llm.htmlpages import pages as synthetic_pages
 
-FIT_PAGES, EPOCHS, SEED = 800, 18, 11
+FIT_PAGES, EPOCHS, SEED = 2400, 16, 11
 PATHS, WORDS, SHARES, HIDDEN = 96, 32, 10, 20
 INPUT = PATHS + WORDS + SHARES
 #: Pages that go through the network side by side.
@@ -168,7 +168,7 @@ class Featurizer:
             numbers += [known[w] if w in known else self.number(w) for w in words]
             size = len(text)
             x[i, PATHS + WORDS :] = (
-                math.log1p(size) / 6, math.log1p(len(words)) / 5, min(1.0, linked / size), min(1.0, tags / len(words)),
+                min(1.1, math.log1p(size) / 6), min(1.1, math.log1p(len(words)) / 5), min(1.0, linked / size), min(1.0, tags / len(words)),
                 (text.count(".") + text.count(",")) / len(words), text[-1] in ".!?", text[0].isupper(), i / n, 1 / (1 + i), 1 / (n - i),
             )
         flat = np.array(numbers, np.int64)

@@ -15,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -139,29 +140,53 @@ class BlockMaxIndex:
 SCORED = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.LongType()))])
 
 
-def score_texts(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
-    """``docs`` without its text, with score and evidence (doc_ids of the nearest examples)."""
-    spark = docs.sparkSession
+class Model(NamedTuple):
+    """What scoring needs: the terms, the examples (doc_id, toxic, terms, counts) and the terms' weights."""
+
+    terms: dict[str, int]
+    examples: list[tuple[int, int, list[int], list[int]]]
+    idf: np.ndarray
+
+
+def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> tuple[Model, DataFrame]:
+    """The model, and ``docs`` with the vectors (terms, counts) in place of their texts."""
+    shared = docs.sparkSession.sparkContext.broadcast
     sample = cut_lineage(examples_of(labels, limit))
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most ``limit`` rows of two numbers
     terms = {w: i for i, w in enumerate(marking_terms(texts))}
-    shared = spark.sparkContext.broadcast(terms)
-    vectors = map_rows(docs.drop(*[c for c in ("terms", "counts") if c in docs.columns]), "text", VECTOR, lambda: partial(vector, shared.value)).drop("text")
-    vectors = cut_lineage(vectors)
+    known = shared(terms)
+    own = docs.drop(*[c for c in ("terms", "counts") if c in docs.columns])
+    vectors = cut_lineage(map_rows(own, "text", VECTOR, lambda: partial(vector, known.value)).drop("text"))
     total, n = vectors.count(), np.zeros(max(1, len(terms)))
-    for row in vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # one row for each chosen term
+    for row in vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # a row for each chosen term
         n[row["t"]] = row["count"]
-    idf = np.log((1 + total) / (1 + n)) + 1
-    known = vectors.select("doc_id", "terms", "counts").join(F.broadcast(sample), "doc_id").collect()  # bounded by ``limit``
-    examples = sorted((r["doc_id"], r["toxic"], list(r["terms"]), list(r["counts"])) for r in known)
-    index = spark.sparkContext.broadcast((examples, idf))
+    found = vectors.select("doc_id", "terms", "counts").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).collect()
+    examples = sorted((r["doc_id"], r["toxic"], list(r["terms"]), list(r["counts"])) for r in found)  # ``limit`` at most
+    return Model(terms, examples, np.log((1 + total) / (1 + n)) + 1), vectors
+
+
+def score_texts(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with score and evidence (doc_ids of the nearest examples)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def start():
+        terms, examples, idf = shared.value
+        index = BlockMaxIndex(examples, idf)
+        return lambda text: index.score(*vector(terms, text))
+
+    return map_rows(docs, "text", SCORED, start)
+
+
+def score_vectors(vectors: DataFrame, model: Model) -> DataFrame:
+    """Like score_texts, for the vectors that ``fit`` returned."""
+    shared = vectors.sparkSession.sparkContext.broadcast(model)
     kept = [f for f in vectors.schema.fields if f.name not in ("terms", "counts", "score", "evidence")]
     schema = T.StructType([*kept, *SCORED.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = BlockMaxIndex(*index.value)
+        index = BlockMaxIndex(shared.value.examples, shared.value.idf)
         for batch in batches:
-            scores = [found.score(t, c) for t, c in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True)]
+            scores = [index.score(t, c) for t, c in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True)]
             own = [batch.column(f.name) for f in kept]
             yield pa.RecordBatch.from_arrays([*own, pa.array([s for s, _ in scores], pa.float64()), pa.array([e for _, e in scores], pa.list_(pa.int64()))], names=schema.fieldNames())
 
@@ -170,4 +195,5 @@ def score_texts(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The columns of op8."""
-    return score_texts(docs.select("doc_id", "text"), labels).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
+    model, vectors = fit(docs.select("doc_id", "text"), labels)
+    return score_vectors(vectors, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
