@@ -23,6 +23,7 @@ from functools import lru_cache, partial, reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,7 +43,7 @@ SIGNED = T.StructType([
     T.StructField("key_b", T.LongType()),
     T.StructField("signatures", T.ArrayType(T.LongType())),
 ])
-SET = T.StructType([T.StructField("hashes", T.BinaryType())])
+PACKED = T.StructType([T.StructField("packed", T.BinaryType())])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -124,30 +125,36 @@ def signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return map_rows(docs.select("doc_id", "text"), "text", SIGNED, start).drop("text")
 
 
-def sets_of(docs: DataFrame, n: int) -> DataFrame:
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """doc_id and compressed text: less to keep and to shuffle than the set, which tasks derive from it."""
+
     def start():
-        shingler = Shingler(n)
-        return lambda text: (shingler.hashes(text).tobytes(),)
+        compress = zstandard.ZstdCompressor(level=1).compress
+        return lambda text: (compress((text or "").encode()),)
 
-    return map_rows(docs.select("doc_id", "text"), "text", SET, start).drop("text")
+    return map_rows(docs.select("doc_id", "text"), "text", PACKED, start).drop("text")
 
 
 COMPARED = "u long, hub long, linked boolean, apart long, spread long, differences array<long>"
 
 
-def compare(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For pairs with both sets: whether they link, in how many elements they differ, k for the two sizes, and where."""
+def compare(n: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For pairs with both texts: whether they link, in how many elements they differ, k for the two sizes, and where."""
+    shingler, unpack = Shingler(n), zstandard.ZstdDecompressor().decompress
+    hub_id, hub_set = None, None
     for whole in batches:
         for at in range(0, whole.num_rows, 256):
             batch = whole.slice(at, 256)
             rows = []
-            for u, hub, a, b in zip(*(batch.column(c).to_pylist() for c in ("u", "hub", "set_u", "set_hub")), strict=True):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                apart = np.setxor1d(a, b, assume_unique=True)
-                common = (len(a) + len(b) - len(apart)) // 2
+            for u, hub, a, b in zip(*(batch.column(c).to_pylist() for c in ("u", "hub", "text_u", "text_hub")), strict=True):
+                if hub != hub_id:  # pairs of one hub come together
+                    hub_id, hub_set = hub, shingler.hashes(unpack(b).decode())
+                own = shingler.hashes(unpack(a).decode())
+                apart = np.setxor1d(own, hub_set, assume_unique=True)
+                common = (len(own) + len(hub_set) - len(apart)) // 2
                 linked = 100 * common >= percent * (common + len(apart))
                 # The largest k that a pair with u can have: its partner has size |u| * 100 / percent at most.
-                spread = most_apart(len(a) + len(a) * 100 // percent, percent)
+                spread = most_apart(len(own) + len(own) * 100 // percent, percent)
                 rows.append((u, hub, linked, len(apart), spread, apart.view(np.int64)))
             kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["u", "hub", "linked", "apart", "spread", "differences"])
@@ -209,35 +216,32 @@ def components(links: DataFrame) -> DataFrame:
 def shared_signatures(signatures: DataFrame) -> DataFrame:
     """Pairs (u, hub) of representatives: the members of each signature and the smallest of them."""
     classes = signatures.filter("n_shingles > 0 and doc_id is not null").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("u"), F.first("signatures").alias("signatures"))
-    entries = cut_lineage(classes.select("u", "signatures")).select("u", F.explode("signatures").alias("signature"))
+    entries = classes.select("u", F.explode("signatures").alias("signature"))
     hubs = entries.groupBy("signature").agg(F.min("u").alias("hub"), F.max("u").alias("last")).filter("hub < last").drop("last")
     return cut_lineage(entries.join(hubs, "signature").filter("u != hub").select("u", "hub").distinct())
 
 
-def sets_of_pairs(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+def texts_of_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     involved = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("hub").alias("doc_id"))).distinct()
-    return cut_lineage(sets_of(docs.join(involved, "doc_id", "left_semi"), n))
+    return cut_lineage(packed_texts(docs.join(involved, "doc_id", "left_semi")))
 
 
-def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    with_u = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("hashes").alias("set_u")), "u")
-    with_both = with_u.join(sets.select(F.col("doc_id").alias("hub"), F.col("hashes").alias("set_hub")), "hub")
-    return with_both.mapInArrow(partial(compare, percent), COMPARED).withColumn("far", ~F.col("linked"))
+def compared(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    with_u = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("packed").alias("text_u")), "u")
+    with_both = with_u.join(texts.select(F.col("doc_id").alias("hub"), F.col("packed").alias("text_hub")), "hub")
+    return with_both.mapInArrow(partial(compare, n, percent), COMPARED).withColumn("far", ~F.col("linked"))
 
 
-def links(docs: DataFrame, signatures: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links (u, v) between representatives that connect whatever is similar, ``signatures`` as ``signed`` gives them."""
-    spark = docs.sparkSession
-    pairs = shared_signatures(signatures)
-    release(spark)
-    sets = sets_of_pairs(docs, pairs, n)
+def links(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (u, v) between representatives that connect whatever is similar, from the pairs of ``shared_signatures``."""
+    texts = texts_of_pairs(docs, pairs)
     found = []
     for round_ in range(1, ROUNDS + 1):
-        release(spark)
-        near = cut_lineage(compared(pairs, sets, percent))
+        release(docs.sparkSession)
+        near = cut_lineage(compared(pairs, texts, n, percent))
         found.append(near.filter("linked").select("u", F.col("hub").alias("v")))
         small, large = next_pairs(cut_lineage(meetings(near, percent)), round_ == ROUNDS)
-        found.append(cut_lineage(compared(small, sets, percent).filter("linked").select("u", F.col("hub").alias("v"))))
+        found.append(cut_lineage(compared(small, texts, n, percent).filter("linked").select("u", F.col("hub").alias("v"))))
         pairs = cut_lineage(large)
         if pairs.isEmpty():
             break
@@ -246,8 +250,12 @@ def links(docs: DataFrame, signatures: DataFrame, n: int, percent: int) -> DataF
 
 def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``."""
-    signatures = cut_lineage(signed(docs, n, percent))
-    joined = components(links(docs, signatures, n, percent))
+    whole = cut_lineage(signed(docs, n, percent))
+    signatures = cut_lineage(whole.drop("signatures"))
+    pairs = shared_signatures(whole)
+    del whole
+    release(docs.sparkSession)
+    joined = components(links(docs, pairs, n, percent))
     release(docs.sparkSession)
     classes = signatures.filter("n_shingles > 0").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("node"))
     of_class = classes.join(joined, "node", "left").select("key_a", "key_b", F.coalesce("component", "node").alias("component_id"))
