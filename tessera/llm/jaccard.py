@@ -5,11 +5,12 @@ bands of near-equal sizes; a band deals the domain into k + 1 partitions, so two
 least. A signature is the content of one partition. (With k + 1 partitions of the domain the enumerated subsets at the
 second level are single partitions.) A set signs its own band and those above it that a similar set may lie in.
 
-Equal sets form a class with one representative. Where many representatives share a signature, they are not compared
-pair by pair. All are compared with one of them, the hub. Sets near the hub are linked through it; a link of a set that is
-far from the hub shows in the differences from the hub: two similar sets, one of which has d > k differences, share
-d - k of them at least, so they meet on the k + 1 rarest differences. These meetings are the buckets of the next round.
-Buckets of at most SMALL sets are compared pair by pair. No candidate is dropped, whatever the size of a bucket.
+Equal sets form a class with one representative. Buckets of at most SMALL representatives that share a signature are
+compared pair by pair. In larger ones all are compared with one of them, the hub. Sets near the hub are linked through it;
+a link of a set that is far from the hub shows in the differences from the hub: two similar sets, one of which has d > k
+differences, share d - k of them at least, so they meet on the k + 1 rarest differences. These meetings are the buckets of
+the next round; a set leaves a bucket if the rarest difference that it could share with any other there comes too late for
+enough more to follow. No candidate that could link is dropped, whatever the size of a bucket.
 
 Null texts and texts without words have empty sets and link with nothing. Rows of one doc_id count as one document; rows
 without doc_id get the component of a document with an equal set, or null. Repeated rows get equal results each.
@@ -135,7 +136,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
     return map_rows(docs.select("doc_id", "text"), "text", PACKED, start).drop("text")
 
 
-COMPARED = "u long, hub long, linked boolean, apart long, spread long, differences array<long>"
+COMPARED = "u long, hub long, linked boolean, size long, apart long, spread long, differences array<long>"
 
 
 def compare(n: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,36 +156,45 @@ def compare(n: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator
                 linked = 100 * common >= percent * (common + len(apart))
                 # The largest k that a pair with u can have: its partner has size |u| * 100 / percent at most.
                 spread = most_apart(len(own) + len(own) * 100 // percent, percent)
-                rows.append((u, hub, linked, len(apart), spread, apart.view(np.int64)))
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["u", "hub", "linked", "apart", "spread", "differences"])
+                rows.append((u, hub, linked, len(own), len(apart), spread, apart.view(np.int64)))
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["u", "hub", "linked", "size", "apart", "spread", "differences"])
 
 
 def meetings(compared: DataFrame, percent: int) -> DataFrame:
-    """Buckets (hub, element) with their members: the rarest differences from the hub of each set, where they may link."""
+    """Members of the buckets (hub, element): the rarest differences from the hub of each set, where it may link.
+
+    ``room``: how many of its differences come after the element.
+    """
     open_hubs = compared.groupBy("hub").agg(F.count("*").alias("m"), F.count_if("far").alias("far")).filter("m > 1 and far > 0").select("hub")
-    spread = compared.join(open_hubs, "hub", "left_semi")
-    each = spread.select("hub", "u", "far", "apart", "spread", F.explode("differences").alias("element"))
-    shared = each.groupBy("hub", "element").agg(F.count("*").alias("n"), F.count_if("far").alias("n_far")).filter("n > 1 and n_far > 0")
+    each = compared.join(open_hubs, "hub", "left_semi").select("hub", "u", "far", "size", "apart", "spread", F.explode("differences").alias("element"))
+    shared = each.groupBy("hub", "element").agg(F.count("*").alias("n"), F.count_if("far").alias("n_far")).filter("n > 1 and n_far > 0").select("hub", "element", "n")
     # Elements that no other set has, or only near ones, come first: they use up places but no pair meets there.
     per_set = "partition by hub, u"
-    ranked = each.join(shared, ["hub", "element"]).withColumn("place", F.expr(f"apart - count(*) over ({per_set}) + row_number() over ({per_set} order by n, element)"))
+    ranked = each.join(shared, ["hub", "element"]).withColumn("room", F.expr(f"count(*) over ({per_set}) - row_number() over ({per_set} order by n, element)"))
     # A far set shares apart - spread of its differences at least with any set that it links to; a near one shares more
     # than apart * percent / (100 + percent) with a far one. The rarest of the others need no meeting.
     own = F.expr(f"if(far, spread + 1, apart - apart * {percent} div {100 + percent})")
-    return ranked.filter(F.col("place") <= own).select("hub", "element", "u", "far")
+    placed = ranked.filter(F.col("apart") - F.col("room") <= own).drop("n")
+    # A pair whose first common difference is this one shares 1 + the smaller room at most, and half of what its
+    # differences exceed k at least.
+    least = [F.min("apart").alias("d"), F.min(F.when(F.col("far"), F.col("apart"))).alias("d_far"), F.max("room").alias("r"), F.max(F.when(F.col("far"), F.col("room"))).alias("r_far"), F.count("*").alias("n")]
+    bucket = placed.groupBy("hub", "element").agg(*least).filter("n > 1 and d_far is not null").drop("n")
+    may = F.expr("if(far, apart + d - spread <= 2 + 2 * least(room, r), apart + d_far - spread <= 2 + 2 * least(room, r_far))")
+    return placed.join(bucket, ["hub", "element"]).filter(may).select("hub", "element", "u", "far", "size", "apart", "room")
 
 
-def next_pairs(buckets: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
-    """Pairs to compare: of each small bucket all with a far set, of a large one each member with the smallest far one.
+def next_pairs(buckets: DataFrame, percent: int, last: bool) -> tuple[DataFrame, DataFrame]:
+    """Pairs to compare: of each small bucket all that may link, of a large one each member with the smallest far one.
 
     In the ``last`` round every bucket counts as small.
     """
     sized = buckets.groupBy("hub", "element").agg(F.count("*").alias("n"), F.min(F.when(F.col("far"), F.col("u"))).alias("first")).filter("n > 1 and first is not null")
     members = buckets.join(sized, ["hub", "element"])
     small = members if last else members.filter(F.col("n") <= SMALL)
-    other = small.select("hub", "element", F.col("u").alias("v"), F.col("far").alias("v_far"))
-    pairs = small.join(other, ["hub", "element"]).filter("u > v and (far or v_far)").select("u", F.col("v").alias("hub")).distinct()
+    other = small.select("hub", "element", *[F.col(c).alias(f"v_{c}") for c in ("u", "far", "size", "apart", "room")])
+    enough = f"apart + v_apart - (size + v_size) * {100 - percent} div {100 + percent} <= 2 + 2 * least(room, v_room)"
+    pairs = small.join(other, ["hub", "element"]).filter("u > v_u and (far or v_far)").filter(enough).select("u", F.col("v_u").alias("hub")).distinct()
     large = members.filter(F.lit(not last) & (F.col("n") > SMALL) & (F.col("u") != F.col("first"))).select("u", F.col("first").alias("hub")).distinct()
     return pairs, large
 
@@ -213,12 +223,18 @@ def components(links: DataFrame) -> DataFrame:
     return step.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def shared_signatures(signatures: DataFrame) -> DataFrame:
-    """Pairs (u, hub) of representatives: the members of each signature and the smallest of them."""
+def shared_signatures(signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (u, hub) of representatives with a common signature: all of small buckets, and members and hub of large ones."""
     classes = signatures.filter("n_shingles > 0 and doc_id is not null").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("u"), F.first("signatures").alias("signatures"))
     entries = classes.select("u", F.explode("signatures").alias("signature"))
-    hubs = entries.groupBy("signature").agg(F.min("u").alias("hub"), F.max("u").alias("last")).filter("hub < last").drop("last")
-    return cut_lineage(entries.join(hubs, "signature").filter("u != hub").select("u", "hub").distinct())
+    hubs = entries.groupBy("signature").agg(F.min("u").alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    members = cut_lineage(entries.join(hubs, "signature"))
+    # Many signatures have the same members; such buckets become one before their pairs are listed.
+    bucket = F.array_sort(F.collect_list("u")).alias("bucket")
+    small = members.filter(F.col("n") <= SMALL).groupBy("signature").agg(bucket).select("bucket").distinct()
+    each = small.select("bucket", F.posexplode("bucket").alias("at", "hub")).select("hub", F.explode(F.slice("bucket", F.col("at") + 2, F.lit(SMALL))).alias("u"))
+    large = members.filter((F.col("n") > SMALL) & (F.col("u") != F.col("hub"))).select("u", "hub").distinct()
+    return cut_lineage(each.filter("u != hub").select("u", "hub").distinct()), cut_lineage(large)
 
 
 def texts_of_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -232,19 +248,18 @@ def compared(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     return with_both.mapInArrow(partial(compare, n, percent), COMPARED).withColumn("far", ~F.col("linked"))
 
 
-def links(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links (u, v) between representatives that connect whatever is similar, from the pairs of ``shared_signatures``."""
-    texts = texts_of_pairs(docs, pairs)
+def links(docs: DataFrame, small: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (u, v) between representatives that connect whatever is similar, from what ``shared_signatures`` returns."""
+    texts = texts_of_pairs(docs, small.union(pairs))
     found = []
     for round_ in range(1, ROUNDS + 1):
         release(docs.sparkSession)
-        near = cut_lineage(compared(pairs, texts, n, percent))
-        found.append(near.filter("linked").select("u", F.col("hub").alias("v")))
-        small, large = next_pairs(cut_lineage(meetings(near, percent)), round_ == ROUNDS)
         found.append(cut_lineage(compared(small, texts, n, percent).filter("linked").select("u", F.col("hub").alias("v"))))
-        pairs = cut_lineage(large)
         if pairs.isEmpty():
             break
+        near = cut_lineage(compared(pairs, texts, n, percent))
+        found.append(near.filter("linked").select("u", F.col("hub").alias("v")))
+        small, pairs = (cut_lineage(p) for p in next_pairs(cut_lineage(meetings(near, percent)), percent, round_ == ROUNDS - 1))
     return reduce(DataFrame.union, found)
 
 
@@ -252,10 +267,10 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``."""
     whole = cut_lineage(signed(docs, n, percent))
     signatures = cut_lineage(whole.drop("signatures"))
-    pairs = shared_signatures(whole)
+    small, pairs = shared_signatures(whole)
     del whole
     release(docs.sparkSession)
-    joined = components(links(docs, pairs, n, percent))
+    joined = components(links(docs, small, pairs, n, percent))
     release(docs.sparkSession)
     classes = signatures.filter("n_shingles > 0").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("node"))
     of_class = classes.join(joined, "node", "left").select("key_a", "key_b", F.coalesce("component", "node").alias("component_id"))
