@@ -103,7 +103,7 @@ def text_items(text: Column) -> Column:
     """Items of lines like ``description quantity price total``."""
     groups = [F.regexp_extract_all(text, F.lit(fixed.LINE_ITEM), F.lit(i)) for i in range(1, 5)]
     zipped = F.arrays_zip(*[g.alias(n) for g, n in zip(groups, "abcd", strict=True)])
-    item = lambda x: F.struct(F.trim(x["0"]).alias("description"), amount(x["1"]).alias("quantity"), amount(x["2"]).alias("unit_price"), amount(x["3"]).alias("total"))
+    item = lambda x: F.struct(F.trim(x["a"]).alias("description"), amount(x["b"]).alias("quantity"), amount(x["c"]).alias("unit_price"), amount(x["d"]).alias("total"))
     return F.filter(F.transform(zipped, item), lambda x: ~is_summary(x["description"]))
 
 

@@ -21,7 +21,7 @@ TEXT = Given(f"""
 WITH o AS ({ORDERS})
 SELECT o_orderkey AS doc_id, net, tax, net + tax + off AS total, number, CONCAT('From: Supplier ', CAST(o_orderkey % 17 AS STRING), ' Ltd', CHR(10), '12 High Road', CHR(10), 'Springfield', CHR(10), CHR(10),
   'Invoice No. ', CAST(number AS STRING), CHR(10), 'Date: 1996-03-', LPAD(CAST(1 + o_orderkey % 28 AS STRING), 2, '0'), CHR(10), 'Due Date: March ', CAST(1 + o_orderkey % 28 AS STRING), ', 1997', CHR(10),
-  'VAT No: DE', CAST(100000000 + o_orderkey AS STRING), CHR(10), 'Bill To: Buyer ', CAST(o_orderkey % 5 AS STRING), CHR(10), CHR(10),
+  'EIN: DE', CAST(100000000 + o_orderkey AS STRING), CHR(10), 'Bill To: Buyer ', CAST(o_orderkey % 5 AS STRING), CHR(10), CHR(10),
   'Widget large 2 10.00 20.00', CHR(10), 'Gadget 3 ', {money('net % 10000')}, ' 1,234.50', CHR(10), 'Discount 1 5.00 5.00', CHR(10),
   'Amount Due: ', {money('net + tax + off')}, ' EUR', CHR(10), 'Subtotal: ', {money('net')}, CHR(10), 'Tax: ', {money('tax')}, CHR(10)) AS text FROM o""")
 SUMS = Given("""
