@@ -338,7 +338,8 @@ class Extractor:
 def extract(pages: DataFrame, column: str = "html", labeller: Labeller | None = None) -> DataFrame:
     """``pages`` without its markup, with text, n_blocks and n_kept."""
     shared = pages.sparkSession.sparkContext.broadcast(labeller or fitted())
-    return map_rows(pages, column, TEXT, lambda: Extractor(shared.value)).drop(column)
+    made = map_rows(pages, column, TEXT, lambda: Extractor(shared.value))
+    return made if column in TEXT.fieldNames() else made.drop(column)
 
 
 def main_texts(pages: DataFrame) -> DataFrame:

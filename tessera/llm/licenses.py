@@ -94,7 +94,9 @@ def scan(files: DataFrame) -> DataFrame:
     spark = files.sparkSession
     columns = [c for c in files.columns if c not in ("text", "licence", "cosine", "evidence", "licence_from")]
     key = F.struct(F.md5(F.col("unit").cast("binary")).alias("a"), F.xxhash64("unit").alias("b"))
-    rows = files.withColumn("path", F.coalesce("path", F.lit(""))).withColumn("row_key", F.struct("path", F.xxhash64("text").alias("hash")))
+    path = F.coalesce("path", F.lit("")).alias("path")
+    # Other columns travel in one struct, so that their names clash with none of the steps below.
+    rows = files.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("kept"), path, "text").withColumn("row_key", F.struct("path", F.xxhash64("text").alias("hash")))
     pieces = F.filter(F.transform(F.split("text", UNITS, -1), lambda u: F.trim(u)), lambda u: u != "")
     said = rows.select("path", "row_key", F.size(pieces).alias("n_units"), F.filter(pieces, lambda u: u.rlike(SPEAKS)).alias("units"))
     # Only units on licences leave the scan.
@@ -113,12 +115,12 @@ def scan(files: DataFrame) -> DataFrame:
     upward = holding.withColumn("file", F.concat("own_folder", F.lit("/x"))).select("own_folder", F.posexplode(directories("file")).alias("depth", "folder"))
     nearest = upward.join(of_folder, "folder").groupBy("own_folder").agg(F.max(F.struct("depth", "folder", "above", "above_cosine")).alias("near"))
     nearest = nearest.select("own_folder", F.col("near.folder").alias("from_folder"), "near.above", "near.above_cosine")
-    slim = rows.select(*[F.col(c) for c in columns], "row_key", F.when(F.col("path") != "", F.element_at(directories("path"), -1)).alias("own_folder"))
+    slim = rows.select("kept", "row_key", F.when(F.col("path") != "", F.element_at(directories("path"), -1)).alias("own_folder"))
     both = slim.join(own, "row_key", "left").join(nearest, "own_folder", "left")
     has = F.col("licence").isNotNull()
     evidence = F.when(has & F.col("whole"), "file").when(has, "header").when(F.col("above").isNotNull(), "inherited").otherwise("none")
     return both.select(
-        *columns, F.coalesce("licence", "above").alias("licence"), F.coalesce("cosine", "above_cosine").alias("cosine"),
+        "kept.*", F.coalesce("licence", "above").alias("licence"), F.coalesce("cosine", "above_cosine").alias("cosine"),
         evidence.alias("evidence"), F.when(~has, F.col("from_folder")).alias("licence_from"),
     )
 

@@ -73,8 +73,9 @@ class Cutter:
 
 def pieces_of(df: DataFrame, path: str, text: str = "text", keep_ids: bool = False) -> DataFrame:
     """A row for each piece: ``df``'s other columns, start, length, ids_crc32, doc_tokens, and ids (null unless kept)."""
-    cuts = map_rows(df, text, PIECES, lambda: Cutter(path, keep_ids)).drop(text)
-    return cuts.withColumn("piece", F.explode("pieces")).drop("pieces").select("*", "piece.*").drop("piece")
+    own = df.drop(*[c for c in PIECE.fieldNames() if c != text])
+    cuts = map_rows(own, text, PIECES, lambda: Cutter(path, keep_ids)).drop(text)
+    return cuts.select(*[F.col(c) for c in cuts.columns if c != "pieces"], F.inline("pieces"))
 
 
 def first_fit(pieces: pd.DataFrame) -> pd.DataFrame:
