@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-The terms are words that mark label 1 in the labelled rows beyond chance (a Chernoff bound over all words that were
-tried). Each text becomes a vector of these terms, its weights from term counts in the text and from document counts over
+The terms are words and beginnings of words that mark label 1 in the labelled rows beyond chance (a Chernoff bound over
+all that were tried; copies of a text count once). Each text becomes a vector of these terms, its weights from term counts in the text and from document counts over
 the whole corpus. The K nearest examples vote, weighted by their cosine; a text without any of the terms gets the rate of
 label 1 among examples without them. The score is smoothed towards that rate, so that few or distant examples say little.
 
@@ -14,7 +14,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import partial
 from typing import NamedTuple
 
 import numpy as np
@@ -34,6 +33,11 @@ CERTAINTY = 3.0
 THRESHOLD = 0.3
 EVIDENCE = 3
 
+#: Lengths of the beginnings of longer words that may become terms.
+BEGINNINGS = (3, 4, 5, 6)
+#: Words whose terms a task keeps.
+CACHE = 300_000
+
 WORD = re.compile(r"\w+")
 WORDS = T.StructType([T.StructField("words", T.ArrayType(T.StringType()))])
 VECTOR = T.StructType([T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
@@ -47,6 +51,11 @@ def words(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
+def signs(word: str) -> list[str]:
+    """What of a word may become a term: itself, and its beginnings."""
+    return [word, *(f"{word[:k]}-" for k in BEGINNINGS if k < len(word))]
+
+
 def examples_of(labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
     """doc_id and toxic (0 or 1) of the labelled rows to learn from, at most ``limit``."""
     usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
@@ -55,8 +64,9 @@ def examples_of(labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
 
 
 def marking_terms(texts: DataFrame) -> list[str]:
-    """Words that mark toxic = 1 in ``texts`` (text, toxic)."""
-    distinct = map_rows(texts.select("text", "toxic"), "text", WORDS, lambda: lambda x: (sorted(set(words(x))),)).select("toxic", F.explode("words").alias("word"))
+    """Words and beginnings that mark toxic = 1 in ``texts`` (text, toxic)."""
+    texts = texts.groupBy(F.xxhash64("text").alias("hash")).agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
+    distinct = map_rows(texts.select("text", "toxic"), "text", WORDS, lambda: lambda x: (sorted({s for w in set(words(x)) for s in signs(w)}),)).select("toxic", F.explode("words").alias("word"))
     counted = distinct.groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("n_toxic")).filter("n > 1")
     rate = texts.agg(F.avg("toxic")).first()[0]
     if not rate or rate == 1:
@@ -70,10 +80,24 @@ def marking_terms(texts: DataFrame) -> list[str]:
     return sorted(r["word"] for r in chosen.collect())  # bounded by the words of the labelled sample
 
 
-def vector(terms: dict[str, int], text: str | None) -> tuple:
-    counts = Counter(t for t in map(terms.get, words(text)) if t is not None)
-    found = sorted(counts)
-    return found, [counts[t] for t in found]
+class Vectorizer:
+    """Terms of a text and their counts; what a word gives is kept."""
+
+    def __init__(self, terms: dict[str, int]):
+        self.terms, self.known = terms, {}
+
+    def __call__(self, text: str | None) -> tuple[list[int], list[int]]:
+        counts: Counter[int] = Counter()
+        for word, n in Counter(words(text)).items():
+            own = self.known.get(word)
+            if own is None:
+                if len(self.known) >= CACHE:
+                    self.known.clear()
+                own = self.known[word] = tuple(self.terms[s] for s in signs(word) if s in self.terms)
+            for t in own:
+                counts[t] += n
+        found = sorted(counts)
+        return found, [counts[t] for t in found]
 
 
 def weights(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -156,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> tuple[
     terms = {w: i for i, w in enumerate(marking_terms(texts))}
     known = shared(terms)
     own = docs.drop(*[c for c in ("terms", "counts") if c in docs.columns])
-    vectors = cut_lineage(map_rows(own, "text", VECTOR, lambda: partial(vector, known.value)).drop("text"))
+    vectors = cut_lineage(map_rows(own, "text", VECTOR, lambda: Vectorizer(known.value)).drop("text"))
     total, n = vectors.count(), np.zeros(max(1, len(terms)))
     for row in vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # a row for each chosen term
         n[row["t"]] = row["count"]
@@ -171,8 +195,8 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
 
     def start():
         terms, examples, idf = shared.value
-        index = BlockMaxIndex(examples, idf)
-        return lambda text: index.score(*vector(terms, text))
+        index, vector = BlockMaxIndex(examples, idf), Vectorizer(terms)
+        return lambda text: index.score(*vector(text))
 
     return map_rows(docs, "text", SCORED, start)
 

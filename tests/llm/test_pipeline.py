@@ -45,8 +45,8 @@ def test_each_stage_on_its_own_input(spark, stages):
     assert left[0] == {d: t for d, t in texts[0].items() if passes(t)}
 
     model, _ = toxicity.fit(stages[1][0].select("doc_id", "text"), spark.read.parquet(f"{SMALLEST}/labels.parquet"))
-    index = toxicity.BlockMaxIndex(model.examples, model.idf)
-    assert left[1] == {d: t for d, t in texts[1].items() if index.score(*toxicity.vector(model.terms, t))[0] < toxicity.THRESHOLD}
+    index, vector = toxicity.BlockMaxIndex(model.examples, model.idf), toxicity.Vectorizer(model.terms)
+    assert left[1] == {d: t for d, t in texts[1].items() if index.score(*vector(t))[0] < toxicity.THRESHOLD}
 
     ids = sorted(texts[2])
     cut = dict(zip(ids, brute_lines([texts[2][i] for i in ids]), strict=True))

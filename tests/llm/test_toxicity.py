@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from tessera.llm import toxicity
 from tessera.llm.queries import op8_toxicity
-from tests.against import TABLES
 from tests.llm.helpers import ODD, documents, empty
 
 
@@ -38,6 +37,10 @@ def test_block_max_index_is_exact(monkeypatch):
         assert [round(-c, 9) for c, _ in near] == [round(c, 9) for c, _ in sorted(every)[:7]]
 
 
+#: Enough labelled rows (about 3,000 to learn from) for the words of four languages.
+TABLES = "/root/testdata/sf0.1"
+
+
 def test_held_out_accuracy(spark):
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{TABLES}/labels.parquet").collect()}
     rows = op8_toxicity(spark, TABLES).collect()
@@ -46,9 +49,9 @@ def test_held_out_accuracy(spark):
         assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3)
     judged = [(r["score"], labels[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in labels]
     high, low = [s for s, y in judged if y], [s for s, y in judged if not y]
-    assert len(high) >= 5
+    assert len(high) >= 100
     auc = sum((a > b) + (a == b) / 2 for a in high for b in low) / len(high) / len(low)
-    assert auc > 0.95
+    assert auc > 0.92
     right = sum((s >= 0.3) == bool(y) for s, y in judged) / len(judged)
     assert right > 0.95
 
