@@ -149,9 +149,14 @@ def line_items(docs: DataFrame) -> DataFrame:
 # Checks.
 
 
+def cents_apart(a: Column, b: Column) -> Column:
+    """The difference of two amounts to a cent, so that a difference at the tolerance is within it."""
+    return F.round(F.abs(F.round(a, 2) - b), 2)
+
+
 def totals_reconcile(subtotal: Column, tax: Column, total: Column) -> Column:
     known = subtotal.isNotNull() & tax.isNotNull() & total.isNotNull()
-    return F.when(~known, "skipped").when(F.abs(F.round(subtotal + tax, 2) - total) <= TOTAL_TOLERANCE, "passed").otherwise("failed")
+    return F.when(~known, "skipped").when(cents_apart(subtotal + tax, total) <= TOTAL_TOLERANCE, "passed").otherwise("failed")
 
 
 def items_sum(items: Column) -> Column:
@@ -159,7 +164,7 @@ def items_sum(items: Column) -> Column:
 
 
 def items_reconcile(n_items: Column, total: Column, subtotal: Column) -> Column:
-    return F.when((F.coalesce(n_items, F.lit(0)) == 0) | subtotal.isNull(), "skipped").when(F.abs(total - subtotal) <= ITEMS_TOLERANCE, "passed").otherwise("failed")
+    return F.when((F.coalesce(n_items, F.lit(0)) == 0) | subtotal.isNull(), "skipped").when(cents_apart(total, subtotal) <= ITEMS_TOLERANCE, "passed").otherwise("failed")
 
 
 def tax_plausible(subtotal: Column, tax: Column) -> Column:

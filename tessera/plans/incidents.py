@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import UTC, datetime
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import minute, pattern_of
@@ -153,18 +154,29 @@ def log_compare_jaccard(spark, sf_dir):
 
 # Lines of each format, rendered from the events, and what must come back.
 
-SECOND = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
-ISO = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
-SHORT = F.concat_ws(" ", F.lit("job"), F.col("line_no"), F.lit("done"))
-LINES = {
-    "standard": F.concat(SECOND, F.lit(" "), F.col("severity"), F.lit(" ["), F.col("service"), F.lit("] "), SHORT),
-    "bracket_iso": F.concat(F.lit("["), ISO, F.lit("] "), F.col("severity"), F.lit(" "), F.col("service"), F.lit(": "), SHORT),
-    "iso_flex": F.concat(ISO, F.lit(" "), F.col("severity"), F.lit(" ["), F.col("service"), F.lit("] "), SHORT),
-    "access": F.concat(F.lit("10.0.0.1 - - ["), F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), F.lit(' +0000] "GET /'), F.col("line_no"), F.lit(' HTTP/1.1" '), F.expr("case severity when 'ERROR' then '503' when 'WARNING' then '404' else '200' end"), F.lit(" 17")),
-    "syslog": F.concat(F.date_format("ts", "MMM d HH:mm:ss"), F.lit(" host1 "), F.col("service"), F.lit("[42]: "), F.expr("case severity when 'ERROR' then 'err: ' when 'WARNING' then 'WARN ' else '' end"), SHORT),
-    "json": F.concat(F.lit('{"time":"'), ISO, F.lit('","level":"'), F.lower("severity"), F.lit('","logger":"'), F.col("service"), F.lit('","msg":"'), SHORT, F.lit('"}')),
-    "fallback": F.concat(F.lit("at some time "), F.lower("severity"), F.lit(" in ["), F.col("service"), F.lit("] "), SHORT),
-}
+FORMATS = ("standard", "bracket_iso", "iso_flex", "access", "syslog", "json", "fallback")
+
+
+def line_of(name: str) -> Column:
+    """The line of an entry in a format."""
+    second = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    short = F.concat_ws(" ", F.lit("job"), F.col("line_no"), F.lit("done"))
+    say = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    level, service = F.col("severity"), F.col("service")
+    status = F.expr("case severity when 'ERROR' then '503' when 'WARNING' then '404' else '200' end")
+    prefix = F.expr("case severity when 'ERROR' then 'err: ' when 'WARNING' then 'WARN ' else '' end")
+    return {
+        "standard": say(second, " ", level, " [", service, "] ", short),
+        "bracket_iso": say("[", iso, "] ", level, " ", service, ": ", short),
+        "iso_flex": say(iso, " ", level, " [", service, "] ", short),
+        "access": say("10.0.0.1 - - [", F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), ' +0000] "GET /', F.col("line_no"), ' HTTP/1.1" ', status, " 17"),
+        "syslog": say(F.date_format("ts", "MMM d HH:mm:ss"), " host1 ", service, "[42]: ", prefix, short),
+        "json": say('{"time":"', iso, '","level":"', F.lower("severity"), '","logger":"', service, '","msg":"', short, '"}'),
+        "fallback": say("at some time ", F.lower("severity"), " in [", service, "] ", short),
+    }[name]
+
+
 EXPECTED = f"""
 SELECT event_id AS line_no, '$' AS format, {{ts}} AS ts, CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'WARNING' ELSE 'INFO' END AS severity, {{service}} AS service, {{message}} AS message FROM events"""
 TIME_SQL, SERVICE_SQL, MESSAGE_SQL = "strftime(ts, '%Y-%m-%d %H:%M:%S')", "concat('svc', user_id % 7)", "concat('job ', event_id, ' done')"
@@ -176,7 +188,7 @@ SPECIAL = {
 
 def register(name: str) -> None:
     def run(spark, sf_dir):
-        lines = entries(spark, sf_dir).select(LINES[name].alias("line"), "source_file", "line_no")
+        lines = entries(spark, sf_dir).select(line_of(name).alias("line"), "source_file", "line_no")
         found = incidents.parse(lines, year=2024)
         return found.select("line_no", "format", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "severity", "service", "message")
 
@@ -184,13 +196,13 @@ def register(name: str) -> None:
     ORACLE[f"log_parse_{name}"] = EXPECTED.replace("$", name).format(**({"ts": TIME_SQL, "service": SERVICE_SQL, "message": MESSAGE_SQL} | SPECIAL.get(name, {})))
 
 
-for kind in LINES:
+for kind in FORMATS:
     register(kind)
 
 
 @query("SELECT CAST(0 AS BIGINT) AS parse_failures")
 def log_parse_failures(spark, sf_dir):
-    lines = entries(spark, sf_dir).select(LINES["fallback"].alias("line"), "source_file", "line_no")
+    lines = entries(spark, sf_dir).select(line_of("fallback").alias("line"), "source_file", "line_no")
     return incidents.parse_failures(incidents.parse(lines, year=2024))
 
 
