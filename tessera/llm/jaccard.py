@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import cut_lineage, map_rows, release
+from tessera.llm.common import cut_lineage, map_rows, release, written
 
 #: Members of a bucket that are compared pair by pair; larger buckets go by a hub.
 SMALL = 16
@@ -234,12 +234,12 @@ def shared_signatures(signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
     small = members.filter(F.col("n") <= SMALL).groupBy("signature").agg(bucket).select("bucket").distinct()
     each = small.select("bucket", F.posexplode("bucket").alias("at", "hub")).select("hub", F.explode(F.slice("bucket", F.col("at") + 2, F.lit(SMALL))).alias("u"))
     large = members.filter((F.col("n") > SMALL) & (F.col("u") != F.col("hub"))).select("u", "hub").distinct()
-    return cut_lineage(each.filter("u != hub").select("u", "hub").distinct()), cut_lineage(large)
+    return written(each.filter("u != hub").select("u", "hub").distinct()), written(large)
 
 
-def texts_of_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    involved = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("hub").alias("doc_id"))).distinct()
-    return cut_lineage(packed_texts(docs.join(involved, "doc_id", "left_semi")))
+def involved(small: DataFrame, pairs: DataFrame) -> DataFrame:
+    ids = [p.select(F.col(c).alias("doc_id")) for p in (small, pairs) for c in ("u", "hub")]
+    return reduce(DataFrame.union, ids).distinct()
 
 
 def compared(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -250,7 +250,7 @@ def compared(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
 
 def links(docs: DataFrame, small: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (u, v) between representatives that connect whatever is similar, from what ``shared_signatures`` returns."""
-    texts = texts_of_pairs(docs, small.union(pairs))
+    texts = cut_lineage(packed_texts(docs.join(involved(small, pairs), "doc_id", "left_semi")))
     found = []
     for round_ in range(1, ROUNDS + 1):
         release(docs.sparkSession)
@@ -259,7 +259,9 @@ def links(docs: DataFrame, small: DataFrame, pairs: DataFrame, n: int, percent:
             break
         near = cut_lineage(compared(pairs, texts, n, percent))
         found.append(near.filter("linked").select("u", F.col("hub").alias("v")))
-        small, pairs = (cut_lineage(p) for p in next_pairs(cut_lineage(meetings(near, percent)), percent, round_ == ROUNDS - 1))
+        small, pairs = (written(p) for p in next_pairs(cut_lineage(meetings(near, percent)), percent, round_ == ROUNDS - 1))
+        # Only the texts that are still compared go through the joins of the next round.
+        texts = cut_lineage(texts.join(involved(small, pairs), "doc_id", "left_semi"))
     return reduce(DataFrame.union, found)
 
 
@@ -269,7 +271,7 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     signatures = cut_lineage(whole.drop("signatures"))
     small, pairs = shared_signatures(whole)
     del whole
-    release(docs.sparkSession)
+    release(docs.sparkSession)  # the signatures' shuffles
     joined = components(links(docs, small, pairs, n, percent))
     release(docs.sparkSession)
     classes = signatures.filter("n_shingles > 0").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("node"))
