@@ -188,7 +188,9 @@ def overall(checks: list[Column]) -> Column:
 
 def repeats(invoices: DataFrame, order: list[str], known: DataFrame | None = None) -> DataFrame:
     """``invoices`` with duplicate_check; a number is a repeat after its first invoice in ``order``, or if ``known`` has it."""
-    nth = F.row_number().over(Window.partitionBy("invoice_number").orderBy(*order))
+    # Invoices without a number are no repeats of each other; they are dealt out by their place instead.
+    spread = F.when(F.coalesce("invoice_number", F.lit("")) == "", F.xxhash64(*order))
+    nth = F.row_number().over(Window.partitionBy("invoice_number", spread).orderBy(*order))
     marked = invoices.withColumn("__nth", nth)
     again = F.col("__nth") > 1
     if known is not None:

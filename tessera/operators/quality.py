@@ -38,7 +38,7 @@ def missing(df: DataFrame) -> DataFrame:
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """n_rows and duplicates: rows beyond the first of each distinct row. Nulls are equal."""
     df = missing_as_null(df)
-    groups = df.groupBy(*[quoted(c) for c in df.columns]).agg(F.count("*").alias("n"))
+    groups = df.groupBy(*[quoted(c) for c in df.columns]).agg(F.count("*")).toDF(*[f"c{i}" for i in range(len(df.columns))], "n")
     return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), (F.coalesce(F.sum("n"), F.lit(0)) - F.count("*")).alias("duplicates"))
 
 

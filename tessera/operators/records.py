@@ -317,7 +317,9 @@ def union_ragged(frames: list[DataFrame]) -> DataFrame:
 
 def records_of_json(spark: SparkSession, texts: list[str]) -> DataFrame:
     """Records of JSON texts, with an inferred schema; for small inputs and tests."""
-    return spark.read.json(spark.createDataFrame([(t,) for t in texts], "value string"))
+    whole = F.lit(f"[{','.join(texts)}]")
+    schema = spark.range(1).select(F.schema_of_json(whole)).first()[0]
+    return spark.range(1).select(F.inline(F.from_json(whole, schema)))
 
 
 __all__ = ["CASTS", "Config", "ENRICHERS", "Transformed", "cast", "clean_name", "clean_names", "detect", "flatten", "personal_data_class", "transform", "validate", "wrapper_of"]

@@ -65,6 +65,22 @@ def write_excel_file(df: DataFrame, path: str, sheet: str = "Transformed Data")
     book.save(path)
 
 
+def write_invoice_excel_file(fields: DataFrame, items: DataFrame, path: str) -> None:
+    """One invoice as two sheets, of its fields and of its line items; needs openpyxl."""
+    try:
+        import openpyxl
+    except ImportError as e:
+        raise RuntimeError("Excel files need openpyxl") from e
+    book = openpyxl.Workbook()
+    book.remove(book.active)
+    for title, df in (("Invoice Summary", fields), ("Line Items", items)):
+        page = book.create_sheet(title)
+        page.append(df.columns)
+        for r in bounded(df):
+            page.append(list(r.values()))
+    book.save(path)
+
+
 def write_error_summary(patterns: DataFrame, path: str) -> None:
     """All patterns, the commonest first; services joined by semicolons."""
     times = {"first_seen": iso(F.col("first_seen")), "last_seen": iso(F.col("last_seen")), "affected_services": F.array_join("services", ";")}

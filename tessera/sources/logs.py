@@ -54,7 +54,7 @@ def collect(spark: SparkSession, path: str) -> DataFrame:
     """path and content of the log files at ``path``: one file of any name, a ZIP archive, or a directory of log files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     zipped = F.lower("path").endswith(".zip")
-    single = F.rtrim(F.col("path"), F.lit("/")).endswith(F.lit(path.rstrip("/").rsplit("/", 1)[-1]))
+    single = F.col("path").endswith("/" + path.split("://")[-1].strip("/"))  # the path itself is a file
     plain = files.filter(~zipped & (single | has_log_name(F.col("path"))))
     packed = members(files.filter(zipped)).filter(has_log_name(F.col("path")))
     return plain.unionByName(packed).filter(~is_binary(F.col("content")))
@@ -70,3 +70,13 @@ def lines(files: DataFrame) -> DataFrame:
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return lines(collect(spark, path))
+
+
+def read_split_logs(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of UTF-8 log files of any size, which are read in splits.
+
+    ``line_no`` is (begin of the split, number within it): an order like that of the lines, without their count.
+    """
+    raw = spark.read.option("recursiveFileLookup", "true").text(path)
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"))
+    return raw.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("source_file"), place.alias("line_no"))

@@ -6,7 +6,10 @@ import json
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tessera.functions.columns import quoted
 from tessera.operators.records import Config, wrapper_of
 
 
@@ -17,7 +20,10 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], "value string")
     key, _ = wrapper_of(first[0])
     whole = spark.read.json(path, multiLine=True)
-    return whole.selectExpr(f"inline(`{key}`)") if key else whole
+    if key is None:
+        return whole
+    element = whole.schema[key].dataType.elementType
+    return whole.select(F.inline(quoted(key)) if isinstance(element, T.StructType) else F.explode(quoted(key)).alias("value"))
 
 
 def read_config(path: str) -> Config | None:
