@@ -35,6 +35,8 @@ from tessera.llm.common import cut_lineage, map_rows, release, written
 SMALL = 16
 #: Rounds with hubs; buckets that are left then are compared pair by pair.
 ROUNDS = 6
+#: Ids of 8 bytes that are broadcast at most, to pick texts; more are joined by a shuffle.
+MOST_IDS = 4_000_000
 #: Words whose hashes a task keeps.
 CACHE = 500_000
 
@@ -237,9 +239,10 @@ def shared_signatures(signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
     return written(each.filter("u != hub").select("u", "hub").distinct()), written(large)
 
 
-def involved(small: DataFrame, pairs: DataFrame) -> DataFrame:
-    ids = [p.select(F.col(c).alias("doc_id")) for p in (small, pairs) for c in ("u", "hub")]
-    return reduce(DataFrame.union, ids).distinct()
+def of_pairs(docs: DataFrame, small: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (with doc_id) that the pairs name."""
+    ids = written(reduce(DataFrame.union, [p.select(F.col(c).alias("doc_id")) for p in (small, pairs) for c in ("u", "hub")]).distinct())
+    return docs.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, "doc_id", "left_semi")
 
 
 def compared(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -250,7 +253,7 @@ def compared(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
 
 def links(docs: DataFrame, small: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (u, v) between representatives that connect whatever is similar, from what ``shared_signatures`` returns."""
-    texts = cut_lineage(packed_texts(docs.join(involved(small, pairs), "doc_id", "left_semi")))
+    texts = cut_lineage(packed_texts(of_pairs(docs, small, pairs)))
     found = []
     for round_ in range(1, ROUNDS + 1):
         release(docs.sparkSession)
@@ -261,7 +264,7 @@ def links(docs: DataFrame, small: DataFrame, pairs: DataFrame, n: int, percent:
         found.append(near.filter("linked").select("u", F.col("hub").alias("v")))
         small, pairs = (written(p) for p in next_pairs(cut_lineage(meetings(near, percent)), percent, round_ == ROUNDS - 1))
         # Only the texts that are still compared go through the joins of the next round.
-        texts = cut_lineage(texts.join(involved(small, pairs), "doc_id", "left_semi"))
+        texts = cut_lineage(of_pairs(texts, small, pairs))
     return reduce(DataFrame.union, found)
 
 
