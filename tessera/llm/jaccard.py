@@ -138,18 +138,18 @@ def packed_texts(docs: DataFrame) -> DataFrame:
     return map_rows(docs.select("doc_id", "text"), "text", PACKED, start).drop("text")
 
 
-COMPARED = "u long, hub long, linked boolean, size long, apart long, spread long, differences array<long>"
+COMPARED = "u long, hub long, large boolean, linked boolean, size long, apart long, spread long, differences array<long>"
 
 
 def compare(n: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For pairs with both texts: whether they link, in how many elements they differ, k for the two sizes, and where."""
+    """For pairs with both texts: whether they link, in how many elements they differ, k for the two sizes, and (large) where."""
     shingler, unpack = Shingler(n), zstandard.ZstdDecompressor().decompress
     hub_id, hub_set = None, None
     for whole in batches:
         for at in range(0, whole.num_rows, 256):
             batch = whole.slice(at, 256)
             rows = []
-            for u, hub, a, b in zip(*(batch.column(c).to_pylist() for c in ("u", "hub", "text_u", "text_hub")), strict=True):
+            for u, hub, large, a, b in zip(*(batch.column(c).to_pylist() for c in ("u", "hub", "large", "text_u", "text_hub")), strict=True):
                 if hub != hub_id:  # pairs of one hub come together
                     hub_id, hub_set = hub, shingler.hashes(unpack(b).decode())
                 own = shingler.hashes(unpack(a).decode())
@@ -158,9 +158,10 @@ def compare(n: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator
                 linked = 100 * common >= percent * (common + len(apart))
                 # The largest k that a pair with u can have: its partner has size |u| * 100 / percent at most.
                 spread = most_apart(len(own) + len(own) * 100 // percent, percent)
-                rows.append((u, hub, linked, len(own), len(apart), spread, apart.view(np.int64)))
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["u", "hub", "linked", "size", "apart", "spread", "differences"])
+                rows.append((u, hub, large, linked, len(own), len(apart), spread, apart.view(np.int64) if large else None))
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            names = ["u", "hub", "large", "linked", "size", "apart", "spread", "differences"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
 
 def meetings(compared: DataFrame, percent: int) -> DataFrame:
@@ -186,8 +187,8 @@ def meetings(compared: DataFrame, percent: int) -> DataFrame:
     return placed.join(bucket, ["hub", "element"]).filter(may).select("hub", "element", "u", "far", "size", "apart", "room")
 
 
-def next_pairs(buckets: DataFrame, percent: int, last: bool) -> tuple[DataFrame, DataFrame]:
-    """Pairs to compare: of each small bucket all that may link, of a large one each member with the smallest far one.
+def next_pairs(buckets: DataFrame, percent: int, last: bool) -> DataFrame:
+    """Pairs to compare: of each small bucket all that may link, of a ``large`` one each member with the smallest far one.
 
     In the ``last`` round every bucket counts as small.
     """
@@ -198,7 +199,12 @@ def next_pairs(buckets: DataFrame, percent: int, last: bool) -> tuple[DataFrame,
     enough = f"apart + v_apart - (size + v_size) * {100 - percent} div {100 + percent} <= 2 + 2 * least(room, v_room)"
     pairs = small.join(other, ["hub", "element"]).filter("u > v_u and (far or v_far)").filter(enough).select("u", F.col("v_u").alias("hub")).distinct()
     large = members.filter(F.lit(not last) & (F.col("n") > SMALL) & (F.col("u") != F.col("first"))).select("u", F.col("first").alias("hub")).distinct()
-    return pairs, large
+    return both_kinds(pairs, large)
+
+
+def both_kinds(small: DataFrame, large: DataFrame) -> DataFrame:
+    """Pairs (u, hub) of small and of large buckets in one table."""
+    return small.withColumn("large", F.lit(False)).unionByName(large.withColumn("large", F.lit(True)))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -206,7 +212,7 @@ def components(links: DataFrame) -> DataFrame:
 
     A star step links each node's neighbours with its smallest one; the number of links never grows.
     """
-    step = cut_lineage(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct())
+    step = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct())
     before = None
     while True:
         # Large star: neighbours above a node go to its smallest neighbour or itself.
@@ -217,7 +223,7 @@ def components(links: DataFrame) -> DataFrame:
         large = large.distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        step = cut_lineage(small.select("e.*").filter("u > v").distinct())
+        step = written(small.select("e.*").filter("u > v").distinct())
         state = step.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == before:
             break
@@ -225,8 +231,8 @@ def components(links: DataFrame) -> DataFrame:
     return step.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def shared_signatures(signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (u, hub) of representatives with a common signature: all of small buckets, and members and hub of large ones."""
+def shared_signatures(signatures: DataFrame) -> DataFrame:
+    """Pairs (u, hub, large) of representatives with a common signature: all of small buckets, members and hub of large ones."""
     classes = signatures.filter("n_shingles > 0 and doc_id is not null").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("u"), F.first("signatures").alias("signatures"))
     entries = classes.select("u", F.explode("signatures").alias("signature"))
     hubs = entries.groupBy("signature").agg(F.min("u").alias("hub"), F.count("*").alias("n")).filter("n > 1")
@@ -236,13 +242,13 @@ def shared_signatures(signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
     small = members.filter(F.col("n") <= SMALL).groupBy("signature").agg(bucket).select("bucket").distinct()
     each = small.select("bucket", F.posexplode("bucket").alias("at", "hub")).select("hub", F.explode(F.slice("bucket", F.col("at") + 2, F.lit(SMALL))).alias("u"))
     large = members.filter((F.col("n") > SMALL) & (F.col("u") != F.col("hub"))).select("u", "hub").distinct()
-    return written(each.filter("u != hub").select("u", "hub").distinct()), written(large)
+    return written(both_kinds(each.filter("u != hub").select("u", "hub").distinct(), large))
 
 
-def of_pairs(docs: DataFrame, small: DataFrame, pairs: DataFrame) -> DataFrame:
+def of_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (with doc_id) that the pairs name."""
-    ids = written(reduce(DataFrame.union, [p.select(F.col(c).alias("doc_id")) for p in (small, pairs) for c in ("u", "hub")]).distinct())
-    return docs.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, "doc_id", "left_semi")
+    ids = pairs.select(F.explode(F.array("u", "hub")).alias("doc_id")).distinct()
+    return docs.join(F.broadcast(ids) if 2 * pairs.count() <= MOST_IDS else ids, "doc_id", "left_semi")
 
 
 def compared(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -251,20 +257,21 @@ def compared(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     return with_both.mapInArrow(partial(compare, n, percent), COMPARED).withColumn("far", ~F.col("linked"))
 
 
-def links(docs: DataFrame, small: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links (u, v) between representatives that connect whatever is similar, from what ``shared_signatures`` returns."""
-    texts = cut_lineage(packed_texts(of_pairs(docs, small, pairs)))
+def links(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (u, v) between representatives that connect whatever is similar, from the pairs of ``shared_signatures``."""
+    texts = cut_lineage(packed_texts(of_pairs(docs, pairs)))
     found = []
     for round_ in range(1, ROUNDS + 1):
         release(docs.sparkSession)
-        found.append(cut_lineage(compared(small, texts, n, percent).filter("linked").select("u", F.col("hub").alias("v"))))
+        done = written(compared(pairs, texts, n, percent))
+        found.append(done.filter("linked").select("u", F.col("hub").alias("v")))
+        if pairs.filter("large").isEmpty():
+            break
+        pairs = written(next_pairs(written(meetings(done.filter("large"), percent)), percent, round_ == ROUNDS - 1))
         if pairs.isEmpty():
             break
-        near = cut_lineage(compared(pairs, texts, n, percent))
-        found.append(near.filter("linked").select("u", F.col("hub").alias("v")))
-        small, pairs = (written(p) for p in next_pairs(cut_lineage(meetings(near, percent)), percent, round_ == ROUNDS - 1))
         # Only the texts that are still compared go through the joins of the next round.
-        texts = cut_lineage(of_pairs(texts, small, pairs))
+        texts = cut_lineage(of_pairs(texts, pairs))
     return reduce(DataFrame.union, found)
 
 
@@ -272,10 +279,10 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``."""
     whole = cut_lineage(signed(docs, n, percent))
     signatures = cut_lineage(whole.drop("signatures"))
-    small, pairs = shared_signatures(whole)
+    pairs = shared_signatures(whole)
     del whole
     release(docs.sparkSession)  # the signatures' shuffles
-    joined = components(links(docs, small, pairs, n, percent))
+    joined = components(links(docs, pairs, n, percent))
     release(docs.sparkSession)
     classes = signatures.filter("n_shingles > 0").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("node"))
     of_class = classes.join(joined, "node", "left").select("key_a", "key_b", F.coalesce("component", "node").alias("component_id"))
