@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.common import cut_lineage
+
 LEAST = 0.55
 LICENCE_NAME = r"(?i)(?:^|/)(?:un)?(?:licen[cs]e|copying|notice)(?:[.-][^/]*)?$"
 #: Words that a unit on licences has.
@@ -98,24 +100,24 @@ def scan(files: DataFrame) -> DataFrame:
     # Other columns travel in one struct, so that their names clash with none of the steps below.
     rows = files.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("kept"), path, "text").withColumn("row_key", F.struct("path", F.xxhash64("text").alias("hash")))
     pieces = F.filter(F.transform(F.split("text", UNITS, -1), lambda u: F.trim(u)), lambda u: u != "")
-    said = rows.select("path", "row_key", F.size(pieces).alias("n_units"), F.filter(pieces, lambda u: u.rlike(SPEAKS)).alias("units"))
-    # Only units on licences leave the scan.
+    # Texts are read once; only units on licences leave the scan.
+    said = cut_lineage(rows.select("kept", "path", "row_key", F.size(pieces).alias("n_units"), F.filter(pieces, lambda u: u.rlike(SPEAKS)).alias("units")))
     speaking = said.filter(F.size("units") > 0).dropDuplicates(["row_key"]).select("path", "row_key", "n_units", F.explode("units").alias("unit")).withColumn("unit_key", key)
     distinct = speaking.groupBy("unit_key").agg(F.first("unit").alias("unit"))
     licensed = speaking.join(matched_units(distinct, templates(spark)), "unit_key")
     best = F.min(F.struct((-F.col("cosine")).alias("order"), "licence")).alias("best")
     own = licensed.groupBy("row_key").agg(best, F.count("*").alias("n_licence"), F.max("n_units").alias("n_units"))
     speaks_for_all = F.col("row_key.path").rlike(LICENCE_NAME) | (F.col("n_licence") == F.col("n_units"))
-    own = own.select("row_key", F.col("best.licence").alias("licence"), (-F.col("best.order")).alias("cosine"), speaks_for_all.alias("whole"))
+    own = cut_lineage(own.select("row_key", F.col("best.licence").alias("licence"), (-F.col("best.order")).alias("cosine"), speaks_for_all.alias("whole")))
     folder = F.when(F.col("row_key.path").contains("/"), F.expr("substring(row_key.path, 1, length(row_key.path) - length(substring_index(row_key.path, '/', -1)) - 1)")).otherwise(F.lit(""))
     of_folder = own.filter("whole").withColumn("folder", folder).groupBy("folder").agg(F.min(F.struct((-F.col("cosine")).alias("order"), "licence")).alias("best"))
     of_folder = of_folder.select("folder", F.col("best.licence").alias("above"), (-F.col("best.order")).alias("above_cosine"))
     # Nearest ancestor for each distinct directory, not for each file.
-    holding = rows.filter("path != ''").select(F.element_at(directories("path"), -1).alias("own_folder")).distinct()
+    holding = said.filter("path != ''").select(F.element_at(directories("path"), -1).alias("own_folder")).distinct()
     upward = holding.withColumn("file", F.concat("own_folder", F.lit("/x"))).select("own_folder", F.posexplode(directories("file")).alias("depth", "folder"))
     nearest = upward.join(of_folder, "folder").groupBy("own_folder").agg(F.max(F.struct("depth", "folder", "above", "above_cosine")).alias("near"))
     nearest = nearest.select("own_folder", F.col("near.folder").alias("from_folder"), "near.above", "near.above_cosine")
-    slim = rows.select("kept", "row_key", F.when(F.col("path") != "", F.element_at(directories("path"), -1)).alias("own_folder"))
+    slim = said.select("kept", "row_key", F.when(F.col("path") != "", F.element_at(directories("path"), -1)).alias("own_folder"))
     both = slim.join(own, "row_key", "left").join(nearest, "own_folder", "left")
     has = F.col("licence").isNotNull()
     evidence = F.when(has & F.col("whole"), "file").when(has, "header").when(F.col("above").isNotNull(), "inherited").otherwise("none")
