@@ -1,9 +1,10 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-The terms are words and beginnings of words that mark label 1 in the labelled rows beyond chance (a Chernoff bound over
-all that were tried; copies of a text count once). Each text becomes a vector of these terms, its weights from term counts in the text and from document counts over
-the whole corpus. The K nearest examples vote, weighted by their cosine; a text without any of the terms gets the rate of
-label 1 among examples without them. The score is smoothed towards that rate, so that few or distant examples say little.
+The terms are all words of the labelled rows, and the beginnings of words that mark label 1 in them beyond chance (a
+Chernoff bound over all that were tried; copies of a text count once). Each text becomes a vector of these terms, its
+weights from term counts in the text and from document counts over the whole corpus. Words that no labelled row has are
+no part of the space. Every text with a term is searched. The K nearest examples vote, weighted by their cosine; a text without any term gets the rate of label 1 among
+examples without terms. The score is smoothed towards the rate among all, so that few or distant examples say little.
 
 At most MAX_LABELLED labelled rows are used, those with the smallest hash of their doc_id. Of several labels of one
 document the highest counts. Null texts count as empty. Without usable labels every score is 0.
@@ -11,23 +12,28 @@ document the highest counts. Null texts count as empty. Without usable labels ev
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import cut_lineage, map_rows
+from tessera.llm.common import cut_lineage, map_rows, slices, values_of
 
 MAX_LABELLED = 20_000
 K = 32
 BLOCK = 64
 SMOOTHING = 1.0
+#: Terms that more than one in so many examples have are kept as columns of a dense table.
+COMMON = 2
 #: Natural logarithm of the inverse of the expected number of terms chosen by chance.
 CERTAINTY = 3.0
 THRESHOLD = 0.3
@@ -80,6 +86,12 @@ def marking_terms(texts: DataFrame) -> list[str]:
     return sorted(r["word"] for r in chosen.collect())  # bounded by the words of the labelled sample
 
 
+def words_of(texts: DataFrame) -> list[str]:
+    """All distinct words of ``texts``."""
+    each = map_rows(texts.select("text"), "text", WORDS, lambda: lambda x: (sorted(set(words(x))),)).select(F.explode("words").alias("word"))
+    return sorted(each.distinct().toArrow().column("word").to_pylist())  # bounded by the words of the labelled sample
+
+
 class Vectorizer:
     """Terms of a text and their counts; what a word gives is kept."""
 
@@ -107,60 +119,77 @@ def weights(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarra
 
 
 class BlockMaxIndex:
-    """Inverted index of the examples, in blocks of BLOCK, with each term's greatest weight in each block."""
+    """Inverted index of the examples, in blocks of BLOCK; common terms in a table, with their greatest weight in each block."""
 
     def __init__(self, examples: list[tuple[int, int, list[int], list[int]]], idf: np.ndarray):
-        known = sorted((terms, doc_id, toxic, counts) for doc_id, toxic, terms, counts in examples if len(terms))
-        blank = [toxic for _, toxic, terms, _ in examples if not len(terms)]
-        self.idf, self.ids = idf, [x[1] for x in known]
-        self.toxic = np.array([x[2] for x in known], float)
-        every = [x[1] for x in examples]
-        rate = sum(every) / len(every) if every else 0.0
-        self.blank = (sum(blank) + rate) / (len(blank) + 1)
-        self.blocks = -(-len(known) // BLOCK)
-        postings: dict[int, list[tuple[int, float]]] = {}
-        for i, (terms, _, _, counts) in enumerate(known):
-            for t, w in zip(terms, weights(np.array(terms), np.array(counts, float), idf), strict=True):
-                postings.setdefault(t, []).append((i, float(w)))
-        self.postings, self.most = {}, np.zeros((len(idf), self.blocks))
-        for t, found in postings.items():
-            at, weight = np.array([i for i, _ in found]), np.array([w for _, w in found])
-            self.postings[t] = at, weight, np.searchsorted(at, np.arange(self.blocks + 1) * BLOCK)
-            np.maximum.at(self.most[t], at // BLOCK, weight)
-        self.seen: dict[tuple, tuple] = {}
+        known = sorted((x for x in examples if len(x[2])), key=lambda x: (np.asarray(x[2], ">i4").tobytes(), x[0]))
+        blank = [x[1] for x in examples if not len(x[2])]
+        self.idf, self.ids = idf, [x[0] for x in known]
+        self.toxic = np.array([x[1] for x in known], float)
+        self.rate = sum(x[1] for x in examples) / len(examples) if len(examples) else 0.0
+        self.blank = (sum(blank) + self.rate) / (len(blank) + 1)
+        n, self.blocks = len(known), -(-len(known) // BLOCK)
+        at = np.repeat(np.arange(n, dtype=np.int32), [len(x[2]) for x in known])
+        term = np.concatenate([np.asarray(x[2], np.int32) for x in known] or [np.zeros(0, np.int32)])
+        weight = np.concatenate([weights(np.asarray(x[2]), np.asarray(x[3], float), idf) for x in known] or [np.zeros(0)])
+        held = np.bincount(term, minlength=len(idf))
+        common = np.flatnonzero(held * COMMON > n)
+        self.column = np.full(len(idf), -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        self.table = np.zeros((n, len(common)))
+        often = self.column[term] >= 0
+        self.table[at[often], self.column[term[often]]] = weight[often]
+        self.length = np.sqrt((self.table * self.table).sum(axis=1))
+        self.most = np.maximum.reduceat(self.table, np.arange(0, n, BLOCK), axis=0) if n else self.table
+        order = np.argsort(term[~often], kind="stable")
+        self.at, self.weight = at[~often][order].astype(np.intp), weight[~often][order]
+        self.edges = np.searchsorted(term[~often][order], np.arange(len(idf) + 1))
+        self.seen: dict[bytes, tuple] = {}
 
     def nearest(self, terms: np.ndarray, weight: np.ndarray, k: int = K) -> list[tuple[float, int]]:
-        """Cosine and number of the ``k`` nearest examples; equal cosines in the examples' order. Exact."""
-        bound = weight @ self.most[terms]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] < -best[-1][0] - 1e-12:
-                break
-            cosine = np.zeros(BLOCK)
-            for t, w in zip(terms, weight, strict=True):
-                if t in self.postings:
-                    at, other, edges = self.postings[t]
-                    part = slice(edges[b], edges[b + 1])
-                    cosine[at[part] - b * BLOCK] += w * other[part]
-            best = sorted(best + [(-round(float(cosine[i]), 12), int(b * BLOCK + i)) for i in np.flatnonzero(cosine)])[:k]
-        return [(-c, i) for c, i in best]
+        """Cosine and number of the ``k`` nearest examples; equal cosines in the examples' order. Exact.
+
+        The rare terms' postings are summed. What common terms can add is bounded by the lengths of both vectors in these
+        terms and by the terms' greatest weights in a block; only examples that can be among the nearest look them up.
+        """
+        n = len(self.ids)
+        column = self.column[terms]
+        rare = column < 0
+        spans = [(a, b, w) for a, b, w in zip(self.edges[terms[rare]].tolist(), self.edges[terms[rare] + 1].tolist(), weight[rare].tolist(), strict=True) if b > a]
+        cosine = np.zeros(n)
+        if spans:
+            weighed = np.concatenate([self.weight[a:b] for a, b, _ in spans])
+            weighed *= np.repeat([w for _, _, w in spans], [b - a for a, b, _ in spans])
+            cosine = np.bincount(np.concatenate([self.at[a:b] for a, b, _ in spans]), weighed, n)
+        own = np.zeros(self.table.shape[1])
+        own[column[~rare]] = weight[~rare]
+        bound = cosine + np.minimum(self.length * np.sqrt(own @ own), np.repeat(self.most @ own, BLOCK)[:n])
+        chosen = np.arange(n)
+        if n > k:
+            first = np.argpartition(-bound, k - 1)[:k]
+            chosen = np.flatnonzero(bound >= (cosine[first] + self.table[first] @ own).min() - 1e-9)
+        found = np.round(cosine[chosen] + self.table[chosen] @ own, 12)
+        best = np.lexsort((chosen, -found))[:k]
+        return [(float(found[i]), int(chosen[i])) for i in best if found[i] > 0]
 
     def score(self, terms: list[int], counts: list[int]) -> tuple[float, list[int]]:
         """Score and the doc_ids of the nearest examples."""
         if not len(terms) or not self.ids:
             return self.blank, []
-        key = tuple(terms), tuple(counts)
+        terms, counts = np.asarray(terms, np.int32), np.asarray(counts, np.int32)
+        key = hashlib.blake2b(terms.tobytes() + counts.tobytes(), digest_size=16).digest()
         if key not in self.seen:
             if len(self.seen) > 100_000:
                 self.seen.clear()
-            unit = weights(np.array(terms), np.array(counts, float), self.idf)
-            near = self.nearest(np.array(terms), unit)
+            near = self.nearest(terms, weights(terms, counts.astype(float), self.idf))
             cosine, toxic = np.array([c for c, _ in near]), self.toxic[[i for _, i in near]]
-            share = (cosine @ toxic + SMOOTHING * self.blank) / (cosine.sum() + SMOOTHING) if near else self.blank
+            share = (cosine @ toxic + SMOOTHING * self.rate) / (cosine.sum() + SMOOTHING) if near else self.rate
             self.seen[key] = float(min(1.0, max(0.0, share))), [self.ids[i] for _, i in near[:EVIDENCE]]
         return self.seen[key]
 
 
+#: Index by name, in a Python worker.
+INDEXES: dict[str, BlockMaxIndex] = {}
 SCORED = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.LongType()))])
 
 
@@ -168,34 +197,58 @@ class Model(NamedTuple):
     """What scoring needs: the terms, the examples (doc_id, toxic, terms, counts) and the terms' weights."""
 
     terms: dict[str, int]
-    examples: list[tuple[int, int, list[int], list[int]]]
+    examples: list[tuple[int, int, np.ndarray, np.ndarray]]
     idf: np.ndarray
 
 
+def document_counts(docs: DataFrame, known: Broadcast) -> DataFrame:
+    """Term t and the number n of documents that have it, as counted in each task; the number of documents under -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vector, n, total = Vectorizer(known.value), np.zeros(len(known.value), np.int64), 0
+        for batch in slices(batches, "text"):
+            for text in batch.column("text").to_pylist():
+                n[vector(text)[0]] += 1
+            total += batch.num_rows
+        t = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(t, -1), pa.int32()), pa.array(np.append(n[t], total), pa.int64())], names=["t", "n"])
+
+    return docs.select("text").mapInArrow(run, "t int, n long")
+
+
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> tuple[Model, DataFrame]:
     """The model, and ``docs`` with the vectors (terms, counts) in place of their texts."""
-    shared = docs.sparkSession.sparkContext.broadcast
     sample = cut_lineage(examples_of(labels, limit))
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most ``limit`` rows of two numbers
-    terms = {w: i for i, w in enumerate(marking_terms(texts))}
-    known = shared(terms)
-    own = docs.drop(*[c for c in ("terms", "counts") if c in docs.columns])
-    vectors = cut_lineage(map_rows(own, "text", VECTOR, lambda: Vectorizer(known.value)).drop("text"))
-    total, n = vectors.count(), np.zeros(max(1, len(terms)))
-    for row in vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # a row for each chosen term
-        n[row["t"]] = row["count"]
-    found = vectors.select("doc_id", "terms", "counts").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).collect()
-    examples = sorted((r["doc_id"], r["toxic"], list(r["terms"]), list(r["counts"])) for r in found)  # ``limit`` at most
-    return Model(terms, examples, np.log((1 + total) / (1 + n)) + 1), vectors
+    texts = cut_lineage(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))  # at most ``limit`` documents
+    terms = {w: i for i, w in enumerate(sorted({*words_of(texts), *marking_terms(texts)}))}
+    known = docs.sparkSession.sparkContext.broadcast(terms)
+    vector = lambda df: map_rows(df.drop(*[c for c in ("terms", "counts") if c in df.columns]), "text", VECTOR, lambda: Vectorizer(known.value)).drop("text")
+    counted = document_counts(docs, known).groupBy("t").agg(F.sum("n").alias("n")).toArrow()  # a row for each term
+    t, n = counted.column("t").to_numpy(), counted.column("n").to_numpy()
+    total, holding = int(n[t < 0].sum()), np.zeros(max(1, len(terms)))
+    holding[t[t >= 0]] = n[t >= 0]
+    idf = np.log((1 + total) / (1 + holding)) + 1
+    examples = []
+    for batch in vector(texts.dropDuplicates(["doc_id"])).toArrow().to_batches():  # ``limit`` rows at most
+        found = [values_of(batch.column(c)) for c in ("doc_id", "toxic", "terms", "counts")]
+        examples += [(d, y, a.astype(np.int32), c.astype(np.int32)) for d, y, a, c in zip(*found, strict=True)]
+    return Model(terms, sorted(examples, key=lambda x: x[0]), idf), vector(docs)
+
+
+def loaded(shared: Broadcast, name: str) -> BlockMaxIndex:
+    """The index of the shared model; a worker keeps the last one between its tasks."""
+    if name not in INDEXES:
+        INDEXES.clear()
+        INDEXES[name] = BlockMaxIndex(shared.value.examples, shared.value.idf)
+    return INDEXES[name]
 
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with score and evidence (doc_ids of the nearest examples)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid4().hex
 
     def start():
-        terms, examples, idf = shared.value
-        index, vector = BlockMaxIndex(examples, idf), Vectorizer(terms)
+        index, vector = loaded(shared, name), Vectorizer(shared.value.terms)
         return lambda text: index.score(*vector(text))
 
     return map_rows(docs, "text", SCORED, start)
@@ -203,12 +256,12 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
 
 def score_vectors(vectors: DataFrame, model: Model) -> DataFrame:
     """Like score_texts, for the vectors that ``fit`` returned."""
-    shared = vectors.sparkSession.sparkContext.broadcast(model)
+    shared, name = vectors.sparkSession.sparkContext.broadcast(model), uuid4().hex
     kept = [f for f in vectors.schema.fields if f.name not in ("terms", "counts", "score", "evidence")]
     schema = T.StructType([*kept, *SCORED.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = BlockMaxIndex(shared.value.examples, shared.value.idf)
+        index = loaded(shared, name)
         for batch in batches:
             scores = [index.score(t, c) for t, c in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True)]
             own = [batch.column(f.name) for f in kept]
@@ -219,5 +272,5 @@ def score_vectors(vectors: DataFrame, model: Model) -> DataFrame:
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The columns of op8."""
-    model, vectors = fit(docs.select("doc_id", "text"), labels)
-    return score_vectors(vectors, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
+    model, _ = fit(docs.select("doc_id", "text"), labels)
+    return score_texts(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")

@@ -66,6 +66,17 @@ def test_labels_of_held_out_rows_change_nothing(spark):
     assert min(by[i] for i in range(0, 200, 3)) > 0.7 > 0.3 > max(by[i] for i in range(1, 200, 3))
 
 
+def test_texts_without_marking_terms_are_searched(spark):
+    """Words that mark nothing count as well: a text's nearest examples are those that share its words."""
+    kinds = ["red apple tree", "blue whale sea", "old stone road"]
+    docs = documents(spark, [f"{kinds[i % 3]} number {i}" for i in range(120)])
+    labels = docs.select("doc_id", F.expr("cast(doc_id % 40 = 0 as int)").alias("toxic"))
+    model, _ = toxicity.fit(docs.select("doc_id", "text"), labels)
+    assert {"apple", "whale", "stone", "number"} <= set(model.terms)
+    for r in toxicity.toxicity(docs, labels).collect():
+        assert len(r["evidence"]) == 3 and {e % 3 for e in r["evidence"]} == {r["doc_id"] % 3}
+
+
 def test_both_ways_of_scoring_agree(spark):
     docs = documents(spark, [*ODD, *[f"{'awful' if i % 2 else 'nice'} day {i}" for i in range(150)]])
     labels = docs.select("doc_id", (F.col("text").contains("awful")).cast("int").alias("toxic"))
