@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import jaccard, linededup, packing, quality, toxicity
-from tessera.llm.common import checkpoint_folder, table
+from tessera.llm.common import checkpoint_folder, table, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Shingles and similarity of near duplicates.
@@ -37,12 +37,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest doc_id; of repeated rows one."""
-    groups = jaccard.groups(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
-    gone = groups.filter("component_id is distinct from doc_id").select("doc_id").distinct()
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
-    same = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text"))
-    return left.withColumn("__nth", F.row_number().over(same)).filter("__nth = 1").select(docs.columns)
+    """One document of each group of near duplicates, that with the smallest doc_id; of repeated rows one.
+
+    Rows with an equal doc_id and text are one document. Rows without doc_id, and further texts of a doc_id, take part
+    under a key from a hash and come after all numbered documents.
+    """
+    hashed = docs.withColumn("__hash", F.xxhash64("text"))
+    several = written(hashed.filter("doc_id is not null").groupBy("doc_id").agg(F.min("__hash").alias("__first"), F.max("__hash").alias("__last")).filter("__first < __last").select(F.col("doc_id").alias("__id"), "__first"))
+    numbered = F.col("doc_id").isNotNull() & (F.col("__first").isNull() | (F.col("__first") == F.col("__hash")))
+    other = F.xxhash64("doc_id", "__hash").bitwiseAND((1 << 62) - 1) + F.lit(1 << 62)
+    keyed = hashed.join(several, F.col("doc_id") == F.col("__id"), "left").withColumn("__key", F.when(numbered, F.col("doc_id")).otherwise(other))
+    groups = jaccard.groups(keyed.select(F.col("__key").alias("doc_id"), "text"), SHINGLE_WORDS, SIMILAR_PERCENT)
+    gone = groups.filter("component_id != doc_id").select(F.col("doc_id").alias("__key")).distinct()
+    left = keyed.join(gone, "__key", "left_anti")
+    return left.withColumn("__nth", F.row_number().over(Window.partitionBy("__key").orderBy("__hash"))).filter("__nth = 1").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -77,6 +77,14 @@ def test_edges(spark):
     assert none.count() == 0
 
 
+def test_near_duplicates_by_row(spark):
+    """A copy without doc_id takes no other row with it; other texts of a doc_id stay."""
+    text = lambda w: " ".join(f"{w}{i}" for i in range(40))
+    docs = documents(spark, [text("a"), text("a"), text("b"), text("b"), text("c"), text("d"), text("d")], ids=[1, None, None, None, 7, 7, 7])
+    left = corpus_pipeline.near_duplicates(spark, docs, SMALLEST).collect()
+    assert sorted((r["doc_id"] or 0, r["text"][0]) for r in left) == [(0, "b"), (1, "a"), (7, "c"), (7, "d")]
+
+
 def test_score_needs_no_label_columns(spark):
     docs = documents(spark, [f"{'awful' if i % 2 else 'nice'} day {i}" for i in range(60)])
     labels = docs.select("doc_id", F.col("text").contains("awful").cast("int").alias("toxic"))
