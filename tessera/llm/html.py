@@ -38,6 +38,10 @@ NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([
 NAME_PARTS = re.compile(r"[A-Za-z]+")
 #: Elements whose content is no text.
 SILENT = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "math", "video", "audio", "select", "textarea"}
+#: Of these, elements that a slash may close, and those whose content is no markup: without an end they take in the rest.
+FOREIGN, RAW = {"svg", "math"}, {"script", "style", "textarea", "iframe"}
+#: A closing slash at the end of a tag; one behind an unquoted value belongs to the value.
+CLOSED = re.compile(r"""(?<!\S)/\Z|["']/\Z|(?:^|\s)[^\s"'=]+/\Z""")
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "button", "output", "ruby", "rt", "rp", "nobr"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: An element's opening ends an open one of these within the nearest of those.
@@ -66,6 +70,7 @@ def blocks(page: str | None) -> list[tuple[str, str, int, int]]:
 
     page = page or ""
     at, size = 0, len(page)
+    unclosed: set[str] = set()
     while at < size:
         m = MARKUP.search(page, at)
         text = page[at : m.start()] if m else page[at:]
@@ -81,8 +86,15 @@ def blocks(page: str | None) -> list[tuple[str, str, int, int]]:
             continue
         ending = m[1] or m[4]
         if not ending and name in SILENT:
-            end = re.compile(rf"</{name}[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = end.end() if end else size
+            if name in FOREIGN and CLOSED.search(m[3] or m[6] or ""):
+                continue
+            end = None if name in unclosed else re.compile(rf"</{name}[^>]*(?:>|\Z)", re.I).search(page, at)
+            if end:
+                at = end.end()
+            elif name in RAW:
+                at = size
+            else:
+                unclosed.add(name)
             continue
         tags += 1
         if name in INLINE:

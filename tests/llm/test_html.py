@@ -40,6 +40,17 @@ def test_blocks(page, expected):
     assert texts(page) == expected
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<p>a</p><svg viewBox="0 0 1 1"/><p>b</p>', "<p>a</p><svg/><p>b</p>", "<p>a</p><math /><p>b</p>", "<p>a</p><svg hidden/><p>b</p><svg>x</svg>",
+        "<p>a</p><svg width=1/>x</svg><p>b</p>", "<p>a</p><select><p>b</p>", "<p>a</p><noscript><p>b</p>", "<p>a</p><video src=x><canvas><p>b</p>", "<p>a</p><p>b</p><script>c",
+    ],
+)
+def test_silent_elements_without_end(page):
+    assert texts(page) == ["a", "b"]
+
+
 def test_long_and_broken_markup_ends():
     for page in ("<" * 20_000, "<p " + "a='" * 20_000, "<div>" * 3000 + "x", "&" * 20_000, "<p>" + "word " * 100_000):
         blocks(page)
