@@ -56,15 +56,19 @@ def wrapper_of(document: str) -> tuple[str | None, bool]:
 
 
 def detect(documents: DataFrame, column: str = "json") -> DataFrame:
-    """record (variant) for each record of each document: under the first known key with a list, or the document.
+    """record (variant) for each record of each document: under the first known key with a list, else under the first key
+    with a list that begins with an object, or the document.
 
     ``documents`` keeps its other columns. Text that is no JSON has no records.
     """
     parsed = documents.withColumn("__v", F.try_parse_json(column)).filter("__v is not null")
     lists = [F.try_variant_get("__v", f"$.{k}", "array<variant>") for k in fixed.RECORD_KEYS]
     whole = F.try_variant_get("__v", "$", "array<variant>")
+    # Values by key in the document's order, which a variant does not keep.
+    entries = F.transform(F.map_values(F.from_json(column, "map<string,string>")), lambda x: F.try_variant_get(F.try_parse_json(x), "$", "array<variant>"))
+    other = F.get(F.filter(entries, lambda x: F.schema_of_variant(F.get(x, F.lit(0))).startswith("OBJECT")), F.lit(0))
     value = F.when(F.schema_of_variant("__v").startswith("OBJECT"), F.col("__v")).otherwise(F.parse_json(F.concat(F.lit('{"value":'), F.to_json("__v"), F.lit("}"))))
-    return parsed.withColumn("record", F.explode(F.coalesce(whole, *lists, F.array(value)))).drop("__v", column)
+    return parsed.withColumn("record", F.explode(F.coalesce(whole, *lists, other, F.array(value)))).drop("__v", column)
 
 
 # Choosing and renaming.

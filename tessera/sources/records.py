@@ -7,23 +7,20 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tessera.functions.columns import quoted
-from tessera.operators.records import Config, wrapper_of
+from tessera.operators.records import Config, detect
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Records of a JSON document (one for each file), under its wrapping key if it has one, with an inferred schema."""
-    first = spark.read.text(path, wholetext=True).first()
-    if first is None:
-        return spark.createDataFrame([], "value string")
-    key, _ = wrapper_of(first[0])
-    whole = spark.read.json(path, multiLine=True)
-    if key is None:
-        return whole
-    element = whole.schema[key].dataType.elementType
-    return whole.select(F.inline(quoted(key)) if isinstance(element, T.StructType) else F.explode(quoted(key)).alias("value"))
+    """Records of a JSON document (one for each file), each under its own wrapping key, with an inferred schema.
+
+    Records that are no objects have one field, value.
+    """
+    found = detect(spark.read.text(path, wholetext=True), "value")
+    text = F.to_json("record")
+    lines = found.select(F.when(F.schema_of_variant("record").startswith("OBJECT"), text).otherwise(F.concat(F.lit('{"value":'), text, F.lit("}"))).alias("json"))
+    schema = lines.agg(F.schema_of_variant_agg(F.parse_json("json")).alias("s")).first()["s"]
+    return spark.createDataFrame([], "value string") if schema in (None, "VOID") else spark.read.json(lines.rdd.map(lambda r: r[0]))
 
 
 def read_config(path: str) -> Config | None:

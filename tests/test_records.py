@@ -7,6 +7,7 @@ import json
 import pytest
 
 from tessera.operators import records
+from tessera.sources.records import read_records
 
 
 def test_flattening(spark):
@@ -30,6 +31,24 @@ def test_detection(spark, document, expected):
     assert [r[0] for r in found.selectExpr("to_json(record)").collect()] == expected
 
 
+@pytest.mark.parametrize(
+    ("document", "expected"),
+    [
+        ('{"foo":[{"a":1},{"a":2}]}', ['{"a":1}', '{"a":2}']), ('{"z":[{"a":1}],"b":[{"a":2}]}', ['{"a":1}']), ('{"n":[1],"e":[],"b":[{"a":2}]}', ['{"a":2}']),
+        ('{"foo":[{"a":1}],"data":[{"a":2}]}', ['{"a":2}']), ('{"foo":[1,2]}', ['{"foo":[1,2]}']), ('{"o d\'d":[{"a":{"b":[1.50]}}]}', ['{"a":{"b":[1.5]}}']),
+    ],
+)
+def test_detection_under_other_keys(spark, document, expected):
+    found = records.detect(spark.createDataFrame([(document,)], "json string"))
+    assert [r[0] for r in found.selectExpr("to_json(record)").collect()] == expected
+
+
+def test_files_with_keys_of_their_own(spark, tmp_path):
+    for name, text in {"a": '{"data":[{"x":1},{"x":2}]}', "b": '{"rows":[{"x":3}]}', "c": '[{"x":4}]', "d": '{"x":5}', "e": '{"items":[6]}'}.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    assert sorted((r["x"] or 0, r["value"] or 0) for r in read_records(spark, str(tmp_path)).collect()) == [(0, 6), (1, 0), (2, 0), (3, 0), (4, 0), (5, 0)]
+
+
 def test_wrappers():
     assert records.wrapper_of('{"odd":[{"a":1}]}') == ("odd", False) and records.wrapper_of('{"records":[]}') == ("records", False)
     assert records.wrapper_of("[]") == (None, True) and records.wrapper_of('{"a":[1]}') == (None, False)
