@@ -146,10 +146,10 @@ SELECT common, every, CASE WHEN every = 0 THEN 0 ELSE common * 100 // every END
   WHEN common * 100 >= 20 * every THEN 'LOW' ELSE 'MINIMAL' END AS band FROM j""")
 def log_compare_jaccard(spark, sf_dir):
     every = entries(spark, sf_dir).filter(incidents.is_error()).withColumn("pattern", pattern_of(F.col("message")))
-    a, b = (every.filter(c).agg(F.collect_set("pattern").alias(n)) for c, n in ((F.col("ts") < SPLIT, "a"), (F.col("ts") >= SPLIT, "b")))
-    share = incidents.jaccard_percent(F.col("a"), F.col("b"))
-    both = a.join(F.broadcast(b)).withColumn("share", share)
-    return both.select(F.size(F.array_intersect("a", "b")).cast("long").alias("common"), F.size(F.array_union("a", "b")).cast("long").alias("every"), F.floor("share").cast("long").alias("percent"), incidents.band(F.col("share")).alias("band"))
+    sides = every.filter("ts is not null and pattern is not null").groupBy("pattern").agg(F.bool_or(F.col("ts") < SPLIT).alias("a"), F.bool_or(F.col("ts") >= SPLIT).alias("b"))
+    both = sides.agg(F.count_if(F.col("a") & F.col("b")).alias("common"), F.count("*").alias("every"))
+    share = F.when(F.col("every") == 0, F.lit(0.0)).otherwise(F.col("common") * 100 / F.greatest("every", F.lit(1)))
+    return both.select("common", "every", F.floor(share).cast("long").alias("percent"), incidents.band(share).alias("band"))
 
 
 # Lines of each format, rendered from the events, and what must come back.

@@ -106,3 +106,12 @@ def test_nothing_at_all(spark):
 def test_first_occurrences(spark):
     entries = incidents.parse(lines_of(spark, ["ERROR a 1", "ERROR a 2", "ERROR b 1"]), 2024)
     assert sorted(r["line_no"] for r in incidents.first_occurrences(entries).collect()) == [0, 2]
+
+
+def test_comparison_gathers_no_patterns(spark):
+    """The query counts by pattern; no row holds all patterns."""
+    from tessera.plans.incidents import log_compare_jaccard
+    from tests.against import TABLES
+
+    plan = log_compare_jaccard(spark, TABLES)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and "Join" not in plan
