@@ -1,7 +1,7 @@
 """Licence scan: sparse TF-IDF cosine of headers and licence files to templates, then inheritance along directories.
 
 Units are the lines and sentences of a file that speak of licences. Each distinct unit becomes a TF-IDF vector, document
-frequencies counted over all distinct units of the corpus and the templates, and takes the template with the highest
+frequencies counted over all distinct such units of the corpus and the templates, and takes the template with the highest
 cosine, if it reaches LEAST. A file has the licence of its best unit. A file is a licence file if its name says so or if
 all it says is a licence; it speaks for its directory. Files without a licence of their own take that of the nearest
 ancestor directory that has one. All work is DataFrame work.
