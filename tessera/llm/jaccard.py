@@ -1,19 +1,26 @@
 """Similarity join on word shingles by PartEnum signatures, and the groups that its links form.
 
 Two sets with Jaccard similarity of at least t differ in at most k = (|a| + |b|)(1 - t)/(1 + t) elements. Sets fall into
-bands of near-equal sizes; a band deals the domain into k + 1 partitions, so two similar sets agree on one partition at
-least. A signature is the content of one partition. (With k + 1 partitions of the domain the enumerated subsets at the
-second level are single partitions.) A set signs its own band and those above it that a similar set may lie in.
+bands of sizes between powers of two; a set signs its own band, and the next one if a similar set may lie there. A band
+deals the domain into n1 groups of n2 = 3 sub-partitions, and a set has a signature for each subset of n2 - k2 = 2 of the
+three: its elements in these. k differences change 2k signatures at most (n1 + k, where k > n1), so similar sets share all
+others. A band has more groups than that needs, so a set may leave out as many signatures, less one, as it must share with
+any similar set: the most frequent ones of the corpus, in an order that all sets have in common. Passages that many texts
+share therefore make few candidates. Signatures of no elements are never used: a set with too few others signs single
+sub-partitions as well, twice as many at each further step, until k + 1 of them hold elements; two similar sets that share
+none but empty signatures at one step both come to the next.
 
 Equal sets form a class with one representative. Buckets of at most SMALL representatives that share a signature are
 compared pair by pair. In larger ones all are compared with one of them, the hub. Sets near the hub are linked through it;
 a link of a set that is far from the hub shows in the differences from the hub: two similar sets, one of which has d > k
 differences, share d - k of them at least, so they meet on the k + 1 rarest differences. These meetings are the buckets of
-the next round; a set leaves a bucket if the rarest difference that it could share with any other there comes too late for
-enough more to follow. No candidate that could link is dropped, whatever the size of a bucket.
+the next round, with the set nearest to the old hub as the new one; a set leaves a bucket if the rarest difference that it
+could share with any other there comes too late for enough more to follow. No candidate that could link is dropped,
+whatever the size of a bucket, and no bucket of more than SMALL is ever compared pair by pair: each round takes a hub out.
 
-Null texts and texts without words have empty sets and link with nothing. Rows of one doc_id count as one document; rows
-without doc_id get the component of a document with an equal set, or null. Repeated rows get equal results each.
+Null texts and texts without words have empty sets and link with nothing. Long texts are read whole. Extra columns are not
+read, whatever their names. Rows of one doc_id count as one document; rows without doc_id get the component of a document
+with an equal set, or null. Repeated rows get equal results each.
 """
 
 from __future__ import annotations
@@ -29,22 +36,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import cut_lineage, map_rows, release, written
+from tessera.llm.common import cut_lineage, map_rows, written
 
 #: Members of a bucket that are compared pair by pair; larger buckets go by a hub.
 SMALL = 16
-#: Rounds with hubs; buckets that are left then are compared pair by pair.
-ROUNDS = 6
-#: Ids of 8 bytes that are broadcast at most, to pick texts; more are joined by a shuffle.
-MOST_IDS = 4_000_000
+#: Classes of at least one row in so many are looked up by a broadcast: no more than so many classes can be.
+HOT_SHARE = 1000
 #: Words whose hashes a task keeps.
 CACHE = 500_000
 
+#: Signatures of a band and step (place); ``spare`` of them, the most frequent, may be left out.
+SIGNATURES = T.StructType([T.StructField("place", T.IntegerType()), T.StructField("spare", T.IntegerType()), T.StructField("signatures", T.ArrayType(T.LongType()))])
 SIGNED = T.StructType([
     T.StructField("n_shingles", T.LongType()),
     T.StructField("key_a", T.LongType()),
     T.StructField("key_b", T.LongType()),
-    T.StructField("signatures", T.ArrayType(T.LongType())),
+    T.StructField("signed", T.ArrayType(SIGNATURES)),
 ])
 PACKED = T.StructType([T.StructField("packed", T.BinaryType())])
 
@@ -81,34 +88,54 @@ class Shingler:
         return np.unique(joined)
 
 
-@lru_cache(8)
-def bounds(percent: int) -> list[int]:
-    """Least sizes of the bands, up to sizes beyond any text's."""
-    found = [1]
-    while found[-1] < 1 << 40:
-        found.append(max(found[-1] + 1, -(-found[-1] * 5 // 4)))
-    return found
-
-
 def most_apart(sizes: int, percent: int) -> int:
     """Most differences of two similar sets of so many elements together."""
     return sizes * (100 - percent) // (100 + percent)
 
 
-def sign(hashes: np.ndarray, percent: int) -> np.ndarray:
-    size, ends = len(hashes), bounds(percent)
-    band = int(np.searchsorted(ends, size, "right")) - 1
-    signatures = []
-    while ends[band] <= max(size, size * 100 // percent):
-        parts = most_apart(2 * (ends[band + 1] - 1), percent) + 1
-        part = (hashes >> np.uint64(20)) % np.uint64(parts)
-        order = np.argsort(part, kind="stable")
-        edges = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes[order])])  # hashes are mixed; sums wrap
-        places = mix(np.arange(parts, dtype=np.uint64) + np.uint64(band << 40))
-        signatures.append(mix((sums[edges[1:]] - sums[edges[:-1]]) ^ places))
+@lru_cache(256)
+def groups_of(band: int, percent: int) -> int:
+    """Groups of sub-partitions of a band: an eighth more than half of its most differences needs."""
+    most = most_apart(2 * ((2 << band) - 1), percent)
+    return (most // 2 + 1) * 9 // 8
+
+
+def contents(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Number of elements in each partition of the domain, and their sum; hashes are mixed, sums wrap."""
+    part = (hashes >> np.uint64(20)) % np.uint64(parts)
+    order = np.argsort(part, kind="stable")
+    edges = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes[order])])
+    return np.diff(edges), sums[edges[1:]] - sums[edges[:-1]]
+
+
+def named(sums: np.ndarray, held: np.ndarray, place: int) -> np.ndarray:
+    """Signatures of the contents that are not empty, told apart by their places."""
+    at = np.flatnonzero(held)
+    return mix(sums[at] ^ mix(at.astype(np.uint64) + np.uint64(place << 40)))
+
+
+def sign(hashes: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]]:
+    """Place, spare signatures and signatures of a set, for each band and step."""
+    size, made = len(hashes), []
+    band, largest = size.bit_length() - 1, size * 100 // percent
+    while 1 << band <= largest:
+        apart = most_apart(size + min(largest, (2 << band) - 1), percent)
+        groups, step = groups_of(band, percent), 0
+        if apart:  # else equal sets alone are similar: one class already
+            held, sums = contents(hashes, 3 * groups)
+            pairs = ([0, 0, 1], [1, 2, 2])
+            both = [x.reshape(-1, 3)[:, pairs[0]] + x.reshape(-1, 3)[:, pairs[1]] for x in (held, sums)]
+            found = named(both[1].ravel(), both[0].ravel(), band << 5)
+            needed = min(2 * apart, groups + apart) + 1
+            made.append((band << 5, max(0, len(found) - needed), found))
+            while len(found) < needed:  # too many are empty
+                needed, step = apart + 1, step + 1
+                held, sums = contents(hashes, 3 * groups << step - 1)
+                found = named(sums, held, band << 5 | step)
+                made.append((band << 5 | step, max(0, len(found) - needed), found))
         band += 1
-    return np.concatenate(signatures)
+    return made
 
 
 def sign_one(shingler: Shingler, percent: int, text: str | None) -> tuple:
@@ -116,7 +143,7 @@ def sign_one(shingler: Shingler, percent: int, text: str | None) -> tuple:
     if not len(hashes):
         return 0, None, None, None
     keys = np.array([hashes.sum(), mix(hashes).sum()], np.uint64).view(np.int64)
-    return len(hashes), int(keys[0]), int(keys[1]), sign(hashes, percent).view(np.int64)
+    return len(hashes), int(keys[0]), int(keys[1]), [{"place": p, "spare": n, "signatures": x.view(np.int64)} for p, n, x in sign(hashes, percent)]
 
 
 def signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -187,18 +214,16 @@ def meetings(compared: DataFrame, percent: int) -> DataFrame:
     return placed.join(bucket, ["hub", "element"]).filter(may).select("hub", "element", "u", "far", "size", "apart", "room")
 
 
-def next_pairs(buckets: DataFrame, percent: int, last: bool) -> DataFrame:
-    """Pairs to compare: of each small bucket all that may link, of a ``large`` one each member with the smallest far one.
-
-    In the ``last`` round every bucket counts as small.
-    """
-    sized = buckets.groupBy("hub", "element").agg(F.count("*").alias("n"), F.min(F.when(F.col("far"), F.col("u"))).alias("first")).filter("n > 1 and first is not null")
+def next_pairs(buckets: DataFrame, percent: int) -> DataFrame:
+    """Pairs to compare: of each small bucket all that may link, of a ``large`` one each member with that nearest to the old hub."""
+    first = F.min(F.struct("apart", "u")).alias("first")
+    sized = buckets.groupBy("hub", "element").agg(F.count("*").alias("n"), first, F.max("far").alias("open")).filter("n > 1 and open").select("hub", "element", "n", F.col("first.u").alias("first"))
     members = buckets.join(sized, ["hub", "element"])
-    small = members if last else members.filter(F.col("n") <= SMALL)
+    small = members.filter(F.col("n") <= SMALL)
     other = small.select("hub", "element", *[F.col(c).alias(f"v_{c}") for c in ("u", "far", "size", "apart", "room")])
     enough = f"apart + v_apart - (size + v_size) * {100 - percent} div {100 + percent} <= 2 + 2 * least(room, v_room)"
     pairs = small.join(other, ["hub", "element"]).filter("u > v_u and (far or v_far)").filter(enough).select("u", F.col("v_u").alias("hub")).distinct()
-    large = members.filter(F.lit(not last) & (F.col("n") > SMALL) & (F.col("u") != F.col("first"))).select("u", F.col("first").alias("hub")).distinct()
+    large = members.filter((F.col("n") > SMALL) & (F.col("u") != F.col("first"))).select("u", F.col("first").alias("hub")).distinct()
     return both_kinds(pairs, large)
 
 
@@ -231,12 +256,22 @@ def components(links: DataFrame) -> DataFrame:
     return step.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
+def rare_signatures(classes: DataFrame) -> DataFrame:
+    """u and signature: what two classes or more have, without the spare ones of each class (u, signed)."""
+    entries = classes.select("u", F.inline("signed")).select("u", "place", "spare", F.explode("signatures").alias("signature"))
+    counts = entries.groupBy("signature").agg(F.count("*").alias("n")).filter("n > 1")
+    own = F.array_sort(F.collect_list(F.struct("n", "signature"))).alias("own")  # of one set
+    shared = entries.join(counts, "signature").groupBy("u", "place", "spare").agg(own)
+    kept = shared.filter(F.size("own") > F.col("spare")).select("u", F.explode(F.slice("own", F.lit(1), F.size("own") - F.col("spare"))).alias("e"))
+    return kept.select("u", "e.signature")
+
+
 def shared_signatures(signatures: DataFrame) -> DataFrame:
     """Pairs (u, hub, large) of representatives with a common signature: all of small buckets, members and hub of large ones."""
-    classes = signatures.filter("n_shingles > 0 and doc_id is not null").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("u"), F.first("signatures").alias("signatures"))
-    entries = classes.select("u", F.explode("signatures").alias("signature"))
+    classes = signatures.filter("n_shingles > 0 and doc_id is not null").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("u"), F.first("signed").alias("signed"))
+    entries = cut_lineage(rare_signatures(classes))
     hubs = entries.groupBy("signature").agg(F.min("u").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    members = cut_lineage(entries.join(hubs, "signature"))
+    members = entries.join(hubs, "signature")
     # Many signatures have the same members; such buckets become one before their pairs are listed.
     bucket = F.array_sort(F.collect_list("u")).alias("bucket")
     small = members.filter(F.col("n") <= SMALL).groupBy("signature").agg(bucket).select("bucket").distinct()
@@ -245,10 +280,9 @@ def shared_signatures(signatures: DataFrame) -> DataFrame:
     return written(both_kinds(each.filter("u != hub").select("u", "hub").distinct(), large))
 
 
-def of_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (with doc_id) that the pairs name."""
-    ids = pairs.select(F.explode(F.array("u", "hub")).alias("doc_id")).distinct()
-    return docs.join(F.broadcast(ids) if 2 * pairs.count() <= MOST_IDS else ids, "doc_id", "left_semi")
+def of_pairs(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``texts`` (with doc_id) that the pairs name."""
+    return texts.join(pairs.select(F.explode(F.array("u", "hub")).alias("doc_id")).distinct(), "doc_id", "left_semi")
 
 
 def compared(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -259,33 +293,39 @@ def compared(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
 
 def links(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (u, v) between representatives that connect whatever is similar, from the pairs of ``shared_signatures``."""
-    texts = cut_lineage(packed_texts(of_pairs(docs, pairs)))
-    found = []
-    for round_ in range(1, ROUNDS + 1):
-        release(docs.sparkSession)
+    texts, found = packed_texts(docs), []
+    while True:
+        # Only the texts that are still compared go through the joins of a round.
+        texts = cut_lineage(of_pairs(texts, pairs))
         done = written(compared(pairs, texts, n, percent))
         found.append(done.filter("linked").select("u", F.col("hub").alias("v")))
         if pairs.filter("large").isEmpty():
             break
-        pairs = written(next_pairs(written(meetings(done.filter("large"), percent)), percent, round_ == ROUNDS - 1))
+        pairs = written(next_pairs(written(meetings(done.filter("large"), percent)), percent))
         if pairs.isEmpty():
             break
-        # Only the texts that are still compared go through the joins of the next round.
-        texts = cut_lineage(of_pairs(texts, pairs))
     return reduce(DataFrame.union, found)
 
 
+def with_components(rows: DataFrame, of_class: DataFrame) -> DataFrame:
+    """``rows`` (key_a, key_b and others) with the component of their class (key_a, key_b, n, component_id).
+
+    Classes that hold at least one row in HOT_SHARE, HOT_SHARE of them at most, are looked up without a shuffle.
+    """
+    total = of_class.agg(F.sum("n")).first()[0] or 0
+    frequent = F.col("n") * HOT_SHARE >= total
+    hot = F.broadcast(of_class.filter(frequent).drop("n"))
+    keys = ["key_a", "key_b"]
+    return rows.join(hot, keys).unionByName(rows.join(hot, keys, "left_anti").join(of_class.filter(~frequent).drop("n"), keys))
+
+
 def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``."""
     whole = cut_lineage(signed(docs, n, percent))
-    signatures = cut_lineage(whole.drop("signatures"))
+    rows = whole.drop("signed")
     pairs = shared_signatures(whole)
-    del whole
-    release(docs.sparkSession)  # the signatures' shuffles
     joined = components(links(docs, pairs, n, percent))
-    release(docs.sparkSession)
-    classes = signatures.filter("n_shingles > 0").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("node"))
-    of_class = classes.join(joined, "node", "left").select("key_a", "key_b", F.coalesce("component", "node").alias("component_id"))
-    rows = signatures.select("doc_id", "n_shingles", "key_a", "key_b")
+    classes = rows.filter("n_shingles > 0").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))
+    of_class = written(classes.join(joined, "node", "left").select("key_a", "key_b", "n", F.coalesce("component", "node").alias("component_id")))
     empty = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return rows.join(of_class, ["key_a", "key_b"]).select("doc_id", "n_shingles", "component_id").unionByName(empty)
+    return with_components(rows.filter("n_shingles > 0"), of_class).select("doc_id", "n_shingles", "component_id").unionByName(empty)
