@@ -2,13 +2,15 @@
 
 Two sets with Jaccard similarity of at least t differ in at most k = (|a| + |b|)(1 - t)/(1 + t) elements. Sets fall into
 bands of sizes between powers of two; a set signs its own band, and the next one if a similar set may lie there. A band
-deals the domain into n1 groups of n2 = 3 sub-partitions, and a set has a signature for each subset of n2 - k2 = 2 of the
-three: its elements in these. k differences change 2k signatures at most (n1 + k, where k > n1), so similar sets share all
-others. A band has more groups than that needs, so a set may leave out as many signatures, less one, as it must share with
-any similar set: the most frequent ones of the corpus, in an order that all sets have in common. Passages that many texts
-share therefore make few candidates. Signatures of no elements are never used: a set with too few others signs single
-sub-partitions as well, twice as many at each further step, until k + 1 of them hold elements; two similar sets that share
-none but empty signatures at one step both come to the next.
+deals the domain into n1 groups of n2 sub-partitions, and a set has a signature for each subset of n2 - 1 of a group: its
+elements in these. From 85 % on n2 is 3, and k differences change 2k signatures at most (n1 + k, where k > n1); below, where
+many differences call for many groups, n2 is 2, and they change k. Similar sets share all others. A band has more groups
+than that needs, so a set may leave out as many signatures, less one, as it must share with any similar set, in any order
+that all sets have in common: most of them, those of the fewest elements, before anything is shuffled; the rest (one of
+RESERVE), the most frequent of the corpus, once they are counted. Passages that many texts share therefore make few
+candidates. Signatures of no elements are never used: a set with too few others signs single sub-partitions as well, twice
+as many at each further step, until k + 1 of them hold elements; two similar sets that share none but empty signatures at
+one step both come to the next.
 
 Equal sets form a class with one representative. Buckets of at most SMALL representatives that share a signature are
 compared pair by pair. In larger ones all are compared with one of them, the hub. Sets near the hub are linked through it;
@@ -40,12 +42,16 @@ from tessera.llm.common import cut_lineage, map_rows, written
 
 #: Members of a bucket that are compared pair by pair; larger buckets go by a hub.
 SMALL = 16
+#: Of the signatures that a set may leave out, one in so many is chosen by its frequency.
+RESERVE = 4
+#: Similarity in percent from which subsets of two of three sub-partitions are signed; below it, of one of two.
+DENSE = 85
 #: Classes of at least one row in so many are looked up by a broadcast: no more than so many classes can be.
 HOT_SHARE = 1000
 #: Words whose hashes a task keeps.
 CACHE = 500_000
 
-#: Signatures of a band and step (place); ``spare`` of them, the most frequent, may be left out.
+#: Signatures of a band and step (place); ``spare`` of them, the most frequent, are left out.
 SIGNATURES = T.StructType([T.StructField("place", T.IntegerType()), T.StructField("spare", T.IntegerType()), T.StructField("signatures", T.ArrayType(T.LongType()))])
 SIGNED = T.StructType([
     T.StructField("n_shingles", T.LongType()),
@@ -95,9 +101,9 @@ def most_apart(sizes: int, percent: int) -> int:
 
 @lru_cache(256)
 def groups_of(band: int, percent: int) -> int:
-    """Groups of sub-partitions of a band: an eighth more than half of its most differences needs."""
-    most = most_apart(2 * ((2 << band) - 1), percent)
-    return (most // 2 + 1) * 9 // 8
+    """Groups of sub-partitions of a band: more than half of its most differences needs, by an eighth or a half."""
+    least = most_apart(2 * ((2 << band) - 1), percent) // 2 + 1
+    return least * 9 // 8 if percent >= DENSE else least * 3 // 2
 
 
 def contents(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,31 +115,40 @@ def contents(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return np.diff(edges), sums[edges[1:]] - sums[edges[:-1]]
 
 
-def named(sums: np.ndarray, held: np.ndarray, place: int) -> np.ndarray:
-    """Signatures of the contents that are not empty, told apart by their places."""
+def subsets(values: np.ndarray, percent: int) -> np.ndarray:
+    """Sums over the subsets of each group's sub-partitions that lack one."""
+    if percent < DENSE:
+        return values
+    three = values.reshape(-1, 3)
+    return (three[:, [0, 0, 1]] + three[:, [1, 2, 2]]).ravel()
+
+
+def chosen(held: np.ndarray, sums: np.ndarray, needed: int, place: int) -> tuple[int, int, np.ndarray]:
+    """Place, number of signatures to leave out by frequency, and signatures: those of most elements, none of them empty."""
     at = np.flatnonzero(held)
-    return mix(sums[at] ^ mix(at.astype(np.uint64) + np.uint64(place << 40)))
+    names = mix(sums[at] ^ mix(at.astype(np.uint64) + np.uint64(place << 40)))
+    spare = max(0, len(at) - needed)
+    later = spare // RESERVE
+    first = np.lexsort((names, -held[at]))[: len(at) - (spare - later)]
+    return place, later, names[first]
 
 
 def sign(hashes: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]]:
-    """Place, spare signatures and signatures of a set, for each band and step."""
+    """What ``chosen`` gives for a set, for each band and step."""
     size, made = len(hashes), []
+    parts = 3 if percent >= DENSE else 2
     band, largest = size.bit_length() - 1, size * 100 // percent
     while 1 << band <= largest:
         apart = most_apart(size + min(largest, (2 << band) - 1), percent)
         groups, step = groups_of(band, percent), 0
         if apart:  # else equal sets alone are similar: one class already
-            held, sums = contents(hashes, 3 * groups)
-            pairs = ([0, 0, 1], [1, 2, 2])
-            both = [x.reshape(-1, 3)[:, pairs[0]] + x.reshape(-1, 3)[:, pairs[1]] for x in (held, sums)]
-            found = named(both[1].ravel(), both[0].ravel(), band << 5)
-            needed = min(2 * apart, groups + apart) + 1
-            made.append((band << 5, max(0, len(found) - needed), found))
-            while len(found) < needed:  # too many are empty
+            held, sums = (subsets(x, percent) for x in contents(hashes, parts * groups))
+            needed = (min(2 * apart, groups + apart) if parts == 3 else apart) + 1
+            made.append(chosen(held, sums, needed, band << 5))
+            while np.count_nonzero(held) < needed:
                 needed, step = apart + 1, step + 1
-                held, sums = contents(hashes, 3 * groups << step - 1)
-                found = named(sums, held, band << 5 | step)
-                made.append((band << 5 | step, max(0, len(found) - needed), found))
+                held, sums = contents(hashes, parts * groups << step)
+                made.append(chosen(held, sums, needed, band << 5 | step))
         band += 1
     return made
 
