@@ -2,13 +2,16 @@
 
 A document is cut into full sequences and a rest; the rest into pieces of exactly CAPACITY // j tokens for the smallest j
 that fits, again and again, and a tail of at most TAIL tokens. Class j holds pieces of one length, and each of its bins
-takes CAPACITY // length of them, so a bin wastes less than one piece of its class. Which bin a piece lies in follows from its rank in its class
-alone: ranks are counted in SALTS independent shards, and shifted by the shards' counts (at most classes x SALTS numbers).
+takes CAPACITY // length of them, so a bin wastes less than one piece of its class. Which bin a piece lies in follows from
+its rank in its class alone: ranks are counted in independent shards and shifted by the shards' counts. A shard holds about
+as many pieces as the square root of all (SHARD at least), so neither a shard nor the table of shards grows large.
 What is left over, fewer than CAPACITY // length pieces for each of a fixed set of lengths (about 10,000 pieces whatever
 the input), is packed first-fit by decreasing length.
 
 A null text counts as empty: a document of the end id alone. Documents with an equal id are packed each by itself; they
-are told apart by their contents. Repeated rows are packed each.
+are told apart by their contents. Repeated rows are packed each. Long texts are encoded whole; equal lengths are ranked by
+doc_id, start and contents. Extra columns are not read by ``pack``; in ``pieces_of`` they stay, but for those with the name
+of an output column.
 """
 
 from __future__ import annotations
@@ -28,7 +31,8 @@ from tessera.llm.common import cut_lineage, map_rows
 CAPACITY = 2048
 END = 1
 TAIL = 64
-SALTS = 64
+#: Pieces in a shard, at least.
+SHARD = 1000
 
 PIECE = T.StructType([
     T.StructField("start", T.LongType()),
@@ -100,21 +104,25 @@ def first_fit(pieces: pd.DataFrame) -> pd.DataFrame:
 def place(pieces: DataFrame) -> DataFrame:
     """``pieces`` (doc_id, start, length, ids_crc32, doc_tokens; small rows) with sequence_id and offset."""
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    salted = cut_lineage(pieces.select(*columns, F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int").alias("salt")))
+    rows = cut_lineage(pieces.select(*columns))
+    # A row for each length: CAPACITY // TAIL + TAIL at most, whatever the input.
+    counted = rows.groupBy("length").agg(F.count("*").alias("n"))
+    per_shard = F.greatest(F.lit(SHARD), F.sqrt(F.sum("n").over(Window.partitionBy())).cast("long"))
+    dealt = F.broadcast(counted.select("length", F.greatest(F.lit(1), F.ceil(F.col("n") / per_shard)).alias("shards")))
+    salted = rows.join(dealt, "length").select(*columns, F.pmod(F.xxhash64(*columns), F.col("shards")).alias("salt"))
     shards = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     by_length = Window.partitionBy("length")
     per_bin = F.expr(f"{CAPACITY} div length")
-    # At most (CAPACITY / TAIL + TAIL) lengths x SALTS rows, whatever the input.
     shards = shards.select(
         "length", "salt",
         (F.sum("n").over(by_length.orderBy("salt")) - F.col("n")).alias("before"),
         (F.floor(F.sum("n").over(by_length) / per_bin)).alias("full"),
     )
-    lengths = shards.select("length", "full").distinct()
-    bases = lengths.select("length", (F.sum("full").over(Window.orderBy("length")) - F.col("full")).alias("base"), F.sum("full").over(Window.partitionBy()).alias("all"))
+    bases = counted.select("length", F.floor(F.col("n") / per_bin).alias("full"))
+    bases = bases.select("length", (F.sum("full").over(Window.orderBy("length")) - F.col("full")).alias("base"), F.sum("full").over(Window.partitionBy()).alias("all"))
     starts = shards.join(F.broadcast(bases), "length")
     local = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "doc_tokens", "ids_crc32")) - 1
-    ranked = salted.withColumn("local", local).join(F.broadcast(starts), ["length", "salt"]).withColumn("rank", F.col("before") + F.col("local"))
+    ranked = salted.withColumn("local", local).join(starts, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("local"))
     binned = ranked.withColumn("bin", F.expr(f"rank div ({CAPACITY} div length)")).withColumn("slot", F.expr(f"rank % ({CAPACITY} div length)"))
     full = binned.filter("bin < full").select(*columns, (F.col("base") + F.col("bin")).alias("sequence_id"), (F.col("slot") * F.col("length")).alias("offset"))
     left = binned.filter("bin >= full").select(*columns, F.col("all").alias("base"))

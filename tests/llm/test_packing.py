@@ -58,6 +58,14 @@ def test_many_equal_lengths_fill_bins(spark):
     check(rows, dict(enumerate(texts)), 0.9)
 
 
+def test_one_length_in_many_shards(spark, monkeypatch):
+    """However many shards a length is dealt to, its bins stay full and its ranks have no gap."""
+    monkeypatch.setattr(packing, "SHARD", 7)
+    texts = ["word " * 99] * 700 + ["a", "b c"] * 20
+    rows = packing.pack(documents(spark, texts), PATH).collect()
+    check(rows, dict(enumerate(texts)), 0.9)
+
+
 @pytest.mark.parametrize("total", [1, 2, 63, 64, 65, 1023, 1024, 1025, 2047, 2048, 2049, 5000, 1_000_003])
 def test_lengths_of_pieces(total):
     lengths = list(packing.piece_lengths(total))
