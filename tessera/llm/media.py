@@ -1,18 +1,19 @@
 """Media columns: ISO base media containers, written and walked box by box.
 
-The reader never decodes a payload: it follows the nested boxes to the sample tables and stores codec, duration and the
-byte ranges of the keyframes. The writer stores bytes losslessly as 8-bit unsigned PCM ('raw '), a sample of BLOCK bytes
+The reader never decodes a payload: it follows the nested boxes to the sample tables (stts, stsz or stz2, stsc, stco or
+co64, stss) and stores codec, duration and the times and byte ranges of the keyframes. MEDIA's columns tell of the first
+track, ``track_columns`` of each. Nothing is allocated before the bytes that it describes are known to be there, and boxes
+are walked without recursion, so hostile counts and nestings end in an error like any other. The writer stores bytes losslessly as 8-bit unsigned PCM ('raw '), a sample of BLOCK bytes
 each, so that any binary column can be kept in a container.
 
 Null content counts as empty. Empty content still gets one block of zeros. Content that is no container, or a cut one,
-yields nulls and the reason in ``error``. Equal content gives equal bytes. Extra columns pass through unchanged; one with
+yields nulls and the reason in ``error``; so do fragmented files, whose samples lie in no table of the movie box. Equal content gives equal bytes. Extra columns pass through unchanged; one with
 the name of an output column is replaced.
 """
 
 from __future__ import annotations
 
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ CHUNK_SAMPLES = 64
 TIMESCALE = 8000
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta"}
 
-RANGE = T.StructType([T.StructField("sample", T.LongType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType())])
+RANGE = T.StructType([T.StructField("sample", T.LongType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("time", T.LongType())])
 MEDIA = T.StructType([
     T.StructField("codec", T.StringType()),
     T.StructField("timescale", T.LongType()),
@@ -37,6 +38,7 @@ MEDIA = T.StructType([
     T.StructField("keyframes", T.ArrayType(RANGE)),
     T.StructField("error", T.StringType()),
 ])
+TRACKS = T.StructType([T.StructField("tracks", T.ArrayType(MEDIA)), T.StructField("error", T.StringType())])
 
 
 def box(kind: bytes, *parts: bytes) -> bytes:
@@ -105,66 +107,150 @@ def walk(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int, i
         start += size
 
 
-def boxes(data: memoryview, start: int, end: int, found: dict[bytes, tuple[int, int]]) -> dict[bytes, tuple[int, int]]:
-    for kind, a, b in walk(data, start, end):
-        if kind in CONTAINERS:
-            boxes(data, a, b, found)
+def boxes(data: memoryview, start: int, end: int) -> dict[bytes, tuple[int, int]]:
+    """Begin and end of the first body of each kind in a track, in the order of the file."""
+    found: dict[bytes, tuple[int, int]] = {}
+    open_boxes = [walk(data, start, end)]
+    while open_boxes:
+        inner = next(open_boxes[-1], None)
+        if inner is None:
+            open_boxes.pop()
+        elif inner[0] in CONTAINERS:
+            open_boxes.append(walk(data, *inner[1:]))
         else:
-            found.setdefault(kind, (a, b))
+            found.setdefault(inner[0], inner[1:])
     return found
 
 
-def numbers(data: memoryview, at: int, count: int, kind: str = ">u4") -> np.ndarray:
-    return np.frombuffer(data, kind, count, at).astype(np.int64)
-
-
-def sample_table(data: bytes) -> dict:
-    """Codec, timing and each sample's place of the first track."""
-    view = memoryview(data)
-    movie = next((x for x in walk(view, 0, len(view)) if x[0] == b"moov"), None)
-    if movie is None:
-        raise ValueError("no moov box")
-    track = next((x for x in walk(view, *movie[1:]) if x[0] == b"trak"), None)
-    if track is None:
-        raise ValueError("no track")
-    at = {k: a + 4 for k, (a, _) in boxes(view, *track[1:], {}).items()}  # behind version and flags
-    word = lambda where: struct.unpack_from(">I", view, where)[0]
-    wide = view[at[b"mdhd"] - 4] == 1
-    timescale, duration = struct.unpack_from(">IQ" if wide else ">II", view, at[b"mdhd"] + (16 if wide else 8))
-    fixed, n = struct.unpack_from(">II", view, at[b"stsz"])
-    sizes = np.full(n, fixed, np.int64) if fixed else numbers(view, at[b"stsz"] + 8, n)
-    if b"co64" in at:
-        chunks = numbers(view, at[b"co64"] + 4, word(at[b"co64"]), ">u8")
-    else:
-        chunks = numbers(view, at[b"stco"] + 4, word(at[b"stco"]))
-    runs = numbers(view, at[b"stsc"] + 4, 3 * word(at[b"stsc"])).reshape(-1, 3)
+class Table:
+    """The numbers of a full box, which must lie within it."""
+
+    def __init__(self, data: memoryview, body: tuple[int, int]):
+        self.data, (self.at, self.end) = data[body[0] : body[1]], (4, body[1] - body[0])  # behind version and flags
+        self.version = self.data[0] if self.end else 0
+
+    def numbers(self, count: int, kind: str = ">u4") -> np.ndarray:
+        size = count * np.dtype(kind).itemsize
+        if self.at + size > self.end:
+            raise ValueError(f"{count} numbers in {self.end - self.at} bytes")
+        found = np.frombuffer(self.data, kind, count, self.at).astype(np.int64)
+        self.at += size
+        return found
+
+    def word(self) -> int:
+        return int(self.numbers(1)[0])
+
+
+def sample_sizes(view: memoryview, at: dict[bytes, tuple[int, int]]) -> np.ndarray:
+    if b"stz2" in at:
+        table = Table(view, at[b"stz2"])
+        width, n = table.word() & 0xFF, table.word()
+        if width == 4:
+            both = table.numbers(-(-n // 2), "u1")
+            return np.stack([both >> 4, both & 15], 1).ravel()[:n]
+        if width not in (8, 16):
+            raise ValueError(f"sample sizes of {width} bits")
+        return table.numbers(n, ">u1" if width == 8 else ">u2")
+    table = Table(view, at[b"stsz"])
+    fixed, n = table.word(), table.word()
+    if fixed and n * fixed > len(view):
+        raise ValueError("samples lie beyond the end")
+    return np.full(n, fixed, np.int64) if fixed else table.numbers(n)
+
+
+def sample_table(view: memoryview, track: tuple[int, int]) -> dict:
+    """Codec, timing and each sample's place of a track."""
+    at = boxes(view, *track)
+    head = Table(view, at[b"mdhd"])
+    head.numbers(16 if head.version else 8, "u1")
+    timescale, duration = head.word(), int(head.numbers(1, ">u8" if head.version else ">u4")[0])
+    sizes = sample_sizes(view, at)
+    n = len(sizes)
+    table = Table(view, at[b"co64"] if b"co64" in at else at[b"stco"])
+    chunks = table.numbers(table.word(), ">u8" if b"co64" in at else ">u4")
+    table = Table(view, at[b"stsc"])
+    runs = table.numbers(3 * table.word()).reshape(-1, 3)
     per_chunk = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunks) + 1)))
-    chunk = np.repeat(np.arange(len(chunks)), per_chunk)[:n]
+    if len(per_chunk) != len(chunks):
+        raise ValueError("runs of chunks don't fit the chunks")
+    chunk = np.repeat(np.arange(len(chunks)), np.diff(np.minimum(np.cumsum(per_chunk), n), prepend=0))
     if len(chunk) < n:
         raise ValueError(f"{n} samples, but chunks for {len(chunk)}")
     before = np.concatenate([[0], np.cumsum(sizes)])[:-1]
     first = np.searchsorted(chunk, chunk)
     starts = chunks[chunk] + before - before[first]
-    if n and (starts + sizes).max() > len(view):
+    if n and ((starts + sizes).max() > len(view) or starts.min() < 0):
         raise ValueError("samples lie beyond the end")
-    keys = numbers(view, at[b"stss"] + 4, word(at[b"stss"])) - 1 if b"stss" in at else np.arange(n)
-    codec = bytes(view[at[b"stsd"] + 8 : at[b"stsd"] + 12]).decode("latin-1")
-    return {"codec": codec, "timescale": timescale, "duration": duration, "starts": starts, "sizes": sizes, "keys": keys}
+    keys = np.arange(n)
+    if b"stss" in at:
+        table = Table(view, at[b"stss"])
+        keys = table.numbers(table.word()) - 1
+        if len(keys) and (keys.min() < 0 or keys.max() >= n):
+            raise ValueError("a keyframe is no sample")
+    times = np.zeros(len(keys), np.int64)
+    if b"stts" in at:
+        table = Table(view, at[b"stts"])
+        spans = table.numbers(2 * table.word()).reshape(-1, 2)
+        ends, passed = np.cumsum(spans[:, 0]), np.cumsum(spans[:, 0] * spans[:, 1])
+        if n != (ends[-1] if len(ends) else 0):
+            raise ValueError("times of other samples")
+        run = np.searchsorted(ends, keys, "right")
+        times = passed[run] - (ends[run] - keys) * spans[run, 1]
+        duration = int(passed[-1]) if n else duration
+    table = Table(view, at[b"stsd"])
+    table.numbers(8, "u1")
+    codec = bytes(table.numbers(4, "u1").tolist()).decode("latin-1")
+    return {"codec": codec, "timescale": timescale, "duration": duration, "starts": starts, "sizes": sizes, "keys": keys, "times": times}
+
+
+def tracks_of(data: bytes) -> list[tuple[int, int]]:
+    """Begin and end of the body of each track of the movie."""
+    view = memoryview(data)
+    kinds = {}
+    for kind, *body in walk(view, 0, len(view)):
+        kinds.setdefault(kind, body)
+    if b"moov" not in kinds:
+        raise ValueError("no moov box")
+    if b"moof" in kinds:
+        raise ValueError("fragmented: samples lie in moof boxes")
+    found = [tuple(body) for kind, *body in walk(view, *kinds[b"moov"]) if kind == b"trak"]
+    if not found:
+        raise ValueError("no track")
+    return found
+
+
+REFUSALS = (ValueError, KeyError, IndexError, struct.error, OverflowError)
+
+
+def described(data: bytes, track: tuple[int, int]) -> tuple:
+    """What MEDIA holds of a track, without its payload."""
+    try:
+        t = sample_table(memoryview(data), track)
+        keys = [(int(k) + 1, int(t["starts"][k]), int(t["sizes"][k]), int(at)) for k, at in zip(t["keys"], t["times"], strict=True)]
+        return t["codec"], t["timescale"], t["duration"], len(t["sizes"]), [dict(zip(("sample", "start", "length", "time"), k, strict=True)) for k in keys], None
+    except REFUSALS as e:
+        return None, None, None, None, None, f"{type(e).__name__}: {e}"
 
 
 def probe(data: bytes | None) -> tuple:
-    """What MEDIA holds of a container, without its payload."""
+    """What MEDIA holds of a container's first track."""
     try:
-        t = sample_table(data or b"")
-        keys = [(int(k) + 1, int(t["starts"][k]), int(t["sizes"][k])) for k in t["keys"]]
-        return t["codec"], t["timescale"], t["duration"], len(t["sizes"]), [dict(zip(("sample", "start", "length"), k, strict=True)) for k in keys], None
-    except (ValueError, KeyError, IndexError, struct.error) as e:
+        return described(data, tracks_of(data or b"")[0])
+    except REFUSALS as e:
         return None, None, None, None, None, f"{type(e).__name__}: {e}"
 
 
+def probe_tracks(data: bytes | None) -> tuple:
+    """What MEDIA holds of each track, and why none could be read."""
+    try:
+        return [dict(zip(MEDIA.fieldNames(), described(data, t), strict=True)) for t in tracks_of(data or b"")], None
+    except REFUSALS as e:
+        return None, f"{type(e).__name__}: {e}"
+
+
 def read_payload(data: bytes) -> bytes:
-    """The samples' bytes in order; neighbours are read as one range."""
-    t = sample_table(data)
+    """The bytes of the first track's samples in order; neighbours are read as one range."""
+    t = sample_table(memoryview(data), tracks_of(data)[0])
     starts, sizes = t["starts"], t["sizes"]
     if not len(starts):
         return b""
@@ -178,6 +264,11 @@ def media_columns(df: DataFrame, content: str) -> DataFrame:
     return map_rows(df, content, MEDIA, lambda: probe)
 
 
+def track_columns(df: DataFrame, content: str) -> DataFrame:
+    """``df`` with ``tracks`` (MEDIA of each) and ``error`` for the containers in the binary column ``content``."""
+    return map_rows(df, content, TRACKS, lambda: probe_tracks)
+
+
 STORED = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType()), T.StructField("payload", T.BinaryType()), *MEDIA.fields])
 
 
@@ -206,9 +297,3 @@ def digest(stored: DataFrame) -> DataFrame:
         F.format_string("codec=%s;timescale=%d;duration=%d;samples=%d;keyframes=%d;ranges=%08x", F.trim("codec"), "timescale", "duration", "n_samples", F.size("keyframes"), F.crc32(keys.cast("binary"))).alias("feature"),
     )
 
-
-def brute(text: str | None) -> tuple[bytes, int]:
-    """For tests: payload and crc of its tail by the contract's words."""
-    payload = (text or "").encode()
-    payload += b"\0" * ((64 - len(payload) % 64) % 64 if payload else 64)
-    return payload, zlib.crc32(payload[-64:])

@@ -96,6 +96,48 @@ def test_broken_containers_give_a_reason(spark):
         assert len(media.probe(bytes(broken[: rng.randrange(len(broken) + 1)]))) == 6
 
 
+def patched(box, kind, offset, value):
+    """``box`` with a 32-bit number changed behind the kind of a box."""
+    at = box.index(kind) + 4 + offset
+    return box[:at] + struct.pack(">I", value) + box[at + 4 :]
+
+
+def test_hostile_counts_and_nesting_end(spark):
+    """Counts that nothing stands behind, numbers of no sample and thousands of nested boxes give a reason at once."""
+    whole = media.write_container(payload("some text " * 400))
+    nested = b""
+    for _ in range(5000):
+        nested = media.box(b"udta", nested)
+    most = 0xFFFFFFFF
+    hostile = [
+        patched(whole, b"stsz", 8, most), patched(patched(whole, b"stsz", 4, 0), b"stsz", 8, most), patched(whole, b"stsc", 4, most),
+        patched(whole, b"stsc", 12, most), patched(whole, b"co64", 4, most), patched(whole, b"stss", 4, most), patched(whole, b"stss", 8, 0),
+        patched(whole, b"stss", 8, most), patched(whole, b"stts", 4, most), patched(whole, b"stts", 8, most),
+        media.box(b"moov", media.box(b"trak", nested)), whole + media.box(b"moof", bytes(8)),
+    ]
+    rows = spark.createDataFrame(list(enumerate(hostile)), "id long, content binary")
+    found = {r["id"]: r for r in media.media_columns(rows, "content").collect()}
+    # A chunk that claims more samples than there are is read up to the last sample.
+    assert [i for i, r in sorted(found.items()) if not r["error"]] == [3]
+    assert all(media.probe_tracks(x)[1] or media.probe_tracks(x)[0] for x in hostile)
+
+
+def test_every_track_and_times_of_keyframes(spark):
+    a, samples = other_writer([5, 1, 9, 2, 2], [2, 1, 2])
+    moov = a.index(b"moov") - 4
+    two = a[:moov] + media.box(b"moov", a[moov + 8 :], a[moov + 8 :])
+    row = media.track_columns(spark.createDataFrame([(1, two)], "id long, content binary"), "content").first()
+    assert row["error"] is None and [t["codec"] for t in row["tracks"]] == ["avc1", "avc1"]
+    assert [[(k["sample"], k["time"]) for k in t["keyframes"]] for t in row["tracks"]] == [[(1, 0), (3, 80)]] * 2
+
+
+@pytest.mark.parametrize(("width", "sizes"), [(4, [5, 1, 9]), (8, [5, 200, 9]), (16, [5, 700, 9])])
+def test_compact_sample_sizes(width, sizes):
+    packed = b"".join(n.to_bytes(width // 8) for n in sizes) if width > 4 else bytes([sizes[0] << 4 | sizes[1], sizes[2] << 4])
+    box = media.full_box(b"stz2", struct.pack(">II", width, 3), packed)
+    assert media.sample_sizes(memoryview(box), {b"stz2": (8, len(box))}).tolist() == sizes
+
+
 def test_edges(spark):
     assert media.digest(media.store_texts(empty(spark))).count() == 0
     both = media.digest(media.store_texts(documents(spark, [None, ""], ids=[None, None]).withColumn("payload", F.lit(1)))).collect()
