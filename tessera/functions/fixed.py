@@ -3,62 +3,154 @@
 from __future__ import annotations
 
 # Domains of free mail services.
-FREE_MAIL_DOMAINS = """
-gmail.com yahoo.com hotmail.com outlook.com aol.com icloud.com mail.com zoho.com protonmail.com yandex.com gmx.com gmx.net
-live.com msn.com inbox.com fastmail.com tutanota.com hushmail.com mailfence.com disroot.org riseup.net posteo.de mailbox.org
-yahoo.co.uk yahoo.co.in hotmail.co.uk live.co.uk rediffmail.com qq.com 163.com 126.com
-""".split()
-
-# Continent, region and the codes of their countries.
-REGIONS = [
-    ("North America", "Northern America", "US CA"),
-    ("North America", "Central America", "MX"),
-    ("South America", "South America", "BR AR CL CO PE"),
-    ("Europe", "Northern Europe", "GB UK SE NO DK FI IE"),
-    ("Europe", "Western Europe", "DE FR NL BE CH AT"),
-    ("Europe", "Southern Europe", "IT ES PT GR"),
-    ("Europe", "Eastern Europe", "PL CZ RO HU RU UA"),
-    ("Asia", "Western Asia", "TR AE SA IL"),
-    ("Asia", "Eastern Asia", "CN JP KR"),
-    ("Asia", "Southern Asia", "IN PK BD"),
-    ("Asia", "South-Eastern Asia", "ID TH VN MY SG PH"),
-    ("Oceania", "Australia and New Zealand", "AU NZ"),
-    ("Africa", "Southern Africa", "ZA"),
-    ("Africa", "Western Africa", "NG GH"),
-    ("Africa", "Eastern Africa", "KE TZ ET"),
-    ("Africa", "Northern Africa", "EG MA"),
-]
+FREE_MAIL_DOMAINS = [
+    "gmail.com", "yahoo.com", "hotmail.com", "outlook.com", "aol.com", "icloud.com", "mail.com", "zoho.com", "protonmail.com",
+    "yandex.com", "gmx.com", "gmx.net", "live.com", "msn.com", "inbox.com", "fastmail.com", "tutanota.com", "hushmail.com",
+    "mailfence.com", "disroot.org", "riseup.net", "posteo.de", "mailbox.org", "yahoo.co.uk", "yahoo.co.in", "hotmail.co.uk",
+    "live.co.uk", "rediffmail.com", "qq.com", "163.com", "126.com",
+]
+
+# Codes of countries, their continent and region.
+COUNTRY_REGIONS = {
+    "US": ("North America", "Northern America"),
+    "CA": ("North America", "Northern America"),
+    "MX": ("North America", "Central America"),
+    "BR": ("South America", "South America"),
+    "AR": ("South America", "South America"),
+    "CL": ("South America", "South America"),
+    "CO": ("South America", "South America"),
+    "PE": ("South America", "South America"),
+    "GB": ("Europe", "Northern Europe"),
+    "UK": ("Europe", "Northern Europe"),
+    "SE": ("Europe", "Northern Europe"),
+    "NO": ("Europe", "Northern Europe"),
+    "DK": ("Europe", "Northern Europe"),
+    "FI": ("Europe", "Northern Europe"),
+    "IE": ("Europe", "Northern Europe"),
+    "DE": ("Europe", "Western Europe"),
+    "FR": ("Europe", "Western Europe"),
+    "NL": ("Europe", "Western Europe"),
+    "BE": ("Europe", "Western Europe"),
+    "CH": ("Europe", "Western Europe"),
+    "AT": ("Europe", "Western Europe"),
+    "IT": ("Europe", "Southern Europe"),
+    "ES": ("Europe", "Southern Europe"),
+    "PT": ("Europe", "Southern Europe"),
+    "GR": ("Europe", "Southern Europe"),
+    "PL": ("Europe", "Eastern Europe"),
+    "CZ": ("Europe", "Eastern Europe"),
+    "RO": ("Europe", "Eastern Europe"),
+    "HU": ("Europe", "Eastern Europe"),
+    "RU": ("Europe", "Eastern Europe"),
+    "UA": ("Europe", "Eastern Europe"),
+    "TR": ("Asia", "Western Asia"),
+    "AE": ("Asia", "Western Asia"),
+    "SA": ("Asia", "Western Asia"),
+    "IL": ("Asia", "Western Asia"),
+    "CN": ("Asia", "Eastern Asia"),
+    "JP": ("Asia", "Eastern Asia"),
+    "KR": ("Asia", "Eastern Asia"),
+    "IN": ("Asia", "Southern Asia"),
+    "PK": ("Asia", "Southern Asia"),
+    "BD": ("Asia", "Southern Asia"),
+    "ID": ("Asia", "South-Eastern Asia"),
+    "TH": ("Asia", "South-Eastern Asia"),
+    "VN": ("Asia", "South-Eastern Asia"),
+    "MY": ("Asia", "South-Eastern Asia"),
+    "SG": ("Asia", "South-Eastern Asia"),
+    "PH": ("Asia", "South-Eastern Asia"),
+    "AU": ("Oceania", "Australia and New Zealand"),
+    "NZ": ("Oceania", "Australia and New Zealand"),
+    "ZA": ("Africa", "Southern Africa"),
+    "NG": ("Africa", "Western Africa"),
+    "GH": ("Africa", "Western Africa"),
+    "KE": ("Africa", "Eastern Africa"),
+    "TZ": ("Africa", "Eastern Africa"),
+    "ET": ("Africa", "Eastern Africa"),
+    "EG": ("Africa", "Northern Africa"),
+    "MA": ("Africa", "Northern Africa"),
+}
 
 # Names of countries and their codes.
-COUNTRY_NAMES = """
-united states=US, usa=US, united states of america=US, canada=CA, mexico=MX, brazil=BR, argentina=AR, chile=CL, colombia=CO,
-peru=PE, united kingdom=GB, uk=GB, great britain=GB, england=GB, germany=DE, france=FR, italy=IT, spain=ES, portugal=PT,
-netherlands=NL, belgium=BE, switzerland=CH, austria=AT, sweden=SE, norway=NO, denmark=DK, finland=FI, ireland=IE, poland=PL,
-czech republic=CZ, czechia=CZ, romania=RO, hungary=HU, russia=RU, ukraine=UA, greece=GR, turkey=TR, china=CN, japan=JP,
-south korea=KR, korea=KR, india=IN, pakistan=PK, bangladesh=BD, indonesia=ID, thailand=TH, vietnam=VN, malaysia=MY,
-singapore=SG, philippines=PH, united arab emirates=AE, uae=AE, saudi arabia=SA, israel=IL, australia=AU, new zealand=NZ,
-south africa=ZA, nigeria=NG, kenya=KE, egypt=EG, morocco=MA, ghana=GH, tanzania=TZ, ethiopia=ET
-"""
-
-
-def country_regions() -> list[tuple[str, str, str]]:
-    """code, continent, region"""
-    return [(code, continent, region) for continent, region, codes in REGIONS for code in codes.split()]
-
-
-def country_names() -> list[tuple[str, str]]:
-    """name, code"""
-    return [tuple(pair.strip().split("=")) for pair in COUNTRY_NAMES.replace("\n", " ").split(",")]
-
+COUNTRY_NAMES = {
+    "united states": "US",
+    "usa": "US",
+    "united states of america": "US",
+    "canada": "CA",
+    "mexico": "MX",
+    "brazil": "BR",
+    "argentina": "AR",
+    "chile": "CL",
+    "colombia": "CO",
+    "peru": "PE",
+    "united kingdom": "GB",
+    "uk": "GB",
+    "great britain": "GB",
+    "england": "GB",
+    "germany": "DE",
+    "france": "FR",
+    "italy": "IT",
+    "spain": "ES",
+    "portugal": "PT",
+    "netherlands": "NL",
+    "belgium": "BE",
+    "switzerland": "CH",
+    "austria": "AT",
+    "sweden": "SE",
+    "norway": "NO",
+    "denmark": "DK",
+    "finland": "FI",
+    "ireland": "IE",
+    "poland": "PL",
+    "czech republic": "CZ",
+    "czechia": "CZ",
+    "romania": "RO",
+    "hungary": "HU",
+    "russia": "RU",
+    "ukraine": "UA",
+    "greece": "GR",
+    "turkey": "TR",
+    "china": "CN",
+    "japan": "JP",
+    "south korea": "KR",
+    "korea": "KR",
+    "india": "IN",
+    "pakistan": "PK",
+    "bangladesh": "BD",
+    "indonesia": "ID",
+    "thailand": "TH",
+    "vietnam": "VN",
+    "malaysia": "MY",
+    "singapore": "SG",
+    "philippines": "PH",
+    "united arab emirates": "AE",
+    "uae": "AE",
+    "saudi arabia": "SA",
+    "israel": "IL",
+    "australia": "AU",
+    "new zealand": "NZ",
+    "south africa": "ZA",
+    "nigeria": "NG",
+    "kenya": "KE",
+    "egypt": "EG",
+    "morocco": "MA",
+    "ghana": "GH",
+    "tanzania": "TZ",
+    "ethiopia": "ET",
+}
 
 # Names and prefixes of fields that say nothing about a record.
-METADATA_FIELDS = (
-    "attributes.type attributes.url attributes.referenceId links self next previous meta pagination cursor nextPageToken "
-    "prevPageToken totalSize done nextRecordsUrl @odata.context @odata.type @odata.id _links _embedded _metadata"
-).split()
+METADATA_FIELDS = [
+    "attributes.type", "attributes.url", "attributes.referenceId", "links", "self", "next", "previous", "meta", "pagination", "cursor",
+    "nextPageToken", "prevPageToken", "totalSize", "done", "nextRecordsUrl", "@odata.context", "@odata.type", "@odata.id", "_links",
+    "_embedded", "_metadata",
+]
 
 # Keys under which responses wrap their records, in order of preference.
-RECORD_KEYS = "records data results items entries rows hits documents objects values elements content payload response body".split()
+RECORD_KEYS = [
+    "records", "data", "results", "items", "entries", "rows", "hits", "documents", "objects", "values", "elements", "content",
+    "payload", "response", "body",
+]
 
 # Severities by their other names, and their order.
 SEVERITIES = {

@@ -202,8 +202,8 @@ def geo_lookup(df: DataFrame, column: str | None = None) -> DataFrame:
     if column is None:
         return df
     spark = df.sparkSession
-    places = spark.createDataFrame(fixed.country_regions(), "__code string, __continent string, __region string")
-    names = spark.createDataFrame(fixed.country_names(), "__name string, __code string").join(places, "__code")
+    places = spark.createDataFrame([(code, *where) for code, where in fixed.COUNTRY_REGIONS.items()], "__code string, __continent string, __region string")
+    names = spark.createDataFrame(list(fixed.COUNTRY_NAMES.items()), "__name string, __code string").join(places, "__code")
     keys = places.select(F.col("__code").alias("__key"), F.lit(0).alias("__by"), "__continent", "__region").unionByName(names.select(F.col("__name").alias("__key"), F.lit(1).alias("__by"), "__continent", "__region"))
     trimmed = F.trim(quoted(column).cast("string"))
     kept = df.drop("continent", "region").withColumn("__upper", F.upper(trimmed)).withColumn("__lower", F.lower(trimmed))
