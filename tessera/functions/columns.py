@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,7 +20,9 @@ TIME_FORMATS = [
     "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSS",
     "dd/MMM/yyyy:HH:mm:ss Z",
 ]
-DATE_FORMATS = ["yyyy-M-d", "yyyy/M/d", "M/d/yyyy", "M-d-yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d yyyy", "MMMM d yyyy"]
+#: Formats of dates, each with the form that a text must have before it is tried.
+DATE_FORMATS = [("yyyy-M-d", r"^[0-9]{4,}-"), ("yyyy/M/d", r"^[0-9]{4,}/"), ("M/d/yyyy", r"^[0-9]+/"), ("M-d-yyyy", r"^[0-9]+-")]
+NAMED_DATE_FORMATS = [("d MMM yyyy", r"^[0-9]+ [A-Z]"), ("MMM d yyyy", r"^[A-Z]")]
 
 
 def is_number(df: DataFrame, column: str) -> bool:
@@ -35,9 +38,14 @@ def missing_as_null(df: DataFrame) -> DataFrame:
     return df.withColumns({f.name: F.nanvl(quoted(f.name), F.lit(None)) for f in df.schema if isinstance(f.dataType, (T.FloatType, T.DoubleType))})
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` computed once however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def extract(text: Column, pattern: str, group: int = 1) -> Column:
     """A group of the first match; null without a match or with an empty group."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return F.get(F.filter(F.array(F.regexp_extract(text, pattern, group)), lambda x: x != ""), F.lit(0))
 
 
 def first_match(text: Column, patterns: list[str]) -> Column:
@@ -61,12 +69,15 @@ def syslog_timestamp(text: Column, year: int) -> Column:
     return F.try_to_timestamp(F.concat(F.lit(f"{year} "), F.regexp_replace(text, r"\s+", " ")), F.lit("yyyy MMM d HH:mm:ss"))
 
 
+def by_form(text: Column, formats: list[tuple[str, str]]) -> list[Column]:
+    return [F.when(text.rlike(form), F.try_to_date(text, pattern)) for pattern, form in formats]
+
+
 def date(text: Column) -> Column:
     """Text of a known date format, the month first where both orders fit."""
     clean = F.regexp_replace(F.regexp_replace(F.trim(text), r"[.,]", ""), r"\s+", " ")
-    named = F.regexp_replace(clean, rf"(?i)\b({fixed.MONTHS})[a-z]*", "$1")
-    named = F.initcap(named)
-    return F.coalesce(*[F.try_to_date(clean, f) for f in DATE_FORMATS[:4]], *[F.try_to_date(named, f) for f in ("d MMM yyyy", "MMM d yyyy")])
+    named = lambda x: F.initcap(F.regexp_replace(x, rf"(?i)\b({fixed.MONTHS})[a-z]*", "$1"))
+    return bind(clean, lambda x: F.coalesce(*by_form(x, DATE_FORMATS), bind(named(x), lambda y: F.coalesce(*by_form(y, NAMED_DATE_FORMATS)))))
 
 
 def iso(time: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import fixed
-from tessera.functions.columns import amount, date, extract, first_match
+from tessera.functions.columns import amount, bind, date, extract, first_match
 
 TOTAL_TOLERANCE, ITEMS_TOLERANCE = 0.02, 0.05
 LOOK_AHEAD = 60
@@ -33,7 +33,7 @@ def any_date(text: Column) -> Column:
 
 def labelled_date(text: Column, label: str) -> Column:
     """A date in the characters behind the first label."""
-    return first_date(extract(text, rf"(?is){label}(.{{0,{LOOK_AHEAD}}})"))
+    return bind(extract(text, rf"(?is){label}(.{{0,{LOOK_AHEAD}}})"), first_date)
 
 
 def currency(text: Column) -> Column:
@@ -47,26 +47,32 @@ def amounts(text: Column) -> Column:
 
 
 def inferred_amounts(subtotal: Column, tax: Column, total: Column) -> Column:
-    return F.struct(
-        F.coalesce(subtotal, F.round(total - tax, 2)).alias("subtotal"),
-        F.coalesce(tax, F.round(total - subtotal, 2)).alias("tax"),
-        F.coalesce(total, F.round(subtotal + tax, 2)).alias("total"),
-    )
+    known = F.struct(subtotal.alias("subtotal"), tax.alias("tax"), total.alias("total"))
+    return bind(known, lambda x: F.struct(
+        F.coalesce(x["subtotal"], F.round(x["total"] - x["tax"], 2)).alias("subtotal"),
+        F.coalesce(x["tax"], F.round(x["total"] - x["subtotal"], 2)).alias("tax"),
+        F.coalesce(x["total"], F.round(x["subtotal"] + x["tax"], 2)).alias("total"),
+    ))
 
 
 def section(text: Column, label: str) -> Column:
     """struct(name, address) behind the first line with a label: the rest of the line, then up to five lines."""
-    lines = F.split(text, "\n", -1)
-    labelled = F.transform(lines, lambda x, i: F.when(x.rlike(label), i))
-    at = F.array_min(F.filter(labelled, lambda i: i.isNotNull()))
-    rest = F.trim(F.regexp_replace(F.get(lines, at), rf"^(?s).*?{label}", ""))
-    following = F.transform(F.slice(lines, at + 2, 5), lambda x: F.trim(x))
-    stops = F.transform(following, lambda x, i: F.when((x == "") | x.rlike(fixed.SECTION_END), i))
-    stop = F.coalesce(F.array_min(F.filter(stops, lambda i: i.isNotNull())), F.size(following))
-    own = F.concat(F.when(rest != "", F.array(rest)).otherwise(F.array().cast("array<string>")), F.slice(following, 1, stop))
-    name = F.get(own, F.lit(0))
-    address = F.when(F.size(own) > 1, F.array_join(F.slice(own, 2, F.size(own)), ", "))
-    return F.struct(F.when(at.isNotNull(), name).alias("name"), F.when(at.isNotNull(), address).alias("address"))
+    labelled = lambda lines: F.array_min(F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(label), i)), lambda i: i.isNotNull()))
+
+    def read(x: Column) -> Column:
+        following = F.transform(F.slice(x["lines"], x["at"] + 2, 5), lambda y: F.trim(y))
+        return F.struct(F.trim(F.regexp_replace(F.get(x["lines"], x["at"]), rf"^(?s).*?{label}", "")).alias("rest"), following.alias("following"))
+
+    def own_lines(x: Column) -> Column:
+        stops = F.transform(x["following"], lambda y, i: F.when((y == "") | y.rlike(fixed.SECTION_END), i))
+        stop = F.coalesce(F.array_min(F.filter(stops, lambda i: i.isNotNull())), F.size(x["following"]))
+        return F.concat(F.filter(F.array(x["rest"]), lambda y: y != ""), F.slice(x["following"], 1, stop))
+
+    def named(own: Column) -> Column:
+        return F.struct(F.get(own, F.lit(0)).alias("name"), F.when(F.size(own) > 1, F.array_join(F.slice(own, 2, F.size(own)), ", ")).alias("address"))
+
+    at = bind(F.split(text, "\n", -1), lambda lines: F.struct(lines.alias("lines"), labelled(lines).alias("at")))
+    return bind(at, lambda x: bind(read(x), lambda y: bind(own_lines(y), named)))
 
 
 def vendor_name(text: Column, named: Column) -> Column:
@@ -168,8 +174,8 @@ def items_reconcile(n_items: Column, total: Column, subtotal: Column) -> Column:
 
 
 def tax_plausible(subtotal: Column, tax: Column) -> Column:
-    rate = F.round(tax / subtotal * 100, 2)
-    return F.when(F.coalesce(subtotal > 0, F.lit(False)) & tax.isNotNull(), F.when(rate.between(0, 30), "passed").otherwise("warning")).otherwise("skipped")
+    rate = F.when(F.coalesce(subtotal > 0, F.lit(False)), F.round(tax / subtotal * 100, 2))
+    return bind(rate, lambda x: F.when(x.isNull(), "skipped").when(x.between(0, 30), "passed").otherwise("warning"))
 
 
 def date_valid(day: Column, today: Column) -> Column:
