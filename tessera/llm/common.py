@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Used only where the session names no spark.checkpoint.dir, as in tests.
+#: Used only by local sessions that name no spark.checkpoint.dir.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/tessera"
+#: Keys of at least one row in so many are looked up by a broadcast; there are no more than so many of them.
+HOT_SHARE = 1000
 #: What a task holds of a batch's text at once before it hands rows on.
 SLICE_BYTES = 4_000_000
 
@@ -24,7 +27,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
+    """The shared folder that the cluster names in spark.checkpoint.dir; a local session without one gets a local folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return folder or LOCAL_CHECKPOINTS
+
+
+#: The folder under which ``written`` puts its tables; ``scratch`` sets it.
+FOLDERS: list[str] = []
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder in whatever store Spark finds it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written within are deleted at the end; results that read them must be stored before."""
+    FOLDERS.append(f"{checkpoint_folder(spark)}/scratch-{uuid4().hex}")
+    try:
+        yield
+    finally:
+        remove(spark, FOLDERS.pop())
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -37,15 +64,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame) -> DataFrame:
     """Like ``cut_lineage``, as a Parquet table: Spark knows its size, so that later joins broadcast it if it is small."""
-    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid4().hex}"
+    path = f"{FOLDERS[-1] if FOLDERS else checkpoint_folder(df.sparkSession)}/table-{uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files that nothing refers to any more; it does so when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def lookup(rows: DataFrame, found: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """``rows`` with the columns of ``found``: its ``keys``, which are unique, ``n`` (rows that have them) and others.
+
+    Keys that at least one row in HOT_SHARE has, HOT_SHARE of them at most, are looked up without a shuffle, so that no task
+    gets all rows of a frequent key.
+    """
+    found = written(found)
+    frequent = F.col("n") * HOT_SHARE >= (found.agg(F.sum("n")).first()[0] or 0)
+    hot = F.broadcast(found.filter(frequent).drop("n").withColumn("__hot", F.lit(True)))
+    marked = rows.join(hot, keys, "left")
+    rare = marked.filter("__hot is null").select(*keys, *[F.col(f"`{c}`") for c in rows.columns if c not in keys])
+    return marked.filter("__hot").drop("__hot").unionByName(rare.join(found.filter(~frequent).drop("n"), keys, how))
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:

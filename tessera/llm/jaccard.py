@@ -13,7 +13,9 @@ as many at each further step, until k + 1 of them hold elements; two similar set
 one step both come to the next.
 
 Equal sets form a class with one representative. Buckets of at most SMALL representatives that share a signature are
-compared pair by pair. In larger ones all are compared with one of them, the hub. Sets near the hub are linked through it;
+compared pair by pair; pairs whose numbers of elements in SKETCH parts of the domain differ in more than k together cannot
+be similar and are passed over. In larger buckets all are compared with one of them, the hub: that which has most of its
+signatures in large buckets, as the text that many near copies come from has. Sets near the hub are linked through it;
 a link of a set that is far from the hub shows in the differences from the hub: two similar sets, one of which has d > k
 differences, share d - k of them at least, so they meet on the k + 1 rarest differences. These meetings are the buckets of
 the next round, with the set nearest to the old hub as the new one; a set leaves a bucket if the rarest difference that it
@@ -38,16 +40,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import cut_lineage, map_rows, written
+from tessera.llm.common import cut_lineage, lookup, map_rows, slices, written
 
 #: Members of a bucket that are compared pair by pair; larger buckets go by a hub.
 SMALL = 16
+#: Parts of the domain whose elements are counted, to pass over pairs; counts end at 255.
+SKETCH = 128
+#: Bits of the map by which texts of no pair are passed over before any of the others is moved: 1 MB, whatever the input.
+MAP_BITS = 1 << 23
 #: Of the signatures that a set may leave out, one in so many is chosen by its frequency.
 RESERVE = 4
 #: Similarity in percent from which subsets of two of three sub-partitions are signed; below it, of one of two.
 DENSE = 85
-#: Classes of at least one row in so many are looked up by a broadcast: no more than so many classes can be.
-HOT_SHARE = 1000
 #: Words whose hashes a task keeps.
 CACHE = 500_000
 
@@ -57,9 +61,9 @@ SIGNED = T.StructType([
     T.StructField("n_shingles", T.LongType()),
     T.StructField("key_a", T.LongType()),
     T.StructField("key_b", T.LongType()),
+    T.StructField("sketch", T.BinaryType()),
     T.StructField("signed", T.ArrayType(SIGNATURES)),
 ])
-PACKED = T.StructType([T.StructField("packed", T.BinaryType())])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -156,9 +160,10 @@ def sign(hashes: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]]:
 def sign_one(shingler: Shingler, percent: int, text: str | None) -> tuple:
     hashes = shingler.hashes(text)
     if not len(hashes):
-        return 0, None, None, None
+        return 0, None, None, None, None
+    sketch = np.minimum(np.bincount((hashes % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
     keys = np.array([hashes.sum(), mix(hashes).sum()], np.uint64).view(np.int64)
-    return len(hashes), int(keys[0]), int(keys[1]), [{"place": p, "spare": n, "signatures": x.view(np.int64)} for p, n, x in sign(hashes, percent)]
+    return len(hashes), int(keys[0]), int(keys[1]), sketch, [{"place": p, "spare": n, "signatures": x.view(np.int64)} for p, n, x in sign(hashes, percent)]
 
 
 def signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -167,17 +172,49 @@ def signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
     def start():
         return partial(sign_one, Shingler(n), percent)
 
-    return map_rows(docs.select("doc_id", "text"), "text", SIGNED, start).drop("text")
+    return map_rows(docs.select("doc_id", "text"), "text", SIGNED, start).drop("text").withColumn("row", F.monotonically_increasing_id())
 
 
-def packed_texts(docs: DataFrame) -> DataFrame:
-    """doc_id and compressed text: less to keep and to shuffle than the set, which tasks derive from it."""
+def id_map(pairs: DataFrame) -> np.ndarray:
+    """MAP_BITS bits, those set that the ids of the pairs fall on; MAP_BITS / 64 rows come to the driver at most."""
+    ids = pairs.select(F.explode(F.array("u", "hub")).alias("id")).select(F.pmod("id", F.lit(MAP_BITS)).alias("slot"))
+    words = ids.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
+    found = np.zeros(MAP_BITS // 64, np.int64)
+    found[words.column("word").to_numpy().astype(np.int64)] = words.column("bits").to_numpy()
+    return found
+
+
+def packed_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """doc_id and compressed text of the documents that the pairs name: less to move than the set, which tasks derive from it."""
+    shared = docs.sparkSession.sparkContext.broadcast(id_map(pairs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress, words = zstandard.ZstdCompressor(level=1).compress, shared.value
+        for batch in slices(batches, "text"):
+            slot = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False) % MAP_BITS
+            wanted = batch.filter(pa.array((words[slot >> 6] >> (slot & 63) & 1) == 1))
+            packed = [compress((text or "").encode()) for text in wanted.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([wanted.column("doc_id"), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
+
+    return of_pairs(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, packed binary"), pairs)
+
+
+def within_reach(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (u, hub, large) that are of a large bucket or may be similar by their sizes and sketches."""
+    for batch in batches:
+        if batch.num_rows:
+            parts = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16) for c in ("sketch_u", "sketch_hub")]
+            sizes = batch.column("size_u").to_numpy() + batch.column("size_hub").to_numpy()
+            near = np.abs(parts[0] - parts[1]).sum(axis=1) <= sizes * (100 - percent) // (100 + percent)
+            near &= np.abs(batch.column("size_u").to_numpy() - batch.column("size_hub").to_numpy()) <= sizes * (100 - percent) // (100 + percent)
+            kept = batch.filter(pa.array(near | batch.column("large").to_numpy(zero_copy_only=False)))
+            yield kept.select(["u", "hub", "large"])
 
-    def start():
-        compress = zstandard.ZstdCompressor(level=1).compress
-        return lambda text: (compress((text or "").encode()),)
 
-    return map_rows(docs.select("doc_id", "text"), "text", PACKED, start).drop("text")
+def reachable(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    side = lambda name: whole.select(F.col("doc_id").alias(name), F.col("n_shingles").alias(f"size_{name}"), F.col("sketch").alias(f"sketch_{name}"))
+    both = pairs.join(side("u"), "u").join(side("hub"), "hub")
+    return both.mapInArrow(partial(within_reach, percent), "u long, hub long, large boolean")
 
 
 COMPARED = "u long, hub long, large boolean, linked boolean, size long, apart long, spread long, differences array<long>"
@@ -271,9 +308,18 @@ def components(links: DataFrame) -> DataFrame:
     return step.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
+def representatives(whole: DataFrame) -> DataFrame:
+    """The rows of ``whole`` that stand for their class: of those with a doc_id the first, of equal rows one."""
+    own = whole.filter("n_shingles > 0 and doc_id is not null").select("key_a", "key_b", "doc_id", "row")
+    several = own.groupBy("key_a", "key_b").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    copies = lookup(own, several.select("key_a", "key_b", "n", F.col("first.row").alias("first")), ["key_a", "key_b"], "inner")
+    # Few rows are copies as a rule, so signatures need no shuffle to have one row for each class.
+    return whole.filter("n_shingles > 0 and doc_id is not null").join(written(copies.filter("row != first").select("row")), "row", "left_anti")
+
+
 def rare_signatures(classes: DataFrame) -> DataFrame:
-    """u and signature: what two classes or more have, without the spare ones of each class (u, signed)."""
-    entries = classes.select("u", F.inline("signed")).select("u", "place", "spare", F.explode("signatures").alias("signature"))
+    """u and signature: what two classes or more have, without the spare ones of each class (doc_id, signed)."""
+    entries = classes.select(F.col("doc_id").alias("u"), F.inline("signed")).select("u", "place", "spare", F.explode("signatures").alias("signature"))
     counts = entries.groupBy("signature").agg(F.count("*").alias("n")).filter("n > 1")
     own = F.array_sort(F.collect_list(F.struct("n", "signature"))).alias("own")  # of one set
     shared = entries.join(counts, "signature").groupBy("u", "place", "spare").agg(own)
@@ -281,18 +327,20 @@ def rare_signatures(classes: DataFrame) -> DataFrame:
     return kept.select("u", "e.signature")
 
 
-def shared_signatures(signatures: DataFrame) -> DataFrame:
+def shared_signatures(whole: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, hub, large) of representatives with a common signature: all of small buckets, members and hub of large ones."""
-    classes = signatures.filter("n_shingles > 0 and doc_id is not null").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("u"), F.first("signed").alias("signed"))
-    entries = cut_lineage(rare_signatures(classes))
-    hubs = entries.groupBy("signature").agg(F.min("u").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    members = entries.join(hubs, "signature")
+    entries = cut_lineage(rare_signatures(representatives(whole)))
+    sizes = entries.groupBy("signature").agg(F.count("*").alias("n")).filter("n > 1")
+    members = entries.join(sizes, "signature")
     # Many signatures have the same members; such buckets become one before their pairs are listed.
     bucket = F.array_sort(F.collect_list("u")).alias("bucket")
     small = members.filter(F.col("n") <= SMALL).groupBy("signature").agg(bucket).select("bucket").distinct()
     each = small.select("bucket", F.posexplode("bucket").alias("at", "hub")).select("hub", F.explode(F.slice("bucket", F.col("at") + 2, F.lit(SMALL))).alias("u"))
-    large = members.filter((F.col("n") > SMALL) & (F.col("u") != F.col("hub"))).select("u", "hub").distinct()
-    return written(both_kinds(each.filter("u != hub").select("u", "hub").distinct(), large))
+    crowded = cut_lineage(members.filter(F.col("n") > SMALL).select("u", "signature"))
+    often = crowded.groupBy("u").agg(F.count("*").alias("often"))
+    hubs = crowded.join(often, "u").groupBy("signature").agg(F.max(F.struct("often", (-F.col("u")).alias("last"))).alias("hub")).select("signature", (-F.col("hub.last")).alias("hub"))
+    large = crowded.join(hubs, "signature").filter("u != hub").select("u", "hub").distinct()
+    return written(reachable(both_kinds(each.filter("u != hub").select("u", "hub").distinct(), large), whole, percent))
 
 
 def of_pairs(texts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -308,10 +356,8 @@ def compared(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
 
 def links(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (u, v) between representatives that connect whatever is similar, from the pairs of ``shared_signatures``."""
-    texts, found = packed_texts(docs), []
+    texts, found = cut_lineage(packed_texts(docs, pairs)), []
     while True:
-        # Only the texts that are still compared go through the joins of a round.
-        texts = cut_lineage(of_pairs(texts, pairs))
         done = written(compared(pairs, texts, n, percent))
         found.append(done.filter("linked").select("u", F.col("hub").alias("v")))
         if pairs.filter("large").isEmpty():
@@ -319,28 +365,17 @@ def links(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
         pairs = written(next_pairs(written(meetings(done.filter("large"), percent)), percent))
         if pairs.isEmpty():
             break
+        texts = cut_lineage(of_pairs(texts, pairs))  # no others are compared any more
     return reduce(DataFrame.union, found)
 
 
-def with_components(rows: DataFrame, of_class: DataFrame) -> DataFrame:
-    """``rows`` (key_a, key_b and others) with the component of their class (key_a, key_b, n, component_id).
-
-    Classes that hold at least one row in HOT_SHARE, HOT_SHARE of them at most, are looked up without a shuffle.
-    """
-    total = of_class.agg(F.sum("n")).first()[0] or 0
-    frequent = F.col("n") * HOT_SHARE >= total
-    hot = F.broadcast(of_class.filter(frequent).drop("n"))
-    keys = ["key_a", "key_b"]
-    return rows.join(hot, keys).unionByName(rows.join(hot, keys, "left_anti").join(of_class.filter(~frequent).drop("n"), keys))
-
-
 def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``."""
     whole = cut_lineage(signed(docs, n, percent))
-    rows = whole.drop("signed")
-    pairs = shared_signatures(whole)
+    rows = whole.select("doc_id", "n_shingles", "key_a", "key_b")
+    pairs = shared_signatures(whole, percent)
     joined = components(links(docs, pairs, n, percent))
     classes = rows.filter("n_shingles > 0").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))
-    of_class = written(classes.join(joined, "node", "left").select("key_a", "key_b", "n", F.coalesce("component", "node").alias("component_id")))
+    of_class = classes.join(joined, "node", "left").select("key_a", "key_b", "n", F.coalesce("component", "node").alias("component_id"))
     empty = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return with_components(rows.filter("n_shingles > 0"), of_class).select("doc_id", "n_shingles", "component_id").unionByName(empty)
+    return lookup(rows.filter("n_shingles > 0"), of_class, ["key_a", "key_b"], "inner").select("doc_id", "n_shingles", "component_id").unionByName(empty)
