@@ -6,7 +6,9 @@ page's blocks in both directions, and each block is kept or not by its own vecto
 it. The labeller is fitted once, on FIT_PAGES synthetic pages of htmlpages with known blocks, from a fixed seed.
 
 A null or empty page gives an empty text. Pages without tags are one block. Markup that breaks off is dropped; all text
-is read, and none of a kept block is cut. Equal pages give equal texts. Extra columns pass through; one with the name of
+is read, and none of a kept block is cut. Pages of like lengths go through the network side by side, STEPS blocks at most
+with the padding; a longer page goes alone, in parts that hand on the state, so memory grows with the page's text and a few
+numbers for each block. Equal pages give equal texts. Extra columns pass through; one with the name of
 an output column is replaced.
 """
 
@@ -16,7 +18,8 @@ import html
 import math
 import re
 import zlib
-from functools import lru_cache
+from collections.abc import Callable
+from functools import lru_cache, partial
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -29,32 +32,89 @@ from tessera.llm.htmlpages import pages as synthetic_pages
 FIT_PAGES, EPOCHS, SEED = 2400, 16, 11
 PATHS, WORDS, SHARES, HIDDEN = 96, 32, 10, 20
 INPUT = PATHS + WORDS + SHARES
-#: Pages that go through the network side by side.
-BATCH = 48
+#: Pages, and blocks with padding, that go through the network side by side.
+BATCH, STEPS = 48, 16_384
+#: Elements of paths that a task keeps.
+KEPT_PATHS = 50_000
 CACHE = 200_000
 
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 NAME_PARTS = re.compile(r"[A-Za-z]+")
 #: Elements whose content is no text.
-SILENT = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "math", "video", "audio", "select", "textarea"}
+SILENT = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "math", "video", "audio", "select", "textarea", "button"}
 #: Of these, elements that a slash may close, and those whose content is no markup: without an end they take in the rest.
 FOREIGN, RAW = {"svg", "math"}, {"script", "style", "textarea", "iframe"}
 #: A closing slash at the end of a tag; one behind an unquoted value belongs to the value.
 CLOSED = re.compile(r"""(?<!\S)/\Z|["']/\Z|(?:^|\s)[^\s"'=]+/\Z""")
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "button", "output", "ruby", "rt", "rp", "nobr"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "output", "ruby", "rt", "rp", "nobr"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: An element's opening ends an open one of these within the nearest of those.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set())}
 
 
-def blocks(page: str | None) -> list[tuple[str, str, int, int]]:
+class Path:
+    """An open element and those around it; equal paths under one root are one object."""
+
+    __slots__ = ("parent", "label", "inner", "own", "whole", "vector")
+    made = 0
+
+    def __init__(self, parent: Path | None = None, label: str = ""):
+        self.parent, self.label, self.inner, self.vector = parent, label, {}, None
+        self.own = self.whole = None if parent else np.zeros(PATHS, np.float32)
+        Path.made += 1
+
+    def child(self, label: str) -> Path:
+        if label not in self.inner:
+            self.inner[label] = Path(self, label)
+        return self.inner[label]
+
+    def signs(self) -> np.ndarray:
+        """Hashed tags and words of the path, the nearest four elements in full and those around them by 0.7."""
+        if self.vector is None:
+            above, at = [], self
+            while at.whole is None:
+                above.append(at)
+                at = at.parent
+            for element in reversed(above):
+                name, *words = element.label.split(".")
+                element.own = hashed([f"<{name}", *(f".{w}" for w in words)])
+                element.whole = element.parent.whole + element.own
+            vector, at = 0.7 * self.whole, self
+            for _ in range(4):
+                vector += 0.3 * at.own
+                at = at.parent or at
+                if at.parent is None:
+                    break
+            self.vector = np.clip(vector + hashed([f"0{self.label.split('.')[0]}"] if self.parent else []), -2, 2)
+        return self.vector
+
+
+def hashed(signs: list[str]) -> np.ndarray:
+    vector = np.zeros(PATHS, np.float32)
+    for sign in signs:
+        i, s = bucket(sign, PATHS)
+        vector[i] += s
+    return vector
+
+
+ROOTS = [Path()]
+
+
+def root() -> Path:
+    """The root of this worker's paths; a new one when they have become many."""
+    if Path.made > KEPT_PATHS:
+        ROOTS[0], Path.made = Path(), 0
+    return ROOTS[0]
+
+
+def blocks(page: str | None) -> list[tuple[Path, str, int, int]]:
     """Path, text, characters in links and number of tags of each leaf block, in page order.
 
     The path has an element for each open block-level tag: its name and, after dots, the words of its class, id and role.
     """
-    found: list[tuple[str, str, int, int]] = []
-    stack: list[tuple[str, str]] = [("", "")]  # name, path
+    found: list[tuple[Path, str, int, int]] = []
+    stack: list[tuple[str, Path]] = [("", root())]
     parts: list[str] = []
     linked = tags = in_link = 0
 
@@ -100,7 +160,7 @@ def blocks(page: str | None) -> list[tuple[str, str, int, int]]:
         if name in INLINE:
             if name == "a":
                 in_link = 0 if ending else 1
-            elif name in ("button", "label"):
+            elif name == "label":
                 in_link = 0 if ending else 1
             continue
         if name in VOID:
@@ -132,7 +192,7 @@ def blocks(page: str | None) -> list[tuple[str, str, int, int]]:
         if attributes and ("class" in attributes or "id" in attributes or "role" in attributes):
             words = " ".join(x or y or z for x, y, z in NAMES.findall(attributes))
             label = ".".join([name, *dict.fromkeys(w.lower() for w in NAME_PARTS.findall(words))])
-        stack.append((name, f"{stack[-1][1]}/{label}"))
+        stack.append((name, stack[-1][1].child(label)))
     close()
     return found
 
@@ -143,25 +203,11 @@ def bucket(word: str, size: int) -> tuple[int, float]:
 
 
 class Featurizer:
-    """Vectors of blocks; what a path and a word give is kept."""
+    """Vectors of blocks; what a word gives is kept."""
 
     def __init__(self):
-        self.paths: dict[str, np.ndarray] = {}
         self.words: dict[str, int] = {}
 
-    def path(self, path: str) -> np.ndarray:
-        if path not in self.paths:
-            if len(self.paths) > CACHE // 10:
-                self.paths.clear()
-            vector = np.zeros(PATHS, np.float32)
-            for up, element in enumerate(reversed(path.split("/")[1:])):
-                name, *words = element.split(".")
-                for sign in ([f"<{name}", f"0{name}"] if up == 0 else [f"<{name}"]) + [f".{w}" for w in words]:
-                    i, s = bucket(sign, PATHS)
-                    vector[i] += s * (1.0 if up < 4 else 0.7)
-            self.paths[path] = np.clip(vector, -2, 2)
-        return self.paths[path]
-
     def number(self, word: str) -> int:
         if len(self.words) > CACHE:
             self.words.clear()
@@ -169,19 +215,21 @@ class Featurizer:
         self.words[word] = n = 2 * i + (s > 0)
         return n
 
-    def page(self, found: list[tuple[str, str, int, int]]) -> np.ndarray:
+    def page(self, every: list[tuple[Path, str, int, int]], begin: int = 0, end: int | None = None) -> np.ndarray:
+        """Vectors of a page's blocks, or of those from ``begin`` to ``end``."""
+        total, found = len(every), every[begin:end]
         n = len(found)
         x = np.zeros((n, INPUT), np.float32)
         known, numbers, counts = self.words, [], []
         for i, (path, text, linked, tags) in enumerate(found):
-            x[i, :PATHS] = self.path(path)
+            x[i, :PATHS] = path.signs()
             words = text.split(" ")
             counts.append(len(words))
             numbers += [known[w] if w in known else self.number(w) for w in words]
-            size = len(text)
+            size, at = len(text), begin + i
             x[i, PATHS + WORDS :] = (
                 min(1.1, math.log1p(size) / 6), min(1.1, math.log1p(len(words)) / 5), min(1.0, linked / size), min(1.0, tags / len(words)),
-                (text.count(".") + text.count(",")) / len(words), text[-1] in ".!?", text[0].isupper(), i / n, 1 / (1 + i), 1 / (n - i),
+                (text.count(".") + text.count(",")) / len(words), text[-1] in ".!?", text[0].isupper(), at / total, 1 / (1 + at), 1 / (total - at),
             )
         flat = np.array(numbers, np.int64)
         row = np.repeat(np.arange(n), counts)
@@ -204,10 +252,11 @@ class Lstm:
         self.b[HIDDEN : 2 * HIDDEN] = 1
         self.parameters = [self.w, self.u, self.b]
 
-    def forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = False) -> np.ndarray:
+    def forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = False, state: tuple | None = None) -> np.ndarray:
+        """States of each step; ``state`` is what an earlier part of the pages left in ``last``."""
         steps, pages, _ = x.shape
         inputs = (x.reshape(-1, INPUT) @ self.w + self.b).reshape(steps, pages, -1)
-        h = c = np.zeros((pages, HIDDEN), np.float32)
+        h, c = state or (np.zeros((pages, HIDDEN), np.float32),) * 2
         out = np.empty((steps, pages, HIDDEN), np.float32)
         kept = []
         for t in range(steps):
@@ -223,7 +272,7 @@ class Lstm:
             c = np.where(m, new_c, c)
             h = np.where(m, o * squashed, h)
             out[t] = h
-        self.kept = kept
+        self.kept, self.last = kept, (h, c)
         return out
 
     def backward(self, x: np.ndarray, d_out: np.ndarray) -> list[np.ndarray]:
@@ -303,15 +352,27 @@ class Labeller:
         self.ahead.kept = self.back.kept = []
 
     def label(self, vectors: list[np.ndarray]) -> list[np.ndarray]:
-        """Whether each block is kept, pages of like lengths side by side."""
-        answers: list[np.ndarray] = [np.zeros(0, bool)] * len(vectors)
-        order = [i for i in sorted(range(len(vectors)), key=lambda i: len(vectors[i])) if len(vectors[i])]
-        for at in range(0, len(order), BATCH):
-            chosen = order[at : at + BATCH]
-            p = self.forward([vectors[i] for i in chosen])[-1]
-            for k, i in enumerate(chosen):
-                answers[i] = p[: len(vectors[i]), k] > 0.5
-        return answers
+        """Whether each block is kept, for pages side by side."""
+        if not vectors:
+            return []
+        p = self.forward(vectors)[-1]
+        return [p[: len(v), k] > 0.5 for k, v in enumerate(vectors)]
+
+    def label_in_parts(self, vectors: Callable[[int, int], np.ndarray], n: int) -> np.ndarray:
+        """The same for one page of ``n`` blocks, whose vectors are made part by part."""
+        whole, kept, state = np.ones((STEPS, 1), bool), np.zeros(n, bool), None
+        ahead = np.empty((n, HIDDEN), np.float32)
+        for begin in range(0, n, STEPS):
+            x = vectors(begin, begin + STEPS)
+            ahead[begin : begin + STEPS] = self.ahead.forward(x[:, None], whole[: len(x)], state=state)[:, 0]
+            state = self.ahead.last
+        state = None
+        for begin in range((n - 1) // STEPS * STEPS, -1, -STEPS):
+            x = vectors(begin, begin + STEPS)
+            back = self.back.forward(x[::-1, None], whole[: len(x)], state=state)[::-1, 0]
+            state = self.back.last
+            kept[begin : begin + STEPS] = sigmoid(np.concatenate([ahead[begin : begin + STEPS], back, x], 1) @ self.v + self.a) > 0.5
+        return kept
 
 
 def training_set(count: int, seed: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -342,11 +403,26 @@ class Extractor:
 
     def many(self, pages: list[str | None]) -> list[tuple]:
         found = [blocks(p) for p in pages]
-        kept = self.labeller.label([self.featurizer.page(f) for f in found])
+        kept: list[np.ndarray] = [np.zeros(0, bool)] * len(found)
+        beside: list[int] = []
+        for i in sorted((i for i, f in enumerate(found) if f), key=lambda i: len(found[i])):
+            if len(found[i]) > STEPS:
+                kept[i] = self.labeller.label_in_parts(partial(self.featurizer.page, found[i]), len(found[i]))
+                continue
+            if len(beside) == BATCH or (len(beside) + 1) * len(found[i]) > STEPS:
+                self.label(found, kept, beside)
+                beside = []
+            beside.append(i)
+        self.label(found, kept, beside)
         texts = [[b[1] for b, k in zip(f, ks, strict=True) if k] for f, ks in zip(found, kept, strict=True)]
         return [("\n\n".join(t), len(f), len(t)) for t, f in zip(texts, found, strict=True)]
 
 
+    def label(self, found: list[list], kept: list[np.ndarray], chosen: list[int]) -> None:
+        for i, k in zip(chosen, self.labeller.label([self.featurizer.page(found[i]) for i in chosen]), strict=True):
+            kept[i] = k
+
+
 def extract(pages: DataFrame, column: str = "html", labeller: Labeller | None = None) -> DataFrame:
     """``pages`` without its markup, with text, n_blocks and n_kept."""
     shared = pages.sparkSession.sparkContext.broadcast(labeller or fitted())

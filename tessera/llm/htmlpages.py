@@ -141,7 +141,7 @@ class Page:
         def fill() -> None:
             for _ in range(self.rng.randint(1, 3)):
                 self.leaf(self.rng.choice(["p", "div"]), f"<label>{self.rng.choice(PHRASES['form'])}</label><input name=a>", False)
-            self.leaf("div", f"<button>{self.rng.choice(PHRASES['form'])}</button>", False)
+            self.parts.append(f"<div><button>{self.rng.choice(PHRASES['form'])}</button></div>")  # no block
 
         self.box("form", ["search", "login", "contact", "signup"], fill)
 

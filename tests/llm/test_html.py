@@ -100,6 +100,36 @@ def test_unseen_pages_of_the_same_kind():
     assert wrong < 0.02 * sum(map(len, labels))
 
 
+def test_a_page_in_parts_has_the_same_labels(monkeypatch):
+    from tessera.llm import html as module
+
+    pages = [page for page, _ in htmlpages.pages(12, 8)]
+    extractor = module.Extractor(fitted())
+    whole = extractor.many([*pages, "".join(pages)])
+    monkeypatch.setattr(module, "STEPS", 7)
+    assert extractor.many([*pages, "".join(pages)]) == whole
+
+
+def test_memory_on_long_pages():
+    """A page of very many blocks beside short ones, and deep nesting, go through in bounded memory."""
+    import tracemalloc
+
+    from tessera.llm.html import Extractor
+
+    extractor = Extractor(fitted())
+    extractor.many(["<p>warm</p>"])
+    for page in ("<p>some words here.</p>" * 60_000, "<div class='a b'>" * 8000 + "x"):
+        tracemalloc.start()
+        made = extractor.many(["<p>short</p>"] * 47 + [page])
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert made[-1][1] in (60_000, 1) and peak < 250e6
+
+
+def test_form_text_inside_a_block_is_dropped():
+    assert texts("<p>Read on <button class=x>Share <b>now</b></button>here</p><button>a<p>b</p>") == ["Read on here", "a", "b"]
+
+
 def test_pages_of_the_tables(spark):
     """Their article is what the element of that name holds."""
     pages = spark.read.parquet(f"{TABLES}/pages.parquet")
