@@ -5,8 +5,12 @@ token. Rules "tokens -> block" with enough support and confidence are kept unles
 They match through an inverted index: token to rules, counted on the distinct token sets of the URLs. Written rules of
 hosts and path prefixes come before mined ones. All work is DataFrame and MLlib work in the JVM.
 
-A null URL, or one without ``://``, has an empty host and path and is allowed unless a mined rule says otherwise. Equal
-URLs get equal verdicts. Without labels there are no mined rules.
+Equal labelled URLs count once, as bad if any label says so. Of more than SAME tokens that occur in the same labelled URLs,
+as the segments of a long path that all its URLs share, the first stands for all: the others make no other rules, only
+exponentially many equal ones. A null URL, or one without ``://``, has an empty host and path and is allowed unless a mined rule says otherwise. Equal
+URLs get equal verdicts; of several mined rules that match the surest one is named, then the longer, then the greater in
+order. Long URLs are read whole. Extra columns of pages and labels are not read, whatever their names. Without labels there
+are no mined rules.
 """
 
 from __future__ import annotations
@@ -15,9 +19,13 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import cut_lineage, lookup
+
 #: A rule needs this share of the labelled URLs, and this number of them.
 MIN_SUPPORT, MIN_URLS = 0.002, 10
 MIN_CONFIDENCE = 0.7
+#: Tokens that always occur together and are still kept apart.
+SAME = 4
 BLOCK, ALLOW = "=block", "=allow"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -69,9 +77,20 @@ def tokens(url: str, host: str, path: str) -> Column:
     return F.array_sort(F.array_distinct(F.coalesce(parts, F.array().cast("array<string>"))))
 
 
+def without_twins(labelled: DataFrame) -> DataFrame:
+    """``labelled`` (tokens, bad), with one token for each set of more than SAME that occur in the same rows."""
+    rows = cut_lineage(labelled.select(F.monotonically_increasing_id().alias("row"), "tokens", "bad"))
+    each = rows.select(F.xxhash64("row").alias("a"), F.xxhash64("row", F.lit(1)).alias("b"), F.explode("tokens").alias("token"))
+    places = each.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
+    crowds = places.groupBy("n", "a", "b").agg(F.count("*").alias("twins"), F.min("token").alias("first")).filter(F.col("twins") > SAME)
+    twins = places.join(crowds, ["n", "a", "b"]).filter("token != first").select("token")
+    kept = rows.select("row", F.explode("tokens").alias("token")).join(twins, "token", "left_anti").groupBy("row").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    return rows.select("row", "bad").join(kept, "row").select("tokens", "bad")
+
+
 def mine(labelled: DataFrame) -> DataFrame:
     """tokens, confidence and support of the rules that block, from ``labelled`` (tokens, bad)."""
-    marked = labelled.select(F.concat("tokens", F.array(F.when(F.col("bad"), F.lit(BLOCK)).otherwise(F.lit(ALLOW)))).alias("items"))
+    marked = without_twins(labelled).select(F.concat("tokens", F.array(F.when(F.col("bad"), F.lit(BLOCK)).otherwise(F.lit(ALLOW)))).alias("items"))
     total = marked.count()
     if not total:
         return labelled.select("tokens", F.lit(0.0).alias("confidence"), F.lit(0.0).alias("support")).limit(0)
@@ -87,12 +106,13 @@ def mine(labelled: DataFrame) -> DataFrame:
 
 
 def matched(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """tokens, confidence and mined rule of the sets of ``token_sets`` (tokens, distinct) that a rule matches."""
+    """tokens, n, confidence and mined rule of the sets of ``token_sets`` (tokens, distinct, and n) that a rule matches."""
     numbered = rules.select(F.col("tokens").alias("mined"), "confidence", F.size("tokens").alias("n"), F.xxhash64("tokens").alias("rule_id"))
     index = numbered.select("rule_id", "mined", "n", "confidence", F.explode("mined").alias("token"))
     hits = token_sets.select("tokens", F.explode("tokens").alias("token")).join(index, "token").groupBy("tokens", "rule_id", "mined", "n", "confidence").agg(F.count("*").alias("hits"))
     best = F.max(F.struct("confidence", "n", "mined")).alias("best")
-    return hits.filter("hits = n").groupBy("tokens").agg(best).select("tokens", "best.confidence", "best.mined")
+    found = hits.filter("hits = n").groupBy("tokens").agg(best).select("tokens", "best.confidence", "best.mined")
+    return found.join(token_sets, "tokens")
 
 
 def prepared(pages: DataFrame) -> DataFrame:
@@ -101,11 +121,11 @@ def prepared(pages: DataFrame) -> DataFrame:
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and the mined rule of each page (page_id, url); ``labels`` has url and bad."""
-    known = labels.filter(F.col("bad").isNotNull()).withColumn("host", host("url")).withColumn("path", path("url"))
+    known = labels.filter(F.col("bad").isNotNull()).groupBy("url").agg(F.max("bad").alias("bad")).withColumn("host", host("url")).withColumn("path", path("url"))
     mined = mine(known.select(tokens("url", "host", "path").alias("tokens"), "bad"))
     own = prepared(pages)
-    found = matched(own.select("tokens").distinct(), mined)
-    both = own.join(found, "tokens", "left").withColumn("written", rule_of(rules, "host", "path"))
+    found = matched(own.groupBy("tokens").agg(F.count("*").alias("n")), mined)
+    both = lookup(own, found, ["tokens"]).withColumn("written", rule_of(rules, "host", "path"))
     verdict = F.coalesce(F.col("written.verdict"), F.when(F.col("mined").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
     return both.select("page_id", "host", "path", F.col("written.rule").alias("rule"), verdict.alias("verdict"), F.array_join("mined", " ").alias("mined"))
 

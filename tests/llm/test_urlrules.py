@@ -77,6 +77,49 @@ def test_mined_rules(spark):
     assert all(judged[i] == ("block" if bad else "allow") for i, (_, bad) in enumerate(labelled))
 
 
+def test_verdicts_by_brute_force(spark):
+    """Labels with a signal and some noise: every rule by counting all token sets, then every page against every rule."""
+    from itertools import combinations
+
+    rng = random.Random(22)
+    spam = lambda host, path: "pills" in path or (host.startswith("m.") and "win" in path)
+    urls = sorted({f"http://{rng.choice(['m.', 'www.', ''])}{rng.choice('abc')}.org/{rng.choice(['win', 'pills', 'news', 'maps'])}/{rng.choice(['x', 'y'])}{i}" for i in range(600)})
+    labelled = [(u, spam(*split(u)) != (rng.random() < 0.04)) for u in urls[::2]]
+    frame = spark.createDataFrame([*labelled, *labelled[:50]], "url string, bad boolean")
+    token_sets = lambda us: [frozenset(r["tokens"]) for r in urlrules.prepared(pages_of(spark, us)).orderBy("page_id").collect()]
+    known = list(zip(token_sets([u for u, _ in labelled]), [b for _, b in labelled], strict=True))
+    found = {}
+    for subset in {frozenset(c) for s, bad in known if bad for n in range(1, len(s) + 1) for c in combinations(sorted(s), n)}:
+        fitting = [bad for s, bad in known if subset <= s]
+        if sum(fitting) >= 10 and sum(fitting) >= urlrules.MIN_CONFIDENCE * len(fitting):
+            found[subset] = sum(fitting) / len(fitting)
+    kept = [r for r, c in found.items() if not any(r - {t} in found and found[r - {t}] >= c for t in r)]
+    judged = {r["page_id"]: (r["verdict"], r["mined"]) for r in urlrules.judge(pages_of(spark, urls), frame).collect()}
+    for i, tokens in enumerate(token_sets(urls)):
+        fitting = [r for r in kept if r <= tokens]
+        best = max(fitting, key=lambda r: (found[r], len(r), sorted(r)), default=())
+        assert judged[i] == ("block" if fitting else "allow", " ".join(sorted(best)) if fitting else None)
+    unseen = [(judged[i][0] == "block", spam(*split(u))) for i, u in enumerate(urls) if i % 2]
+    assert sum(a and b for a, b in unseen) / sum(a for a, _ in unseen) > 0.95 and sum(a and b for a, b in unseen) > 0.95 * sum(b for _, b in unseen)
+
+
+def test_long_equal_urls_end(spark):
+    """Many labelled URLs with a long path in common, and repeats of one, make few rules."""
+    deep = "/".join(f"part{chr(97 + i)}" for i in range(24))
+    urls = [f"http://spam.org/{deep}/{chr(97 + i)}" for i in range(20)] + [f"http://spam.org/{deep}/x"] * 50
+    labelled = spark.createDataFrame([(u, True) for u in urls] + [(f"http://fine.org/{i}/a", False) for i in range(20)], "url string, bad boolean")
+    rows = urlrules.judge(pages_of(spark, [urls[0], "http://fine.org/3/a", f"http://spam.org/{deep}/new"]), labelled).collect()
+    assert {r["page_id"]: r["verdict"] for r in rows} == {0: "block", 1: "allow", 2: "block"}
+
+
+def test_a_frequent_token_set(spark):
+    """A third of all pages have equal tokens; every page still gets its row."""
+    labelled = spark.createDataFrame([(f"http://{'bad' if i % 2 else 'good'}.org/{i}", i % 2 == 1) for i in range(60)], "url string, bad boolean")
+    urls = ["http://bad.org/7"] * 500 + [f"http://h{i}.org/{i}" for i in range(1000)]
+    rows = urlrules.judge(pages_of(spark, urls), labelled).collect()
+    assert sorted(r["page_id"] for r in rows) == list(range(1500)) and sum(r["verdict"] == "block" for r in rows) == 500
+
+
 def test_query_keeps_every_page(spark):
     pages = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{TABLES}/pages.parquet").select("page_id", "url").collect()}
     rows = op3_url_filter(spark, TABLES).collect()
