@@ -19,34 +19,49 @@ def words(text):
     return Counter(re.findall(licenses.TERM, text.lower()))
 
 
+def paragraphs(text):
+    """The lines and sentences of each paragraph."""
+    return [[u for u in (x.strip(" ") for x in re.split(licenses.UNITS, p)) if u] for p in re.split(licenses.PARAGRAPHS, text or "")]
+
+
 def brute(files):
     """(licence, cosine, evidence, licence_from) of each (path, text), by all pairs of units and templates."""
-    pieces = lambda t: [u for u in (x.strip(" ") for x in re.split(licenses.UNITS, t or "")) if u]
-    speaking = lambda t: [u for u in pieces(t) if re.search(licenses.SPEAKS, u)]
-    units = {u for _, t in files for u in speaking(t)}
-    vectors = [words(u) for u in units] + [words(t) for _, t in licenses.TEMPLATES]
-    df = Counter(w for v in vectors for w in v)
-    idf = {w: math.log((1 + len(vectors)) / (1 + n)) + 1 for w, n in df.items()}
+    count = Counter(w for _, t in files for w in words(t or "").keys())
+    idf = {w: math.log((1 + len(files)) / (1 + count[w])) + 1 for w in {*count, *(w for _, t in licenses.TEMPLATES for w in words(t))}}
     weigh = lambda v: {w: n * idf[w] for w, n in v.items()}
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
-    known = [(name, weigh(words(t))) for name, t in licenses.TEMPLATES]
+    known = [weigh(words(t)) for _, t in licenses.TEMPLATES]
     of_unit = {}
-    for u in units:
-        own = weigh(words(u))
-        if not own:
-            continue
-        best = min((-round(sum(x * t.get(w, 0) for w, x in own.items()) / norm(own) / norm(t), 9), name) for name, t in known)
-        if -best[0] >= licenses.LEAST:
-            of_unit[u] = best
+
+    def nearest(u):
+        """(-cosine, template, weight), or None."""
+        if u not in of_unit:
+            own, of_unit[u] = weigh(words(u)), None
+            if own:
+                best = min((-round(sum(x * t.get(w, 0) for w, x in own.items()) / norm(own) / norm(t), 9), i) for i, t in enumerate(known))
+                if -best[0] >= licenses.LEAST:
+                    of_unit[u] = *best, -best[0] * norm(own)
+        return of_unit[u]
+
     own, folders = {}, {}
     for path, text in files:
-        hits = [of_unit[u] for u in speaking(text) if u in of_unit]
-        if hits:
-            whole = bool(re.search(licenses.LICENCE_NAME, path or "")) or len(hits) == len(pieces(text))
-            own[path, text] = *min(hits), whole
+        votes, highest, covered, total = Counter(), {}, 0, 0
+        for lines in paragraphs(text):
+            total += len(lines)
+            joined = nearest(" ".join(lines)) if len(lines) > 1 else None
+            each = [nearest(u) for u in lines]
+            covered += len(lines) if joined else sum(x is not None for x in each)
+            for order, template, weight in filter(None, [*each, joined]):
+                for licence in licenses.TEMPLATES[template][0]:
+                    votes[licence] += weight
+                    highest[licence] = max(highest.get(licence, 0), -order)
+        if votes:
+            _, name = min((-round(v, 6), licence) for licence, v in votes.items())
+            whole = bool(re.search(licenses.LICENCE_NAME, path or "")) or covered == total
+            own[path, text] = -highest[name], name, whole
             if whole:
                 folder = (path or "").rpartition("/")[0]
-                folders[folder] = min(folders.get(folder, min(hits)), min(hits))
+                folders[folder] = min(folders.get(folder, own[path, text][:2]), own[path, text][:2])
     result = []
     for path, text in files:
         if (path, text) in own:
@@ -70,7 +85,10 @@ ROWS = [
     ("a/b/c.py", "print(1)"), ("a/b/d.py", "# Licensed under the Apache License, Version 2.0.\nx = 1"), ("a/b/LICENSE.txt", "Licensed under CC BY-SA 4.0. Thanks."),
     ("a/b/e/f/g.py", None), ("h/i.py", ""), ("j.py", "All rights reserved.\ncode"), ("k/COPYING", "nothing of that kind"), ("k/l.py", "see the licence of somebody else for the weather"),
     ("a/b/c.py", "print(1)"), (None, "text"), (None, "Released under the MIT License."), ("", "x"), ("m/n.py", "Released under the BSD 3-Clause License.  Released under the ISC License."),
-    ("o/p.md", "Copyright 2020 Somebody\n" + "long " * 20_000), ("a//x", "y"), ("/root/LICENSE", "This is free and unencumbered software released into the public domain."), ("/root/z", "q"),
+    ("o/p.md", "Copyright 2020 Somebody\n" + "long " * 20_000), ("a//x", "y"), ("q/r.py", "Lizenziert unter CC BY-NC 4.0."), ("q/s.py", "GPL-3.0-only"),
+    ("t/LICENSE", "Copyright (c) 2020 Somebody\n\nPermission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated documentation files (the\n\"Software\"), to deal in the Software without restriction, including\nwithout limitation the rights to use, copy, modify, merge, publish,\ndistribute, sublicense, and/or sell copies of the Software, and to\npermit persons to whom the Software is furnished to do so, subject to\nthe following conditions:\n \nTHE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND"),
+    ("t/u.py", "v"), ("w/x.txt", "Redistributions of source code must retain the above copyright\nnotice, this list of conditions and the following disclaimer.\n\nNeither the name of the copyright holder nor the names of its\ncontributors may be used to endorse or promote products derived\nfrom this software without specific prior written permission."),
+    ("w/y.txt", "w"), ("/root/LICENSE", "This is free and unencumbered software released into the public domain."), ("/root/z", "q"),
 ]
 
 
@@ -80,6 +98,8 @@ def test_by_brute_force(spark):
     expected = brute(ROWS)
     rounded = lambda x: (x[0], None if x[1] is None else round(x[1], 6), *x[2:])
     assert [rounded(found[i]) for i in range(len(rows))] == [rounded(e) for e in expected]
+    by = {p: e for (p, _), e in zip(ROWS, expected, strict=True)}
+    assert by["q/r.py"][0] == "CC-BY-NC-4.0" and by["q/s.py"][0] == "GPL-3.0" and by["t/u.py"][0] == "MIT" and by["w/y.txt"][0] == "BSD-3-Clause"
 
 
 def test_documents_by_brute_force(spark):
