@@ -238,3 +238,42 @@ ITEM_HEADERS = {
     "unit_price": ["unit price", "price", "rate", "unit cost", "unit_price"],
     "total": ["total", "amount", "line total", "ext", "extended", "line_total"],
 }
+
+# What is advised about kinds of error patterns: their count, then their services or their beginning.
+ADVICE = {
+    "connection": "ConnectionTimeout errors (%d occurrences) suggest network connectivity issues — check network routes, firewall rules, and target service health",
+    "null": "Null reference errors (%d occurrences) in %s — review recent code deployments for missing null checks",
+    "memory": "Memory errors (%d occurrences) — consider increasing heap size, checking for memory leaks, or scaling horizontally",
+    "timeout": "Timeout errors (%d occurrences) — review service SLAs, increase timeout thresholds, or investigate downstream latency",
+    "permission": "Permission/authorization errors (%d occurrences) — verify IAM policies, API keys, and service account permissions",
+    "storage": "Storage-related errors (%d occurrences) — check disk usage, clean up old logs/temp files, or expand storage",
+    "frequent": 'High-frequency error pattern (%d occurrences): "%s" — investigate root cause urgently',
+}
+
+# What is advised about the start of an incident, one or several services, and severities.
+START_ADVICE = "Incident started at {} — check infrastructure changes, deployments, or external events around that time"
+SERVICES_ADVICE = ["{} is most affected — prioritize this service for investigation", "{} are most affected — prioritize these services for investigation"]
+SEVERITY_ADVICE = {
+    "CRITICAL": "CRITICAL severity — consider activating incident response procedures and notifying on-call teams",
+    "HIGH": "HIGH severity — escalate to engineering leads and monitor for further degradation",
+}
+
+# Assessments of similar incidents.
+ASSESSMENTS = {
+    "HIGH": "HIGH SIMILARITY — These incidents are very likely related or caused by the same root issue. Consider investigating them as a single recurring problem.",
+    "MODERATE": "MODERATE SIMILARITY — These incidents share some common patterns and may be partially related. Investigate shared error patterns for potential common root causes.",
+    "LOW": "LOW SIMILARITY — These incidents have limited overlap. They are likely separate issues but may share some infrastructure dependencies.",
+    "MINIMAL": "MINIMAL SIMILARITY — These incidents appear to be unrelated. Investigate them independently.",
+}
+
+# What is advised about faults of a table: the column, the count, and more on each.
+QUALITY_ADVICE = {
+    "missing": "Column '{}' has {} missing values ({}%). Consider imputation or removal.",
+    "duplicate_rows": "Dataset contains {} exact duplicate rows. Consider deduplication.",
+    "duplicate_ids": "Column '{}' has {} duplicate values. ID columns should be unique.",
+    "emails": "Column '{}' contains {} invalid email addresses. Validate and correct email formats.",
+    "dates": "Column '{}' contains {} invalid or unparseable dates. Standardise date formats.",
+    "numbers": "Column '{}' contains {} non-numeric values in a numeric context. Clean or convert these values.",
+    "outliers": "Column '{}' has {} outliers (values outside IQR range [{}, {}]). Review for data entry errors.",
+    "suspicious": "Column '{}' is suspicious: {}. Consider dropping or investigating.",
+}

@@ -231,33 +231,29 @@ def classify(entries: DataFrame) -> DataFrame:
 
 
 def advice(pattern: Column, n: Column, services: Column) -> Column:
-    """What to do about an error pattern, or null."""
-    lower = F.lower(pattern)
+    """What to do about an error pattern, or null: the advice of the first kind in the table that it is of."""
+    lower, named = F.lower(pattern), F.array_join(services, ", ")
     has = lambda text, *words: F.array_contains(F.array(*[F.contains(text, F.lit(w)) for w in words]), True)
-    say = lambda text, *values: F.format_string(text, *values)
-    return (
-        F.when(has(pattern, "ConnectionTimeout") | (has(lower, "connection") & has(lower, "timeout")), say("ConnectionTimeout errors (%d occurrences) suggest network connectivity issues — check network routes, firewall rules, and target service health", n))
-        .when(has(pattern, "NullPointer", "NoneType") | has(lower, "null"), say("Null reference errors (%d occurrences) in %s — review recent code deployments for missing null checks", n, F.array_join(services, ", ")))
-        .when(has(pattern, "OutOfMemory", "MemoryError") | has(lower, "heap"), say("Memory errors (%d occurrences) — consider increasing heap size, checking for memory leaks, or scaling horizontally", n))
-        .when(has(pattern, "Timeout") | has(lower, "timed out"), say("Timeout errors (%d occurrences) — review service SLAs, increase timeout thresholds, or investigate downstream latency", n))
-        .when(has(pattern, "Permission", "Forbidden", "403"), say("Permission/authorization errors (%d occurrences) — verify IAM policies, API keys, and service account permissions", n))
-        .when(has(lower, "disk", "storage") | has(pattern, "ENOSPC"), say("Storage-related errors (%d occurrences) — check disk usage, clean up old logs/temp files, or expand storage", n))
-        .when(n > 1000, say('High-frequency error pattern (%d occurrences): "%s" — investigate root cause urgently', n, F.substring(pattern, 1, 80)))
-    )
+    kinds = {
+        "connection": (has(pattern, "ConnectionTimeout") | (has(lower, "connection") & has(lower, "timeout")), [n]),
+        "null": (has(pattern, "NullPointer", "NoneType") | has(lower, "null"), [n, named]),
+        "memory": (has(pattern, "OutOfMemory", "MemoryError") | has(lower, "heap"), [n]),
+        "timeout": (has(pattern, "Timeout") | has(lower, "timed out"), [n]),
+        "permission": (has(pattern, "Permission", "Forbidden", "403"), [n]),
+        "storage": (has(lower, "disk", "storage") | has(pattern, "ENOSPC"), [n]),
+        "frequent": (n > 1000, [n, F.substring(pattern, 1, 80)]),
+    }
+    return F.coalesce(*[F.when(fits, F.format_string(fixed.ADVICE[kind], *values)) for kind, (fits, values) in kinds.items()])
 
 
 def recommendations(top: list, start: str | None, services: list[str], level: str) -> list[str]:
     """Advice of the top patterns (rows with ``advice``), then on the start, the services and the severity; no repeats."""
     said = [r["advice"] for r in top[:5] if r["advice"]]
     if start:
-        said.append(f"Incident started at {start} — check infrastructure changes, deployments, or external events around that time")
+        said.append(fixed.START_ADVICE.format(start))
     if first := services[:3]:
-        many = len(first) > 1
-        said.append(f"{', '.join(first)} {'are' if many else 'is'} most affected — prioritize {'these services' if many else 'this service'} for investigation")
-    said += {
-        "CRITICAL": ["CRITICAL severity — consider activating incident response procedures and notifying on-call teams"],
-        "HIGH": ["HIGH severity — escalate to engineering leads and monitor for further degradation"],
-    }.get(level, [])
+        said.append(fixed.SERVICES_ADVICE[len(first) > 1].format(", ".join(first)))
+    said += [fixed.SEVERITY_ADVICE[level]] if level in fixed.SEVERITY_ADVICE else []
     return list(dict.fromkeys(said))
 
 
@@ -279,6 +275,25 @@ class Report:
     def as_dict(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("patterns", "timeline")}
 
+    def document(self, output_files: dict | None = None) -> dict:
+        """The report in the form in which it is stored and compared."""
+        s, a = self.summary, self.anomaly
+        time = lambda t: t.replace(tzinfo=t.tzinfo or UTC).isoformat() if t else None
+        return {
+            "environment": self.environment,
+            "time_range": {"start": time(s["first_seen"]), "end": time(s["last_seen"])},
+            "severity": self.severity,
+            "summary": {"total_lines_parsed": s["total_lines"], "total_errors": s["errors"], "total_warnings": s["warnings"], "total_info": s["infos"], "parse_failures": s["parse_failures"]},
+            "top_errors": [
+                {"pattern": e["pattern"], "count": e["n"], "first_seen": e["first_seen"], "last_seen": e["last_seen"], "affected_services": e["services"], "sample_message": e["sample"]}
+                for e in self.top_errors
+            ],
+            "anomaly_detection": {"suspected_incident_start": a["start"], "anomaly_score": a["score"], "baseline_error_rate_per_min": a["baseline"], "peak_error_rate_per_min": a["peak"]},
+            "affected_services": [{"name": x["service"], "error_count": x["errors"]} for x in self.services],
+            "recommendations": self.recommendations,
+            "output_files": output_files or {},
+        }
+
 
 def analyze(lines: DataFrame, environment: str = "production", time: str | None = None, threshold: str | None = None, now: datetime | None = None, year: int | None = None) -> Report:
     """An incident report of log lines. Only the top patterns, services and single rows of statistics come to the driver."""
@@ -343,6 +358,38 @@ def compare(a: dict, b: dict) -> dict:
     }
 
 
+def of_document(report: dict) -> dict:
+    """What ``compare`` reads of a stored report (``Report.document``); parts that are missing count as empty."""
+    return {
+        "severity": report.get("severity", "UNKNOWN"),
+        "top_errors": [{"pattern": e["pattern"], "n": e.get("count", 0)} for e in report.get("top_errors", [])],
+        "services": [{"service": x["name"]} for x in report.get("affected_services", [])],
+    }
+
+
+def comparison(a: dict, b: dict, names: tuple[str, str]) -> dict:
+    """The comparison of two stored reports as a report of its own: both sides, their overlaps, and an assessment."""
+    sides = [of_document(x) for x in (a, b)]
+    found = compare(*sides)
+    known = [({e["pattern"] for e in x["top_errors"]}, {e["service"] for e in x["services"]}) for x in sides]
+    percent = lambda k: round(100 * len(known[0][k] & known[1][k]) / max(1, len(known[0][k] | known[1][k])), 1)
+    summary = lambda x, i: {
+        "file": names[i], "environment": x.get("environment", "unknown"), "time_range": x.get("time_range", {}), "severity": sides[i]["severity"],
+        "total_errors": x.get("summary", {}).get("total_errors", 0), "num_error_patterns": len(known[i][0]), "num_affected_services": len(known[i][1]),
+    }
+    return {
+        "similarity_score": found["similarity_score"],
+        "assessment": fixed.ASSESSMENTS[found["band"]],
+        "incident_a": summary(a, 0),
+        "incident_b": summary(b, 1),
+        "pattern_comparison": {k: found[k] for k in ("common_patterns", "unique_to_a", "unique_to_b")} | {"pattern_similarity_pct": percent(0)},
+        "service_comparison": {
+            "common_services": found["common_services"], "unique_to_a": found["services_only_in_a"], "unique_to_b": found["services_only_in_b"], "service_similarity_pct": percent(1),
+        },
+        "severity_comparison": {"incident_a": sides[0]["severity"], "incident_b": sides[1]["severity"], "same_severity": found["same_severity"]},
+    }
+
+
 def first_occurrences(entries: DataFrame) -> DataFrame:
     """The first entry of each pattern, in the order of the corpus."""
     own = entries.withColumn("pattern", pattern_of(F.col("message")))

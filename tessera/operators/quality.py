@@ -245,25 +245,13 @@ class Profile:
 
 def recommendations(found: Profile) -> list[str]:
     """What to do about the faults, in a fixed order of kinds."""
-    said = []
-    share = lambda n: round(100 * n / found.rows, 2)
-    for c, n in found.faults["missing"].items():
-        said.append(f"Column '{c}' has {n} missing values ({share(n)}%). Consider imputation or removal.")
-    if found.totals.duplicate_rows:
-        said.append(f"Dataset contains {found.totals.duplicate_rows} exact duplicate rows. Consider deduplication.")
-    if found.duplicate_id:
-        said.append(f"Column '{found.duplicate_id[0]}' has {found.duplicate_id[1]} duplicate values. ID columns should be unique.")
-    for c, n in found.faults["emails"].items():
-        said.append(f"Column '{c}' contains {n} invalid email addresses. Validate and correct email formats.")
-    for c, n in found.faults["dates"].items():
-        said.append(f"Column '{c}' contains {n} invalid or unparseable dates. Standardise date formats.")
-    for c, n in found.faults["numbers"].items():
-        said.append(f"Column '{c}' contains {n} non-numeric values in a numeric context. Clean or convert these values.")
-    for c, n in found.faults["outliers"].items():
-        low, high = (round(found.columns[c][k], 4) for k in ("lower", "upper"))
-        said.append(f"Column '{c}' has {n} outliers (values outside IQR range [{low}, {high}]). Review for data entry errors.")
-    for c, reasons in found.suspicious.items():
-        said.append(f"Column '{c}' is suspicious: {'; '.join(reasons)}. Consider dropping or investigating.")
+    of, rows, faults = fixed.QUALITY_ADVICE, found.rows, found.faults
+    said = [of["missing"].format(c, n, round(100 * n / rows, 2)) for c, n in faults["missing"].items()]
+    said += [of["duplicate_rows"].format(found.totals.duplicate_rows)] if found.totals.duplicate_rows else []
+    said += [of["duplicate_ids"].format(*found.duplicate_id)] if found.duplicate_id else []
+    said += [of[kind].format(c, n) for kind in ("emails", "dates", "numbers") for c, n in faults[kind].items()]
+    said += [of["outliers"].format(c, n, *(round(found.columns[c][k], 4) for k in ("lower", "upper"))) for c, n in faults["outliers"].items()]
+    said += [of["suspicious"].format(c, "; ".join(reasons)) for c, reasons in found.suspicious.items()]
     return said
 
 

@@ -93,8 +93,8 @@ def write_timeline(buckets: DataFrame, path: str) -> None:
     write_csv(buckets.orderBy("bucket").select(*[F.col(c).alias(n) for c, n in names.items()]), path)
 
 
-def write_report(report: Report, path: str) -> None:
-    Path(path).write_text(json.dumps(report.as_dict(), indent=2, ensure_ascii=False, default=str), encoding="utf-8")
+def write_report(report: Report, output_files: dict, path: str) -> None:
+    Path(path).write_text(json.dumps(report.document(output_files), indent=2, ensure_ascii=False, default=str), encoding="utf-8")
 
 
 def write_invoices(invoices: DataFrame, path: str) -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,19 +34,31 @@ def has_log_name(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1)).isin(fixed.LOG_EXTENSIONS)
 
 
+def opened(content: bytes) -> Iterator[tuple[str, bytes | None]]:
+    """Name and content of an archive's files; None for what can't be read, without a name for the archive itself."""
+    try:
+        archive = zipfile.ZipFile(io.BytesIO(content))
+    except (zipfile.BadZipFile, OSError, ValueError):
+        yield "", None
+        return
+    with archive:
+        for name in archive.namelist():
+            if not name.endswith("/"):
+                try:
+                    own = archive.read(name)
+                except (zipfile.BadZipFile, zlib.error, OSError, RuntimeError, NotImplementedError, EOFError):
+                    own = None
+                yield name, own
+
+
 def members(archives: DataFrame) -> DataFrame:
-    """path and content of the files in ZIP archives; archives that can't be read have none."""
+    """path and content of the files in ZIP archives; a null content for an archive or a member that can't be read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                        for name in archive.namelist():
-                            if not name.endswith("/"):
-                                yield pa.RecordBatch.from_pydict({"path": [f"{path}!/{name}"], "content": [archive.read(name)]})
-                except zipfile.BadZipFile:
-                    continue
+                for name, own in opened(content):
+                    yield pa.RecordBatch.from_pydict({"path": [f"{path}!/{name}" if name else path], "content": pa.array([own], pa.binary())})
 
     return archives.select("path", "content").mapInArrow(run, FILES)
 
@@ -57,7 +70,13 @@ def collect(spark: SparkSession, path: str) -> DataFrame:
     single = F.col("path").endswith("/" + path.split("://")[-1].strip("/"))  # the path itself is a file
     plain = files.filter(~zipped & (single | has_log_name(F.col("path"))))
     packed = members(files.filter(zipped)).filter(has_log_name(F.col("path")))
-    return plain.unionByName(packed).filter(~is_binary(F.col("content")))
+    return plain.unionByName(packed).filter(F.col("content").isNotNull() & ~is_binary(F.col("content")))
+
+
+def unreadable(spark: SparkSession, path: str) -> int:
+    """Archives, and files in archives, that can't be read; the others are read all the same."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return members(files.filter(F.lower("path").endswith(".zip"))).filter("content is null").count()
 
 
 def lines(files: DataFrame) -> DataFrame:

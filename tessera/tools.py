@@ -7,6 +7,7 @@ as ``status`` "error" with a message; others are raised. Outputs lie beside the
 from __future__ import annotations
 
 import os
+import time
 from dataclasses import asdict
 from pathlib import Path
 
@@ -64,8 +65,9 @@ def analyze_logs(spark: SparkSession, path: str, environment: str = "production"
     names = {"error_summary": "error_summary.csv", "timeline": "timeline.csv", "report": "incident_report.json"}
     at = {k: beside(path, n, output) for k, n in names.items()}
     written = {"error_summary": tried(files.write_error_summary, report.patterns, at["error_summary"]), "timeline": tried(files.write_timeline, report.timeline, at["timeline"])}
-    written["report"] = tried(files.write_report, report, at["report"])
-    return {"status": "success"} | report.as_dict() | {"output_files": written}
+    names_of = {k: os.path.basename(x) if x == at[k] else x for k, x in written.items()}
+    written["report"] = tried(files.write_report, report, names_of | {"incident_report": names["report"]}, at["report"])
+    return {"status": "success", "unreadable_files": logs.unreadable(spark, path)} | report.as_dict() | {"output_files": written}
 
 
 def compare_incidents(spark: SparkSession, path_a: str, path_b: str) -> dict:
@@ -77,11 +79,12 @@ def compare_incidents(spark: SparkSession, path_a: str, path_b: str) -> dict:
         a, b = (sources.read_reports(spark, p)[0] for p in (path_a, path_b))
     except ValueError as e:
         return failed(f"not a report: {e}")
-    return {"status": "success"} | incidents.compare(a, b)
+    return {"status": "success"} | incidents.comparison(a, b, (path_a, path_b))
 
 
 def transform_records(spark: SparkSession, path: str, config: str | None = None, enrichers: list[str] | None = None, output_format: str = "csv", flatten_depth: int = 10, output: str | None = None) -> dict:
     """Nested JSON records as a flat table: CSV, JSON or Excel."""
+    began = time.perf_counter()
     if output_format not in FORMATS:
         return failed(f"unknown output format {output_format!r}; use one of {', '.join(FORMATS)}")
     for p in (path, *([config] if config else [])):
@@ -96,7 +99,9 @@ def transform_records(spark: SparkSession, path: str, config: str | None = None,
     made = records.transform(found, sources.read_config(config) if config else None, enrichers, flatten_depth)
     write, suffix = {"csv": (files.write_csv_file, "csv"), "json": (files.write_json_file, "json"), "excel": (files.write_excel_file, "xlsx")}[output_format]
     at = beside(path, os.path.basename(files.output_name(path, suffix)), output)
-    return {"status": "success", "summary": made.summary, "validation": made.validation, "output_file": tried(write, made.frame, at)}
+    output_file = tried(write, made.frame, at)
+    summary = made.summary | {"processing_time_ms": round((time.perf_counter() - began) * 1000, 2)}
+    return {"status": "success", "summary": summary, "validation": made.validation, "output_file": output_file}
 
 
 def process_invoices(spark: SparkSession, path: str, known: DataFrame | None = None, today: str | None = None, output: str | None = None) -> DataFrame:
