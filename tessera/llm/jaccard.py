@@ -14,8 +14,9 @@ one step both come to the next.
 
 Equal sets form a class with one representative. Buckets of at most SMALL representatives that share a signature are
 compared pair by pair; pairs whose numbers of elements in SKETCH parts of the domain differ in more than k together cannot
-be similar and are passed over. In larger buckets all are compared with one of them, the hub: that which has most of its
-signatures in large buckets, as the text that many near copies come from has. Sets near the hub are linked through it;
+be similar and are passed over. In larger buckets all are compared with one set, the hub: of those in the bucket, and in other
+large buckets of its members, that which has most of its signatures in large buckets, as the text that many near copies
+come from has. So the buckets of many near copies have one hub, and each copy is compared once. Sets near the hub are linked through it;
 a link of a set that is far from the hub shows in the differences from the hub: two similar sets, one of which has d > k
 differences, share d - k of them at least, so they meet on the k + 1 rarest differences. These meetings are the buckets of
 the next round, with the set nearest to the old hub as the new one; a set leaves a bucket if the rarest difference that it
@@ -53,7 +54,7 @@ RESERVE = 4
 #: Similarity in percent from which subsets of two of three sub-partitions are signed; below it, of one of two.
 DENSE = 85
 #: Words whose hashes a task keeps.
-CACHE = 500_000
+CACHE = 150_000
 
 #: Signatures of a band and step (place); ``spare`` of them, the most frequent, are left out.
 SIGNATURES = T.StructType([T.StructField("place", T.IntegerType()), T.StructField("spare", T.IntegerType()), T.StructField("signatures", T.ArrayType(T.LongType()))])
@@ -338,7 +339,10 @@ def shared_signatures(whole: DataFrame, percent: int) -> DataFrame:
     each = small.select("bucket", F.posexplode("bucket").alias("at", "hub")).select("hub", F.explode(F.slice("bucket", F.col("at") + 2, F.lit(SMALL))).alias("u"))
     crowded = cut_lineage(members.filter(F.col("n") > SMALL).select("u", "signature"))
     often = crowded.groupBy("u").agg(F.count("*").alias("often"))
-    hubs = crowded.join(often, "u").groupBy("signature").agg(F.max(F.struct("often", (-F.col("u")).alias("last"))).alias("hub")).select("signature", (-F.col("hub.last")).alias("hub"))
+    best = F.max(F.struct("often", (-F.col("u")).alias("last"))).alias("best")
+    own = crowded.join(often, "u").groupBy("signature").agg(best)
+    beside = crowded.join(own, "signature").groupBy("u").agg(F.max("best").alias("best"))
+    hubs = crowded.join(beside, "u").groupBy("signature").agg(F.max("best").alias("best")).select("signature", (-F.col("best.last")).alias("hub"))
     large = crowded.join(hubs, "signature").filter("u != hub").select("u", "hub").distinct()
     return written(reachable(both_kinds(each.filter("u != hub").select("u", "hub").distinct(), large), whole, percent))
 
