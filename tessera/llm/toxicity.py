@@ -7,7 +7,12 @@ no part of the space. Every text with a term is searched. The K nearest examples
 examples without terms. The score is smoothed towards the rate among all, so that few or distant examples say little.
 
 At most MAX_LABELLED labelled rows are used, those with the smallest hash of their doc_id. Of several labels of one
-document the highest counts. Null texts count as empty. Without usable labels every score is 0.
+document the highest counts, and of several texts of a labelled doc_id the one with the smallest hash is the example. Of
+the examples whose vector equals a text's, one has no vote: it may be the text itself.
+
+Null texts count as empty. Without usable labels every score is 0. Long texts are read whole. Equal texts get equal scores;
+equally near examples are taken in the order of their vectors, then of doc_id. Extra columns of the documents pass through
+``score_texts``, but for those named like an output column; those of the labels are not read.
 """
 
 from __future__ import annotations
@@ -32,8 +37,10 @@ MAX_LABELLED = 20_000
 K = 32
 BLOCK = 64
 SMOOTHING = 1.0
-#: Terms that more than one in so many examples have are kept as columns of a dense table.
-COMMON = 2
+#: At most so many terms, the commonest of those that one in SPARSE examples has or more, are columns of a dense table.
+COMMON, SPARSE = 256, 64
+#: Texts that are searched together, and more than the error of single precision in a cosine.
+TOGETHER, MARGIN = 64, 1e-4
 #: Natural logarithm of the inverse of the expected number of terms chosen by chance.
 CERTAINTY = 3.0
 THRESHOLD = 0.3
@@ -118,6 +125,10 @@ def weights(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarra
     return raw / np.sqrt((raw * raw).sum()) if len(raw) else raw
 
 
+def vector_key(terms: np.ndarray, counts: np.ndarray) -> bytes:
+    return hashlib.blake2b(np.asarray(terms, np.int32).tobytes() + np.asarray(counts, np.int32).tobytes(), digest_size=16).digest()
+
+
 class BlockMaxIndex:
     """Inverted index of the examples, in blocks of BLOCK; common terms in a table, with their greatest weight in each block."""
 
@@ -133,59 +144,112 @@ class BlockMaxIndex:
         term = np.concatenate([np.asarray(x[2], np.int32) for x in known] or [np.zeros(0, np.int32)])
         weight = np.concatenate([weights(np.asarray(x[2]), np.asarray(x[3], float), idf) for x in known] or [np.zeros(0)])
         held = np.bincount(term, minlength=len(idf))
-        common = np.flatnonzero(held * COMMON > n)
+        common = np.argsort(-held, kind="stable")[:COMMON]
+        common = common[held[common] * SPARSE > n]
         self.column = np.full(len(idf), -1, np.int32)
         self.column[common] = np.arange(len(common))
         self.table = np.zeros((n, len(common)))
         often = self.column[term] >= 0
         self.table[at[often], self.column[term[often]]] = weight[often]
-        self.length = np.sqrt((self.table * self.table).sum(axis=1))
-        self.most = np.maximum.reduceat(self.table, np.arange(0, n, BLOCK), axis=0) if n else self.table
+        self.quick = self.table.astype(np.float32)
+        self.begins = np.arange(0, n, BLOCK)
+        self.most = np.maximum.reduceat(self.quick, self.begins, axis=0) if n else self.quick
         order = np.argsort(term[~often], kind="stable")
         self.at, self.weight = at[~often][order].astype(np.intp), weight[~often][order]
         self.edges = np.searchsorted(term[~often][order], np.arange(len(idf) + 1))
         self.seen: dict[bytes, tuple] = {}
-
-    def nearest(self, terms: np.ndarray, weight: np.ndarray, k: int = K) -> list[tuple[float, int]]:
-        """Cosine and number of the ``k`` nearest examples; equal cosines in the examples' order. Exact.
-
-        The rare terms' postings are summed. What common terms can add is bounded by the lengths of both vectors in these
-        terms and by the terms' greatest weights in a block; only examples that can be among the nearest look them up.
+        #: The first example with a vector.
+        self.first: dict[bytes, int] = {}
+        for i, x in enumerate(known):
+            self.first.setdefault(vector_key(x[2], x[3]), i)
+
+    def rare(self, terms: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """What the terms outside the table add to the cosine with each example."""
+        rare = self.column[terms] < 0
+        spans = [(a, b, w) for a, b, w in zip(self.edges[terms[rare]].tolist(), self.edges[terms[rare] + 1].tolist(), weight[rare].tolist(), strict=True) if b > a]
+        if not spans:
+            return np.zeros(len(self.ids))
+        weighed = np.concatenate([self.weight[a:b] for a, b, _ in spans])
+        weighed *= np.repeat([w for _, _, w in spans], [b - a for a, b, _ in spans])
+        return np.bincount(np.concatenate([self.at[a:b] for a, b, _ in spans]), weighed, len(self.ids))
+
+    def nearest_of_each(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = K) -> list[list[tuple[float, int]]]:
+        """Cosine and number of the ``k`` nearest examples of each text; equal cosines in the examples' order. Exact.
+
+        The rare terms' postings are summed. What common terms can add in a block of examples is bounded by the terms'
+        greatest weights there; the table is read, in single precision, in the blocks that some text of the batch may need.
+        Examples within its error of the k-th are then weighed in full precision.
         """
         n = len(self.ids)
-        column = self.column[terms]
-        rare = column < 0
-        spans = [(a, b, w) for a, b, w in zip(self.edges[terms[rare]].tolist(), self.edges[terms[rare] + 1].tolist(), weight[rare].tolist(), strict=True) if b > a]
-        cosine = np.zeros(n)
-        if spans:
-            weighed = np.concatenate([self.weight[a:b] for a, b, _ in spans])
-            weighed *= np.repeat([w for _, _, w in spans], [b - a for a, b, _ in spans])
-            cosine = np.bincount(np.concatenate([self.at[a:b] for a, b, _ in spans]), weighed, n)
-        own = np.zeros(self.table.shape[1])
-        own[column[~rare]] = weight[~rare]
-        bound = cosine + np.minimum(self.length * np.sqrt(own @ own), np.repeat(self.most @ own, BLOCK)[:n])
-        chosen = np.arange(n)
+        if not n:
+            return [[] for _ in vectors]
+        own = np.zeros((len(vectors), self.table.shape[1]))
+        for i, (terms, weight) in enumerate(vectors):
+            column = self.column[terms]
+            own[i, column[column >= 0]] = weight[column >= 0]
+        quick = own.astype(np.float32)
+        rare = np.stack([self.rare(*v) for v in vectors])
+        about = rare.astype(np.float32)
         if n > k:
-            first = np.argpartition(-bound, k - 1)[:k]
-            chosen = np.flatnonzero(bound >= (cosine[first] + self.table[first] @ own).min() - 1e-9)
-        found = np.round(cosine[chosen] + self.table[chosen] @ own, 12)
-        best = np.lexsort((chosen, -found))[:k]
-        return [(float(found[i]), int(chosen[i])) for i in best if found[i] > 0]
+            bound = np.maximum.reduceat(about, self.begins, axis=1) + quick @ self.most.T
+            least = np.empty((len(vectors), 1), np.float32)
+            for i in range(len(vectors)):
+                first = np.argpartition(-about[i], k - 1)[:k]
+                least[i] = (about[i, first] + self.quick[first] @ quick[i]).min()
+            needed = np.flatnonzero((bound >= least - MARGIN).any(axis=0))
+            rows = np.arange(n) if len(needed) == len(self.begins) else np.concatenate([np.arange(b, min(n, b + BLOCK)) for b in self.begins[needed]])
+        else:
+            rows = np.arange(n)
+        whole = len(rows) == n
+        about = (about if whole else about[:, rows]) + quick @ (self.quick if whole else self.quick[rows]).T
+        found = []
+        for i in range(len(vectors)):
+            if len(rows) > k:
+                least = np.partition(about[i], len(rows) - k)[len(rows) - k]
+                chosen = rows[about[i] >= least - MARGIN]
+            else:
+                chosen = rows
+            cosine = np.round(rare[i, chosen] + self.table[chosen] @ own[i], 12)
+            best = np.lexsort((chosen, -cosine))[:k]
+            found.append([(float(cosine[j]), int(chosen[j])) for j in best if cosine[j] > 0])
+        return found
 
-    def score(self, terms: list[int], counts: list[int]) -> tuple[float, list[int]]:
+    def nearest(self, terms: np.ndarray, weight: np.ndarray, k: int = K) -> list[tuple[float, int]]:
+        return self.nearest_of_each([(terms, weight)], k)[0]
+
+    def voted(self, near: list[tuple[float, int]]) -> tuple[float, list[int]]:
         """Score and the doc_ids of the nearest examples."""
-        if not len(terms) or not self.ids:
-            return self.blank, []
-        terms, counts = np.asarray(terms, np.int32), np.asarray(counts, np.int32)
-        key = hashlib.blake2b(terms.tobytes() + counts.tobytes(), digest_size=16).digest()
-        if key not in self.seen:
-            if len(self.seen) > 100_000:
-                self.seen.clear()
-            near = self.nearest(terms, weights(terms, counts.astype(float), self.idf))
-            cosine, toxic = np.array([c for c, _ in near]), self.toxic[[i for _, i in near]]
-            share = (cosine @ toxic + SMOOTHING * self.rate) / (cosine.sum() + SMOOTHING) if near else self.rate
-            self.seen[key] = float(min(1.0, max(0.0, share))), [self.ids[i] for _, i in near[:EVIDENCE]]
-        return self.seen[key]
+        cosine, toxic = np.array([c for c, _ in near]), self.toxic[[i for _, i in near]]
+        share = (cosine @ toxic + SMOOTHING * self.rate) / (cosine.sum() + SMOOTHING) if near else self.rate
+        return float(min(1.0, max(0.0, share))), [self.ids[i] for _, i in near[:EVIDENCE]]
+
+    def scores(self, vectors: list[tuple[list[int], list[int]]]) -> list[tuple[float, list[int]]]:
+        """Score and evidence of each text; equal texts are searched once as long as they are kept."""
+        if len(self.seen) > 100_000:
+            self.seen.clear()
+        keys = [vector_key(*v) if len(v[0]) and self.ids else None for v in vectors]
+        new = {key: v for key, v in zip(keys, vectors, strict=True) if key is not None and key not in self.seen}
+        each = list(new.items())
+        for at in range(0, len(each), TOGETHER):
+            batch = each[at : at + TOGETHER]
+            searched = [(np.asarray(t, np.int32), weights(np.asarray(t, np.int32), np.asarray(c, float), self.idf)) for _, (t, c) in batch]
+            for (key, _), near in zip(batch, self.nearest_of_each(searched, K + 1), strict=True):
+                own = self.first.get(key)
+                self.seen[key] = self.voted([x for x in near if x[1] != own][:K])
+        return [(self.blank, []) if key is None else self.seen[key] for key in keys]
+
+    def score(self, terms: list[int], counts: list[int]) -> tuple[float, list[int]]:
+        return self.scores([(terms, counts)])[0]
+
+
+class Scorer:
+    """Scores of texts for ``map_rows``."""
+
+    def __init__(self, index: BlockMaxIndex, vector: Vectorizer):
+        self.index, self.vector = index, vector
+
+    def many(self, texts: list[str | None]) -> list[tuple]:
+        return self.index.scores([self.vector(t) for t in texts])
 
 
 #: Index by name, in a Python worker.
@@ -219,7 +283,9 @@ def document_counts(docs: DataFrame, known: Broadcast) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> tuple[Model, DataFrame]:
     """The model, and ``docs`` with the vectors (terms, counts) in place of their texts."""
     sample = cut_lineage(examples_of(labels, limit))
-    texts = cut_lineage(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))  # at most ``limit`` documents
+    known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    least = F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "toxic")).alias("least")
+    texts = cut_lineage(known.groupBy("doc_id").agg(least).select("doc_id", "least.text", "least.toxic"))  # at most ``limit`` documents
     terms = {w: i for i, w in enumerate(sorted({*words_of(texts), *marking_terms(texts)}))}
     known = docs.sparkSession.sparkContext.broadcast(terms)
     vector = lambda df: map_rows(df.drop(*[c for c in ("terms", "counts") if c in df.columns]), "text", VECTOR, lambda: Vectorizer(known.value)).drop("text")
@@ -229,7 +295,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> tuple[
     holding[t[t >= 0]] = n[t >= 0]
     idf = np.log((1 + total) / (1 + holding)) + 1
     examples = []
-    for batch in vector(texts.dropDuplicates(["doc_id"])).toArrow().to_batches():  # ``limit`` rows at most
+    for batch in vector(texts).toArrow().to_batches():  # ``limit`` rows at most
         found = [values_of(batch.column(c)) for c in ("doc_id", "toxic", "terms", "counts")]
         examples += [(d, y, a.astype(np.int32), c.astype(np.int32)) for d, y, a, c in zip(*found, strict=True)]
     return Model(terms, sorted(examples, key=lambda x: x[0]), idf), vector(docs)
@@ -248,8 +314,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid4().hex
 
     def start():
-        index, vector = loaded(shared, name), Vectorizer(shared.value.terms)
-        return lambda text: index.score(*vector(text))
+        return Scorer(loaded(shared, name), Vectorizer(shared.value.terms))
 
     return map_rows(docs, "text", SCORED, start)
 
@@ -263,7 +328,7 @@ def score_vectors(vectors: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = loaded(shared, name)
         for batch in batches:
-            scores = [index.score(t, c) for t, c in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True)]
+            scores = index.scores(list(zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True)))
             own = [batch.column(f.name) for f in kept]
             yield pa.RecordBatch.from_arrays([*own, pa.array([s for s, _ in scores], pa.float64()), pa.array([e for _, e in scores], pa.list_(pa.int64()))], names=schema.fieldNames())
 
