@@ -1,6 +1,12 @@
 """A training corpus from ``documents`` in stages; each works on all rows that its predecessor kept.
 
-A stage takes (spark, docs, sf_dir) and returns documents with the columns of ``docs``; the last returns packed pieces.
+A stage takes (spark, docs, sf_dir) and returns documents with the columns of ``docs``; the last returns packed pieces. The
+output of a stage is deleted once the next one is stored, and so are the tables that a stage writes in between.
+
+Null texts have too few words, so the quality rules reject them; empty tables give empty results. Rows without doc_id take
+part in all stages. Repeated rows go through the first two stages each, line dedup treats them as one occurrence, and of
+near duplicates, repeated rows included, one row is left: that with the smallest doc_id. Long texts are read whole. Extra
+columns pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import jaccard, linededup, packing, quality, toxicity
-from tessera.llm.common import checkpoint_folder, table, written
+from tessera.llm.common import checkpoint_folder, remove, scratch, table, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Shingles and similarity of near duplicates.
@@ -74,6 +80,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{checkpoint_folder(spark)}/pipeline-{uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs
