@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import fixed
-from tessera.functions.columns import NUMERIC, domain, is_free_mail, is_number, personal_data_class, quoted, timestamp, top_domain
+from tessera.functions.columns import NUMERIC, bind, date, domain, is_free_mail, is_number, personal_data_class, quoted, timestamp, top_domain
 
 SNIFFED = 100
 
@@ -134,9 +134,14 @@ def cast_bool(c: Column) -> Column:
     return F.when(text.isin("true", "1", "yes"), True).when(text.isin("false", "0", "no"), False)
 
 
+def cast_time(c: Column) -> Column:
+    """A time in a known format, or a date in one, the month first where both orders fit."""
+    return bind(c.cast("string"), lambda x: F.coalesce(timestamp(x), date(x).cast("timestamp")))
+
+
 CASTS: dict[str, Callable[[Column], Column]] = {
     "string": cast_text, "str": cast_text, "float": cast_float, "double": cast_float, "int": cast_int, "integer": cast_int,
-    "bool": cast_bool, "boolean": cast_bool, "datetime": lambda c: timestamp(c.cast("string")), "date": lambda c: timestamp(c.cast("string")),
+    "bool": cast_bool, "boolean": cast_bool, "datetime": cast_time, "date": cast_time,
 }
 
 

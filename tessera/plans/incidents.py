@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import minute, pattern_of
+from tessera.functions.fixed import ADVICE
 from tessera.operators import incidents
 from tessera.plans.catalog import ORACLE, QUERIES, Given, query
 
@@ -212,3 +213,98 @@ NOW = datetime(2024, 1, 20, tzinfo=UTC)
 @query(f"SELECT count(*) AS n FROM ({ENTRIES.sql}) WHERE ts BETWEEN '2024-01-13 00:00:00' AND '2024-01-20 00:00:00'")
 def log_relative_range(spark, sf_dir):
     return incidents.within(entries(spark, sf_dir), *incidents.time_range("last_7d", NOW)).agg(F.count("*").alias("n"))
+
+
+@query(f"""
+WITH b AS ({HOURS}), s AS (SELECT avg(error) AS mean, stddev_pop(error) AS std, max(error) AS peak FROM b)
+SELECT CAST(floor((peak - mean) / std * 100) AS BIGINT) AS score, CAST(floor(mean * 100) AS BIGINT) AS baseline FROM s""")
+def log_anomaly_score(spark, sf_dir):
+    """The highest z and the mean, in hundredths."""
+    return incidents.anomaly(hours(spark, sf_dir)).select(*[F.floor(F.col(c) * 100).cast("long").alias(c) for c in ("score", "baseline")])
+
+
+@query("SELECT CAST(3 AS BIGINT) AS n_buckets, '2024-01-01T00:00:00Z' AS start, CAST(0 AS BIGINT) AS score UNION ALL SELECT 1, '2024-01-01T00:00:00Z', 0")
+def log_anomaly_few_buckets(spark, sf_dir):
+    """Three equal buckets have no anomaly and no score; a single bucket is its own start."""
+    bucket = lambda n: spark.range(n).select(F.concat(F.lit("2024-01-01T0"), F.col("id"), F.lit(":00:00Z")).alias("bucket"), F.lit(4).alias("error"))
+    rows = [incidents.anomaly(bucket(n)).select(F.lit(n).cast("long").alias("n_buckets"), F.coalesce("start", F.lit("2024-01-01T00:00:00Z")).alias("start"), F.col("score").cast("long").alias("score")) for n in (3, 1)]
+    return rows[0].unionByName(rows[1])
+
+
+@query("""
+SELECT max(n) AS peak, count(*) FILTER (n > 0) AS error_minutes, true AS has_fatal, 'CRITICAL' AS severity
+FROM (SELECT count(*) FILTER (event_type = 'error') AS n FROM events GROUP BY date_trunc('minute', ts))""")
+def log_fatal_severity(spark, sf_dir):
+    """Every ninth error is fatal, so the incident is critical whatever its peak."""
+    fatal = F.when((F.col("severity") == "ERROR") & (F.col("line_no") % 9 == 0), "FATAL").otherwise(F.col("severity"))
+    return incidents.classify(entries(spark, sf_dir).withColumn("severity", fatal))
+
+
+@query("SELECT count(*) FILTER (event_id % 6 = 0) AS parse_failures FROM events")
+def log_unparsed_lines(spark, sf_dir):
+    """Lines without a time and a severity; every sixth has neither."""
+    line = F.when(F.col("line_no") % 6 == 0, F.concat(F.lit("nothing to see in "), F.col("line_no"))).when(F.col("line_no") % 6 == 1, line_of("fallback")).otherwise(line_of("standard"))
+    return incidents.parse_failures(incidents.parse(entries(spark, sf_dir).select(line.alias("line"), "source_file", "line_no"), year=2024))
+
+
+KINDS = Given("""
+SELECT CASE user_id % 8 WHEN 0 THEN 'ConnectionTimeout to db' WHEN 1 THEN 'NullPointerException in parser' WHEN 2 THEN 'java.lang.OutOfMemoryError: heap' WHEN 3 THEN 'request timed out after a while'
+  WHEN 4 THEN 'HTTP 403 for a path' WHEN 5 THEN 'no space on disk' WHEN 6 THEN CONCAT('odd pattern ', REPEAT('x', 100)) ELSE 'rare' END AS pattern,
+  CASE WHEN user_id % 8 = 6 THEN 1001 ELSE user_id % 500 END AS n, CONCAT('svc', CAST(user_id % 3 AS STRING)) AS service, event_id FROM {events}""")
+
+
+@query(f"""
+SELECT event_id, CASE {" ".join(f"WHEN starts_with(pattern, '{first}') THEN printf('{ADVICE[kind]}', {values})" for first, kind, values in (
+    ("ConnectionTimeout", "connection", "n"), ("NullPointer", "null", "n, service || ', extra'"), ("java", "memory", "n"), ("request", "timeout", "n"), ("HTTP", "permission", "n"), ("no space", "storage", "n"), ("odd", "frequent", "n, left(pattern, 80)")))} END AS advice
+FROM ({KINDS.sql})""")
+def log_advice_kinds(spark, sf_dir):
+    """One pattern for each kind of advice, and one for none."""
+    return KINDS(spark, sf_dir).select("event_id", incidents.advice(F.col("pattern"), F.col("n"), F.array("service", F.lit("extra"))).alias("advice"))
+
+
+@query(f"""
+WITH m AS (SELECT max(n) AS peak, count(*) FILTER (n > 0) AS minutes FROM (SELECT count(*) FILTER (event_type = 'error') AS n FROM events GROUP BY date_trunc('minute', ts)))
+, p AS (SELECT pattern, n, row_number() OVER (ORDER BY n DESC, first_line) AS r FROM ({ERROR_PATTERNS}))
+, s AS (SELECT concat('svc', user_id % 7) AS service, count(*) AS errors, min(event_id) AS first FROM events WHERE event_type = 'error' GROUP BY 1)
+SELECT count(*) AS total_lines_parsed, count(*) FILTER (severity = 'ERROR') AS total_errors, count(*) FILTER (severity = 'WARNING') AS total_warnings, count(*) FILTER (severity = 'INFO') AS total_info,
+  CAST(0 AS BIGINT) AS parse_failures, (SELECT pattern FROM p WHERE r = 1) AS top_pattern, (SELECT n FROM p WHERE r = 1) AS top_count, (SELECT count(*) FROM p WHERE r <= 20) AS n_patterns,
+  (SELECT service FROM s ORDER BY errors DESC, first LIMIT 1) AS first_service, (SELECT count(*) FROM s) AS n_services,
+  (SELECT CASE WHEN peak > 1000 THEN 'CRITICAL' WHEN peak > 100 OR minutes > 10 THEN 'HIGH' WHEN peak > 10 THEN 'MEDIUM' ELSE 'LOW' END FROM m) AS severity, (SELECT peak FROM m) AS peak,
+  strftime(min(ts), '%Y-%m-%dT%H:%M:%S') AS start, strftime(max(ts), '%Y-%m-%dT%H:%M:%S') AS "end"
+FROM ({ENTRIES.sql})""")
+def log_incident_report(spark, sf_dir):
+    """The whole analysis of JSON lines, as far as a row shows its stored report."""
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    line = F.to_json(F.struct(iso.alias("time"), F.col("severity").alias("level"), F.col("service").alias("logger"), F.col("message").alias("msg")))
+    r = incidents.analyze(entries(spark, sf_dir).select(line.alias("line"), "source_file", "line_no"), year=2024).document()
+    top, first = r["top_errors"][0], r["affected_services"][0]
+    row = dict(r["summary"]) | {
+        "top_pattern": top["pattern"], "top_count": top["count"], "n_patterns": len(r["top_errors"]), "first_service": first["name"], "n_services": len(r["affected_services"]), "severity": r["severity"],
+        "peak": r["anomaly_detection"]["peak_error_rate_per_min"], "start": r["time_range"]["start"][:19], "end": r["time_range"]["end"][:19],
+    }
+    return spark.createDataFrame([tuple(row.values())], ", ".join(f"`{k}` {'string' if isinstance(v, str) else 'long'}" for k, v in row.items()))
+
+
+@query(f"""
+WITH e AS (SELECT {PATTERN} AS pattern, concat('svc', user_id % 7) AS service, ts < '{SPLIT}' AS a, event_id FROM events WHERE event_type = 'error')
+, p AS (SELECT a, pattern FROM (SELECT a, pattern, row_number() OVER (PARTITION BY a ORDER BY count(*) DESC, min(event_id)) AS r FROM e GROUP BY a, pattern) WHERE r <= 20)
+, s AS (SELECT DISTINCT a, service FROM e)
+, t AS (SELECT (SELECT count(*) FROM (SELECT pattern FROM p WHERE a INTERSECT SELECT pattern FROM p WHERE NOT a)) AS pc, (SELECT count(DISTINCT pattern) FROM p) AS pn,
+    (SELECT count(*) FROM (SELECT service FROM s WHERE a INTERSECT SELECT service FROM s WHERE NOT a)) AS sc, (SELECT count(DISTINCT service) FROM s) AS sn)
+, x AS (SELECT *, CAST(round((100.0 * pc / pn * 0.6 + 100.0 * sc / sn * 0.3 + 10) * 10) AS BIGINT) AS similarity FROM t)
+SELECT similarity, CASE WHEN similarity >= 800 THEN 'HIGH' WHEN similarity >= 500 THEN 'MODERATE' WHEN similarity >= 200 THEN 'LOW' ELSE 'MINIMAL' END AS level, pc AS n_common, pn - pc AS n_unique,
+  (SELECT count(*) FROM e WHERE a) AS errors_in_a, (SELECT count(*) FROM e WHERE NOT a) AS errors_in_b FROM x""")
+def log_compare_report(spark, sf_dir):
+    """The comparison of the stored reports of both halves; both are of the same severity."""
+    sides = []
+    for half in (F.col("ts") < SPLIT, F.col("ts") >= SPLIT):
+        iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+        line = F.to_json(F.struct(iso.alias("time"), F.col("severity").alias("level"), F.col("service").alias("logger"), F.col("message").alias("msg")))
+        sides.append(incidents.analyze(entries(spark, sf_dir).filter(half).select(line.alias("line"), "source_file", "line_no"), year=2024).document())
+    c = incidents.comparison(*sides, ("a", "b"))
+    patterns = c["pattern_comparison"]
+    row = (
+        round(c["similarity_score"] * 10), c["assessment"].split()[0], len(patterns["common_patterns"]), len(patterns["unique_to_a"]) + len(patterns["unique_to_b"]),
+        c["incident_a"]["total_errors"], c["incident_b"]["total_errors"],
+    )
+    return spark.createDataFrame([row], "similarity long, level string, n_common long, n_unique long, errors_in_a long, errors_in_b long")

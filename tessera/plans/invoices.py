@@ -138,3 +138,49 @@ def inv_overall_status(spark, sf_dir):
 def inv_summary(spark, sf_dir):
     found = invoices.summary(invoices.fields(TEXT(spark, sf_dir).select("doc_id", "text")), "doc_id")
     return found.agg(F.count("*").alias("n_rows"), F.count_if(F.col("field") == "invoice_number").alias("n_numbers"))
+
+
+#: Invoices in other words: each of the forms of a number, currencies by code and sign, a vendor in the first line, one amount missing.
+FORMS = Given(f"""
+WITH o AS ({ORDERS})
+SELECT o_orderkey AS doc_id, net, tax, CONCAT(CASE WHEN o_orderkey % 2 = 0 THEN '1 Street' ELSE 'ab' END, CHR(10), 'Firm ', CAST(o_orderkey % 7 AS STRING), CHR(10),
+  CASE o_orderkey % 5 WHEN 0 THEN 'Invoice #A-' WHEN 1 THEN 'Bill No. A-' WHEN 2 THEN 'Receipt # A-' WHEN 3 THEN 'INV-2024-0' ELSE 'Invoice Number: A-' END, CAST(o_orderkey AS STRING), CHR(10),
+  'Issued On 0', CAST(1 + o_orderkey % 9 AS STRING), '/1', CAST(o_orderkey % 10 AS STRING), '/', CAST(2020 + o_orderkey % 8 AS STRING), CHR(10), 'ABN: X', CAST(o_orderkey AS STRING), CHR(10),
+  'Grand Total: ', CASE o_orderkey % 4 WHEN 0 THEN '£' WHEN 1 THEN '€' WHEN 2 THEN '¥' ELSE '' END, {money('net + tax')}, CHR(10),
+  CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE CONCAT('Sub-Total: ', CASE o_orderkey % 4 WHEN 0 THEN '£' WHEN 1 THEN '€' WHEN 2 THEN '¥' ELSE '' END, {money('net')}, CHR(10)) END,
+  CASE WHEN o_orderkey % 6 = 1 THEN '' ELSE CONCAT('VAT (20%): ', CASE o_orderkey % 4 WHEN 0 THEN '£' WHEN 1 THEN '€' WHEN 2 THEN '¥' ELSE '' END, {money('tax')}, CHR(10)) END) AS text FROM o""")
+DAY = "(2020 + doc_id % 8) || '-0' || (1 + doc_id % 9) || '-1' || doc_id % 10"
+
+
+@query(f"""
+SELECT doc_id, CASE WHEN doc_id % 5 = 3 THEN '2024-0' || doc_id ELSE 'A-' || doc_id END AS invoice_number, {DAY} AS invoice_date, 'Firm ' || doc_id % 7 AS vendor, 'X' || doc_id AS tax_id,
+  CASE doc_id % 4 WHEN 0 THEN 'GBP' WHEN 1 THEN 'EUR' WHEN 2 THEN 'JPY' ELSE 'USD' END AS currency FROM ({FORMS.sql})""")
+def inv_other_forms(spark, sf_dir):
+    found = invoices.fields(FORMS(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "invoice_number", "invoice_date", F.col("vendor.name").alias("vendor"), F.col("vendor.tax_id").alias("tax_id"), "currency")
+
+
+@query(f"SELECT doc_id, net AS subtotal, tax, net + tax AS total, CASE WHEN net > 0 THEN CAST(floor(tax * 100.0 / net + 0.005) AS BIGINT) END AS rate FROM ({FORMS.sql})")
+def inv_inferred_amounts(spark, sf_dir):
+    """A missing subtotal or tax comes from the others; the tax rate in whole percents."""
+    found = invoices.fields(FORMS(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", *[cents(c).alias(c) for c in ("subtotal", "tax", "total")], F.floor(F.col("tax_rate_percent") + 0.001).cast("long").alias("rate"))
+
+
+@query(f"""
+SELECT doc_id, CASE WHEN doc_id % 10 = 9 THEN 'failed' WHEN {DAY} > '2024-06-30' THEN 'warning' ELSE 'passed' END AS date_valid,
+  CASE WHEN doc_id % 10 = 9 THEN 'Invoice date could not be extracted' END AS error, CASE WHEN doc_id % 10 <> 9 AND {DAY} > '2024-06-30' THEN 'Invoice date is in the future' END AS warning
+FROM ({FORMS.sql})""")
+def inv_dates_checked(spark, sf_dir):
+    """Dates before and after the day of the check, and none in every tenth invoice."""
+    text = F.when(F.col("doc_id") % 10 == 9, F.regexp_replace("text", "Issued On [0-9/]+", "")).otherwise(F.col("text"))
+    found = invoices.process(FORMS(spark, sf_dir).select("doc_id", text.alias("text")), ["doc_id"], F.lit("2024-06-30").cast("date"))
+    said = lambda column, words: F.get(F.filter(column, lambda x: F.contains(x, F.lit(words))), F.lit(0))
+    return found.select("doc_id", "date_valid", said("errors", "date").alias("error"), said("warnings", "date").alias("warning"))
+
+
+@query(f"SELECT doc_id, unnest(['currency', 'due_date', 'invoice_number', 'tax']) AS field, unnest(['EUR', '1997-03-' || lpad(CAST(1 + doc_id % 28 AS VARCHAR), 2, '0'), CAST(number AS VARCHAR), CAST(tax AS VARCHAR)]) AS value FROM ({TEXT.sql})")
+def inv_summary_values(spark, sf_dir):
+    """Fields as rows; the tax in cents."""
+    found = invoices.summary(invoices.fields(TEXT(spark, sf_dir).select("doc_id", "text")), "doc_id").filter(F.col("field").isin("currency", "due_date", "invoice_number", "tax"))
+    return found.select("doc_id", "field", F.when(F.col("field") == "tax", F.round(F.col("value").cast("double") * 100).cast("long").cast("string")).otherwise(F.col("value")).alias("value"))

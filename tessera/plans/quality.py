@@ -158,3 +158,24 @@ FROM ({each(["customer_id", "email", "amount", "signup_date", "phone", "segment"
 def dq_column_kinds(spark, sf_dir):
     found = quality.profile(PEOPLE(spark, sf_dir)).columns
     return spark.createDataFrame([(c, x["kind"]) for c, x in found.items()], "`column` string, kind string")
+
+
+@query(f"""
+WITH p AS ({PEOPLE.sql}), t AS ({TOTALS.format(email=EMAIL_SQL, date=DATE_SQL.format("signup_date"), amount=NUMBER_SQL.format("amount"), day=NUMBER_SQL.format("signup_date"), people=PEOPLE.sql)})
+, b AS (SELECT quantile_cont(balance, 0.25) AS q1, quantile_cont(balance, 0.75) AS q3, quantile_cont(customer_id, 0.25) AS i1, quantile_cont(customer_id, 0.75) AS i3 FROM p)
+, o AS (SELECT count(*) FILTER (balance < q1 - 1.5 * (q3 - q1) OR balance > q3 + 1.5 * (q3 - q1)) + count(*) FILTER (customer_id < i1 - 1.5 * (i3 - i1) OR customer_id > i3 + 1.5 * (i3 - i1)) AS outliers FROM p, b)
+, c AS (SELECT count(*) AS suspicious FROM ({each(["customer_id", "email", "amount", "signup_date", "phone", "segment", "balance"], "count($) AS f, count(*) - count($) AS n, count(DISTINCT $) AS d", PEOPLE.sql)})
+    WHERE n > 0.8 * (f + n) OR d <= 1 AND f > 0 OR d > 0.95 * f AND d > 50)
+, s AS (SELECT 100.0 - least(25, 100.0 * missing / (n_rows * n_columns)) - least(10, 200.0 * emails / (n_rows * n_columns)) - least(10, 200.0 * dates / (n_rows * n_columns))
+    - least(10, 200.0 * numbers / (n_rows * n_columns)) - least(10, 100.0 * outliers / (n_rows * n_columns)) - least(10, 30.0 * suspicious / n_columns) AS score, outliers, suspicious FROM t, o, c)
+SELECT CAST(round(greatest(0, score) * 100) AS BIGINT) AS score, outliers, suspicious FROM s""")
+def dq_quality_score(spark, sf_dir):
+    """The score of PEOPLE in hundredths, and the two faults that dq_quality_totals leaves out."""
+    found = quality.profile(PEOPLE(spark, sf_dir))
+    return spark.createDataFrame([(round(found.score * 100), found.totals.outliers, found.totals.suspicious)], "score long, outliers long, suspicious long")
+
+
+@query(each(NUMBERS, "CAST(floor(avg($) * 1000) AS BIGINT) AS mean, CAST(floor(stddev_samp($) * 1000) AS BIGINT) AS std", GAPS.sql))
+def dq_distribution_moments(spark, sf_dir):
+    found = quality.distribution(GAPS(spark, sf_dir), NUMBERS)
+    return found.select("column", *[F.floor(F.col(c) * 1000).cast("long").alias(c) for c in ("mean", "std")])

@@ -157,3 +157,23 @@ def rec_union_ragged(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
     return records.union_ragged([c, s])
+
+
+@query("""
+SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, CAST(o_totalprice AS VARCHAR) AS price, o_orderkey AS whole, CAST(2 AS BIGINT) AS n_cast FROM orders""")
+def rec_cast_dates(spark, sf_dir):
+    """Dates in four forms of text; a column with fractions stays as it is and does not count."""
+    forms = F.expr("case o_orderkey % 4 when 0 then 'M/d/yyyy' when 1 then 'yyyy-MM-dd' when 2 then 'MMM d, yyyy' else 'yyyy-MM-dd HH:mm:ss' end")
+    text = F.coalesce(*[F.when(forms == f, F.date_format("o_orderdate", f)) for f in ("M/d/yyyy", "yyyy-MM-dd", "MMM d, yyyy", "yyyy-MM-dd HH:mm:ss")])
+    given = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("day"), F.col("o_totalprice").cast("string").alias("price"), F.col("o_orderkey").cast("string").alias("whole"))
+    found, n = records.cast(given, {"day": "datetime", "price": "int", "whole": "int"})
+    return found.select("o_orderkey", F.date_format("day", "yyyy-MM-dd").alias("day"), F.col("price").cast("double").cast("string").alias("price"), "whole", F.lit(n).cast("long").alias("n_cast"))
+
+
+@query("""
+SELECT 'null_rate_acceptable' AS "check", false AS passed UNION ALL SELECT 'expected_columns_present', false UNION ALL SELECT 'type_consistency', false""")
+def rec_schema_faults(spark, sf_dir):
+    """A table that fails each check."""
+    given = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.when(F.col("c_custkey") % 3 == 0, F.col("c_acctbal")).alias("balance"))
+    found = records.validate(given, ["c_custkey", "missing"], {"c_name": "int"})
+    return spark.createDataFrame(list(found["checks"].items()), "`check` string, passed boolean")
