@@ -79,15 +79,19 @@ def distribution(df: DataFrame, columns: list[str]) -> DataFrame:
     return turned_rows.select("column", "n", "mean", F.get("quartiles", F.lit(1)).alias("median"), "std", "least", "greatest", F.get("quartiles", F.lit(0)).alias("q1"), F.get("quartiles", F.lit(2)).alias("q3"))
 
 
+def bounds_of(rows: list) -> list[tuple[str, float, float]]:
+    """Name and interquartile bounds of the columns of ``distribution`` with four values at least."""
+    return [(r["column"], r["q1"] - 1.5 * (r["q3"] - r["q1"]), r["q3"] + 1.5 * (r["q3"] - r["q1"])) for r in rows if r["n"] >= 4]
+
+
 def bounds(df: DataFrame, columns: list[str]) -> list[tuple[str, float, float]]:
-    """Name and interquartile bounds of the columns with four values at least; a row for each column comes to the driver."""
-    rows = distribution(df, columns).filter("n >= 4").select("column", "q1", "q3").collect()
-    return [(r["column"], r["q1"] - 1.5 * (r["q3"] - r["q1"]), r["q3"] + 1.5 * (r["q3"] - r["q1"])) for r in rows]
+    """``bounds_of`` a table; a row for each column comes to the driver."""
+    return bounds_of(distribution(df, columns).collect())
 
 
-def outliers(df: DataFrame, columns: list[str]) -> DataFrame:
+def outliers(df: DataFrame, columns: list[str], found: list[tuple[str, float, float]] | None = None) -> DataFrame:
     """column, lower, upper, outliers; the bounds are literals of the second pass, so that nothing is joined."""
-    found = bounds(df, columns)
+    found = bounds(df, columns) if found is None else found
     if not found:
         return df.sparkSession.createDataFrame([], "column string, lower double, upper double, outliers long")
     x = {c: quoted(c).cast("double") for c, _, _ in found}
@@ -256,46 +260,56 @@ def recommendations(found: Profile) -> list[str]:
 
 
 def profile(df: DataFrame) -> Profile:
-    """All of the above over one table. An empty table scores 0 and says so."""
+    """All of the above over one table. An empty table scores 0 and says so.
+
+    Passes over the table: one for distinct values, one for distinct rows, one for all validity checks, one for
+    distributions and one for outliers, besides the first values of text columns.
+    """
     df = missing_as_null(df)
     names = df.columns
-    counts = {r["column"]: r.asDict() for r in distinct_counts(df, names).collect()} if names else {}
-    rows = df.count()
+    counted = distinct_counts(df, names).collect() if names else []
+    counts = {r["column"]: r.asDict() for r in counted}
+    whole = duplicate_rows(df).first() if names else {"n_rows": 0, "duplicates": 0}
+    rows = whole["n_rows"]
     if not rows:
         return Profile(0, {}, Totals(0, len(names)), None, {k: {} for k in ("missing", "emails", "dates", "numbers", "outliers")}, {}, 0.0, ["Dataset is empty. Provide a file with data rows."])
     columns: dict[str, dict] = {}
     for c in names:
         text = isinstance(df.schema[c].dataType, T.StringType)
-        columns[c] = counts[c] | {"kind": kind(df, c, counts[c]["non_null"], counts[c]["distinct_values"], text and looks_like_email(df, c))}
-    checks: dict[str, dict[str, Column]] = {"emails": {}, "dates": {}, "numbers": {}}
+        emails = text and not re.search(fixed.EMAIL_NAME, c, re.I) and looks_like_email(df, c)
+        columns[c] = counts[c] | {"kind": kind(df, c, counts[c]["non_null"], counts[c]["distinct_values"], emails)}
+    checks: dict[tuple[str, str], Column] = {}
     for c in names:
         of, text = columns[c]["kind"], isinstance(df.schema[c].dataType, T.StringType)
         if text and of == "email":
-            checks["emails"][c] = invalid_email(quoted(c))
+            checks["emails", c] = invalid_email(quoted(c))
         if text and (of == "datetime (string)" or re.search(fixed.DATE_NAME, c, re.I)):
-            checks["dates"][c] = invalid_date(quoted(c))
+            checks["dates", c] = invalid_date(quoted(c))
         if text and of not in ("email", "phone", "categorical"):
-            checks["numbers"][c] = invalid_number(quoted(c))
-    faults: dict[str, dict[str, int]] = {"missing": {c: counts[c]["nulls"] for c in names if counts[c]["nulls"]}, "outliers": {}}
-    for what, of in checks.items():
-        faults[what] = {r["column"]: r["invalid"] for r in invalid_counts(df, of).collect() if r["invalid"]} if of else {}
+            checks["numbers", c] = invalid_number(quoted(c))
+    faults: dict[str, dict[str, int]] = {"missing": {c: counts[c]["nulls"] for c in names if counts[c]["nulls"]}, "emails": {}, "dates": {}, "numbers": {}, "outliers": {}}
+    if checks:
+        found = df.agg(*[F.count_if(bad).alias(str(i)) for i, bad in enumerate(checks.values())]).first()
+        for i, (what, c) in enumerate(checks):
+            if found[i]:
+                faults[what][c] = found[i]
     numbers = [c for c in names if is_number(df, c)]
     if numbers:
-        for r in distribution(df, numbers).collect():
+        spread = distribution(df, numbers).collect()
+        for r in [*spread, *outliers(df, numbers, bounds_of(spread)).collect()]:
             columns[r["column"]] |= r.asDict()
-        for r in outliers(df, numbers).collect():
-            columns[r["column"]] |= r.asDict()
-            if r["outliers"]:
-                faults["outliers"][r["column"]] = r["outliers"]
-    odd = {r["column"]: r["reasons"] for r in suspicious(distinct_counts(df, names)).collect()}
-    ids = duplicate_ids(df).first()
+        faults["outliers"] = {c: columns[c]["outliers"] for c in numbers if columns[c].get("outliers")}
+    odd = {r["column"]: r["reasons"] for r in suspicious(df.sparkSession.createDataFrame(counted)).collect()}
+    repeats = {c: counts[c]["non_null"] - counts[c]["distinct_values"] for c in names if is_id_name(c)}
+    most = max(repeats, key=repeats.get, default=None)
+    duplicate_id = (most, repeats[most]) if most is not None and repeats[most] else None
     totals = Totals(
-        rows, len(names), sum(faults["missing"].values()), duplicate_rows(df).first()["duplicates"], ids["duplicates"] if ids else 0,
+        rows, len(names), sum(faults["missing"].values()), whole["duplicates"], duplicate_id[1] if duplicate_id else 0,
         *(sum(faults[k].values()) for k in ("emails", "dates", "numbers", "outliers")), len(odd),
     )
-    found = Profile(rows, columns, totals, (ids["column"], ids["duplicates"]) if ids else None, faults, {c: odd[c] for c in names if c in odd}, score(totals))
-    found.recommendations = recommendations(found)
-    return found
+    made = Profile(rows, columns, totals, duplicate_id, faults, {c: odd[c] for c in names if c in odd}, score(totals))
+    made.recommendations = recommendations(made)
+    return made
 
 
 __all__ = ["Profile", "Totals", "clean", "distinct_counts", "distribution", "duplicate_ids", "duplicate_rows", "missing", "number", "outliers", "profile", "score", "suspicious"]
