@@ -5,7 +5,8 @@ one, in the order of doc_id and then of place, is a repeat; the lines that repea
 lines therefore keeps its first line alone. Texts of fewer than WINDOW such lines have no window and stay as they are.
 
 Null texts stay null. Rows with an equal doc_id and text count as one occurrence and get equal results; of rows with an
-equal doc_id and other texts, the smaller hash of the text comes first. A null doc_id comes before all others.
+equal doc_id and other texts, the smaller hash of the text comes first. A null doc_id comes before all others. Long texts
+are read whole. Extra columns pass through; one named n_lines or n_removed is replaced.
 """
 
 from __future__ import annotations

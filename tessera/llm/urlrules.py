@@ -131,7 +131,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] = RU
 
 
 def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """url and bad: a page whose path names a labelled document is bad if the document's quality is 0."""
+    """url and bad: a page shows the document whose number its path has, and is bad if that document's quality is 0."""
     number = F.regexp_extract(path("url"), r"/([0-9]{1,18})(?:[/.]|$)", 1)
     named = pages.select("url", F.when(number != "", number.cast("bigint")).alias("doc_id"))
     known = labels.filter("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))

@@ -125,6 +125,18 @@ def test_similar_sets_crowded_into_few_partitions_meet():
         assert kept[0] & kept[1] and max(p & 31 for p, _ in kept[0]) > 0
 
 
+def test_no_large_bucket_of_unrelated_texts(spark):
+    """Whatever shares a signature with many others shares shingles with them, at the pipeline's settings too."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    whole = jaccard.cut_lineage(jaccard.signed(docs, 5, 80))
+    entries = jaccard.rare_signatures(jaccard.representatives(whole))
+    sized = entries.groupBy("signature").agg(F.min("u").alias("first"), F.count("*").alias("n")).filter(F.col("n") > jaccard.SMALL)
+    pairs = entries.join(sized, "signature").filter("u != first").select("u", "first").distinct().collect()
+    chosen = {i for r in pairs for i in (r["u"], r["first"])}
+    texts = {r["doc_id"]: shingles(r["text"], 5) for r in docs.filter(F.col("doc_id").isin(sorted(chosen))).collect()}
+    assert all(texts[r["u"]] & texts[r["first"]] for r in pairs)
+
+
 def test_query_against_sql(spark):
     assert not differing(op7_ngram_jaccard(spark, SMALLEST), OP7, SMALLEST)
 
