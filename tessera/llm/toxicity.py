@@ -49,7 +49,9 @@ EVIDENCE = 3
 #: Lengths of the beginnings of longer words that may become terms.
 BEGINNINGS = (3, 4, 5, 6)
 #: Words whose terms a task keeps.
-CACHE = 300_000
+CACHE = 100_000
+#: Texts whose scores a task keeps.
+KEPT = 20_000
 
 WORD = re.compile(r"\w+")
 WORDS = T.StructType([T.StructField("words", T.ArrayType(T.StringType()))])
@@ -139,24 +141,28 @@ class BlockMaxIndex:
         self.toxic = np.array([x[1] for x in known], float)
         self.rate = sum(x[1] for x in examples) / len(examples) if len(examples) else 0.0
         self.blank = (sum(blank) + self.rate) / (len(blank) + 1)
-        n, self.blocks = len(known), -(-len(known) // BLOCK)
-        at = np.repeat(np.arange(n, dtype=np.int32), [len(x[2]) for x in known])
-        term = np.concatenate([np.asarray(x[2], np.int32) for x in known] or [np.zeros(0, np.int32)])
-        weight = np.concatenate([weights(np.asarray(x[2]), np.asarray(x[3], float), idf) for x in known] or [np.zeros(0)])
-        held = np.bincount(term, minlength=len(idf))
+        n = len(known)
+        held = np.zeros(len(idf), np.int64)
+        for x in known:
+            held[x[2]] += 1
         common = np.argsort(-held, kind="stable")[:COMMON]
         common = common[held[common] * SPARSE > n]
         self.column = np.full(len(idf), -1, np.int32)
         self.column[common] = np.arange(len(common))
         self.table = np.zeros((n, len(common)))
-        often = self.column[term] >= 0
-        self.table[at[often], self.column[term[often]]] = weight[often]
+        held[common] = 0
+        self.edges = np.concatenate([[0], np.cumsum(held)])
+        self.at, self.weight, free = np.empty(self.edges[-1], np.int32), np.empty(self.edges[-1]), self.edges[:-1].copy()
+        for i, x in enumerate(known):
+            terms = np.asarray(x[2], np.int32)
+            weight, column = weights(terms, np.asarray(x[3], float), idf), self.column[terms]
+            rare, often = terms[column < 0], column >= 0
+            self.table[i, column[often]] = weight[often]
+            self.at[free[rare]], self.weight[free[rare]] = i, weight[~often]
+            free[rare] += 1
         self.quick = self.table.astype(np.float32)
         self.begins = np.arange(0, n, BLOCK)
         self.most = np.maximum.reduceat(self.quick, self.begins, axis=0) if n else self.quick
-        order = np.argsort(term[~often], kind="stable")
-        self.at, self.weight = at[~often][order].astype(np.intp), weight[~often][order]
-        self.edges = np.searchsorted(term[~often][order], np.arange(len(idf) + 1))
         self.seen: dict[bytes, tuple] = {}
         #: The first example with a vector.
         self.first: dict[bytes, int] = {}
@@ -225,7 +231,7 @@ class BlockMaxIndex:
 
     def scores(self, vectors: list[tuple[list[int], list[int]]]) -> list[tuple[float, list[int]]]:
         """Score and evidence of each text; equal texts are searched once as long as they are kept."""
-        if len(self.seen) > 100_000:
+        if len(self.seen) > KEPT:
             self.seen.clear()
         keys = [vector_key(*v) if len(v[0]) and self.ids else None for v in vectors]
         new = {key: v for key, v in zip(keys, vectors, strict=True) if key is not None and key not in self.seen}
@@ -252,17 +258,16 @@ class Scorer:
         return self.index.scores([self.vector(t) for t in texts])
 
 
-#: Index by name, in a Python worker.
-INDEXES: dict[str, BlockMaxIndex] = {}
 SCORED = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.LongType()))])
 
 
 class Model(NamedTuple):
-    """What scoring needs: the terms, the examples (doc_id, toxic, terms, counts) and the terms' weights."""
+    """What scoring needs: the terms, the examples (doc_id, toxic, terms, counts), the terms' weights, and the terms as tasks have them."""
 
     terms: dict[str, int]
     examples: list[tuple[int, int, np.ndarray, np.ndarray]]
     idf: np.ndarray
+    known: Broadcast
 
 
 def document_counts(docs: DataFrame, known: Broadcast) -> DataFrame:
@@ -298,37 +303,55 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> tuple[
     for batch in vector(texts).toArrow().to_batches():  # ``limit`` rows at most
         found = [values_of(batch.column(c)) for c in ("doc_id", "toxic", "terms", "counts")]
         examples += [(d, y, a.astype(np.int32), c.astype(np.int32)) for d, y, a, c in zip(*found, strict=True)]
-    return Model(terms, sorted(examples, key=lambda x: x[0]), idf), vector(docs)
+    return Model(terms, sorted(examples, key=lambda x: x[0]), idf, known), vector(docs)
+
+
+#: Index by name, in a Python worker.
+INDEXES: dict[str, BlockMaxIndex] = {}
+
 
+class Packed(NamedTuple):
+    """The examples of a model in a few arrays."""
 
-def loaded(shared: Broadcast, name: str) -> BlockMaxIndex:
-    """The index of the shared model; a worker keeps the last one between its tasks."""
-    if name not in INDEXES:
+    name: str
+    idf: np.ndarray
+    ids: list[int]
+    toxic: list[int]
+    ends: np.ndarray
+    terms: np.ndarray
+    counts: np.ndarray
+
+
+def packed(model: Model) -> Packed:
+    join = lambda k: np.concatenate([np.asarray(x[k], np.int32) for x in model.examples] or [np.zeros(0, np.int32)])
+    return Packed(uuid4().hex, model.idf, [x[0] for x in model.examples], [x[1] for x in model.examples], np.cumsum([len(x[2]) for x in model.examples]), join(2), join(3))
+
+
+def loaded(shared: Broadcast) -> BlockMaxIndex:
+    """The index of the shared examples; a worker keeps the last one between its tasks."""
+    own: Packed = shared.value
+    if own.name not in INDEXES:
         INDEXES.clear()
-        INDEXES[name] = BlockMaxIndex(shared.value.examples, shared.value.idf)
-    return INDEXES[name]
+        terms, counts = np.split(own.terms, own.ends[:-1]), np.split(own.counts, own.ends[:-1])
+        INDEXES[own.name] = BlockMaxIndex(list(zip(own.ids, own.toxic, terms, counts, strict=True)) if own.ids else [], own.idf)
+    return INDEXES[own.name]
 
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with score and evidence (doc_ids of the nearest examples)."""
-    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid4().hex
-
-    def start():
-        return Scorer(loaded(shared, name), Vectorizer(shared.value.terms))
-
-    return map_rows(docs, "text", SCORED, start)
+    shared, known = docs.sparkSession.sparkContext.broadcast(packed(model)), model.known
+    return map_rows(docs, "text", SCORED, lambda: Scorer(loaded(shared), Vectorizer(known.value)))
 
 
 def score_vectors(vectors: DataFrame, model: Model) -> DataFrame:
     """Like score_texts, for the vectors that ``fit`` returned."""
-    shared, name = vectors.sparkSession.sparkContext.broadcast(model), uuid4().hex
+    shared = vectors.sparkSession.sparkContext.broadcast(packed(model))
     kept = [f for f in vectors.schema.fields if f.name not in ("terms", "counts", "score", "evidence")]
     schema = T.StructType([*kept, *SCORED.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = loaded(shared, name)
         for batch in batches:
-            scores = index.scores(list(zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True)))
+            scores = loaded(shared).scores(list(zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True)))
             own = [batch.column(f.name) for f in kept]
             yield pa.RecordBatch.from_arrays([*own, pa.array([s for s, _ in scores], pa.float64()), pa.array([e for _, e in scores], pa.list_(pa.int64()))], names=schema.fieldNames())
 
