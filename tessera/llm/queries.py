@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tessera.llm import bpe, html, jaccard, licenses, linededup, media, packing, quality, toxicity, urlrules
+from tessera.llm import bpe, html, jaccard, licenses, linededup, media, merkle, packing, quality, toxicity, urlrules
 from tessera.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -52,7 +52,11 @@ def op10_media_columns(spark, sf_dir):
     return media.digest(media.store_texts(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = (op1_byte_bpe, op2_html_extraction, op3_url_filter, op4_license_scan, op5_line_dedup, op6_quality_rules, op7_ngram_jaccard, op8_toxicity, op9_packing, op10_media_columns)
+def op11_merkle_manifest(spark, sf_dir):
+    return merkle.check_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = (op1_byte_bpe, op2_html_extraction, op3_url_filter, op4_license_scan, op5_line_dedup, op6_quality_rules, op7_ngram_jaccard, op8_toxicity, op9_packing, op10_media_columns, op11_merkle_manifest)
 
 
 def queries():
@@ -128,7 +132,46 @@ WITH RECURSIVE d AS (
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
 FROM (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) LEFT JOIN n USING (doc_id)
 """
+#: The CRC of a decimal number is even; bit by bit, with the polynomial 0xEDB88320.
+EVEN_CRC = r"""
+list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda r, b: list_reduce(list_concat([xor(r, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+    lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)) & 1 = 1
+"""
+#: Every level of all trees, the tree over the sources (-1) included, by recursion; then each row's path up through both.
+OP11 = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, *, CASE WHEN {EVEN_CRC} THEN replace(text, chr(10), '') ELSE text END AS tampered FROM documents
+), e AS (
+  SELECT r, doc_id, source, {" || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars"))} AS fields,
+    coalesce(strlen(text) || ':' || text, '-') AS own, coalesce(strlen(tampered) || ':' || tampered, '-') AS changed FROM d
+), l AS (
+  SELECT r, doc_id, sha256(fields || own) AS leaf, sha256(fields || changed) AS other, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, source FROM e
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM l
+), lower(tree, level, i, h, n) AS (
+  SELECT tree, 0, i, leaf, count(*) OVER (PARTITION BY tree) FROM p
+  UNION ALL
+  SELECT tree, level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM lower WHERE n > 1 GROUP BY tree, level, i // 3
+), upper(tree, level, i, h, n) AS (
+  SELECT -1, 0, tree, h, count(*) OVER () FROM lower WHERE n = 1
+  UNION ALL
+  SELECT tree, level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM upper WHERE n > 1 GROUP BY tree, level, i // 3
+), nodes AS (SELECT * FROM lower UNION ALL SELECT * FROM upper)
+, runs AS (SELECT tree, level, i // 3 AS run, list(h ORDER BY i) AS hs, any_value(n) AS n FROM nodes GROUP BY tree, level, i // 3)
+, path(r, own, tree, level, i, h, proof) AS (
+  SELECT r, tree, tree, 0, i, other, '' FROM p
+  UNION ALL
+  SELECT r, own, CASE WHEN n > 1 THEN tree ELSE -1 END, CASE WHEN n > 1 THEN level + 1 ELSE 0 END, CASE WHEN n > 1 THEN i // 3 ELSE own END,
+    CASE WHEN n > 1 THEN sha256(array_to_string(hs[:i % 3], '') || h || array_to_string(hs[i % 3 + 2:], '')) ELSE h END,
+    CASE WHEN n > 1 THEN proof || array_to_string(hs[:i % 3], '') || array_to_string(hs[i % 3 + 2:], '') ELSE proof END
+  FROM path JOIN runs USING (tree, level) WHERE run = i // 3 AND (n > 1 OR tree >= 0)
+), ends AS (SELECT path.* FROM path JOIN upper USING (tree, level) WHERE n = 1)
+SELECT doc_id, leaf, (SELECT h FROM lower AS s WHERE s.tree = p.tree AND s.n = 1) AS subroot, (SELECT h FROM upper WHERE n = 1) AS root,
+  sha256(proof) AS proof_sha256, ends.h AS folded_root, ends.h = (SELECT h FROM upper WHERE n = 1) AS verified
+FROM p JOIN ends USING (r)
+"""
 
 
 def oracle_sql():
-    return {"op5_line_dedup": OP5, "op6_quality_rules": OP6, "op7_ngram_jaccard": OP7}
+    return {"op5_line_dedup": OP5, "op6_quality_rules": OP6, "op7_ngram_jaccard": OP7, "op11_merkle_manifest": OP11}
