@@ -38,7 +38,7 @@ from tessera.llm.common import written
 
 ARITY = 3
 #: Rows of a part, about.
-PART_ROWS = 20_000
+PART_ROWS = 50_000
 #: The tree over the groups; the others are numbered from 0 in the order of their groups.
 TOP = -1
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tessera.llm import bpe, html, jaccard, licenses, linededup, media, merkle, packing, quality, toxicity, urlrules
+from tessera.llm import bpe, html, jaccard, licenses, linededup, media, merkle, packing, quality, toxicity, urlrules, wavelet
 from tessera.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_byte_bpe(spark, sf_dir):
@@ -56,7 +57,11 @@ def op11_merkle_manifest(spark, sf_dir):
     return merkle.check_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_byte_bpe, op2_html_extraction, op3_url_filter, op4_license_scan, op5_line_dedup, op6_quality_rules, op7_ngram_jaccard, op8_toxicity, op9_packing, op10_media_columns, op11_merkle_manifest)
+def op12_wavelet_shards(spark, sf_dir):
+    return wavelet.store_and_read(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
+
+
+QUERIES = (op1_byte_bpe, op2_html_extraction, op3_url_filter, op4_license_scan, op5_line_dedup, op6_quality_rules, op7_ngram_jaccard, op8_toxicity, op9_packing, op10_media_columns, op11_merkle_manifest, op12_wavelet_shards)
 
 
 def queries():
