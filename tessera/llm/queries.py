@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tessera.llm import bpe, html, jaccard, licenses, linededup, media, merkle, packing, quality, toxicity, urlrules, wavelet
+from tessera.llm import bpe, html, jaccard, licenses, linededup, media, merkle, packing, quality, toxicity, urlrules, wavelet, whitening
 from tessera.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -61,7 +61,11 @@ def op12_wavelet_shards(spark, sf_dir):
     return wavelet.store_and_read(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
-QUERIES = (op1_byte_bpe, op2_html_extraction, op3_url_filter, op4_license_scan, op5_line_dedup, op6_quality_rules, op7_ngram_jaccard, op8_toxicity, op9_packing, op10_media_columns, op11_merkle_manifest, op12_wavelet_shards)
+def op13_whitening(spark, sf_dir):
+    return whitening.whiten_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = (op1_byte_bpe, op2_html_extraction, op3_url_filter, op4_license_scan, op5_line_dedup, op6_quality_rules, op7_ngram_jaccard, op8_toxicity, op9_packing, op10_media_columns, op11_merkle_manifest, op12_wavelet_shards, op13_whitening)
 
 
 def queries():
