@@ -20,21 +20,24 @@ equal ids. Empty tables give no file and an empty result. Extra columns are not
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.bpe import json_tokenizer
+from tessera.llm.bpe import PLAIN, byte_characters, json_tokenizer
 from tessera.llm.common import checkpoint_folder, map_rows, written
 
 MAGIC = b"WVM1"
@@ -45,6 +48,8 @@ SHARD_IDS = 1 << 22
 #: Rows of a range of keys, about; a task streams them and cuts them into shards.
 RANGE_ROWS = 100_000
 END = 2
+#: The tokenizer's pieces of lower-cased text of PLAIN characters.
+PIECES = re.compile(r"'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\w\t-\r ]|_)+")
 #: Words whose ids a task keeps, in a generation.
 CACHE = 250_000
 #: Bits set in each byte, and before each bit of a byte, from the highest.
@@ -59,37 +64,68 @@ def id_type(ids: int) -> str:
     return "<u2" if ids <= 1 << 16 else "<u4"
 
 
+class Known(dict):
+    """Ids of words; unknown ones are worked out. Two generations: once CACHE words are in, only those in use stay."""
+
+    def __init__(self, work):
+        super().__init__()
+        self.work, self.old = work, {}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHE:
+            self.old = dict(self)
+            self.clear()
+        found = self[word] = self.old.get(word) or self.work(word)
+        return found
+
+
 class Words:
-    """Ids of texts by a tokenizer that never joins across white space, word by word, with a bounded cache of words.
+    """Ids of texts by a tokenizer of lower-cased words, word by word, with a bounded cache of words.
 
-    Words are split at \\x20 and \\x09-\\x0D alone; the tokenizer itself splits them further.
+    The tokenizer never joins across white space. Texts of PLAIN characters alone, which its normalizer leaves as they are
+    but for case, are cut into its pieces here, and its model gets each; words of other texts go through the whole tokenizer.
+    Those are split at \\x20 and \\x09-\\x0D alone, since the tokenizer itself splits them further.
     """
 
     def __init__(self, path: str, end: int | None):
         self.tokenizer = json_tokenizer(path)
+        self.model, self.spelt = self.tokenizer.model.tokenize, dict(enumerate(byte_characters()))
         self.type = id_type(self.tokenizer.get_vocab_size())
+        self.code = "H" if self.type == "<u2" else "I"
         self.end = b"" if end is None else np.array(end, self.type).tobytes()
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def learn(self, found: set[bytes]) -> None:
-        if len(self.young) > CACHE:
-            self.old, self.young = self.young, {}
-        known = found & self.old.keys()
-        self.young.update((w, self.old[w]) for w in known)
-        new = list(found - known)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.young[w] = np.array(e.ids, self.type).tobytes()
+        self.known = Known(self.word)
+
+    def piece(self, piece: str) -> bytes:
+        """Ids of one piece, by the model, which takes characters that stand for bytes."""
+        spelt = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.spelt)
+        return array(self.code, [t.id for t in self.model(spelt)]).tobytes()
+
+    def word(self, word: str) -> bytes:
+        if word.isalpha() or len(pieces := PIECES.findall(word)) == 1:
+            return self.piece(word)
+        return b"".join([self.known[p] for p in pieces])
+
+    def plain(self, texts: list[str]) -> list[bytes]:
+        """Texts of PLAIN characters: each distinct word of all is looked up once."""
+        split = pc.ascii_split_whitespace(pa.array([t.lower() for t in texts], pa.string()))
+        coded = split.flatten().dictionary_encode()
+        codes, each = coded.indices.to_numpy(), [self.known[w] for w in coded.dictionary.to_pylist()]
+        lengths = np.fromiter(map(len, each), np.int64, len(each)) // np.dtype(self.type).itemsize
+        starts = np.cumsum(lengths) - lengths
+        own = lengths[codes]
+        ends = np.concatenate([[0], np.cumsum(own)])
+        ids = np.frombuffer(b"".join(each), self.type)[np.arange(ends[-1]) + np.repeat(starts[codes] - ends[:-1], own)]
+        bounds = ends[split.offsets.to_numpy()].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def other(self, text: str) -> bytes:
+        own = self.tokenizer.encode_batch_fast([w.decode() for w in text.encode().split()], add_special_tokens=False)
+        return b"".join([array(self.code, e.ids).tobytes() for e in own])
 
     def many(self, texts: list[str | None]) -> list[tuple[bytes]]:
-        split = [t.encode().split() if t else [] for t in texts]
-        known = self.young.get
-        ids = [list(map(known, words)) for words in split]
-        unknown = [i for i, row in enumerate(ids) if None in row]
-        self.learn({w for i in unknown for w, x in zip(split[i], ids[i], strict=True) if x is None})
-        for i in unknown:
-            ids[i] = [self.young[w] if x is None else x for w, x in zip(split[i], ids[i], strict=True)]
-        return [(b"".join([*row, self.end]),) for row in ids]
+        plain = [i for i, t in enumerate(texts) if t and not PLAIN.search(t)]
+        ids = dict(zip(plain, self.plain([texts[i] for i in plain]), strict=True))
+        return [((ids[i] if i in ids else self.other(t or "")) + self.end,) for i, t in enumerate(texts)]
 
 
 @lru_cache(2)
@@ -237,13 +273,14 @@ class Shard:
 
     def ids(self) -> np.ndarray:
         """All ids, by undoing the planes from the lowest."""
-        seq = np.zeros(self.n, "<u4")
+        kind = np.dtype(id_type(1 << len(self.planes))).type
+        seq = np.zeros(self.n, kind)
         for k, p in enumerate(reversed(self.planes)):
             bits = p.whole()
-            out = np.empty(self.n, "<u4")
-            out[~bits], out[bits] = seq[: p.zeros], seq[p.zeros :] | np.uint32(1 << k)
+            out = np.empty(self.n, kind)
+            out[~bits], out[bits] = seq[: p.zeros], seq[p.zeros :] | kind(1 << k)
             seq = out
-        return seq
+        return seq.astype("<u4")
 
 
 # Shards.

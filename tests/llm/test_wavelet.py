@@ -51,18 +51,29 @@ def test_by_brute_force(spark, monkeypatch, limits):
     assert found(wavelet.store_and_read(documents(spark, texts).repartition(3), PATH)) == brute(texts)
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(st.characters(exclude_categories=["Cs"]), max_size=40), max_size=5))
+LETTERS = st.characters(exclude_categories=["Cs"]) | st.characters(max_codepoint=0x250) | st.sampled_from(" '.,!sStTdDmM1_$\n\u0301")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(LETTERS, max_size=40), max_size=5))
 def test_words_encode_as_whole_texts(texts):
     got = [np.frombuffer(r[0], "<u2").tolist() for r in wavelet.words(PATH, wavelet.END).many(texts)]
     assert got == [ids_of(t) for t in texts]
 
 
+def test_all_plain_characters_alone_and_between_letters():
+    """Each goes the same way through both."""
+    own = wavelet.words(PATH, None)
+    for c in map(chr, [*range(0x250), *range(0x2000, 0x20D0)]):
+        texts = [c, f"a{c}b", f"A{c} {c}S", f"'{c}s", f"1{c}1"]
+        assert [np.frombuffer(r[0], "<u2").tolist() for r in own.many(texts)] == [ids_of(t)[:-1] for t in texts], ascii(c)
+
+
 def test_the_cache_forgets(monkeypatch):
     monkeypatch.setattr(wavelet, "CACHE", 3)
     own = wavelet.Words(PATH, None)
     for text in ("a b c d e", "a b x", "e f g h", "c d a"):
-        assert np.frombuffer(own.many([text])[0][0], "<u2").tolist() == ids_of(text)[:-1]
+        assert np.frombuffer(own.many([text])[0][0], "<u2").tolist() == ids_of(text)[:-1] and len(own.known) <= 3
 
 
 @settings(max_examples=60, deadline=None)
