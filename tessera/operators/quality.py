@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 from tessera.functions import fixed
 from tessera.functions.columns import NUMERIC, date, is_number, missing_as_null, number, quoted, timestamp
+from tessera.operators.quantiles import quantiles
+from tessera.operators.samples import first_values
 
 SNIFFED, SAMPLES = 100, 10
 
@@ -35,11 +37,41 @@ def missing(df: DataFrame) -> DataFrame:
     return turned(df, {c: {"missing": F.count_if(quoted(c).isNull()), "total": F.count(F.lit(1))} for c in df.columns})
 
 
+def fingerprint(df: DataFrame) -> list[Column]:
+    """128 bits of a row, as two columns. Equal rows have equal ones; nulls are equal, and tell where they stand."""
+    cells = [*[quoted(c) for c in df.columns], *[quoted(c).isNull() for c in df.columns]]
+    return [F.xxhash64(*cells), F.xxhash64(F.lit("row"), *cells)]
+
+
+def repeated(df: DataFrame) -> DataFrame:
+    """a, b and n of the fingerprints that several rows have; only fingerprints are shuffled, counted on the map side."""
+    a, b = fingerprint(df)
+    return df.select(a.alias("a"), b.alias("b")).groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def split_by_repeats(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose fingerprint no other row has, and the others."""
+    a, b = fingerprint(df)
+    several = repeated(df).drop("n").toDF("__a", "__b")
+    same = (a == F.col("__a")) & (b == F.col("__b"))
+    return df.join(several, same, "left_anti"), df.join(several, same, "left_semi")
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """n_rows and duplicates: rows beyond the first of each distinct row. Nulls are equal."""
+    """n_rows and duplicates: rows beyond the first of each distinct row. Nulls are equal.
+
+    Whole rows are compared only among those with a fingerprint that comes again.
+    """
     df = missing_as_null(df)
-    groups = df.groupBy(*[quoted(c) for c in df.columns]).agg(F.count("*")).toDF(*[f"c{i}" for i in range(len(df.columns))], "n")
-    return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), (F.coalesce(F.sum("n"), F.lit(0)) - F.count("*")).alias("duplicates"))
+    groups = split_by_repeats(df)[1].groupBy(*[quoted(c) for c in df.columns]).agg(F.count("*")).toDF(*[f"c{i}" for i in range(len(df.columns))], "n")
+    parts = df.select(F.lit(1).alias("n_rows"), F.lit(0).alias("duplicates")).unionByName(groups.select(F.lit(0).alias("n_rows"), (F.col("n") - 1).alias("duplicates")))
+    return parts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_rows", "duplicates")])
+
+
+def distinct_rows(df: DataFrame) -> DataFrame:
+    """One of each; only rows whose fingerprint comes again are compared as a whole."""
+    once, several = split_by_repeats(df)
+    return once.unionByName(several.dropDuplicates())
 
 
 def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -66,17 +98,16 @@ def duplicate_ids(df: DataFrame) -> DataFrame:
     return found.filter("duplicates > 0").orderBy(F.desc("duplicates"), "place").limit(1).select("column", "duplicates")
 
 
+DISTRIBUTION = "column string, n long, mean double, median double, std double, least double, greatest double, q1 double, q3 double"
+
+
 def distribution(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, n, mean, median, std, least, greatest, q1, q3; quantiles exact, by linear interpolation."""
     df = missing_as_null(df)
-
-    def stats(c: str) -> dict[str, Column]:
-        x = quoted(c).cast("double")
-        quartiles = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        return {"n": F.count(x), "mean": F.avg(x), "std": F.stddev_samp(x), "least": F.min(x), "greatest": F.max(x), "quartiles": quartiles}
-
-    turned_rows = turned(df, {c: stats(c) for c in columns})
-    return turned_rows.select("column", "n", "mean", F.get("quartiles", F.lit(1)).alias("median"), "std", "least", "greatest", F.get("quartiles", F.lit(0)).alias("q1"), F.get("quartiles", F.lit(2)).alias("q3"))
+    x = {c: quoted(c).cast("double") for c in columns}
+    found = quantiles(df, x, [0.25, 0.5, 0.75], {c: {"mean": F.avg(e), "std": F.stddev_samp(e)} for c, e in x.items()})
+    rows = [(c, s["n"], s["mean"], s["quantiles"][1], s["std"], s["least"], s["greatest"], s["quantiles"][0], s["quantiles"][2]) for c, s in found.items()]
+    return df.sparkSession.createDataFrame(rows, DISTRIBUTION)
 
 
 def bounds_of(rows: list) -> list[tuple[str, float, float]]:
@@ -98,20 +129,21 @@ def outliers(df: DataFrame, columns: list[str], found: list[tuple[str, float, fl
     return turned(missing_as_null(df), {c: {"lower": F.max(F.lit(lo)), "upper": F.max(F.lit(hi)), "outliers": F.count_if((x[c] < lo) | (x[c] > hi))} for c, lo, hi in found})
 
 
+def by_values(df: DataFrame) -> list[Column]:
+    """An order of rows that no partitioning changes, for tables that have no order of their own."""
+    return [F.xxhash64(*[quoted(c) for c in df.columns])]
+
+
+def outlier_checks(found: list[tuple[str, float, float]]) -> dict[str, tuple[Column, Column]]:
+    x = {c: quoted(c).cast("double") for c, _, _ in found}
+    return {c: ((x[c] < lo) | (x[c] > hi), x[c]) for c, lo, hi in found}
+
+
 def outlier_samples(df: DataFrame, columns: list[str], order: list[str], n: int = SAMPLES) -> DataFrame:
     """column, nth, value: the first ``n`` outliers of each column, in the order of ``order``."""
-    picked = []
-    for c, lo, hi in bounds(df, columns):
-        x = quoted(c).cast("double")
-        first = df.filter((x < lo) | (x > hi)).orderBy(*order).limit(n)  # n rows, from a sort within each task
-        in_order = F.array_sort(F.collect_list(F.struct(*[quoted(o) for o in order], x.alias("__x"))))
-        picked.append(first.agg(in_order.alias("a")).select(F.lit(c).alias("column"), F.posexplode(F.col("a.__x")).alias("nth", "value")))
-    if not picked:
-        return df.sparkSession.createDataFrame([], "column string, nth int, value double")
-    found = picked[0]
-    for more in picked[1:]:
-        found = found.unionByName(more)
-    return found
+    df = missing_as_null(df)
+    found = first_values(df, outlier_checks(bounds(df, columns)), [quoted(o) for o in order], n)
+    return found.select(F.col("kind").alias("column"), "nth", F.col("value").cast("double").alias("value"))
 
 
 def suspicious(counts: DataFrame) -> DataFrame:
@@ -148,18 +180,19 @@ def invalid_counts(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     return turned(df, {c: {"invalid": F.count_if(bad)} for c, bad in checks.items()})
 
 
-def samples(df: DataFrame, c: str, bad: Column, order: list[str], n: int = SAMPLES) -> list:
-    """The first ``n`` values that are bad."""
-    return [r[0] for r in df.filter(bad).orderBy(*order).select(quoted(c)).limit(n).collect()]
+def fault_samples(df: DataFrame, checks: dict[str, Column], order: list[Column] | None = None, n: int = SAMPLES) -> DataFrame:
+    """column, nth, value: the first ``n`` bad values of each column that ``checks`` has a condition for, as text."""
+    found = first_values(df, {c: (bad, quoted(c)) for c, bad in checks.items()}, by_values(df) if order is None else order, n)
+    return found.withColumnRenamed("kind", "column")
 
 
 # Types.
 
 
-def looks_like_email(df: DataFrame, c: str) -> bool:
-    """Most of the first values have the form of mail addresses."""
-    head = df.select(quoted(c).cast("string").alias("v")).filter("v is not null").limit(SNIFFED)
-    return (head.agg(F.avg(F.col("v").rlike(fixed.EMAIL).cast("double"))).first()[0] or 0) > 0.5
+def email_shares(df: DataFrame, columns: list[str], order: list[Column] | None = None) -> DataFrame:
+    """column, looked_at and share of the first values (SNIFFED at most, without nulls) that have the form of mail addresses."""
+    head = first_values(df, {c: (quoted(c).isNotNull(), quoted(c)) for c in columns}, by_values(df) if order is None else order, SNIFFED)
+    return head.groupBy(F.col("kind").alias("column")).agg(F.count("*").alias("looked_at"), F.avg(F.col("value").rlike(fixed.EMAIL).cast("double")).alias("share"))
 
 
 def kind(df: DataFrame, c: str, non_null: int, distinct: int, emails: bool = False) -> str:
@@ -216,20 +249,21 @@ def score(totals: Totals) -> float:
 # Cleaning.
 
 
+def modes(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column and value: the commonest value of each text column, the smallest of equals; values are counted before they meet."""
+    pairs = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), quoted(c).alias("value")) for c in columns]))
+    counts = df.select(pairs).filter("value is not null").groupBy("column", "value").agg(F.count("*").alias("n"))
+    return counts.groupBy("column").agg(F.min_by("value", F.struct(-F.col("n"), "value")).alias("value"))
+
+
 def clean(df: DataFrame) -> DataFrame:
     """Distinct rows, with missing numbers replaced by the median and missing text by the commonest (the smallest of equals)."""
-    distinct = missing_as_null(df).dropDuplicates()
-    fills = {}
-    for f in df.schema:
-        if is_number(df, f.name):
-            fills[f.name] = F.median(quoted(f.name))
-        elif isinstance(f.dataType, T.StringType):
-            fills[f.name] = F.mode(quoted(f.name), True)
-    if not fills:
-        return distinct
-    row = distinct.agg(*[e.alias(str(i)) for i, e in enumerate(fills.values())]).first()
-    values = {c: row[i] for i, c in enumerate(fills) if row[i] is not None}
-    return distinct.select(*[F.coalesce(quoted(c), F.lit(values[c])).alias(c) if c in values else quoted(c) for c in distinct.columns])
+    distinct = distinct_rows(missing_as_null(df))
+    numbers = [c for c in df.columns if is_number(df, c)]
+    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    found = quantiles(distinct, {c: quoted(c).cast("double") for c in numbers}, [0.5])
+    values = {c: s["quantiles"][0] for c, s in found.items()} | ({r["column"]: r["value"] for r in modes(distinct, texts).collect()} if texts else {})
+    return distinct.select(*[F.coalesce(quoted(c), F.lit(values[c])).alias(c) if values.get(c) is not None else quoted(c) for c in distinct.columns])
 
 
 # The whole profile.
@@ -245,6 +279,29 @@ class Profile:
     suspicious: dict[str, list[str]]
     score: float
     recommendations: list[str] = field(default_factory=list)
+    samples: dict[str, dict[str, list[str]]] = field(default_factory=dict)
+
+    def document(self, cleaned_file: str | None = None) -> dict:
+        """The stored form: plain values, rounded to four places."""
+        places = lambda x: round(x, 4) if isinstance(x, float) else x
+        shape = {"mean": "mean", "median": "median", "std": "std", "least": "min", "greatest": "max", "q1": "q1", "q3": "q3"}
+        spread = {c: {own: places(x[k]) for k, own in shape.items()} for c, x in self.columns.items() if x.get("n")}
+        bad = lambda kind: {c: {"count": n, "samples": self.samples.get(kind, {}).get(c, [])} for c, n in self.faults[kind].items()}
+        far = {c: found | {"lower_bound": places(self.columns[c]["lower"]), "upper_bound": places(self.columns[c]["upper"])} for c, found in bad("outliers").items()}
+        profiles = [{"name": c, "type": x["kind"], "non_null": x["non_null"], "missing": x["nulls"], "distinct": x["distinct_values"]} | ({"distribution": spread[c]} if c in spread else {}) for c, x in self.columns.items()]
+        repeats = {"column": self.duplicate_id[0], "count": self.duplicate_id[1]} if self.duplicate_id else {}
+        issues = {"missing_values": {"total": self.totals.missing, "by_column": self.faults["missing"]}, "duplicate_rows": self.totals.duplicate_rows, "duplicate_ids": repeats}
+        issues |= {"invalid_emails": bad("emails"), "invalid_dates": bad("dates"), "invalid_numerics": bad("numbers"), "outliers": far}
+        return {
+            "quality_score": self.score, "rows": self.rows, "columns": self.totals.columns, "column_profiles": profiles, "issues": issues,
+            "distributions": spread, "suspicious_columns": self.suspicious, "recommendations": self.recommendations, "cleaned_file": cleaned_file,
+        }
+
+
+def issue_frame(spark, found: Profile) -> DataFrame:
+    """kind, column, count, lower, upper and samples of all faults of a profile, as a table."""
+    rows = [(kind, c, n, found.columns.get(c, {}).get("lower") if kind == "outliers" else None, found.columns.get(c, {}).get("upper") if kind == "outliers" else None, found.samples.get(kind, {}).get(c, [])) for kind, own in found.faults.items() for c, n in own.items()]
+    return spark.createDataFrame(rows, "kind string, column string, count long, lower double, upper double, samples array<string>")
 
 
 def recommendations(found: Profile) -> list[str]:
@@ -259,13 +316,19 @@ def recommendations(found: Profile) -> list[str]:
     return said
 
 
-def profile(df: DataFrame) -> Profile:
+def profile(df: DataFrame, place: str | None = None) -> Profile:
     """All of the above over one table. An empty table scores 0 and says so.
 
-    Passes over the table: one for distinct values, one for distinct rows, one for all validity checks, one for
-    distributions and one for outliers, besides the first values of text columns.
+    First values are those in the order of the column ``place``, which is no part of the table, or else in that of a hash
+    of the rows, so they are the same at any partitioning.
+
+    Passes over the table: one for distinct values, one for fingerprints of rows (and one for those that come again), one
+    for the first values of all text columns, one for all validity checks, three for all distributions, one for outliers,
+    and one for the samples of all faults.
     """
     df = missing_as_null(df)
+    order = [quoted(place)] if place else by_values(df)
+    whole_df, df = df, df.drop(place) if place else df
     names = df.columns
     counted = distinct_counts(df, names).collect() if names else []
     counts = {r["column"]: r.asDict() for r in counted}
@@ -273,11 +336,9 @@ def profile(df: DataFrame) -> Profile:
     rows = whole["n_rows"]
     if not rows:
         return Profile(0, {}, Totals(0, len(names)), None, {k: {} for k in ("missing", "emails", "dates", "numbers", "outliers")}, {}, 0.0, ["Dataset is empty. Provide a file with data rows."])
-    columns: dict[str, dict] = {}
-    for c in names:
-        text = isinstance(df.schema[c].dataType, T.StringType)
-        emails = text and not re.search(fixed.EMAIL_NAME, c, re.I) and looks_like_email(df, c)
-        columns[c] = counts[c] | {"kind": kind(df, c, counts[c]["non_null"], counts[c]["distinct_values"], emails)}
+    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType) and not re.search(fixed.EMAIL_NAME, f.name, re.I)]
+    mails = {r["column"] for r in email_shares(whole_df, texts, order).filter("share > 0.5").collect()} if texts else set()
+    columns = {c: counts[c] | {"kind": kind(df, c, counts[c]["non_null"], counts[c]["distinct_values"], c in mails)} for c in names}
     checks: dict[tuple[str, str], Column] = {}
     for c in names:
         of, text = columns[c]["kind"], isinstance(df.schema[c].dataType, T.StringType)
@@ -299,6 +360,12 @@ def profile(df: DataFrame) -> Profile:
         for r in [*spread, *outliers(df, numbers, bounds_of(spread)).collect()]:
             columns[r["column"]] |= r.asDict()
         faults["outliers"] = {c: columns[c]["outliers"] for c in numbers if columns[c].get("outliers")}
+    bad = {f"{what} {c}": (check, quoted(c)) for (what, c), check in checks.items() if c in faults[what]}
+    bad |= {f"outliers {c}": check for c, check in outlier_checks([(c, columns[c]["lower"], columns[c]["upper"]) for c in faults["outliers"]]).items()}
+    samples: dict[str, dict[str, list[str]]] = {}
+    for r in sorted(first_values(whole_df, bad, order, SAMPLES).collect(), key=lambda r: r["nth"]) if bad else []:
+        what, c = r["kind"].split(" ", 1)
+        samples.setdefault(what, {}).setdefault(c, []).append(r["value"])
     odd = {r["column"]: r["reasons"] for r in suspicious(df.sparkSession.createDataFrame(counted)).collect()}
     repeats = {c: counts[c]["non_null"] - counts[c]["distinct_values"] for c in names if is_id_name(c)}
     most = max(repeats, key=repeats.get, default=None)
@@ -308,7 +375,7 @@ def profile(df: DataFrame) -> Profile:
         *(sum(faults[k].values()) for k in ("emails", "dates", "numbers", "outliers")), len(odd),
     )
     made = Profile(rows, columns, totals, duplicate_id, faults, {c: odd[c] for c in names if c in odd}, score(totals))
-    made.recommendations = recommendations(made)
+    made.recommendations, made.samples = recommendations(made), samples
     return made
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from tessera.functions import fixed
 from tessera.functions.columns import NUMERIC, bind, date, domain, is_free_mail, is_number, personal_data_class, quoted, timestamp, top_domain
+from tessera.operators.samples import first_values
 
 SNIFFED = 100
 
@@ -219,19 +220,21 @@ def geo_lookup(df: DataFrame, column: str | None = None) -> DataFrame:
     return joined.select(*[quoted(c) for c in own], F.coalesce("__c0", "__c1", F.lit("")).alias("continent"), F.coalesce("__r0", "__r1", F.lit("")).alias("region"))
 
 
-def personal_data(df: DataFrame) -> dict[str, str]:
+def personal_data_shares(df: DataFrame, order: list[Column] | None = None) -> DataFrame:
+    """column, and for each class of personal data the share of the column's first values that have its form.
+
+    The first SNIFFED values, without nulls, in ``order``, or else in that of a hash of the rows; one pass for all columns.
+    """
+    looked = [c for c in df.columns if not c.startswith("_") and c not in ("domain", "domain_tld", "is_free_email", "continent", "region")]
+    head = first_values(df, {c: (quoted(c).isNotNull(), quoted(c)) for c in looked}, [F.xxhash64(*[quoted(c) for c in df.columns])] if order is None else order, SNIFFED)
+    return head.groupBy(F.col("kind").alias("column")).agg(*[F.avg(F.col("value").rlike(p).cast("double")).alias(n) for n, p in fixed.PERSONAL_DATA])
+
+
+def personal_data(df: DataFrame, order: list[Column] | None = None) -> dict[str, str]:
     """Columns whose first values mostly belong to a class of personal data, and the class."""
-    classes = [name for name, _ in fixed.PERSONAL_DATA]
-    found = {}
-    for c in df.columns:
-        if c.startswith("_") or c in ("domain", "domain_tld", "is_free_email", "continent", "region"):
-            continue
-        head = df.select(quoted(c).cast("string").alias("v")).filter("v is not null").limit(SNIFFED)
-        row = head.agg(*[F.avg(F.col("v").rlike(p).cast("double")).alias(n) for n, p in fixed.PERSONAL_DATA]).first()
-        hit = next((n for n in classes if (row[n] or 0) > 0.5), None)
-        if hit:
-            found[c] = hit
-    return found
+    shares = {r["column"]: r for r in personal_data_shares(df, order).collect()}
+    hits = {c: next((n for n, _ in fixed.PERSONAL_DATA if (shares[c][n] or 0) > 0.5), None) for c in df.columns if c in shares}
+    return {c: n for c, n in hits.items() if n}
 
 
 def data_classification(df: DataFrame) -> DataFrame:

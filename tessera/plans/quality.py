@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import quoted
-from tessera.operators import quality
+from tessera.operators import quality, quantiles
 from tessera.plans.catalog import Given, query, table
 
 GAPS = Given("""
@@ -179,3 +179,85 @@ def dq_quality_score(spark, sf_dir):
 def dq_distribution_moments(spark, sf_dir):
     found = quality.distribution(GAPS(spark, sf_dir), NUMBERS)
     return found.select("column", *[F.floor(F.col(c) * 1000).cast("long").alias(c) for c in ("mean", "std")])
+
+
+def firsts(columns: dict[str, str], of: str, order: str, k: int) -> str:
+    """The first k values of each column that meet a condition, by ``order``, as text."""
+    each = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value, {order} AS place FROM ({of}) AS t WHERE {bad}" for c, bad in columns.items())
+    return f"SELECT \"column\", CAST(row_number() OVER (PARTITION BY \"column\" ORDER BY place, value) - 1 AS INTEGER) AS nth, value FROM ({each}) QUALIFY nth < {k}"
+
+
+BAD = {"email": f"email IS NOT NULL AND NOT {EMAIL_SQL}", "amount": f"NOT {NUMBER_SQL.format('amount')}", "signup_date": f"{DATE_SQL.format('signup_date')} IS NULL"}
+
+
+@query(firsts(BAD, PEOPLE.sql, "customer_id", 10))
+def dq_fault_samples(spark, sf_dir):
+    """The first ten bad values of three columns, in one pass; the table is dealt anew first, which changes nothing."""
+    checks = {"email": quality.invalid_email(F.col("email")), "amount": quality.invalid_number(F.col("amount")), "signup_date": quality.invalid_date(F.col("signup_date"))}
+    return quality.fault_samples(PEOPLE(spark, sf_dir).repartition(7), checks, [F.col("customer_id")])
+
+
+#: Mail addresses come first in one column, and last in another.
+CONTACTS = Given("""
+SELECT c_custkey AS place, CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey < 90 OR c_custkey % 5 = 0 THEN CONCAT('u', CAST(c_custkey AS STRING), '@example.com') ELSE c_name END AS contact,
+  CASE WHEN c_custkey < 90 THEN c_name ELSE CONCAT('u', CAST(c_custkey AS STRING), '@example.com') END AS reply, c_name AS name
+FROM {customer}""")
+
+
+@query(f"""
+SELECT "column", count(*) AS looked_at, CAST(count(*) FILTER (regexp_matches(value, '^[a-zA-Z0-9._%+\\-]+@[a-zA-Z0-9.\\-]+\\.[a-zA-Z]{{2,}}$')) AS DOUBLE) / count(*) AS share
+FROM ({firsts({c: f"{c} IS NOT NULL" for c in ("contact", "reply", "name")}, CONTACTS.sql, "place", 100)}) GROUP BY 1""")
+def dq_first_values(spark, sf_dir):
+    """What the first hundred values of each column look like, in one pass, in the order of the table."""
+    return quality.email_shares(CONTACTS(spark, sf_dir).repartition(5), ["contact", "reply", "name"], [F.col("place")])
+
+
+@query(f"""
+SELECT 'contact' AS "column", CASE WHEN (SELECT count(*) FILTER (value LIKE '%@%') FROM ({firsts({"contact": "contact IS NOT NULL"}, CONTACTS.sql, "place", 100)})) > 50 THEN 'email' ELSE 'text' END AS kind
+UNION ALL SELECT 'name', 'text' UNION ALL SELECT 'reply', CASE WHEN (SELECT count(*) FILTER (value LIKE '%@%') FROM ({firsts({"reply": "reply IS NOT NULL"}, CONTACTS.sql, "place", 100)})) > 50 THEN 'email' ELSE 'text' END""")
+def dq_kinds_by_first_values(spark, sf_dir):
+    """Kinds that a profile gives by the first hundred values in the order of the table."""
+    found = quality.profile(CONTACTS(spark, sf_dir), place="place").columns
+    return spark.createDataFrame([(c, x["kind"]) for c, x in found.items()], "`column` string, kind string")
+
+
+#: Many columns, few and many distinct values, with gaps.
+MEASURES = ["l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+TENTHS = [0.0, 0.01, 0.1, 0.5, 0.9, 0.999, 1.0]
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST({p} AS DOUBLE) AS fraction, {SCALED.format(f'quantile_cont({c}, {p})')} AS value FROM lineitem WHERE l_orderkey % 11 <> 0" for c in MEASURES for p in TENTHS))
+def dq_exact_quantiles(spark, sf_dir):
+    """Seven quantiles of five columns by one selection, in ten-thousandths."""
+    rows = table(spark, sf_dir, "lineitem").filter("l_orderkey % 11 <> 0")
+    found = quantiles.quantiles(rows, {c: F.col(c).cast("double") for c in MEASURES}, TENTHS)
+    made = spark.createDataFrame([(c, p, v) for c, x in found.items() for p, v in zip(TENTHS, x["quantiles"], strict=True)], "`column` string, fraction double, value double")
+    return made.withColumn("value", F.round(F.col("value") * 10000).cast("long"))
+
+
+#: Copies of rows with nulls at other places, which plain hashes of rows don't tell apart.
+COPIES = Given("""
+SELECT o_orderkey % 50 AS a, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END AS b, CASE WHEN o_orderkey % 3 = 1 THEN NULL ELSE o_orderpriority END AS c FROM {orders}""")
+
+
+@query(f"SELECT a, b, c, count(*) - 1 AS copies FROM ({COPIES.sql}) GROUP BY a, b, c")
+def dq_distinct_rows(spark, sf_dir):
+    """Each distinct row once, by fingerprints, with the copies that it had."""
+    df = COPIES(spark, sf_dir)
+    counts = df.groupBy("a", "b", "c").agg((F.count("*") - 1).alias("copies"))
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"n.{c}")) for c in "abc"]
+    return quality.distinct_rows(df).alias("d").join(counts.alias("n"), same).select("d.a", "d.b", "d.c", "copies")
+
+
+ISSUES = " UNION ALL ".join([
+    "SELECT 'missing' AS kind, 'email' AS \"column\", count(*) FILTER (email IS NULL) AS count, '' AS first FROM p",
+    *[f"SELECT '{kind}', '{c}', count(*) FILTER ({bad}), min_by({c}, customer_id) FILTER ({bad}) FROM p" for kind, c, bad in (("emails", "email", BAD["email"]), ("dates", "signup_date", BAD["signup_date"]), ("numbers", "amount", BAD["amount"]), ("numbers", "signup_date", f"NOT {NUMBER_SQL.format('signup_date')}"))],
+])
+
+
+@query(f"WITH p AS ({PEOPLE.sql}) SELECT * FROM ({ISSUES}) WHERE count > 0")
+def dq_report_issues(spark, sf_dir):
+    """The faults of the stored report (missing values, mail addresses, dates, numbers) with the first sample of each."""
+    people = PEOPLE(spark, sf_dir).withColumn("place", F.col("customer_id"))
+    found = quality.issue_frame(spark, quality.profile(people, place="place")).filter("kind <> 'outliers'")
+    return found.select("kind", "column", "count", F.coalesce(F.get("samples", F.lit(0)), F.lit("")).alias("first"))

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 
-from tessera.operators import quality
+from pyspark.sql import functions as F
+
+from tessera.operators import quality, quantiles, samples
 
 
 @pytest.fixture(scope="module")
@@ -79,3 +82,105 @@ def test_edges(spark):
     few = spark.createDataFrame([(1,), (2,), (900,)], "n int")
     assert quality.outliers(few, ["n"]).count() == 0 and quality.outlier_samples(few, ["n"], ["n"]).count() == 0
     assert quality.profile(few.select("n", (few["n"] > 1).alias("flag"))).columns["flag"]["kind"] == "boolean"
+
+
+def exact(df, columns, fractions):
+    found = quantiles.quantiles(df, {c: F.col(c).cast("double") for c in columns}, fractions)
+    return {c: x["quantiles"] for c, x in found.items()}
+
+
+FRACTIONS = [0.0, 0.001, 0.25, 0.5, 0.75, 0.9, 1.0]
+
+
+@pytest.mark.parametrize("inner", [20_000, 3])
+def test_quantiles_as_numpy(spark, monkeypatch, inner):
+    """With brackets that are sorted at once, and with so little allowed that they are narrowed again and again."""
+    monkeypatch.setattr(quantiles, "INNER", inner)
+    rng = np.random.default_rng(4)
+    own = pd.DataFrame({
+        "even": rng.random(5000), "ties": rng.integers(0, 4, 5000).astype(float), "heavy": np.where(rng.random(5000) < 0.4, 7.5, rng.standard_cauchy(5000)),
+        "wide": rng.choice([1e-300, -1e300, 1e300, 0.0, 5e-324], 5000) * rng.random(5000), "same": np.full(5000, 3.25), "two": np.r_[np.zeros(2500), np.ones(2500)],
+    })
+    found = exact(spark.createDataFrame(own).repartition(6), list(own), FRACTIONS)
+    for c in own:
+        assert found[c] == pytest.approx([own[c].quantile(p) for p in FRACTIONS], rel=1e-12), c
+
+
+def test_quantiles_when_the_sketch_is_wrong(spark, monkeypatch):
+    """Brackets that miss their ranks on either side are refuted by the counts."""
+    df = spark.range(1000).select(F.col("id").cast("double").alias("x"))
+    for p, shown in ((0.5, 0.9), (0.5, 0.1), (0.0, 1.0), (1.0, 0.0)):
+        monkeypatch.setattr(quantiles, "brackets", lambda fractions, shown=shown: [shown, shown])
+        assert exact(df, ["x"], [p]) == {"x": [999 * p]}
+
+
+def test_quantiles_of_ten_million_distinct_values(spark):
+    """Exact, while no more than INNER values of a bracket are ever sorted, and no buffer holds all distinct ones."""
+    n = 10_000_000
+    df = spark.range(0, n, 1, 16).select(((F.col("id") * 7_368_787) % n / 3.0).alias("x"))
+    sorted_values, inner_values = [], quantiles.inner_values
+
+    def watched(*args):
+        made = inner_values(*args)
+        sorted_values.append(made.groupBy("rank").count().agg(F.max("count")).first()[0])
+        return made
+
+    quantiles.inner_values = watched
+    try:
+        found = exact(df, ["x"], [0.25, 0.5, 0.75])["x"]
+    finally:
+        quantiles.inner_values = inner_values
+    assert found == pytest.approx([p * (n - 1) / 3.0 for p in (0.25, 0.5, 0.75)], rel=1e-15)
+    assert sorted_values and max(sorted_values) <= quantiles.INNER
+
+
+def test_quantiles_at_the_edges(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, None), (None, 2.0)], "none double, few double")
+    found = quantiles.quantiles(df, {c: F.col(c) for c in df.columns}, [0.5])
+    assert found["none"]["n"] == 0 and found["none"]["quantiles"] == [None] and found["few"]["quantiles"] == [1.5]
+    assert quantiles.quantiles(df, {}, [0.5]) == {} and exact(df.limit(0), ["few"], [0.5]) == {"few": [None]}
+
+
+def test_first_values_at_any_partitioning(spark):
+    df = spark.range(3000).select(((F.col("id") * 7919) % 3000).alias("at"), (F.col("id") % 5).alias("v"))
+    kinds = {"odd": (F.col("v") % 2 == 1, F.col("v")), "none": (F.col("v") > 9, F.col("v")), "all": (F.lit(True), F.when(F.col("at") > 2, F.col("at")))}
+    made = [sorted(tuple(r) for r in samples.first_values(d, kinds, [F.col("at")], 4).collect()) for d in (df, df.repartition(90), df.coalesce(1))]
+    assert made[0] == made[1] == made[2]
+    at = {(r["at"], r["v"]) for r in df.collect()}
+    odd = [str(v) for _, v in sorted((a, v) for a, v in at if v % 2)[:4]]
+    assert [v for k, _, v in made[0] if k == "odd"] == odd and [v for k, _, v in made[0] if k == "all"] == [None, None, None, "3"]
+    assert not [k for k, _, _ in made[0] if k == "none"] and samples.first_values(df, {}, [F.col("at")], 4).count() == 0
+
+
+def test_first_values_in_one_job(spark):
+    """One window per step for all kinds, each below a limit of the groups, so that tasks hand on k rows for each kind."""
+    df = spark.range(100).withColumnRenamed("id", "x")
+    plan = samples.first_values(df, {str(i): (F.col("x") > i, F.col("x")) for i in range(20)}, [F.col("x")], 3)._jdf.queryExecution().toString()
+    assert plan.split("Physical Plan")[1].count("WindowGroupLimit") == 4 and plan.split("Physical Plan")[1].count("Range (") == 1
+
+
+def test_fingerprints_tell_places_of_nulls(spark):
+    rows = [(None, "a"), ("a", None), (None, "a"), (None, None), (None, None), ("a", "a")]
+    df = spark.createDataFrame(rows, "x string, y string")
+    assert sorted(map(str, quality.distinct_rows(df).collect())) == sorted(map(str, df.dropDuplicates().collect()))
+    assert tuple(quality.duplicate_rows(df).first()) == (6, 2) and tuple(quality.duplicate_rows(df.limit(0)).first()) == (0, 0)
+    nan = spark.createDataFrame([(float("nan"), 0.0), (float("nan"), -0.0), (None, 0.0)], "x double, y double")
+    assert quality.duplicate_rows(nan).first()["duplicates"] == 2
+
+
+def test_equal_fingerprints_of_unequal_rows(spark, monkeypatch):
+    """Whole rows decide where fingerprints collide."""
+    monkeypatch.setattr(quality, "fingerprint", lambda df: [F.lit(1), F.lit(2)])
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (3, None)], "x int, y string")
+    assert quality.distinct_rows(df).count() == 3 and tuple(quality.duplicate_rows(df).first()) == (4, 1)
+
+
+def test_report_document(spark, table):
+    found = quality.profile(table.repartition(3))
+    made = found.document("x_cleaned.csv")
+    assert made["rows"] == 123 and made["cleaned_file"] == "x_cleaned.csv" and made["quality_score"] == found.score
+    assert made["issues"]["invalid_emails"]["email"]["count"] == 11 and set(made["issues"]["invalid_emails"]["email"]["samples"]) == {"broken@"}
+    assert made["issues"]["outliers"]["amount"]["samples"] == ["900.0"] and made["issues"]["outliers"]["amount"]["lower_bound"] is not None
+    assert made["issues"]["duplicate_ids"] == {"column": "customer_id", "count": 63} and made["distributions"]["amount"]["max"] == 900.0
+    frame = {(r["kind"], r["column"]): r["count"] for r in quality.issue_frame(spark, found).collect()}
+    assert frame["emails", "email"] == 11 and frame["outliers", "amount"] == 1
