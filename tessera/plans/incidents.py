@@ -223,11 +223,15 @@ def log_anomaly_score(spark, sf_dir):
     return incidents.anomaly(hours(spark, sf_dir)).select(*[F.floor(F.col(c) * 100).cast("long").alias(c) for c in ("score", "baseline")])
 
 
-@query("SELECT CAST(3 AS BIGINT) AS n_buckets, '2024-01-01T00:00:00Z' AS start, CAST(0 AS BIGINT) AS score UNION ALL SELECT 1, '2024-01-01T00:00:00Z', 0")
+FEW = "SELECT count(DISTINCT date_trunc('hour', ts)) AS n_buckets, {} AS start, CAST(0 AS BIGINT) AS score FROM events WHERE ts < TIMESTAMP '2024-01-01 0{}:00:00'"
+
+
+@query(f"{FEW.format('NULL', 3)} UNION ALL {FEW.format("strftime(min(date_trunc('hour', ts)), '%Y-%m-%dT%H:00:00Z')", 1)}")
 def log_anomaly_few_buckets(spark, sf_dir):
-    """Three equal buckets have no anomaly and no score; a single bucket is its own start."""
-    bucket = lambda n: spark.range(n).select(F.concat(F.lit("2024-01-01T0"), F.col("id"), F.lit(":00:00Z")).alias("bucket"), F.lit(4).alias("error"))
-    rows = [incidents.anomaly(bucket(n)).select(F.lit(n).cast("long").alias("n_buckets"), F.coalesce("start", F.lit("2024-01-01T00:00:00Z")).alias("start"), F.col("score").cast("long").alias("score")) for n in (3, 1)]
+    """The first three hours, if all have equally many errors, have no anomaly and no score; a single hour is its own start."""
+    flat = hours(spark, sf_dir).withColumn("error", F.lit(4))
+    first = [flat.filter(F.col("bucket") < f"2024-01-01T0{n}:00:00Z") for n in (3, 1)]
+    rows = [incidents.anomaly(b).crossJoin(b.agg(F.count("*").alias("n_buckets"))).select("n_buckets", "start", F.col("score").cast("long").alias("score")) for b in first]
     return rows[0].unionByName(rows[1])
 
 

@@ -9,12 +9,13 @@ from tessera.functions.columns import minute, pattern_of
 from tessera.operators.incidents import is_error
 
 
-def timeline(entries: DataFrame, late: str = "10 minutes", width: str = "1 minute") -> DataFrame:
-    """bucket and counts like the batch timeline; a window closes ``late`` after its end."""
+def timeline(entries: DataFrame, late: str = "10 minutes", width: str = "1 minute", by: str | None = None) -> DataFrame:
+    """bucket and counts like the batch timeline, for each value of ``by`` if given; a window closes ``late`` after its end."""
     info = F.col("severity").isin("INFO", "DEBUG")
     counts = [F.count("*").alias("total"), F.count_if(is_error()).alias("error"), F.count_if(F.col("severity") == "WARNING").alias("warning"), F.count_if(info).alias("info")]
-    windows = entries.withWatermark("ts", late).groupBy(F.window("ts", width)).agg(*counts)
-    return windows.select(minute(F.col("window.start")).alias("bucket"), "total", "error", "warning", "info")
+    own = [by] if by else []
+    windows = entries.withWatermark("ts", late).groupBy(F.window("ts", width), *own).agg(*counts)
+    return windows.select(minute(F.col("window.start")).alias("bucket"), *own, "total", "error", "warning", "info")
 
 
 def first_occurrences(entries: DataFrame, late: str = "1 hour") -> DataFrame:
