@@ -271,9 +271,14 @@ class Report:
     recommendations: list[str]
     patterns: DataFrame
     timeline: DataFrame
+    entries: DataFrame
 
     def as_dict(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("patterns", "timeline")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("patterns", "timeline", "entries")}
+
+    def release(self) -> None:
+        """Let go of the entries that are kept for ``patterns`` and ``timeline``."""
+        self.entries.unpersist()
 
     def document(self, output_files: dict | None = None) -> dict:
         """The report in the form in which it is stored and compared."""
@@ -296,9 +301,13 @@ class Report:
 
 
 def analyze(lines: DataFrame, environment: str = "production", time: str | None = None, threshold: str | None = None, now: datetime | None = None, year: int | None = None) -> Report:
-    """An incident report of log lines. Only the top patterns, services and single rows of statistics come to the driver."""
+    """An incident report of log lines. Only the top patterns, services and single rows of statistics come to the driver.
+
+    A null line stands for a file that can't be read and counts as a failure to parse.
+    """
     every = parse(lines, year).persist()
-    failures, n_lines = parse_failures(every).first()[0], lines.count()
+    n_lines, unreadable = lines.agg(F.count("line"), F.count_if(F.col("line").isNull())).first()
+    failures = parse_failures(every).first()[0] + unreadable
     entries = within(every, *time_range(time, now))
     entries = at_least(entries, threshold) if threshold else entries
     counts = severity_counts(entries).first().asDict()
@@ -309,8 +318,8 @@ def analyze(lines: DataFrame, environment: str = "production", time: str | None
     found, level = anomaly(buckets).first().asDict(), classify(entries).first()["severity"]
     found["score"], found["baseline"] = round(found["score"], 2), round(found["baseline"], 2)
     said = recommendations(top, found["start"], [s["service"] for s in services], level)
-    summary = counts | {"total_lines": n_lines, "parse_failures": failures}
-    return Report(environment, level, summary, [{k: v for k, v in r.asDict().items() if k != "advice"} for r in top], found, services, said, patterns, buckets)
+    summary = counts | {"total_lines": n_lines, "parse_failures": failures, "unreadable_files": unreadable}
+    return Report(environment, level, summary, [{k: v for k, v in r.asDict().items() if k != "advice"} for r in top], found, services, said, patterns, buckets, every)
 
 
 # Comparison.

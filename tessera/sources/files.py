@@ -1,19 +1,26 @@
-"""Writers. Frames go out in parallel as directories; single files are for bounded results such as reports."""
+"""Writers. Frames go out in parallel as directories, or as one file that is joined from what the tasks wrote."""
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 import os
 from pathlib import Path
+from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.functions.columns import iso
+from tessera.functions.columns import iso, quoted
 from tessera.operators.incidents import Report
+from tessera.operators.quality import Profile
+from tessera.sources.paths import joined, remove, write_text
 
-#: Rows that a single-file writer takes at most; larger frames go out as directories.
-MOST_ROWS = 1_000_000
+#: A bound on the rows of one file that a caller may set; workbooks, which are built in memory, have one of their own.
+MOST_ROWS: int | None = None
+MOST_SHEET_ROWS = 1_000_000
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -24,27 +31,47 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def within_bound(df: DataFrame, most: int | None) -> None:
+    if most is not None and df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows; write a directory instead")
+
+
 def bounded(df: DataFrame) -> list[dict]:
-    rows = df.limit(MOST_ROWS + 1).collect()
-    if len(rows) > MOST_ROWS:
-        raise ValueError(f"more than {MOST_ROWS} rows; write a directory instead")
-    return [r.asDict(recursive=True) for r in rows]
+    within_bound(df, MOST_SHEET_ROWS)
+    return [r.asDict(recursive=True) for r in df.collect()]
 
 
-def write_csv_file(df: DataFrame, path: str, mark: bool = True) -> None:
-    """One CSV file, with a byte order mark by default."""
-    import csv
+def as_one_file(df: DataFrame, path: str, form: str, options: dict, **around) -> None:
+    """Tasks write parts, in the order of the rows; the parts are joined to one file in whatever store it lies."""
+    within_bound(df, MOST_ROWS)
+    spark, folder = df.sparkSession, f"{path}._parts-{uuid4().hex}"
+    try:
+        df.write.format(form).options(**options).save(folder)
+        joined(spark, folder, path, **around)
+    finally:
+        remove(spark, folder)
+
+
+def flat(df: DataFrame) -> DataFrame:
+    """Nested columns as JSON text, which CSV can hold."""
+    nested = (T.StructType, T.ArrayType, T.MapType, T.VariantType)
+    return df.select(*[F.to_json(quoted(f.name)).alias(f.name) if isinstance(f.dataType, nested) else quoted(f.name) for f in df.schema])
 
-    rows = bounded(df)
-    with open(path, "w", encoding="utf-8-sig" if mark else "utf-8", newline="") as file:
-        writer = csv.DictWriter(file, df.columns)
-        writer.writeheader()
-        writer.writerows(rows)
+
+def write_csv_file(df: DataFrame, path: str, mark: bool = True) -> None:
+    """One CSV file, with a byte order mark by default; of any size."""
+    text = io.StringIO()
+    csv.writer(text, lineterminator="\n").writerow(df.columns)
+    head = ("\ufeff" if mark else "") + text.getvalue()
+    as_one_file(flat(df), path, "csv", {"header": "false", "quote": '"', "escape": '"', "emptyValue": ""}, before=head.encode())
 
 
 def write_json_file(df: DataFrame, path: str) -> None:
-    """One JSON array with an indent of two."""
-    Path(path).write_text(json.dumps(bounded(df), indent=2, ensure_ascii=False, default=lambda x: x.isoformat() if hasattr(x, "isoformat") else str(x)), encoding="utf-8")
+    """One JSON array with an indent of two, of any size; missing values are null."""
+    whole = F.to_json(F.struct(*[quoted(c) for c in df.columns]), {"pretty": "true", "ignoreNullFields": "false"})
+    rows = df.select(F.concat(F.lit("  "), F.regexp_replace(whole, "\n", "\n  ")).alias("value"))
+    empty = df.isEmpty()
+    as_one_file(rows, path, "text", {"lineSep": ",\n"}, before=b"[" if empty else b"[\n", behind=b"]" if empty else b"\n]", cut=2)
 
 
 def write_excel_file(df: DataFrame, path: str, sheet: str = "Transformed Data") -> None:
@@ -94,7 +121,11 @@ def write_timeline(buckets: DataFrame, path: str) -> None:
 
 
 def write_report(report: Report, output_files: dict, path: str) -> None:
-    Path(path).write_text(json.dumps(report.document(output_files), indent=2, ensure_ascii=False, default=str), encoding="utf-8")
+    write_text(report.entries.sparkSession, path, json.dumps(report.document(output_files), indent=2, ensure_ascii=False, default=str))
+
+
+def write_profile(spark: SparkSession, found: Profile, cleaned_file: str | None, path: str) -> None:
+    write_text(spark, path, json.dumps(found.document(cleaned_file), indent=2, ensure_ascii=False, default=str))
 
 
 def write_invoices(invoices: DataFrame, path: str) -> None:
@@ -109,5 +140,9 @@ def output_name(path: str, suffix: str) -> str:
     return os.path.join(folder, f"{Path(name).stem.replace('_raw', '')}_transformed.{suffix.lstrip('.')}")
 
 
+def profile_name(path: str) -> str:
+    return f"{os.path.splitext(path)[0]}_profile.json"
+
+
 def cleaned_name(path: str) -> str:
     return f"{os.path.splitext(path)[0]}_cleaned.csv"

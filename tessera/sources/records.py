@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.records import Config, detect
+from tessera.sources.paths import read_text
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -23,9 +24,9 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([], "value string") if schema in (None, "VOID") else spark.read.json(lines.rdd.map(lambda r: r[0]))
 
 
-def read_config(path: str) -> Config | None:
-    """A configuration in YAML or JSON; an empty one is None."""
-    text = Path(path).read_text(encoding="utf-8")
+def read_config(path: str, spark: SparkSession | None = None) -> Config | None:
+    """A configuration in YAML or JSON; an empty one is None. With a session, of any store."""
+    text = read_text(spark, path) if spark else Path(path).read_text(encoding="utf-8")
     if path.lower().endswith(".json"):
         return Config.of(json.loads(text) if text.strip() else None)
     import yaml

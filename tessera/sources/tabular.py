@@ -11,20 +11,29 @@ from tessera.functions import fixed
 from tessera.functions.columns import NUMERIC, quoted
 
 
-def read_text_table(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file with all columns as text and missing values as null."""
+def place_of_rows() -> Column:
+    """(file, split, order in the task): the order of rows in files, whatever their splits."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"))
+
+
+def read_text_table(spark: SparkSession, path: str, place: str | None = None) -> DataFrame:
+    """A CSV file with all columns as text and missing values as null; with the rows' places if ``place`` names a column."""
     raw = spark.read.csv(path, header=True, multiLine=True, escape='"', quote='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    return raw.select(*[F.when(~quoted(c).isin(fixed.NA_TOKENS), quoted(c)).alias(c) for c in raw.columns])
+    return raw.select(*[F.when(~quoted(c).isin(fixed.NA_TOKENS), quoted(c)).alias(c) for c in raw.columns], *([place_of_rows().alias(place)] if place else []))
 
 
-def typed(df: DataFrame) -> DataFrame:
-    """Text columns as boolean, bigint or double where all values allow it; whole numbers with gaps become doubles."""
+def typed(df: DataFrame, place: str | None = None) -> DataFrame:
+    """Text columns as boolean, bigint or double where all values allow it; whole numbers with gaps become doubles.
+
+    The column ``place`` stays as it is.
+    """
+    names = [c for c in df.columns if c != place]
 
     def all_of(c: Column, pattern: str) -> Column:
         return F.coalesce(F.bool_and(c.rlike(pattern)), F.lit(False))
 
     tests = {}
-    for i, name in enumerate(df.columns):
+    for i, name in enumerate(names):
         c = quoted(name)
         tests |= {f"b{i}": all_of(c, r"^(True|False|TRUE|FALSE|true|false)$"), f"i{i}": all_of(c, r"^\s*[+-]?\d{1,18}\s*$"), f"f{i}": all_of(c, NUMERIC), f"n{i}": F.count_if(c.isNull()), f"v{i}": F.count(c)}
     row = df.agg(*[e.alias(n) for n, e in tests.items()]).first()
@@ -39,7 +48,7 @@ def typed(df: DataFrame) -> DataFrame:
             return F.trim(c).cast("bigint").alias(name)
         return F.trim(c).cast("double").alias(name) if row[f"f{i}"] else c.alias(name)
 
-    return df.select(*[cast(i, n) for i, n in enumerate(df.columns)])
+    return df.select(*[cast(i, n) for i, n in enumerate(names)], *([place] if place else []))
 
 
 def read_excel(spark: SparkSession, path: str) -> DataFrame:
@@ -63,3 +72,13 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     if kind in (".parquet", ".orc"):
         return spark.read.format(kind[1:]).load(path)
     raise ValueError(f"unsupported file format {kind!r}; use .csv, .xlsx, .xls, .parquet or .orc")
+
+
+def read_placed_table(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
+    """``read_table`` with one more column, which tells the rows' order in the files, and its name."""
+    kind, place = PurePath(path).suffix.lower(), "__place"
+    if kind == ".csv":
+        return typed(read_text_table(spark, path, place), place), place
+    if kind in (".parquet", ".orc"):
+        return spark.read.format(kind[1:]).load(path).select("*", place_of_rows().alias(place)), place
+    return read_table(spark, path).withColumn(place, F.monotonically_increasing_id()), place

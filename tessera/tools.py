@@ -9,13 +9,13 @@ from __future__ import annotations
 import os
 import time
 from dataclasses import asdict
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import incidents, invoices, quality, records
 from tessera.sources import documents, files, logs, tabular
+from tessera.sources.paths import exists
 from tessera.sources import records as sources
 
 FORMATS = ("csv", "json", "excel")
@@ -39,25 +39,27 @@ def tried(write, *args) -> str:
 
 
 def profile_dataset(spark: SparkSession, path: str, cleaned: bool = True, output: str | None = None) -> dict:
-    """Profile, faults, score and recommendations of a table, and a cleaned copy as CSV."""
-    if not Path(path).exists():
+    """Profile, faults, score and recommendations of a table, stored as JSON, and a cleaned copy as CSV."""
+    if not exists(spark, path):
         return failed(f"no such file: {path}")
     try:
-        df = tabular.read_table(spark, path)
+        df, place = tabular.read_placed_table(spark, path)
     except ValueError as e:
         return failed(str(e))
-    found = asdict(quality.profile(df))
+    profile = quality.profile(df, place)
+    found = asdict(profile)
     if cleaned and found["rows"]:
-        found["cleaned_file"] = tried(files.write_csv, quality.clean(df), beside(path, os.path.basename(files.cleaned_name(path)), output))
+        found["cleaned_file"] = tried(files.write_csv, quality.clean(df.drop(place)), beside(path, os.path.basename(files.cleaned_name(path)), output))
+    found["report_file"] = tried(files.write_profile, spark, profile, found.get("cleaned_file"), beside(path, os.path.basename(files.profile_name(path)), output))
     return {"status": "success"} | found
 
 
 def analyze_logs(spark: SparkSession, path: str, environment: str = "production", time_range: str | None = None, severity_threshold: str | None = None, output: str | None = None, **more) -> dict:
     """An incident report of log files, a ZIP archive or a directory, with its tables as CSV."""
-    if not Path(path).exists():
+    if not exists(spark, path):
         return failed(f"no such file: {path}")
     lines = logs.read_logs(spark, path)
-    if lines.isEmpty():
+    if lines.filter("line is not null").isEmpty():
         return failed("no log lines found")
     report = incidents.analyze(lines, environment, time_range, severity_threshold, **more)
     if not report.summary["total"]:
@@ -67,13 +69,14 @@ def analyze_logs(spark: SparkSession, path: str, environment: str = "production"
     written = {"error_summary": tried(files.write_error_summary, report.patterns, at["error_summary"]), "timeline": tried(files.write_timeline, report.timeline, at["timeline"])}
     names_of = {k: os.path.basename(x) if x == at[k] else x for k, x in written.items()}
     written["report"] = tried(files.write_report, report, names_of | {"incident_report": names["report"]}, at["report"])
-    return {"status": "success", "unreadable_files": logs.unreadable(spark, path)} | report.as_dict() | {"output_files": written}
+    report.release()
+    return {"status": "success", "unreadable_files": report.summary["unreadable_files"]} | report.as_dict() | {"output_files": written}
 
 
 def compare_incidents(spark: SparkSession, path_a: str, path_b: str) -> dict:
     """Comparison of two reports that ``analyze_logs`` wrote."""
     for path in (path_a, path_b):
-        if not Path(path).exists():
+        if not exists(spark, path):
             return failed(f"no such file: {path}")
     try:
         a, b = (sources.read_reports(spark, p)[0] for p in (path_a, path_b))
@@ -88,7 +91,7 @@ def transform_records(spark: SparkSession, path: str, config: str | None = None,
     if output_format not in FORMATS:
         return failed(f"unknown output format {output_format!r}; use one of {', '.join(FORMATS)}")
     for p in (path, *([config] if config else [])):
-        if not Path(p).exists():
+        if not exists(spark, p):
             return failed(f"no such file: {p}")
     try:
         found = sources.read_records(spark, path)
@@ -96,7 +99,7 @@ def transform_records(spark: SparkSession, path: str, config: str | None = None,
         return failed(f"not JSON: {e}")
     if not found.columns or found.isEmpty():
         return failed("No records found")
-    made = records.transform(found, sources.read_config(config) if config else None, enrichers, flatten_depth)
+    made = records.transform(found, sources.read_config(config, spark) if config else None, enrichers, flatten_depth)
     write, suffix = {"csv": (files.write_csv_file, "csv"), "json": (files.write_json_file, "json"), "excel": (files.write_excel_file, "xlsx")}[output_format]
     at = beside(path, os.path.basename(files.output_name(path, suffix)), output)
     output_file = tried(write, made.frame, at)

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import csv
 import importlib.util
+import io
 import json
+import shutil
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera import tools
 from tessera.sources import documents, files, logs, records, tabular
@@ -126,3 +129,116 @@ def test_foreseen_failures(spark, folder):
         tools.compare_incidents(spark, str(folder / "bad.json"), str(folder / "bad.json")),
     ):
         assert found["status"] == "error" and found["error"]
+
+
+def by_python(path):
+    """Lines of a file as Python's own text mode has them, by the rules of encoding and binary content."""
+    content = path.read_bytes()
+    head = content[:8192]
+    if sum(not (0x20 <= b < 0x7F or b in (9, 10, 13)) for b in head) > 0.1 * len(head):
+        return []
+    try:
+        text = content.decode()
+    except UnicodeDecodeError:
+        text = content.decode("latin-1")
+    return [(k, line.removesuffix("\n")) for k, line in enumerate(io.StringIO(text, newline=None), 1)]
+
+
+CONTENTS = {
+    "unix.log": "".join(f"line {i} é\n" for i in range(4000)).encode(), "windows.log": b"".join(b"row %d\r\n" % i for i in range(3000)), "no_end.log": b"x\n" * 2000 + b"last",
+    "late_latin.log": b"ascii only\n" * 3000 + b"caf\xe9\n" + b"more\n" * 50, "old_mac.log": b"\r".join(b"m%d" % i for i in range(2500)) + b"\r", "mixed.log": b"a\rb\nc\r\n\r\rd\r\r\n\ne" * 400,
+    "blank.log": b"\n\n\r\n\n", "empty.log": b"", "binary.log": bytes(range(128, 256)) * 200, "late_binary.log": b"text\n" * 2000 + bytes(range(128, 256)) * 90,
+    "edge_text.log": b"x" * 7373 + b"\x01" * 819 + b"\x01" * 50, "edge_binary.log": b"x" * 7372 + b"\x01" * 820, "one.log": b"alone", "cut.log": "é".encode()[:1] + b"abcdefghijkl\n",
+}
+
+
+@pytest.mark.parametrize("split", ["1000", "128m"])
+def test_lines_of_split_files(spark, folder, split):
+    """Numbers, encodings and binary files are those of whole files, though a file lies in many splits."""
+    for name, content in CONTENTS.items():
+        (folder / name).write_bytes(content)
+    usual = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        found = {}
+        for r in logs.read_logs(spark, str(folder)).collect():
+            found.setdefault(r["source_file"].rsplit("/", 1)[1], []).append((r["line_no"], r["line"]))
+    finally:
+        for k, v in usual.items():
+            spark.conf.set(k, v)
+    for name in CONTENTS:
+        assert sorted(found.get(name, [])) == by_python(folder / name), name
+
+
+def test_archives(spark, folder):
+    """Members of any encoding, nested folders and damaged parts; what can't be read counts as a failure, the rest is read."""
+    with zipfile.ZipFile(folder / "a.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for name, content in CONTENTS.items():
+            z.writestr(f"deep/{name}", content)
+        z.writestr("deep/notes.md", "ignored")
+    (folder / "broken.zip").write_bytes(b"PK\x03\x04 not really")
+    with zipfile.ZipFile(folder / "half.zip", "w") as z:
+        z.writestr("good.log", LOG)
+        z.writestr("bad.log", "2024-03-01 10:00:00 ERROR [db] damaged\n" * 100)
+    raw = bytearray((folder / "half.zip").read_bytes())
+    raw[raw.rindex(b"damaged")] ^= 1
+    (folder / "half.zip").write_bytes(raw)
+    rows = logs.read_logs(spark, str(folder)).collect()
+    found = {}
+    for r in rows:
+        found.setdefault(r["source_file"].split("/in/", 1)[1], []).append((r["line_no"], r["line"]))
+    for name, content in CONTENTS.items():
+        (folder / name).write_bytes(content)
+        assert sorted(found.get(f"a.zip!/deep/{name}", [])) == by_python(folder / name), name
+    assert found["broken.zip"] == found["half.zip!/bad.log"] == [(0, None)] and len(found["half.zip!/good.log"]) == 3
+    (folder / "only").mkdir()
+    shutil.copy(folder / "half.zip", folder / "only" / "half.zip")
+    report = tools.analyze_logs(spark, str(folder / "only"), year=2024)
+    assert report["unreadable_files"] == 1 and report["summary"]["parse_failures"] == 1 and report["summary"]["total_lines"] == 3
+    stored = json.loads(open(report["output_files"]["report"]).read())
+    assert stored["summary"]["parse_failures"] == 1
+
+
+def test_members_are_dealt_to_tasks(spark, folder):
+    with zipfile.ZipFile(folder / "many.zip", "w") as z:
+        for i in range(40):
+            z.writestr(f"{i}.log", f"line of {i}\n" * 3)
+    found = logs.archived_lines(spark, str(folder / "many.zip"))
+    assert found.rdd.getNumPartitions() > 1 and found.count() == 120
+    assert found.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_single_files_from_many_tasks(spark, folder):
+    """More rows than any bound, in order, from several parts; nested values, quotes and nulls; empty tables."""
+    df = spark.range(0, 5000, 1, 7).select("id", F.concat(F.lit('q"uote, '), F.col("id")).alias("text"), F.when(F.col("id") % 2 == 0, F.array("id")).alias("list"))
+    files.write_json_file(df, str(folder / "many.json"))
+    rows = json.loads((folder / "many.json").read_text())
+    assert [r["id"] for r in rows] == list(range(5000)) and rows[0] == {"id": 0, "text": 'q"uote, 0', "list": [0]} and rows[1]["list"] is None
+    files.write_csv_file(df, str(folder / "many.csv"))
+    lines = list(csv.reader((folder / "many.csv").open(encoding="utf-8-sig")))
+    assert lines[0] == ["id", "text", "list"] and [int(r[0]) for r in lines[1:]] == list(range(5000)) and lines[1][1:] == ['q"uote, 0', "[0]"]
+    files.write_json_file(df.limit(0), str(folder / "none.json"))
+    files.write_csv_file(df.limit(0), str(folder / "none.csv"), mark=False)
+    assert json.loads((folder / "none.json").read_text()) == [] and (folder / "none.csv").read_text() == "id,text,list\n"
+    assert sorted(p.name for p in folder.iterdir() if not p.name.startswith(".")) == ["many.csv", "many.json", "none.csv", "none.json"]
+
+
+def test_paths_of_other_stores(spark, folder):
+    """A path with a scheme is found, read and written beside its input."""
+    (folder / "t.csv").write_text("email,amount\na@b.co,5\nbroken@,5\n,7\n")
+    found = tools.profile_dataset(spark, f"file://{folder}/t.csv")
+    assert found["status"] == "success" and found["report_file"] == f"file://{folder}/t_profile.json"
+    stored = json.loads((folder / "t_profile.json").read_text())
+    assert stored["issues"]["invalid_emails"]["email"] == {"count": 1, "samples": ["broken@"]} and stored["cleaned_file"].endswith("t_cleaned.csv")
+    (folder / "logs").mkdir()
+    (folder / "logs" / "a.log").write_text(LOG)
+    assert tools.analyze_logs(spark, f"file://{folder}/logs", year=2024)["summary"]["total_lines"] == 3
+    assert (folder / "incident_report.json").exists()
+
+
+def test_samples_follow_the_file(spark, folder):
+    """The first faults in the order of the file, whatever the types of other columns."""
+    (folder / "t.csv").write_text("email,n\n" + "".join(f"bad{99 - i}@,{i}\n" for i in range(50)))
+    found = tools.profile_dataset(spark, str(folder / "t.csv"), cleaned=False)
+    assert found["samples"]["emails"]["email"] == [f"bad{99 - i}@" for i in range(10)]
