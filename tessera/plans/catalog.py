@@ -38,4 +38,4 @@ class Given:
         return spark.sql(self.text, **{t: table(spark, sf_dir, t) for t in self.tables})
 
 
-from tessera.plans import incidents, invoices, quality, records, streams  # noqa: E402, F401  they register their queries
+from tessera.plans import incidents, invoices, quality, records, sources, streams  # noqa: E402, F401  they register their queries

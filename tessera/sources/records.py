@@ -3,25 +3,67 @@
 from __future__ import annotations
 
 import json
+import re
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.operators.records import Config, detect
 from tessera.sources.paths import read_text
 
 
+def plain(kind: T.DataType) -> T.DataType:
+    """What a discovered type is read as: decimals as doubles, values of several types and values that are always null as text."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, plain(f.dataType)) for f in kind])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(plain(kind.elementType))
+    if isinstance(kind, T.DecimalType):
+        return T.DoubleType()
+    return T.StringType() if isinstance(kind, T.NullType | T.VariantType) else kind
+
+
+def discovered(records: DataFrame) -> T.StructType:
+    """The fields of all records (variants), at any depth, by one aggregation; names are quoted in what it gives."""
+    found = records.agg(F.schema_of_variant_agg("record").alias("s")).first()["s"]
+    if not found or not found.startswith("OBJECT"):
+        return T.StructType()
+    quoted_or_not = re.split(r"(`(?:[^`]|``)*`)", found)
+    return plain(T._parse_datatype_string("".join(x if k % 2 else re.sub(r"\bOBJECT\b", "STRUCT", x) for k, x in enumerate(quoted_or_not))))
+
+
+def in_ddl(kind: T.DataType) -> str:
+    """A type in DDL, with names quoted."""
+    if isinstance(kind, T.StructType):
+        fields = [f"`{f.name.replace('`', '``')}`: {in_ddl(f.dataType)}" for f in kind]
+        return f"struct<{', '.join(fields)}>"
+    return f"array<{in_ddl(kind.elementType)}>" if isinstance(kind, T.ArrayType) else kind.simpleString()
+
+
+def records_of(documents: DataFrame, column: str = "value") -> DataFrame:
+    """record (variant, an object) of each record in JSON texts; those that are no objects get one field, value."""
+    found = detect(documents, column)
+    wrapped = F.parse_json(F.concat(F.lit('{"value":'), F.to_json("record"), F.lit("}")))
+    return found.select(F.when(F.schema_of_variant("record").startswith("OBJECT"), F.col("record")).otherwise(wrapped).alias("record"))
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Records of a JSON document (one for each file), each under its own wrapping key, with an inferred schema.
+    """Records of a JSON document (one for each file), each under its own wrapping key, with the fields that any of them has.
 
-    Records that are no objects have one field, value.
+    Records are parsed once; their fields are taken out of the parsed form. Records that are no objects have one field, value.
     """
-    found = detect(spark.read.text(path, wholetext=True), "value")
-    text = F.to_json("record")
-    lines = found.select(F.when(F.schema_of_variant("record").startswith("OBJECT"), text).otherwise(F.concat(F.lit('{"value":'), text, F.lit("}"))).alias("json"))
-    schema = lines.agg(F.schema_of_variant_agg(F.parse_json("json")).alias("s")).first()["s"]
-    return spark.createDataFrame([], "value string") if schema in (None, "VOID") else spark.read.json(lines.rdd.map(lambda r: r[0]))
+    found = records_of(spark.read.text(path, wholetext=True))
+    schema = discovered(found)
+    if not schema.fields:
+        return spark.createDataFrame([], "value string")
+    return found.select(F.try_variant_get("record", "$", in_ddl(schema)).alias("r")).select("r.*")
+
+
+def unreadable_documents(spark: SparkSession, path: str) -> int:
+    """Files that are no JSON, and so have no records."""
+    return spark.read.text(path, wholetext=True).filter(F.try_parse_json("value").isNull()).count()
 
 
 def read_config(path: str, spark: SparkSession | None = None) -> Config | None:

@@ -242,3 +242,22 @@ def test_samples_follow_the_file(spark, folder):
     (folder / "t.csv").write_text("email,n\n" + "".join(f"bad{99 - i}@,{i}\n" for i in range(50)))
     found = tools.profile_dataset(spark, str(folder / "t.csv"), cleaned=False)
     assert found["samples"]["emails"]["email"] == [f"bad{99 - i}@" for i in range(10)]
+
+
+def test_ragged_records(spark, folder):
+    """Fields of any record, at any depth, with one type each; odd names; several documents; no Python workers."""
+    docs = {
+        "a.json": {"data": [{"id": 1, "x": {"y": 1.5, "odd `name` <OBJECT>": [1]}}, {"id": 2, "x": None, "only": None}]}, "b.json": [{"id": "three", "x": {"y": 2}}, 7, {"tags": [{"k": "v"}, {"n": 1}]}],
+        "c.json": {"id": 12345678901234, "flag": True},
+    }
+    for name, doc in docs.items():
+        (folder / name).write_text(json.dumps(doc))
+    (folder / "d.json").write_text("{no json")
+    df = records.read_records(spark, str(folder))
+    assert "Python" not in df._jdf.queryExecution().toString()
+    rows = [r.asDict(recursive=True) for r in df.collect()]
+    assert len(rows) == 6 and records.unreadable_documents(spark, str(folder)) == 1
+    assert sorted(str(r["id"]) for r in rows) == ["1", "12345678901234", "2", "None", "None", "three"]
+    assert {r["value"] for r in rows} == {None, 7} and [r["x"]["y"] for r in rows if r["x"]] and dict(df.dtypes)["flag"] == "boolean"
+    assert next(r for r in rows if r["id"] == "1")["x"]["odd `name` <OBJECT>"] == [1]
+    assert next(r for r in rows if r["tags"])["tags"] == [{"k": "v", "n": None}, {"k": None, "n": 1}]
