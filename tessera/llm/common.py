@@ -46,12 +46,15 @@ def remove(spark: SparkSession, folder: str) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables that are written within are deleted at the end; results that read them must be stored before."""
+    """Tables and checkpoints that are written within are deleted at the end; results that read them must be stored before."""
     FOLDERS.append(f"{checkpoint_folder(spark)}/scratch-{uuid4().hex}")
+    spark.sparkContext.setCheckpointDir(f"{FOLDERS[-1]}/checkpoints")
     try:
         yield
     finally:
-        remove(spark, FOLDERS.pop())
+        own = FOLDERS.pop()
+        spark.sparkContext.setCheckpointDir(f"{FOLDERS[-1]}/checkpoints" if FOLDERS else checkpoint_folder(spark))
+        remove(spark, own)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

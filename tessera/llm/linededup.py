@@ -6,7 +6,7 @@ lines therefore keeps its first line alone. Texts of fewer than WINDOW such line
 
 Null texts stay null. Rows with an equal doc_id and text count as one occurrence and get equal results; of rows with an
 equal doc_id and other texts, the smaller hash of the text comes first. A null doc_id comes before all others. Long texts
-are read whole. Extra columns pass through; one named n_lines or n_removed is replaced.
+are read whole. Extra columns pass through, whatever their names; one named n_lines or n_removed is replaced.
 """
 
 from __future__ import annotations
@@ -50,13 +50,20 @@ def repeats(df: DataFrame, text: str = "text") -> DataFrame:
 
 def dedup_lines(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with repeats removed from ``text``, and n_lines and n_removed (worded lines before, and those removed)."""
+    kept = [(i, c) for i, c in enumerate(df.columns) if c not in ("n_lines", "n_removed")]
+    # Other columns go by number meanwhile, so that no name of theirs meets one of a working column.
+    by_number = {i: c if c in ("doc_id", text) else f"own_{i}" for i, c in enumerate(df.columns)}
+    made = deduplicated(df.toDF(*by_number.values()), text)
+    return made.select(*[F.col(f"`{by_number[i]}`").alias(c) for i, c in kept], "n_lines", "n_removed")
+
+
+def deduplicated(df: DataFrame, text: str) -> DataFrame:
     own = prepared(df, text)
     found = own.join(repeats(df, text), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left")
     covered = F.expr(f"array_distinct(flatten(transform(__at, i -> slice(__places, i + 1, {WINDOW}))))")
     kept = F.expr("transform(array_except(sequence(0, size(__lines) - 1), __covered), i -> __lines[i])")
-    made = found.withColumn("__covered", covered).withColumns({
+    return found.withColumn("__covered", covered).withColumns({
         "n_lines": F.coalesce(F.size("__places"), F.lit(0)).cast("long"),
         "n_removed": F.coalesce(F.when(F.col("__covered").isNotNull(), F.size("__covered")), F.lit(0)).cast("long"),
         text: F.when(F.col("__covered").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")),
     })
-    return made.select(*[c for c in df.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")

@@ -61,3 +61,12 @@ def test_edges(spark):
     # The row without an id comes first; both rows of id 4 are one occurrence, and a repeat.
     assert sorted((r["doc_id"] or 0, r["text"] or "-", r["n_removed"]) for r in found) == [(0, "-", 0), (0, "a\nb\nc", 0), (4, "-", 3), (4, "-", 3)]
     assert all(r["removed"] == "own" for r in found)
+
+
+def test_any_names_of_other_columns(spark):
+    """Columns named like the operator's own ones come back as they were."""
+    names = ["__at", "__id", "__hash", "__lines", "__places", "__text_hash", "__covered", "own_0", "a`b"]
+    rows = documents(spark, ["a\nb\nc", "x\na\nb\nc"]).withColumns({n: F.concat(F.lit(f"{n} "), "doc_id") for n in names})
+    found = linededup.dedup_lines(rows).collect()
+    assert {(r["doc_id"], r["text"]) for r in found} == {(0, "a\nb\nc"), (1, "x")}
+    assert all(r[n] == f"{n} {r['doc_id']}" for r in found for n in names)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -97,3 +98,22 @@ def test_rest_of_the_library_needs_none_of_this():
     for name in ("tessera.plans.catalog", "tessera.operators.records", "tessera.sources.logs"):
         source = open(importlib.import_module(name).__file__).read()
         assert "tessera.llm" not in source and "corpus_pipeline" not in source
+
+
+def test_near_duplicates_with_any_names(spark):
+    names = ["__first", "__id", "__hash", "__key", "__nth", "__last", "own_1"]
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = documents(spark, [text, text, "other " + text[::-1]], ids=[1, 2, None]).withColumns({n: F.concat_ws(" ", F.lit(n), "doc_id") for n in names})
+    left = corpus_pipeline.near_duplicates(spark, docs, SMALLEST)
+    assert left.columns == docs.columns and sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 1]
+    assert all(r[n] == " ".join([n, *([str(r["doc_id"])] if r["doc_id"] else [])]) for r in left.collect() for n in names)
+
+
+def test_nothing_but_the_result_is_left(spark):
+    """Tables and checkpoints of the stages are deleted; what run() returns stays."""
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    weight = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file() and "crc" not in f.suffix)
+    before = weight()
+    found = corpus_pipeline.run(spark, SMALLEST)
+    own = Path(found.inputFiles()[0].removeprefix("file:").replace("//", "/")).parent
+    assert weight() - before <= sum(f.stat().st_size for f in own.rglob("*") if f.is_file()) + 1000 and found.count() > 0
