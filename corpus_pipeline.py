@@ -48,15 +48,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows with an equal doc_id and text are one document. Rows without doc_id, and further texts of a doc_id, take part
     under a key from a hash and come after all numbered documents.
     """
-    hashed = docs.withColumn("__hash", F.xxhash64("text"))
+    # Other columns go by number meanwhile, so that no name of theirs meets one of a working column.
+    by_number = {c: c if c in ("doc_id", "text") else f"own_{i}" for i, c in enumerate(docs.columns)}
+    hashed = docs.toDF(*by_number.values()).withColumn("__hash", F.xxhash64("text"))
     several = written(hashed.filter("doc_id is not null").groupBy("doc_id").agg(F.min("__hash").alias("__first"), F.max("__hash").alias("__last")).filter("__first < __last").select(F.col("doc_id").alias("__id"), "__first"))
+    # Rows without doc_id need no lookup, and would all meet in one task.
+    with_id = hashed.filter("doc_id is not null").join(several, F.col("doc_id") == F.col("__id"), "left").drop("__id")
+    looked_up = with_id.unionByName(hashed.filter("doc_id is null").withColumn("__first", F.lit(None).cast("long")))
     numbered = F.col("doc_id").isNotNull() & (F.col("__first").isNull() | (F.col("__first") == F.col("__hash")))
     other = F.xxhash64("doc_id", "__hash").bitwiseAND((1 << 62) - 1) + F.lit(1 << 62)
-    keyed = hashed.join(several, F.col("doc_id") == F.col("__id"), "left").withColumn("__key", F.when(numbered, F.col("doc_id")).otherwise(other))
+    keyed = looked_up.withColumn("__key", F.when(numbered, F.col("doc_id")).otherwise(other))
     groups = jaccard.groups(keyed.select(F.col("__key").alias("doc_id"), "text"), SHINGLE_WORDS, SIMILAR_PERCENT)
     gone = groups.filter("component_id != doc_id").select(F.col("doc_id").alias("__key")).distinct()
     left = keyed.join(gone, "__key", "left_anti")
-    return left.withColumn("__nth", F.row_number().over(Window.partitionBy("__key").orderBy("__hash"))).filter("__nth = 1").select(docs.columns)
+    nth = F.row_number().over(Window.partitionBy("__key").orderBy("__hash"))
+    return left.withColumn("__nth", nth).filter("__nth = 1").select(*[F.col(own).alias(c) for c, own in by_number.items()])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
