@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from tessera.llm.common import map_rows
+from tessera.llm.common import HELD, map_rows
 
 #: Distinct matches in a generation of what a task keeps, and those that go through the tokenizer in one call.
 CACHE = 250_000
@@ -145,6 +145,14 @@ def decoder(path: str) -> Decoder:
     return Decoder(path)
 
 
+def forget() -> None:
+    encoder.cache_clear()
+    decoder.cache_clear()
+
+
+HELD[(__name__, "tessera.llm.packing")] = forget
+
+
 def offsets(text: str, ids: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
     """First character of each token and the one behind its last; tokens that share a character both cover it."""
     raw = np.frombuffer(text.encode(), np.uint8)

@@ -108,6 +108,17 @@ def values_of(column: pa.Array) -> list:
     return [flat[a:b] if ok else None for a, b, ok in zip(ends[:-1], ends[1:], column.is_valid().to_pylist(), strict=True)]
 
 
+#: How to let go of what operators keep in a Python worker between tasks, by the modules whose functions use it.
+HELD: dict[tuple[str, ...], Callable[[], None]] = {}
+
+
+def let_go_for(module: str) -> None:
+    """Workers go on to the stages of other operators; what only those before need would add up there."""
+    for users, clear in HELD.items():
+        if module not in users:
+            clear()
+
+
 def map_rows(df: DataFrame, column: str, added: T.StructType, compute: Callable[[], Callable]) -> DataFrame:
     """``df`` with the columns of ``added``: for each row, what the function that ``compute()`` returns makes of ``column``.
 
@@ -124,6 +135,7 @@ def map_rows(df: DataFrame, column: str, added: T.StructType, compute: Callable[
     fields = [arrow.field(i) for i in range(len(names), len(arrow))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go_for(compute.__module__)
         function = compute()
         for batch in slices(batches, source):
             values = values_of(batch.column(source))

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import cut_lineage, map_rows, slices, values_of
+from tessera.llm.common import HELD, cut_lineage, map_rows, slices, values_of
 
 MAX_LABELLED = 20_000
 K = 32
@@ -308,6 +308,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> tuple[
 
 #: Index by name, in a Python worker.
 INDEXES: dict[str, BlockMaxIndex] = {}
+HELD[(__name__,)] = INDEXES.clear
 
 
 class Packed(NamedTuple):
