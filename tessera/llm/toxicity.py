@@ -4,7 +4,9 @@ The terms are all words of the labelled rows, and the beginnings of words that m
 Chernoff bound over all that were tried; copies of a text count once). Each text becomes a vector of these terms, its
 weights from term counts in the text and from document counts over the whole corpus. Words that no labelled row has are
 no part of the space. Every text with a term is searched. The K nearest examples vote, weighted by their cosine; a text without any term gets the rate of label 1 among
-examples without terms. The score is smoothed towards the rate among all, so that few or distant examples say little.
+examples without terms. The share of votes is smoothed towards the rate among all, so that few or distant examples say
+little, and a logistic curve makes a calibrated score of it: it is fitted to the shares that at most CALIBRATED examples
+(those with the smallest hash) get from the others. One kind of label alone leaves the shares as they are.
 
 At most MAX_LABELLED labelled rows are used, those with the smallest hash of their doc_id. Of several labels of one
 document the highest counts, and of several texts of a labelled doc_id the one with the smallest hash is the example. Of
@@ -34,11 +36,13 @@ from pyspark.sql import types as T
 from tessera.llm.common import HELD, cut_lineage, map_rows, slices, values_of
 
 MAX_LABELLED = 20_000
+CALIBRATED = 4_000
 K = 32
-BLOCK = 64
+#: Examples in a block, and how many times k examples are read first.
+BLOCK, OPENING = 16, 8
 SMOOTHING = 1.0
 #: At most so many terms, the commonest of those that one in SPARSE examples has or more, are columns of a dense table.
-COMMON, SPARSE = 256, 64
+COMMON, SPARSE = 128, 64
 #: Texts that are searched together, and more than the error of single precision in a cosine.
 TOGETHER, MARGIN = 64, 1e-4
 #: Natural logarithm of the inverse of the expected number of terms chosen by chance.
@@ -131,16 +135,38 @@ def vector_key(terms: np.ndarray, counts: np.ndarray) -> bytes:
     return hashlib.blake2b(np.asarray(terms, np.int32).tobytes() + np.asarray(counts, np.int32).tobytes(), digest_size=16).digest()
 
 
+def by_likeness(points: np.ndarray) -> np.ndarray:
+    """Order of ``points`` in which each run of BLOCK is alike: halves along the widest direction, again and again.
+
+    The order decides what a search must read, never what it finds.
+    """
+    order, runs = np.arange(len(points)), [(0, len(points))]
+    while runs:
+        a, b = runs.pop()
+        if b - a <= BLOCK:
+            continue
+        own = points[order[a:b]] - points[order[a:b]].mean(axis=0)
+        line = own[np.argmax((own * own).sum(axis=1))] if own.shape[1] else own[0]
+        for _ in range(8):
+            line = own.T @ (own @ line)
+            line = line / (np.sqrt(line @ line) or 1.0)
+        order[a:b] = order[a:b][np.argsort(own @ line, kind="stable")]
+        middle = a + (b - a + BLOCK) // (2 * BLOCK) * BLOCK
+        runs += [(a, middle), (middle, b)]
+    return order
+
+
 class BlockMaxIndex:
-    """Inverted index of the examples, in blocks of BLOCK; common terms in a table, with their greatest weight in each block."""
+    """Inverted index of the examples, in blocks of BLOCK that are alike: rare terms as postings, common ones in a table with block maxima.
+
+    A search is a block-max form of MaxScore. The postings of rare terms are short (their maxima in blocks would be about as
+    many as they) and are summed first; what common terms can add is bounded by their greatest weights in each block, and the
+    table is read for those examples alone whose bound reaches the k-th cosine.
+    """
 
     def __init__(self, examples: list[tuple[int, int, list[int], list[int]]], idf: np.ndarray):
         known = sorted((x for x in examples if len(x[2])), key=lambda x: (np.asarray(x[2], ">i4").tobytes(), x[0]))
         blank = [x[1] for x in examples if not len(x[2])]
-        self.idf, self.ids = idf, [x[0] for x in known]
-        self.toxic = np.array([x[1] for x in known], float)
-        self.rate = sum(x[1] for x in examples) / len(examples) if len(examples) else 0.0
-        self.blank = (sum(blank) + self.rate) / (len(blank) + 1)
         n = len(known)
         held = np.zeros(len(idf), np.int64)
         for x in known:
@@ -149,25 +175,38 @@ class BlockMaxIndex:
         common = common[held[common] * SPARSE > n]
         self.column = np.full(len(idf), -1, np.int32)
         self.column[common] = np.arange(len(common))
+        vectors = [(np.asarray(x[2], np.int32), weights(np.asarray(x[2], np.int32), np.asarray(x[3], float), idf)) for x in known]
+        table = np.zeros((n, len(common)), np.float32)
+        for i, (terms, weight) in enumerate(vectors):
+            column = self.column[terms]
+            table[i, column[column >= 0]] = weight[column >= 0]
+        #: Place of an example in the order of vectors and doc_id, by its place in the index.
+        self.rank = by_likeness(table)
+        known, vectors = [known[i] for i in self.rank], [vectors[i] for i in self.rank]
+        self.quick = table[self.rank]
+        self.idf, self.ids = idf, [x[0] for x in known]
+        self.toxic = np.array([x[1] for x in known], float)
+        self.rate = sum(x[1] for x in examples) / len(examples) if len(examples) else 0.0
+        self.blank = (sum(blank) + self.rate) / (len(blank) + 1)
         self.table = np.zeros((n, len(common)))
         held[common] = 0
         self.edges = np.concatenate([[0], np.cumsum(held)])
         self.at, self.weight, free = np.empty(self.edges[-1], np.int32), np.empty(self.edges[-1]), self.edges[:-1].copy()
-        for i, x in enumerate(known):
-            terms = np.asarray(x[2], np.int32)
-            weight, column = weights(terms, np.asarray(x[3], float), idf), self.column[terms]
+        for i, (terms, weight) in enumerate(vectors):
+            column = self.column[terms]
             rare, often = terms[column < 0], column >= 0
             self.table[i, column[often]] = weight[often]
             self.at[free[rare]], self.weight[free[rare]] = i, weight[~often]
             free[rare] += 1
-        self.quick = self.table.astype(np.float32)
-        self.begins = np.arange(0, n, BLOCK)
-        self.most = np.maximum.reduceat(self.quick, self.begins, axis=0) if n else self.quick
+        self.most = np.maximum.reduceat(self.quick, np.arange(0, n, BLOCK), axis=0) if n else self.quick
+        self.block = np.arange(n) // BLOCK
+        #: Examples whose row of the table searches have read, and all that they could have read.
+        self.read = self.of = 0
         self.seen: dict[bytes, tuple] = {}
         #: The first example with a vector.
         self.first: dict[bytes, int] = {}
-        for i, x in enumerate(known):
-            self.first.setdefault(vector_key(x[2], x[3]), i)
+        for i in np.argsort(self.rank).tolist():
+            self.first.setdefault(vector_key(known[i][2], known[i][3]), i)
 
     def rare(self, terms: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """What the terms outside the table add to the cosine with each example."""
@@ -180,11 +219,10 @@ class BlockMaxIndex:
         return np.bincount(np.concatenate([self.at[a:b] for a, b, _ in spans]), weighed, len(self.ids))
 
     def nearest_of_each(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = K) -> list[list[tuple[float, int]]]:
-        """Cosine and number of the ``k`` nearest examples of each text; equal cosines in the examples' order. Exact.
+        """Cosine and number of the ``k`` nearest examples of each text; equal cosines in the order of vectors and doc_id. Exact.
 
-        The rare terms' postings are summed. What common terms can add in a block of examples is bounded by the terms'
-        greatest weights there; the table is read, in single precision, in the blocks that some text of the batch may need.
-        Examples within its error of the k-th are then weighed in full precision.
+        The OPENING * k examples with the greatest bounds give the cosine that others must reach; each text decides on its own. Cosines
+        are in single precision there; examples within its error of the k-th are then weighed in full precision.
         """
         n = len(self.ids)
         if not n:
@@ -194,30 +232,24 @@ class BlockMaxIndex:
             column = self.column[terms]
             own[i, column[column >= 0]] = weight[column >= 0]
         quick = own.astype(np.float32)
-        rare = np.stack([self.rare(*v) for v in vectors])
-        about = rare.astype(np.float32)
-        if n > k:
-            bound = np.maximum.reduceat(about, self.begins, axis=1) + quick @ self.most.T
-            least = np.empty((len(vectors), 1), np.float32)
-            for i in range(len(vectors)):
-                first = np.argpartition(-about[i], k - 1)[:k]
-                least[i] = (about[i, first] + self.quick[first] @ quick[i]).min()
-            needed = np.flatnonzero((bound >= least - MARGIN).any(axis=0))
-            rows = np.arange(n) if len(needed) == len(self.begins) else np.concatenate([np.arange(b, min(n, b + BLOCK)) for b in self.begins[needed]])
-        else:
-            rows = np.arange(n)
-        whole = len(rows) == n
-        about = (about if whole else about[:, rows]) + quick @ (self.quick if whole else self.quick[rows]).T
+        most = quick @ self.most.T
         found = []
-        for i in range(len(vectors)):
-            if len(rows) > k:
-                least = np.partition(about[i], len(rows) - k)[len(rows) - k]
-                chosen = rows[about[i] >= least - MARGIN]
-            else:
-                chosen = rows
-            cosine = np.round(rare[i, chosen] + self.table[chosen] @ own[i], 12)
-            best = np.lexsort((chosen, -cosine))[:k]
-            found.append([(float(cosine[j]), int(chosen[j])) for j in best if cosine[j] > 0])
+        for i, vector in enumerate(vectors):
+            rare = self.rare(*vector)
+            able = np.arange(n)
+            if n > k:
+                bound = rare.astype(np.float32) + most[i][self.block]
+                opening = min(n, OPENING * k)
+                first = np.argpartition(bound, n - opening)[n - opening :]
+                least = np.partition(rare[first] + self.quick[first] @ quick[i], opening - k)[opening - k]
+                able = np.flatnonzero(bound >= least - MARGIN)
+                about = rare[able] + self.quick[able] @ quick[i]
+                self.read += len(able)
+                able = able[about >= np.partition(about, len(able) - k)[len(able) - k] - MARGIN]
+            self.of += n
+            cosine = np.round(rare[able] + self.table[able] @ own[i], 12)
+            best = np.lexsort((self.rank[able], -cosine))[:k]
+            found.append([(float(cosine[j]), int(able[j])) for j in best if cosine[j] > 0])
         return found
 
     def nearest(self, terms: np.ndarray, weight: np.ndarray, k: int = K) -> list[tuple[float, int]]:
@@ -248,26 +280,67 @@ class BlockMaxIndex:
         return self.scores([(terms, counts)])[0]
 
 
+#: Slope and shift of the logistic curve on the logit of a share; none leaves shares as they are.
+Curve = tuple[float, float] | None
+
+
+def logit(share: np.ndarray) -> np.ndarray:
+    share = np.clip(share, 1e-6, 1 - 1e-6)
+    return np.log(share / (1 - share))
+
+
+def curve_of(share: np.ndarray, toxic: np.ndarray) -> Curve:
+    """Platt's curve: logistic regression of ``toxic`` on the logit of ``share``, with his smoothed targets."""
+    n, n_toxic = len(toxic), int(toxic.sum())
+    if n_toxic in (0, n):
+        return None
+    x = np.stack([logit(share), np.ones(n)], axis=1)
+    target = np.where(toxic > 0, (n_toxic + 1) / (n_toxic + 2), 1 / (n - n_toxic + 2))
+    curve = np.array([1.0, 0.0])
+    loss = lambda c: float(np.logaddexp(0, x @ c).sum() - target @ (x @ c))
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ curve, -500, 500)))
+        slope = x.T @ (p - target)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-9 * np.eye(2), slope)
+        size = 1.0
+        while size > 1e-6 and loss(curve - size * step) > loss(curve):
+            size /= 2
+        curve = curve - size * step
+        if np.abs(size * step).max() < 1e-9:
+            break
+    return (float(curve[0]), float(curve[1])) if curve[0] > 0 else None
+
+
+def calibrated(found: list[tuple[float, list[int]]], curve: Curve) -> list[tuple[float, list[int]]]:
+    """Shares and evidence, with the curve's scores in place of the shares."""
+    if curve is None or not found:
+        return found
+    z = curve[0] * logit(np.array([s for s, _ in found])) + curve[1]
+    return [(s, e) for s, (_, e) in zip((1 / (1 + np.exp(-np.clip(z, -500, 500)))).tolist(), found, strict=True)]
+
+
 class Scorer:
     """Scores of texts for ``map_rows``."""
 
-    def __init__(self, index: BlockMaxIndex, vector: Vectorizer):
-        self.index, self.vector = index, vector
+    def __init__(self, index: BlockMaxIndex, vector: Vectorizer, curve: Curve):
+        self.index, self.vector, self.curve = index, vector, curve
 
     def many(self, texts: list[str | None]) -> list[tuple]:
-        return self.index.scores([self.vector(t) for t in texts])
+        return calibrated(self.index.scores([self.vector(t) for t in texts]), self.curve)
 
 
 SCORED = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.LongType()))])
 
 
 class Model(NamedTuple):
-    """What scoring needs: the terms, the examples (doc_id, toxic, terms, counts), the terms' weights, and the terms as tasks have them."""
+    """What scoring needs: the terms, the examples (doc_id, toxic, terms, counts), the terms' weights, terms and examples as tasks have them, the curve."""
 
     terms: dict[str, int]
     examples: list[tuple[int, int, np.ndarray, np.ndarray]]
     idf: np.ndarray
     known: Broadcast
+    shared: Broadcast
+    curve: Curve
 
 
 def document_counts(docs: DataFrame, known: Broadcast) -> DataFrame:
@@ -303,7 +376,12 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> tuple[
     for batch in vector(texts).toArrow().to_batches():  # ``limit`` rows at most
         found = [values_of(batch.column(c)) for c in ("doc_id", "toxic", "terms", "counts")]
         examples += [(d, y, a.astype(np.int32), c.astype(np.int32)) for d, y, a, c in zip(*found, strict=True)]
-    return Model(terms, sorted(examples, key=lambda x: x[0]), idf, known), vector(docs)
+    examples.sort(key=lambda x: x[0])
+    model = Model(terms, examples, idf, known, docs.sparkSession.sparkContext.broadcast(packed(examples, idf)), None)
+    # An example's own vote doesn't count in its share. Few rows, but dear ones: they are spread over all cores.
+    judged = texts.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATED).select("text", "toxic").repartition(docs.sparkSession.sparkContext.defaultParallelism)
+    shares = score_texts(judged, model).select("score", "toxic").orderBy("score", "toxic").toArrow()
+    return model._replace(curve=curve_of(shares.column("score").to_numpy(), shares.column("toxic").to_numpy())), vector(docs)
 
 
 #: Index by name, in a Python worker.
@@ -323,9 +401,9 @@ class Packed(NamedTuple):
     counts: np.ndarray
 
 
-def packed(model: Model) -> Packed:
-    join = lambda k: np.concatenate([np.asarray(x[k], np.int32) for x in model.examples] or [np.zeros(0, np.int32)])
-    return Packed(uuid4().hex, model.idf, [x[0] for x in model.examples], [x[1] for x in model.examples], np.cumsum([len(x[2]) for x in model.examples]), join(2), join(3))
+def packed(examples: list[tuple[int, int, np.ndarray, np.ndarray]], idf: np.ndarray) -> Packed:
+    join = lambda k: np.concatenate([np.asarray(x[k], np.int32) for x in examples] or [np.zeros(0, np.int32)])
+    return Packed(uuid4().hex, idf, [x[0] for x in examples], [x[1] for x in examples], np.cumsum([len(x[2]) for x in examples]), join(2), join(3))
 
 
 def loaded(shared: Broadcast) -> BlockMaxIndex:
@@ -340,19 +418,19 @@ def loaded(shared: Broadcast) -> BlockMaxIndex:
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with score and evidence (doc_ids of the nearest examples)."""
-    shared, known = docs.sparkSession.sparkContext.broadcast(packed(model)), model.known
-    return map_rows(docs, "text", SCORED, lambda: Scorer(loaded(shared), Vectorizer(known.value)))
+    shared, known, curve = model.shared, model.known, model.curve
+    return map_rows(docs, "text", SCORED, lambda: Scorer(loaded(shared), Vectorizer(known.value), curve))
 
 
 def score_vectors(vectors: DataFrame, model: Model) -> DataFrame:
     """Like score_texts, for the vectors that ``fit`` returned."""
-    shared = vectors.sparkSession.sparkContext.broadcast(packed(model))
+    shared, curve = model.shared, model.curve
     kept = [f for f in vectors.schema.fields if f.name not in ("terms", "counts", "score", "evidence")]
     schema = T.StructType([*kept, *SCORED.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = loaded(shared).scores(list(zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True)))
+            scores = calibrated(loaded(shared).scores(list(zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True))), curve)
             own = [batch.column(f.name) for f in kept]
             yield pa.RecordBatch.from_arrays([*own, pa.array([s for s, _ in scores], pa.float64()), pa.array([e for _, e in scores], pa.list_(pa.int64()))], names=schema.fieldNames())
 

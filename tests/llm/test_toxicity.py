@@ -54,6 +54,42 @@ def test_held_out_accuracy(spark):
     assert auc > 0.92
     right = sum((s >= 0.3) == bool(y) for s, y in judged) / len(judged)
     assert right > 0.95
+    # Scores are chances: in each band the mean score is near the share of label 1.
+    for low, high in ((0, 0.1), (0.1, 0.9), (0.9, 1.01)):
+        band = [(s, y) for s, y in judged if low <= s < high]
+        mean, share = np.mean([s for s, _ in band]), np.mean([y for _, y in band])
+        assert abs(mean - share) < 0.05 + 2 * np.sqrt(mean * (1 - mean) / len(band)), (low, len(band), mean, share)
+
+
+def test_searches_read_few_examples(spark):
+    """Block maxima keep most examples of the given tables from being read, and the nearest are those of a whole scan."""
+    docs, labels = (spark.read.parquet(f"{TABLES}/{t}.parquet") for t in ("documents", "labels"))
+    model, _ = toxicity.fit(docs.select("doc_id", "text"), labels)
+    index, vector = toxicity.BlockMaxIndex(model.examples, model.idf), toxicity.Vectorizer(model.terms)
+    known = {e[0]: e for e in model.examples}
+    texts = [r["text"] for r in docs.orderBy(F.xxhash64("doc_id")).limit(120).collect()]
+    vectors = [(np.asarray(t, np.int32), np.asarray(c, float)) for t, c in map(vector, texts) if t]
+    whole = np.zeros((len(index.ids), len(model.idf)), np.float32)
+    for i, d in enumerate(index.ids):
+        whole[i, known[d][2]] = toxicity.weights(known[d][2], known[d][3].astype(float), model.idf)
+    for terms, counts in vectors:
+        unit = toxicity.weights(terms, counts, model.idf)
+        near = index.nearest(terms, unit)
+        every = np.sort(whole[:, terms] @ unit)[::-1][: toxicity.K]
+        assert np.allclose([c for c, _ in near], every[every > 1e-7], atol=1e-5)
+    assert index.of == len(vectors) * len(index.ids) and index.read < 0.5 * index.of
+
+
+def test_curve():
+    rng = np.random.default_rng(23)
+    share = rng.uniform(0.02, 0.98, 5000)
+    chance = 1 / (1 + np.exp(-(2 * toxicity.logit(share) + 0.5)))
+    slope, shift = toxicity.curve_of(share, (rng.uniform(size=5000) < chance).astype(int))
+    assert abs(slope - 2) < 0.2 and abs(shift - 0.5) < 0.2
+    assert toxicity.curve_of(share, np.zeros(5000)) is None and toxicity.curve_of(share[:0], np.zeros(0)) is None
+    assert toxicity.curve_of(share, (share < 0.5).astype(int)) is None  # a falling curve would turn the order round
+    apart = toxicity.curve_of(np.array([0.0, 0.0, 1.0, 1.0]), np.array([0, 0, 1, 1]))
+    assert all(np.isfinite(apart)) and toxicity.calibrated([(0.0, [1]), (1.0, [])], apart)[0][0] < 0.5
 
 
 def test_labels_of_held_out_rows_change_nothing(spark):
