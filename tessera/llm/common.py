@@ -72,16 +72,20 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def lookup(rows: DataFrame, found: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+def lookup(rows: DataFrame, found: DataFrame, keys: list[str], how: str = "left", counted: DataFrame | None = None) -> DataFrame:
     """``rows`` with the columns of ``found``: its ``keys``, which are unique, ``n`` (rows that have them) and others.
 
     Keys that at least one row in HOT_SHARE has, HOT_SHARE of them at most, are looked up without a shuffle, so that no task
-    gets all rows of a frequent key.
+    gets all rows of a frequent key. ``counted`` has the keys and ``n`` of all rows; without it a frequent key that is not in
+    ``found`` is not known as such.
     """
     found = written(found)
-    frequent = F.col("n") * HOT_SHARE >= (found.agg(F.sum("n")).first()[0] or 0)
-    hot = F.broadcast(found.filter(frequent).drop("n").withColumn("__hot", F.lit(True)))
-    marked = rows.join(hot, keys, "left")
+    sums = found if counted is None else counted
+    frequent = F.col("n") * HOT_SHARE >= (sums.agg(F.sum("n")).first()[0] or 0)
+    hot = found.filter(frequent).drop("n")
+    if counted is not None:
+        hot = counted.filter(frequent).select(*keys).join(hot, keys, how)
+    marked = rows.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), keys, "left")
     rare = marked.filter("__hot is null").select(*keys, *[F.col(f"`{c}`") for c in rows.columns if c not in keys])
     return marked.filter("__hot").drop("__hot").unionByName(rare.join(found.filter(~frequent).drop("n"), keys, how))
 

@@ -112,6 +112,30 @@ def test_long_equal_urls_end(spark):
     assert {r["page_id"]: r["verdict"] for r in rows} == {0: "block", 1: "allow", 2: "block"}
 
 
+def test_any_token_of_a_class(spark):
+    """Bad URLs share k path segments; a page with any one of these is blocked by a rule of its own, at every k."""
+    for k in (3, 5, 9):
+        parts = [f"seg{chr(97 + i)}" for i in range(k)]
+        bad = [(f"http://a{chr(97 + i)}.org/{'/'.join(parts)}/{chr(97 + i)}x", True) for i in range(20)]
+        good = [(f"http://a{chr(97 + i)}.org/fine/{chr(97 + i)}y", False) for i in range(20)]
+        labelled = spark.createDataFrame(bad + good, "url string, bad boolean")
+        pages = [*[f"http://new.org/{p}" for p in parts], "http://new.org/fine", f"http://new.org/{parts[1]}/{parts[0]}"]
+        found = {r["page_id"]: (r["verdict"], r["mined"]) for r in urlrules.judge(pages_of(spark, pages), labelled).collect()}
+        assert found == {**{i: ("block", f"p:{p}") for i, p in enumerate(parts)}, k: ("allow", None), k + 1: ("block", f"p:{parts[1]}")}
+
+
+def test_frequent_keys_without_a_match(spark):
+    """All keys that many rows have are looked up by a broadcast, whether found or not; no row is lost or doubled."""
+    from tessera.llm.common import lookup
+
+    rows = spark.range(3000).selectExpr("if(id < 1000, 'lost', if(id < 2000, 'hot', 'k' || id)) AS key", "id")
+    counted = rows.groupBy("key").agg(F.count("*").alias("n"))
+    found = counted.filter("key = 'hot' or key like 'k%5'").withColumn("value", F.length("key"))
+    got = {r["id"]: (r["key"], r["value"]) for r in lookup(rows, found, ["key"], counted=counted).collect()}
+    key = lambda i: "lost" if i < 1000 else "hot" if i < 2000 else f"k{i}"
+    assert got == {i: (key(i), len(key(i)) if key(i) == "hot" or (key(i)[0] == "k" and key(i)[-1] == "5") else None) for i in range(3000)}
+
+
 def test_a_frequent_token_set(spark):
     """A third of all pages have equal tokens; every page still gets its row."""
     labelled = spark.createDataFrame([(f"http://{'bad' if i % 2 else 'good'}.org/{i}", i % 2 == 1) for i in range(60)], "url string, bad boolean")
