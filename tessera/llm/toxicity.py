@@ -358,8 +358,8 @@ def document_counts(docs: DataFrame, known: Broadcast) -> DataFrame:
     return docs.select("text").mapInArrow(run, "t int, n long")
 
 
-def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> tuple[Model, DataFrame]:
-    """The model, and ``docs`` with the vectors (terms, counts) in place of their texts."""
+def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, calibrate: bool = True) -> tuple[Model, DataFrame]:
+    """The model, whose scores are smoothed shares of votes unless ``calibrate``, and ``docs`` with the vectors (terms, counts) in place of their texts."""
     sample = cut_lineage(examples_of(labels, limit))
     known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     least = F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "toxic")).alias("least")
@@ -378,6 +378,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> tuple[
         examples += [(d, y, a.astype(np.int32), c.astype(np.int32)) for d, y, a, c in zip(*found, strict=True)]
     examples.sort(key=lambda x: x[0])
     model = Model(terms, examples, idf, known, docs.sparkSession.sparkContext.broadcast(packed(examples, idf)), None)
+    if not calibrate:
+        return model, vector(docs)
     # An example's own vote doesn't count in its share. Few rows, but dear ones: they are spread over all cores.
     judged = texts.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATED).select("text", "toxic").repartition(docs.sparkSession.sparkContext.defaultParallelism)
     shares = score_texts(judged, model).select("score", "toxic").orderBy("score", "toxic").toArrow()
