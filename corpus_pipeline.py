@@ -31,8 +31,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold of toxicity, learnt from the labels of documents that are left."""
-    model, _ = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    """Documents whose share of toxic votes is below the threshold, learnt from the labels of documents that are left."""
+    model, _ = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"), calibrate=False)
     return toxicity.score_texts(docs, model).filter(F.col("score") < toxicity.THRESHOLD).select(docs.columns)
 
 
