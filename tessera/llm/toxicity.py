@@ -33,18 +33,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import HELD, cut_lineage, map_rows, slices, values_of
+from tessera.llm.common import HELD, cut_lineage, let_go_for, map_rows, slices, values_of, written
 
 MAX_LABELLED = 20_000
 CALIBRATED = 4_000
 K = 32
-#: Examples in a block, and how many times k examples are read first.
+#: Examples in a block, and how many times k examples lie in the blocks that are read first.
 BLOCK, OPENING = 16, 8
 SMOOTHING = 1.0
 #: At most so many terms, the commonest of those that one in SPARSE examples has or more, are columns of a dense table.
-COMMON, SPARSE = 128, 64
+COMMON, SPARSE = 256, 64
 #: Texts that are searched together, and more than the error of single precision in a cosine.
-TOGETHER, MARGIN = 64, 1e-4
+TOGETHER, MARGIN = 32, 1e-4
 #: Natural logarithm of the inverse of the expected number of terms chosen by chance.
 CERTAINTY = 3.0
 THRESHOLD = 0.3
@@ -52,13 +52,12 @@ EVIDENCE = 3
 
 #: Lengths of the beginnings of longer words that may become terms.
 BEGINNINGS = (3, 4, 5, 6)
-#: Words whose terms a task keeps.
-CACHE = 100_000
+#: Signs that a task counts before it hands them on.
+COUNTED = 500_000
 #: Texts whose scores a task keeps.
 KEPT = 20_000
 
 WORD = re.compile(r"\w+")
-WORDS = T.StructType([T.StructField("words", T.ArrayType(T.StringType()))])
 VECTOR = T.StructType([T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
 
 
@@ -70,9 +69,10 @@ def words(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def signs(word: str) -> list[str]:
-    """What of a word may become a term: itself, and its beginnings."""
-    return [word, *(f"{word[:k]}-" for k in BEGINNINGS if k < len(word))]
+def signs(text: str | None) -> set[str]:
+    """What of a text may become a term: its words, and their beginnings."""
+    found = set(words(text))
+    return found.union(*[{w[:k] + "-" for w in found if len(w) > k} for k in BEGINNINGS])
 
 
 def examples_of(labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
@@ -82,45 +82,69 @@ def examples_of(labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
     return each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
-def marking_terms(texts: DataFrame) -> list[str]:
-    """Words and beginnings that mark toxic = 1 in ``texts`` (text, toxic)."""
-    texts = texts.groupBy(F.xxhash64("text").alias("hash")).agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
-    distinct = map_rows(texts.select("text", "toxic"), "text", WORDS, lambda: lambda x: (sorted({s for w in set(words(x)) for s in signs(w)}),)).select("toxic", F.explode("words").alias("word"))
-    counted = distinct.groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("n_toxic")).filter("n > 1")
-    rate = texts.agg(F.avg("toxic")).first()[0]
-    if not rate or rate == 1:
-        return []
-    counted = cut_lineage(counted)
-    least = float(np.log(max(1, counted.count()))) + CERTAINTY
-    p = F.lit(float(rate))
-    share = F.col("n_toxic") / F.col("n")
-    gain = F.col("n_toxic") * F.log(share / p) + F.when(share < 1, (F.col("n") - F.col("n_toxic")) * F.log((1 - share) / (1 - p))).otherwise(0.0)
-    chosen = counted.filter((share > p) & (gain >= least)).select("word")
-    return sorted(r["word"] for r in chosen.collect())  # bounded by the words of the labelled sample
+def sign_counts(texts: DataFrame) -> DataFrame:
+    """Each sign of ``texts`` (text, toxic) and the numbers n and n_toxic of those that have it; tasks add up before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter[str] = Counter()
+        n_toxic: Counter[str] = Counter()
+
+        def handed_on() -> pa.RecordBatch:
+            rows = [pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([n_toxic[s] for s in n], pa.int64())]
+            n.clear()
+            n_toxic.clear()
+            return pa.RecordBatch.from_arrays(rows, names=["word", "n", "n_toxic"])
 
+        for batch in slices(batches, "text"):
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                own = signs(text)
+                n.update(own)
+                if toxic:
+                    n_toxic.update(own)
+                if len(n) >= COUNTED:
+                    yield handed_on()
+        yield handed_on()
 
-def words_of(texts: DataFrame) -> list[str]:
-    """All distinct words of ``texts``."""
-    each = map_rows(texts.select("text"), "text", WORDS, lambda: lambda x: (sorted(set(words(x))),)).select(F.explode("words").alias("word"))
-    return sorted(each.distinct().toArrow().column("word").to_pylist())  # bounded by the words of the labelled sample
+    counted = texts.select("text", "toxic").mapInArrow(run, "word string, n long, n_toxic long")
+    return counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
+
+
+def terms_of(texts: DataFrame) -> list[str]:
+    """All words of ``texts`` (text, toxic), and the beginnings of words that mark toxic = 1 there."""
+    texts = texts.groupBy(F.xxhash64("text").alias("hash")).agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
+    counted = cut_lineage(sign_counts(texts))
+    chosen = ~F.col("word").endswith("-")
+    rate = texts.agg(F.avg("toxic")).first()[0]
+    if rate and rate < 1:
+        least = float(np.log(max(1, counted.filter("n > 1").count()))) + CERTAINTY
+        p = F.lit(float(rate))
+        share = F.col("n_toxic") / F.col("n")
+        gain = F.col("n_toxic") * F.log(share / p) + F.when(share < 1, (F.col("n") - F.col("n_toxic")) * F.log((1 - share) / (1 - p))).otherwise(0.0)
+        chosen = chosen | ((F.col("n") > 1) & (share > p) & (gain >= least))
+    return sorted(counted.filter(chosen).select("word").toArrow().column("word").to_pylist())  # bounded by the words of the labelled sample
 
 
 class Vectorizer:
-    """Terms of a text and their counts; what a word gives is kept."""
+    """Terms of a text and their counts."""
 
     def __init__(self, terms: dict[str, int]):
-        self.terms, self.known = terms, {}
+        self.terms = terms
+        #: The beginnings among the terms, by their first letters.
+        self.starts: dict[str, list[tuple[str, int]]] = {}
+        for sign, t in terms.items():
+            if sign.endswith("-"):
+                self.starts.setdefault(sign[: BEGINNINGS[0]], []).append((sign[:-1], t))
 
     def __call__(self, text: str | None) -> tuple[list[int], list[int]]:
-        counts: Counter[int] = Counter()
-        for word, n in Counter(words(text)).items():
-            own = self.known.get(word)
-            if own is None:
-                if len(self.known) >= CACHE:
-                    self.known.clear()
-                own = self.known[word] = tuple(self.terms[s] for s in signs(word) if s in self.terms)
-            for t in own:
-                counts[t] += n
+        terms, starts = self.terms, self.starts
+        own = Counter(words(text))
+        counts = dict(zip(map(terms.get, own), own.values(), strict=True))
+        counts.pop(None, None)
+        if starts:
+            for word, n in own.items():
+                for start, t in starts.get(word[: BEGINNINGS[0]], ()):
+                    if len(word) > len(start) and word.startswith(start):
+                        counts[t] = counts.get(t, 0) + n
         found = sorted(counts)
         return found, [counts[t] for t in found]
 
@@ -161,7 +185,8 @@ class BlockMaxIndex:
 
     A search is a block-max form of MaxScore. The postings of rare terms are short (their maxima in blocks would be about as
     many as they) and are summed first; what common terms can add is bounded by their greatest weights in each block, and the
-    table is read for those examples alone whose bound reaches the k-th cosine.
+    table is read for those examples alone whose bound reaches the k-th cosine. Texts that are alike are searched together,
+    since they need much the same examples; these are read once for all of them.
     """
 
     def __init__(self, examples: list[tuple[int, int, list[int], list[int]]], idf: np.ndarray):
@@ -191,15 +216,15 @@ class BlockMaxIndex:
         self.table = np.zeros((n, len(common)))
         held[common] = 0
         self.edges = np.concatenate([[0], np.cumsum(held)])
-        self.at, self.weight, free = np.empty(self.edges[-1], np.int32), np.empty(self.edges[-1]), self.edges[:-1].copy()
+        self.at, self.weight, free = np.empty(self.edges[-1], np.int64), np.empty(self.edges[-1]), self.edges[:-1].copy()
         for i, (terms, weight) in enumerate(vectors):
             column = self.column[terms]
             rare, often = terms[column < 0], column >= 0
             self.table[i, column[often]] = weight[often]
             self.at[free[rare]], self.weight[free[rare]] = i, weight[~often]
             free[rare] += 1
-        self.most = np.maximum.reduceat(self.quick, np.arange(0, n, BLOCK), axis=0) if n else self.quick
-        self.block = np.arange(n) // BLOCK
+        self.starts = np.arange(0, n, BLOCK)
+        self.most = np.maximum.reduceat(self.quick, self.starts, axis=0) if n else self.quick
         #: Examples whose row of the table searches have read, and all that they could have read.
         self.read = self.of = 0
         self.seen: dict[bytes, tuple] = {}
@@ -210,44 +235,57 @@ class BlockMaxIndex:
 
     def rare(self, terms: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """What the terms outside the table add to the cosine with each example."""
-        rare = self.column[terms] < 0
-        spans = [(a, b, w) for a, b, w in zip(self.edges[terms[rare]].tolist(), self.edges[terms[rare] + 1].tolist(), weight[rare].tolist(), strict=True) if b > a]
-        if not spans:
+        starts, sizes = self.edges[terms], self.edges[terms + 1] - self.edges[terms]
+        held = np.flatnonzero(sizes)
+        if not len(held):
             return np.zeros(len(self.ids))
-        weighed = np.concatenate([self.weight[a:b] for a, b, _ in spans])
-        weighed *= np.repeat([w for _, _, w in spans], [b - a for a, b, _ in spans])
-        return np.bincount(np.concatenate([self.at[a:b] for a, b, _ in spans]), weighed, len(self.ids))
+        starts, sizes = starts[held], sizes[held]
+        ends = np.cumsum(sizes)
+        places = np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1])
+        return np.bincount(self.at[places], self.weight[places] * np.repeat(weight[held], sizes), len(self.ids))
+
+    def common(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The columns of the table, for each text."""
+        own = np.zeros((len(vectors), self.table.shape[1]))
+        for i, (terms, weight) in enumerate(vectors):
+            column = self.column[terms]
+            own[i, column[column >= 0]] = weight[column >= 0]
+        return own
 
     def nearest_of_each(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = K) -> list[list[tuple[float, int]]]:
         """Cosine and number of the ``k`` nearest examples of each text; equal cosines in the order of vectors and doc_id. Exact.
 
-        The OPENING * k examples with the greatest bounds give the cosine that others must reach; each text decides on its own. Cosines
-        are in single precision there; examples within its error of the k-th are then weighed in full precision.
+        The blocks with the greatest bounds give the cosine that others must reach; each text decides on its own,
+        and the examples that any of the texts needs are read. Cosines are in single precision there; examples within its error of
+        the k-th are then weighed in full precision.
         """
         n = len(self.ids)
-        if not n:
+        if not n or not vectors:
             return [[] for _ in vectors]
-        own = np.zeros((len(vectors), self.table.shape[1]))
-        for i, (terms, weight) in enumerate(vectors):
-            column = self.column[terms]
-            own[i, column[column >= 0]] = weight[column >= 0]
+        own = self.common(vectors)
         quick = own.astype(np.float32)
         most = quick @ self.most.T
+        rare = [self.rare(*v) for v in vectors]
+        needed = np.full(n, n <= k)
+        for i in range(len(vectors) if n > k else 0):
+            able = np.maximum.reduceat(rare[i], self.starts) + most[i]
+            opening = min(len(able), -(-OPENING * k // BLOCK) + 1)
+            first = self.starts[np.argpartition(able, len(able) - opening)[len(able) - opening :]]
+            first = (first[:, None] + np.arange(BLOCK)).ravel()
+            first = first[first < n]
+            least = np.partition(rare[i][first] + self.quick[first] @ quick[i], len(first) - k)[len(first) - k]
+            needed |= rare[i] + np.repeat(most[i], BLOCK)[:n] >= least - MARGIN
+        rows = np.flatnonzero(needed)
+        self.read += len(rows) * len(vectors)
+        self.of += n * len(vectors)
+        read = quick @ self.quick[rows].T
         found = []
-        for i, vector in enumerate(vectors):
-            rare = self.rare(*vector)
-            able = np.arange(n)
+        for i, row in enumerate(read):
+            able = rows
             if n > k:
-                bound = rare.astype(np.float32) + most[i][self.block]
-                opening = min(n, OPENING * k)
-                first = np.argpartition(bound, n - opening)[n - opening :]
-                least = np.partition(rare[first] + self.quick[first] @ quick[i], opening - k)[opening - k]
-                able = np.flatnonzero(bound >= least - MARGIN)
-                about = rare[able] + self.quick[able] @ quick[i]
-                self.read += len(able)
-                able = able[about >= np.partition(about, len(able) - k)[len(able) - k] - MARGIN]
-            self.of += n
-            cosine = np.round(rare[able] + self.table[able] @ own[i], 12)
+                about = rare[i][rows] + row
+                able = rows[about >= np.partition(about, len(rows) - k)[len(rows) - k] - MARGIN]
+            cosine = np.round(rare[i][able] + self.table[able] @ own[i], 12)
             best = np.lexsort((self.rank[able], -cosine))[:k]
             found.append([(float(cosine[j]), int(able[j])) for j in best if cosine[j] > 0])
         return found
@@ -268,10 +306,12 @@ class BlockMaxIndex:
         keys = [vector_key(*v) if len(v[0]) and self.ids else None for v in vectors]
         new = {key: v for key, v in zip(keys, vectors, strict=True) if key is not None and key not in self.seen}
         each = list(new.items())
+        searched = [(np.asarray(t, np.int32), weights(np.asarray(t, np.int32), np.asarray(c, float), self.idf)) for _, (t, c) in each]
+        alike = by_likeness(self.common(searched).astype(np.float32))
         for at in range(0, len(each), TOGETHER):
-            batch = each[at : at + TOGETHER]
-            searched = [(np.asarray(t, np.int32), weights(np.asarray(t, np.int32), np.asarray(c, float), self.idf)) for _, (t, c) in batch]
-            for (key, _), near in zip(batch, self.nearest_of_each(searched, K + 1), strict=True):
+            batch = alike[at : at + TOGETHER]
+            for i, near in zip(batch, self.nearest_of_each([searched[i] for i in batch], K + 1), strict=True):
+                key = each[i][0]
                 own = self.first.get(key)
                 self.seen[key] = self.voted([x for x in near if x[1] != own][:K])
         return [(self.blank, []) if key is None else self.seen[key] for key in keys]
@@ -343,31 +383,40 @@ class Model(NamedTuple):
     curve: Curve
 
 
-def document_counts(docs: DataFrame, known: Broadcast) -> DataFrame:
-    """Term t and the number n of documents that have it, as counted in each task; the number of documents under -1."""
+def document_counts(docs: DataFrame, known: Broadcast, n_terms: int) -> DataFrame:
+    """Term t and the number n of documents (their texts, or the terms of each) that have it, as counted in each task; the number of documents under -1."""
+    column = docs.columns[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vector, n, total = Vectorizer(known.value), np.zeros(len(known.value), np.int64), 0
-        for batch in slices(batches, "text"):
-            for text in batch.column("text").to_pylist():
-                n[vector(text)[0]] += 1
+        n, total = np.zeros(n_terms, np.int64), 0
+        vector = Vectorizer(known.value) if column == "text" else None
+        for batch in slices(batches, column):
+            if vector is None:
+                n += np.bincount(batch.column(column).flatten().to_numpy(), minlength=n_terms)
+            else:
+                for text in batch.column(column).to_pylist():
+                    n[vector(text)[0]] += 1
             total += batch.num_rows
         t = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(t, -1), pa.int32()), pa.array(np.append(n[t], total), pa.int64())], names=["t", "n"])
 
-    return docs.select("text").mapInArrow(run, "t int, n long")
+    return docs.mapInArrow(run, "t int, n long")
 
 
-def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, calibrate: bool = True) -> tuple[Model, DataFrame]:
-    """The model, whose scores are smoothed shares of votes unless ``calibrate``, and ``docs`` with the vectors (terms, counts) in place of their texts."""
+def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, calibrate: bool = True, store: bool = False) -> tuple[Model, DataFrame]:
+    """The model, whose scores are smoothed shares of votes unless ``calibrate``, and ``docs`` with the vectors (terms, counts) in place of their texts.
+
+    With ``store`` the vectors are a table, so that texts are read once for both counts and scores.
+    """
     sample = cut_lineage(examples_of(labels, limit))
     known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     least = F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "toxic")).alias("least")
     texts = cut_lineage(known.groupBy("doc_id").agg(least).select("doc_id", "least.text", "least.toxic"))  # at most ``limit`` documents
-    terms = {w: i for i, w in enumerate(sorted({*words_of(texts), *marking_terms(texts)}))}
+    terms = {w: i for i, w in enumerate(terms_of(texts))}
     known = docs.sparkSession.sparkContext.broadcast(terms)
     vector = lambda df: map_rows(df.drop(*[c for c in ("terms", "counts") if c in df.columns]), "text", VECTOR, lambda: Vectorizer(known.value)).drop("text")
-    counted = document_counts(docs, known).groupBy("t").agg(F.sum("n").alias("n")).toArrow()  # a row for each term
+    vectors = written(vector(docs)) if store else vector(docs)
+    counted = document_counts(vectors.select("terms") if store else docs.select("text"), known, len(terms)).groupBy("t").agg(F.sum("n").alias("n")).toArrow()  # a row for each term
     t, n = counted.column("t").to_numpy(), counted.column("n").to_numpy()
     total, holding = int(n[t < 0].sum()), np.zeros(max(1, len(terms)))
     holding[t[t >= 0]] = n[t >= 0]
@@ -379,11 +428,11 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, calibrate
     examples.sort(key=lambda x: x[0])
     model = Model(terms, examples, idf, known, docs.sparkSession.sparkContext.broadcast(packed(examples, idf)), None)
     if not calibrate:
-        return model, vector(docs)
+        return model, vectors
     # An example's own vote doesn't count in its share. Few rows, but dear ones: they are spread over all cores.
     judged = texts.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATED).select("text", "toxic").repartition(docs.sparkSession.sparkContext.defaultParallelism)
     shares = score_texts(judged, model).select("score", "toxic").orderBy("score", "toxic").toArrow()
-    return model._replace(curve=curve_of(shares.column("score").to_numpy(), shares.column("toxic").to_numpy())), vector(docs)
+    return model._replace(curve=curve_of(shares.column("score").to_numpy(), shares.column("toxic").to_numpy())), vectors
 
 
 #: Index by name, in a Python worker.
@@ -431,8 +480,9 @@ def score_vectors(vectors: DataFrame, model: Model) -> DataFrame:
     schema = T.StructType([*kept, *SCORED.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = calibrated(loaded(shared).scores(list(zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True))), curve)
+        let_go_for(__name__)
+        for batch in slices(batches, "terms"):
+            scores = calibrated(loaded(shared).scores(list(zip(values_of(batch.column("terms")), values_of(batch.column("counts")), strict=True))), curve)
             own = [batch.column(f.name) for f in kept]
             yield pa.RecordBatch.from_arrays([*own, pa.array([s for s, _ in scores], pa.float64()), pa.array([e for _, e in scores], pa.list_(pa.int64()))], names=schema.fieldNames())
 
@@ -441,5 +491,5 @@ def score_vectors(vectors: DataFrame, model: Model) -> DataFrame:
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The columns of op8."""
-    model, _ = fit(docs.select("doc_id", "text"), labels)
-    return score_texts(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
+    model, vectors = fit(docs.select("doc_id", "text"), labels, store=True)
+    return score_vectors(vectors, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
