@@ -9,6 +9,7 @@ from uuid import uuid4
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +37,8 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 #: The folder under which ``written`` puts its tables; ``scratch`` sets it.
 FOLDERS: list[str] = []
+#: What was broadcast by ``share`` within each ``scratch``.
+SHARED: list[list[Broadcast]] = []
 
 
 def remove(spark: SparkSession, folder: str) -> None:
@@ -46,17 +49,28 @@ def remove(spark: SparkSession, folder: str) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables and checkpoints that are written within are deleted at the end; results that read them must be stored before."""
+    """Tables, checkpoints and what ``share`` broadcasts within are deleted at the end; results that need them must be stored before."""
     FOLDERS.append(f"{checkpoint_folder(spark)}/scratch-{uuid4().hex}")
+    SHARED.append([])
     spark.sparkContext.setCheckpointDir(f"{FOLDERS[-1]}/checkpoints")
     try:
         yield
     finally:
         own = FOLDERS.pop()
+        for value in SHARED.pop():
+            value.destroy()
         spark.sparkContext.setCheckpointDir(f"{FOLDERS[-1]}/checkpoints" if FOLDERS else checkpoint_folder(spark))
         remove(spark, own)
 
 
+def share(spark: SparkSession, value: object) -> Broadcast:
+    """A broadcast of bounded size, which the driver and all executors hold until ``scratch`` ends or nothing refers to it."""
+    made = spark.sparkContext.broadcast(value)
+    if SHARED:
+        SHARED[-1].append(made)
+    return made
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so that lost executors cost no recomputation."""
     context = df.sparkSession.sparkContext

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import HELD, cut_lineage, let_go_for, map_rows, slices, values_of, written
+from tessera.llm.common import HELD, cut_lineage, let_go_for, map_rows, share, slices, values_of, written
 
 MAX_LABELLED = 20_000
 CALIBRATED = 4_000
@@ -413,7 +413,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, calibrate
     least = F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "toxic")).alias("least")
     texts = cut_lineage(known.groupBy("doc_id").agg(least).select("doc_id", "least.text", "least.toxic"))  # at most ``limit`` documents
     terms = {w: i for i, w in enumerate(terms_of(texts))}
-    known = docs.sparkSession.sparkContext.broadcast(terms)
+    known = share(docs.sparkSession, terms)
     vector = lambda df: map_rows(df.drop(*[c for c in ("terms", "counts") if c in df.columns]), "text", VECTOR, lambda: Vectorizer(known.value)).drop("text")
     vectors = written(vector(docs)) if store else vector(docs)
     counted = document_counts(vectors.select("terms") if store else docs.select("text"), known, len(terms)).groupBy("t").agg(F.sum("n").alias("n")).toArrow()  # a row for each term
@@ -426,7 +426,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, calibrate
         found = [values_of(batch.column(c)) for c in ("doc_id", "toxic", "terms", "counts")]
         examples += [(d, y, a.astype(np.int32), c.astype(np.int32)) for d, y, a, c in zip(*found, strict=True)]
     examples.sort(key=lambda x: x[0])
-    model = Model(terms, examples, idf, known, docs.sparkSession.sparkContext.broadcast(packed(examples, idf)), None)
+    model = Model(terms, examples, idf, known, share(docs.sparkSession, packed(examples, idf)), None)
     if not calibrate:
         return model, vectors
     # An example's own vote doesn't count in its share. Few rows, but dear ones: they are spread over all cores.
