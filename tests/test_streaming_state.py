@@ -86,3 +86,21 @@ def test_anomalies_by_service(spark, tmp_path):
     found = drained(anomalies(stream, late="0 seconds", by="service"), f"{tmp_path}/out")
     last = {r["key"]: r for r in found.orderBy("upto").collect()}
     assert last["db"]["start"] == "2024-05-01T00:10:00Z" and last["web"]["start"] is None and last["web"]["score"] == 0.0 and last["db"]["n"] == 16
+
+
+def test_registry_by_groups(spark, tmp_path):
+    """Numbers share the state of few groups, whose chunks are merged on the way; marks are those of one batch."""
+    rows, folder = [(i, None, f"N{i * i % 97}", 0.0) for i in range(360)], str(tmp_path)
+    for k in range(18):
+        stream = arrived(spark, rows[k * 20 : k * 20 + 20][::-1], INVOICE, folder, "in")
+    known = spark.createDataFrame([("N1",), ("N4",)], "invoice_number string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        found = drained(checked_invoices(stream, ["seq"], known, groups=2), f"{folder}/out")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    expected = invoices.repeats(spark.createDataFrame(rows, INVOICE), ["seq"], known)
+    marks = {r["seq"]: r["duplicate_check"] for r in found.collect()}
+    assert marks == {r["seq"]: r["duplicate_check"] for r in expected.collect()} and found.count() == 360
+    assert spark.read.format("statestore").option("stateVarName", "seen").load(f"{folder}/out/state").select("key").distinct().count() == 2
