@@ -14,11 +14,14 @@ from tessera.functions import fixed
 NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 #: What counts as a number in text.
 NUMERIC = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-#: Formats of dates and times in text, in order of preference.
+#: Formats of dates and times in text, in order of preference, each with a form that all its texts have: a text is tried only in formats
+#: whose form it has, since each attempt that fails costs an exception.
 TIME_FORMATS = [
-    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSS", "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ssXX",
-    "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSS",
-    "dd/MMM/yyyy:HH:mm:ss Z",
+    ("yyyy-MM-dd HH:mm:ss", r"^\S+ [0-9:]+$"), ("yyyy-MM-dd HH:mm:ss.SSS", r"^\S+ [0-9:]+\.[0-9]{1,3}$"), ("yyyy-MM-dd HH:mm:ss.SSSSSS", r"^\S+ [0-9:]+\.[0-9]{4,6}$"),
+    ("yyyy-MM-dd'T'HH:mm:ssXXX", r"(?i)^\S+T[0-9:]+(?:Z|[+-][0-9]+:[0-9]+)$"), ("yyyy-MM-dd'T'HH:mm:ssXX", r"(?i)^\S+T[0-9:]+[+-][0-9]+$"),
+    ("yyyy-MM-dd'T'HH:mm:ss.SSSXXX", r"(?i)^\S+T[0-9:]+\.[0-9]{1,3}(?:Z|[+-][0-9]+:[0-9]+)$"), ("yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", r"(?i)^\S+T[0-9:]+\.[0-9]{4,6}(?:Z|[+-][0-9]+:[0-9]+)$"),
+    ("yyyy-MM-dd'T'HH:mm:ss", r"(?i)^\S+T[0-9:]+$"), ("yyyy-MM-dd'T'HH:mm:ss.SSS", r"(?i)^\S+T[0-9:]+\.[0-9]{1,3}$"),
+    ("dd/MMM/yyyy:HH:mm:ss Z", "/"), ("yyyy-MM-dd", "^[^:]+$"),
 ]
 #: Formats of dates, each with the form that a text must have before it is tried.
 DATE_FORMATS = [("yyyy-M-d", r"^[0-9]{4,}-"), ("yyyy/M/d", r"^[0-9]{4,}/"), ("M/d/yyyy", r"^[0-9]+/"), ("M-d-yyyy", r"^[0-9]+-")]
@@ -61,7 +64,7 @@ def number(text: Column) -> Column:
 def timestamp(text: Column) -> Column:
     """Text of a known format as UTC time. Text without a zone counts as UTC."""
     clean = F.regexp_replace(F.trim(text), r"\s+", " ")
-    return F.coalesce(*[F.try_to_timestamp(clean, F.lit(f)) for f in TIME_FORMATS], F.try_to_timestamp(clean, F.lit("yyyy-MM-dd")))
+    return bind(clean, lambda x: F.coalesce(*[F.when(x.rlike(form), F.try_to_timestamp(x, F.lit(f))) for f, form in TIME_FORMATS]))
 
 
 def syslog_timestamp(text: Column, year: int) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import fixed
-from tessera.functions.columns import extract, iso, minute, pattern_of, severity, severity_rank, syslog_timestamp, timestamp
+from tessera.functions.columns import extract, iso, minute, pattern_of, quoted, severity, severity_rank, syslog_timestamp, timestamp
 
 ERRORS = ("ERROR", "CRITICAL", "FATAL")
 Z_THRESHOLD = 2.0
@@ -25,24 +25,29 @@ TOP_PATTERNS = 20
 # Parsing.
 
 
-def json_value(line: Column, keys: list[str]) -> Column:
-    """The first non-empty value of the keys in a JSON line."""
-    return F.coalesce(*[F.nullif(F.nullif(F.get_json_object(line, f"$['{k}']"), F.lit("")), F.lit("0")) for k in keys])
+#: Keys of JSON lines by what they hold, in order of preference.
+JSON_KEYS = {
+    "ts": ["timestamp", "time", "@timestamp", "ts"], "severity": ["level", "severity", "loglevel", "log_level"],
+    "service": ["service", "logger", "app", "source"], "message": ["message", "msg", "text"],
+}
 
 
-def parsed(line: Column, source_file: Column, year: int) -> Column:
-    """struct(ts, severity, service, message, format) of a line, by the first format that fits."""
+def with_json(lines: DataFrame) -> DataFrame:
+    """``lines`` with __json: for JSON lines a struct of the first non-empty value of each of JSON_KEYS, else null. A line is read once."""
+    keys = [k for own in JSON_KEYS.values() for k in own]
+    of_json = F.when(F.col("line").rlike(fixed.LINE_JSON) & F.try_parse_json("line").isNotNull(), F.col("line"))
+    read = lines.withColumn("__json_line", of_json).select("*", F.json_tuple("__json_line", *keys).alias(*[f"__{k}" for k in keys]))
+    first = lambda own: F.coalesce(*[F.when(~F.col(f"`__{k}`").isin("", "0"), F.col(f"`__{k}`")) for k in own])
+    found = F.when(F.col("__json_line").isNotNull(), F.struct(*[first(own).alias(name) for name, own in JSON_KEYS.items()]))
+    return read.select(*[quoted(c) for c in lines.columns], found.alias("__json"))
+
+
+def parsed(line: Column, source_file: Column, year: int, json: Column) -> Column:
+    """struct(ts, severity, service, message, format) of a line, by the first format that fits; ``json`` is that of ``with_json``."""
     entry = lambda ts, level, service, message, name: F.struct(ts.alias("ts"), level.alias("severity"), service.alias("service"), message.alias("message"), F.lit(name).alias("format"))
     group = lambda pattern, i: F.regexp_extract(line, pattern, i)
     empty = F.lit("")
-    is_json = line.rlike(fixed.LINE_JSON) & F.try_parse_json(line).isNotNull()
-    from_json = entry(
-        timestamp(json_value(line, ["timestamp", "time", "@timestamp", "ts"])),
-        severity(F.coalesce(json_value(line, ["level", "severity", "loglevel", "log_level"]), F.lit("INFO"))),
-        F.coalesce(json_value(line, ["service", "logger", "app", "source"]), empty),
-        F.coalesce(json_value(line, ["message", "msg", "text"]), line),
-        "json",
-    )
+    from_json = entry(timestamp(json["ts"]), severity(F.coalesce(json["severity"], F.lit("INFO"))), F.coalesce(json["service"], empty), F.coalesce(json["message"], line), "json")
     standard = entry(timestamp(group(fixed.LINE_STANDARD, 1)), severity(group(fixed.LINE_STANDARD, 2)), F.trim(group(fixed.LINE_STANDARD, 3)), F.trim(group(fixed.LINE_STANDARD, 4)), "standard")
     bracket = entry(timestamp(group(fixed.LINE_BRACKET_ISO, 1)), severity(group(fixed.LINE_BRACKET_ISO, 2)), F.trim(group(fixed.LINE_BRACKET_ISO, 3)), F.trim(group(fixed.LINE_BRACKET_ISO, 4)), "bracket_iso")
     either = F.coalesce(extract(line, fixed.LINE_ISO_FLEX, 3), extract(line, fixed.LINE_ISO_FLEX, 4), empty)
@@ -65,7 +70,7 @@ def parsed(line: Column, source_file: Column, year: int) -> Column:
     service = F.coalesce(extract(line, fixed.LINE_SERVICE), F.nullif(stem, empty), empty)
     fallback = entry(F.lit(None).cast("timestamp"), word, service, F.trim(line), "fallback")
     return (
-        F.when(is_json, from_json).when(line.rlike(fixed.LINE_STANDARD), standard).when(line.rlike(fixed.LINE_BRACKET_ISO), bracket).when(line.rlike(fixed.LINE_ISO_FLEX), flex)
+        F.when(json.isNotNull(), from_json).when(line.rlike(fixed.LINE_STANDARD), standard).when(line.rlike(fixed.LINE_BRACKET_ISO), bracket).when(line.rlike(fixed.LINE_ISO_FLEX), flex)
         .when(line.rlike(fixed.LINE_ACCESS), access).when(line.rlike(fixed.LINE_SYSLOG), syslog).otherwise(fallback)
     )
 
@@ -74,8 +79,8 @@ def parse(lines: DataFrame, year: int | None = None) -> DataFrame:
     """Entries of ``lines`` (line, source_file, line_no); blank lines have none. ``year``: for formats without one."""
     year = year or datetime.now(UTC).year
     worded = lines.filter(F.trim("line") != "")
-    entry = parsed(F.col("line"), F.col("source_file"), year)
-    return worded.withColumn("entry", entry).select("entry.*", F.col("line").alias("raw"), "source_file", "line_no")
+    entry = parsed(F.col("line"), F.col("source_file"), year, F.col("__json"))
+    return with_json(worded).withColumn("entry", entry).select("entry.*", F.col("line").alias("raw"), "source_file", "line_no")
 
 
 def parse_failures(entries: DataFrame) -> DataFrame:

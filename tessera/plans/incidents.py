@@ -280,7 +280,9 @@ def log_incident_report(spark, sf_dir):
     """The whole analysis of JSON lines, as far as a row shows its stored report."""
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     line = F.to_json(F.struct(iso.alias("time"), F.col("severity").alias("level"), F.col("service").alias("logger"), F.col("message").alias("msg")))
-    r = incidents.analyze(entries(spark, sf_dir).select(line.alias("line"), "source_file", "line_no"), year=2024).document()
+    report = incidents.analyze(entries(spark, sf_dir).select(line.alias("line"), "source_file", "line_no"), year=2024)
+    r = report.document()
+    report.release()
     top, first = r["top_errors"][0], r["affected_services"][0]
     row = dict(r["summary"]) | {
         "top_pattern": top["pattern"], "top_count": top["count"], "n_patterns": len(r["top_errors"]), "first_service": first["name"], "n_services": len(r["affected_services"]), "severity": r["severity"],
@@ -304,7 +306,9 @@ def log_compare_report(spark, sf_dir):
     for half in (F.col("ts") < SPLIT, F.col("ts") >= SPLIT):
         iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
         line = F.to_json(F.struct(iso.alias("time"), F.col("severity").alias("level"), F.col("service").alias("logger"), F.col("message").alias("msg")))
-        sides.append(incidents.analyze(entries(spark, sf_dir).filter(half).select(line.alias("line"), "source_file", "line_no"), year=2024).document())
+        report = incidents.analyze(entries(spark, sf_dir).filter(half).select(line.alias("line"), "source_file", "line_no"), year=2024)
+        sides.append(report.document())
+        report.release()
     c = incidents.comparison(*sides, ("a", "b"))
     patterns = c["pattern_comparison"]
     row = (

@@ -5,8 +5,9 @@ from __future__ import annotations
 from datetime import UTC, datetime
 
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.functions.columns import iso, minute, pattern_of, syslog_timestamp, timestamp
+from tessera.functions.columns import TIME_FORMATS, iso, minute, pattern_of, syslog_timestamp, timestamp
 from tessera.operators import incidents
 
 LINES = [
@@ -115,3 +116,30 @@ def test_comparison_gathers_no_patterns(spark):
 
     plan = log_compare_jaccard(spark, TABLES)._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_set" not in plan and "Join" not in plan
+
+
+def test_times_in_their_formats(spark):
+    """Trying a text only in formats whose form it has gives what trying all of them in turn gives."""
+    days, clocks = ["2024-01-02", "2024/01/02", "24-01-02", "2024-13-02", "+12024-01-02", "2024-1-2"], ["", " 03:04:05", "T03:04:05", "t03:04:05", "T3:04:05", "  03:04:05", " 03:04", "T25:04:05", ":03:04:05"]
+    ends = ["", ".1", ".123", ".123456", ".1234567", "Z", "z", "+01:30", "-0130", "+01", ".5Z", ".123456+01:30", ".5-0130", " +0000", " x", "+01:30:10"]
+    texts = [d + c + e for d in days for c in clocks for e in ends] + ["02/Jan/2024:03:04:05 +0100", "02/jan/2024:03:04:05 -0000", "", "x", "20240102", " 2024-01-02 "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    clean = F.regexp_replace(F.trim("t"), r"\s+", " ")
+    plain = F.coalesce(*[F.try_to_timestamp(clean, F.lit(f)) for f, _ in TIME_FORMATS])
+    rows = df.select("t", timestamp(df["t"]).cast("string").alias("a"), plain.cast("string").alias("b")).collect()
+    assert [r["t"] for r in rows if r["a"] != r["b"]] == [] and sum(r["b"] is not None for r in rows) > 20
+
+
+def test_json_lines_are_read_once(spark):
+    """The first non-empty value of the keys in their order, as text; no expression reads a line for each key."""
+    lines = [
+        '{"ts": "2024-01-02 03:04:05", "timestamp": "", "level": "0", "severity": "warn", "app": "a", "service": null, "text": "x", "msg": {"k": [1, 2.50]}}', '{"message": 7, "@timestamp": "2024-01-02T03:04:05Z", "source": true}',
+        "{'level': 'error'}", '{"level": "error"', '{}', '{"level": "info", "level": "error"}',
+    ]
+    df = spark.createDataFrame([(x, "/l/app.log", i) for i, x in enumerate(lines)], "line string, source_file string, line_no long")
+    found = incidents.parse(df, 2024)
+    rows = [(r["format"], r["severity"], r["service"], r["message"]) for r in found.orderBy("line_no").collect()]
+    assert rows[:2] == [("json", "WARNING", "a", '{"k":[1,2.5]}'), ("json", "INFO", "true", "7")] and rows[4] == ("json", "INFO", "", "{}")
+    assert [r[:2] for r in (rows[2], rows[3], rows[5])] == [("fallback", "ERROR")] * 3
+    assert all(r["ts"] is not None for r in found.filter("line_no < 2").collect())
+    assert "get_json_object" not in found._jdf.queryExecution().optimizedPlan().toString()
