@@ -101,8 +101,7 @@ def fields(docs: DataFrame) -> DataFrame:
 
 
 def is_summary(description: Column) -> Column:
-    lower = F.lower(F.coalesce(description, F.lit("")))
-    return F.exists(F.array(*[F.lit(w) for w in fixed.SUMMARY_WORDS]), lambda w: F.contains(lower, w))
+    return F.lower(F.coalesce(description, F.lit(""))).rlike("|".join(fixed.SUMMARY_WORDS))
 
 
 def text_items(text: Column) -> Column:
@@ -132,8 +131,12 @@ def inferred_item(item: Column) -> Column:
 
 def table_items(table: Column) -> Column:
     """Items of a table (rows of cells) with a header that names them; empty for other tables."""
-    header = F.get(table, F.lit(0))
-    places = {role: header_place(header, words) for role, words in fixed.ITEM_HEADERS.items()}
+    places = F.struct(*[header_place(F.get(table, F.lit(0)), words).alias(role) for role, words in fixed.ITEM_HEADERS.items()])
+    # The header is read once for each table, not for each cell.
+    return bind(places, lambda at: items_by_places(table, at))
+
+
+def items_by_places(table: Column, places: Column) -> Column:
     cell = lambda row, role: F.when(places[role].isNotNull(), F.trim(F.get(row, places[role])))
     rows = F.filter(F.slice(table, 2, F.greatest(F.size(table), F.lit(1))), lambda row: F.exists(row, lambda x: F.coalesce(F.trim(x), F.lit("")) != ""))
     item = lambda row: F.struct(cell(row, "description").alias("description"), amount(cell(row, "quantity")).alias("quantity"), amount(cell(row, "unit_price")).alias("unit_price"), amount(cell(row, "total")).alias("total"))
@@ -152,6 +155,16 @@ def line_items(docs: DataFrame) -> DataFrame:
     return docs.withColumn("line_items", F.coalesce(F.get(of_tables, F.lit(0)), from_text))
 
 
+def item_rows(invoices: DataFrame, *keys: str) -> DataFrame:
+    """``keys`` and the parts of each item of line_items.
+
+    An outer generator with a filter behind it: before a plain one Spark filters by the size of its array, and so would work
+    out all items three times.
+    """
+    each = invoices.select(*keys, F.posexplode_outer("line_items").alias("__place", "__item"))
+    return each.filter("__place is not null").select(*keys, "__item.*")
+
+
 # Checks.
 
 

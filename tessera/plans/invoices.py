@@ -54,7 +54,7 @@ def inv_extract_amounts(spark, sf_dir):
 SELECT doc_id, 'Widget large' AS description, CAST(2 AS BIGINT) AS quantity, CAST(1000 AS BIGINT) AS unit_price, CAST(2000 AS BIGINT) AS total FROM ({TEXT.sql})
 UNION ALL SELECT doc_id, 'Gadget', 3, net % 10000, 123450 FROM ({TEXT.sql})""")
 def inv_line_items_text(spark, sf_dir):
-    found = invoices.line_items(TEXT(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.inline("line_items"))
+    found = invoices.item_rows(invoices.line_items(TEXT(spark, sf_dir).select("doc_id", "text")), "doc_id")
     return found.select("doc_id", "description", F.col("quantity").cast("long").alias("quantity"), cents("unit_price").alias("unit_price"), cents("total").alias("total"))
 
 
@@ -66,7 +66,7 @@ def inv_line_items_table(spark, sf_dir):
     item = table(spark, sf_dir, "lineitem")
     row = F.array(F.concat(F.lit("part "), "l_partkey"), F.col("l_quantity").cast("string"), F.when(F.col("l_linenumber") % 2 == 1, F.col("l_quantity").cast("string")))
     tables = F.array(F.array(F.array(F.lit("Item"), F.lit(" QTY "), F.lit("Amount")), row, F.array(F.lit("Grand total"), F.lit("1"), F.lit("2"))))
-    found = invoices.line_items(item.select("l_orderkey", "l_linenumber", F.lit("").alias("text"), tables.alias("tables"))).select("l_orderkey", "l_linenumber", F.inline("line_items"))
+    found = invoices.item_rows(invoices.line_items(item.select("l_orderkey", "l_linenumber", F.lit("").alias("text"), tables.alias("tables"))), "l_orderkey", "l_linenumber")
     return found.select("l_orderkey", "l_linenumber", "description", F.col("quantity").cast("long").alias("quantity"), cents("total").alias("total"))
 
 

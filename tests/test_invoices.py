@@ -86,3 +86,13 @@ def test_summary(spark):
     docs = invoices.process(spark.createDataFrame([("a", CLEAN)], SCHEMA), ["doc_id"], F.lit(TODAY).cast("date"))
     rows = {r["field"]: r["value"] for r in invoices.summary(docs, "doc_id").collect()}
     assert len(rows) == 13 and rows["vendor.name"] == "Supplier Ltd"
+
+
+def test_items_are_worked_out_once(spark):
+    """Headers are read once for each table and items once for each document; documents without items have no rows."""
+    tables = [[["Item", " QTY ", "Unit price", "Amount"], ["a", "2", "1.5", None], [None, " ", None, ""], ["VAT 5%", "1", "1", "1"], ["b", "4", None, "1,000.00"]]]
+    docs = spark.createDataFrame([(1, "", tables), (2, "", []), (3, "Widget 2 10.00 20.00", None), (4, "nothing", [[["Item"]]])], "doc_id long, text string, tables array<array<array<string>>>")
+    found = invoices.item_rows(invoices.line_items(docs), "doc_id")
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "a", 2.0, 1.5, 3.0), (1, "b", 4.0, 250.0, 1000.0), (3, "Widget", 2.0, 10.0, 20.0)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("particulars") == 1
