@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from tessera.functions import fixed
 from tessera.functions.columns import NUMERIC, date, is_number, missing_as_null, number, quoted, timestamp
 from tessera.operators.quantiles import quantiles
 from tessera.operators.samples import first_values
+from tessera.session import shared_folder
 
 SNIFFED, SAMPLES = 100, 10
 
@@ -49,10 +51,10 @@ def repeated(df: DataFrame) -> DataFrame:
     return df.select(a.alias("a"), b.alias("b")).groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def split_by_repeats(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows whose fingerprint no other row has, and the others."""
+def split_by_repeats(df: DataFrame, several: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows whose fingerprint no other row has, and the others. ``several``: what ``repeated`` gives for ``df``, where it is known."""
     a, b = fingerprint(df)
-    several = repeated(df).drop("n").toDF("__a", "__b")
+    several = (repeated(df) if several is None else several).select(F.col("a").alias("__a"), F.col("b").alias("__b"))
     same = (a == F.col("__a")) & (b == F.col("__b"))
     return df.join(several, same, "left_anti"), df.join(several, same, "left_semi")
 
@@ -68,10 +70,27 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     return parts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_rows", "duplicates")])
 
 
-def distinct_rows(df: DataFrame) -> DataFrame:
+def distinct_rows(df: DataFrame, several: DataFrame | None = None) -> DataFrame:
     """One of each; only rows whose fingerprint comes again are compared as a whole."""
-    once, several = split_by_repeats(df)
-    return once.unionByName(several.dropDuplicates())
+    once, again = split_by_repeats(df, several)
+    return once.unionByName(again.dropDuplicates())
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """A table in the shared folder, so that it is worked out once."""
+    path = f"{shared_folder(df.sparkSession)}/rows-{uuid4().hex}"
+    df.toDF(*[f"c{i}" for i in range(len(df.columns))]).write.parquet(path)
+    return df.sparkSession.read.parquet(path).toDF(*df.columns)
+
+
+def stored_distinct_rows(df: DataFrame) -> DataFrame:
+    """``distinct_rows`` for several passes: the table itself if no fingerprint comes again, else a stored one."""
+    several = stored(repeated(df))
+    if several.isEmpty():
+        return df
+    found = distinct_rows(df, several)
+    # Columns without a type can't be stored.
+    return found if any(isinstance(f.dataType, T.NullType) for f in df.schema) else stored(found)
 
 
 def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -257,12 +276,22 @@ def modes(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def clean(df: DataFrame) -> DataFrame:
-    """Distinct rows, with missing numbers replaced by the median and missing text by the commonest (the smallest of equals)."""
-    distinct = distinct_rows(missing_as_null(df))
+    """Distinct rows, with missing numbers replaced by the median and missing text by the commonest (the smallest of equals).
+
+    Medians and commonest values are sought only for columns that lack some. Numbers come out as doubles all the same.
+    """
+    distinct = stored_distinct_rows(missing_as_null(df))
     numbers = [c for c in df.columns if is_number(df, c)]
     texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
-    found = quantiles(distinct, {c: quoted(c).cast("double") for c in numbers}, [0.5])
-    values = {c: s["quantiles"][0] for c, s in found.items()} | ({r["column"]: r["value"] for r in modes(distinct, texts).collect()} if texts else {})
+    if not numbers and not texts:
+        return distinct
+    total, *present = distinct.agg(F.count(F.lit(1)), *[F.count(quoted(c)) for c in numbers + texts]).first()
+    known = dict(zip(numbers + texts, present, strict=True))
+    gaps = {c for c, n in known.items() if 0 < n < total}
+    values: dict[str, float | str] = {c: 0.0 for c in numbers if known[c] == total and total}
+    values |= {c: s["quantiles"][0] for c, s in quantiles(distinct, {c: quoted(c).cast("double") for c in numbers if c in gaps}, [0.5]).items()}
+    if texts := [c for c in texts if c in gaps]:
+        values |= {r["column"]: r["value"] for r in modes(distinct, texts).collect()}
     return distinct.select(*[F.coalesce(quoted(c), F.lit(values[c])).alias(c) if values.get(c) is not None else quoted(c) for c in distinct.columns])
 
 

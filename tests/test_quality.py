@@ -184,3 +184,16 @@ def test_report_document(spark, table):
     assert made["issues"]["duplicate_ids"] == {"column": "customer_id", "count": 63} and made["distributions"]["amount"]["max"] == 900.0
     frame = {(r["kind"], r["column"]): r["count"] for r in quality.issue_frame(spark, found).collect()}
     assert frame["emails", "email"] == 11 and frame["outliers", "amount"] == 1
+
+
+def test_clean_without_repeats_joins_nothing(spark):
+    """Passes over a table without repeats are scans; with repeats the distinct rows are stored once. Values are the same either way."""
+    rows = [(i, None if i % 4 == 0 else float(i), i * 1.5, None if i % 5 == 0 else "ab"[i % 2], "z") for i in range(40)]
+    schema = "id long, `a gap` double, full double, text string, same string"
+    once, twice = spark.createDataFrame(rows, schema), spark.createDataFrame(rows + rows[:15], schema)
+    found = [quality.clean(df) for df in (once, twice)]
+    assert found[0].schema.simpleString() == found[1].schema.simpleString() == "struct<id:double,a gap:double,full:double,text:string,same:string>"
+    assert sorted(found[0].collect()) == sorted(found[1].collect())
+    median, common = np.median([r[1] for r in rows if r[1] is not None]), "a" if sum(r[3] == "a" for r in rows) >= sum(r[3] == "b" for r in rows) else "b"
+    assert sorted(tuple(r) for r in found[0].collect()) == sorted((float(r[0]), median if r[1] is None else r[1], r[2], common if r[3] is None else r[3], "z") for r in rows)
+    assert all(word not in df._jdf.queryExecution().optimizedPlan().toString() for df in found for word in ("Join", "Aggregate"))
