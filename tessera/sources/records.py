@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators.records import Config, detect
+from tessera.sources import arrays
 from tessera.sources.paths import read_text
 
+#: Bytes of a document that is read as one row, at most, if it can be split.
+WHOLE_BYTES = 16 << 20
+
 
 def plain(kind: T.DataType) -> T.DataType:
     """What a discovered type is read as: decimals as doubles, values of several types and values that are always null as text."""
@@ -44,7 +48,10 @@ def in_ddl(kind: T.DataType) -> str:
 
 def records_of(documents: DataFrame, column: str = "value") -> DataFrame:
     """record (variant, an object) of each record in JSON texts; those that are no objects get one field, value."""
-    found = detect(documents, column)
+    return objects(detect(documents, column))
+
+
+def objects(found: DataFrame) -> DataFrame:
     wrapped = F.parse_json(F.concat(F.lit('{"value":'), F.to_json("record"), F.lit("}")))
     return found.select(F.when(F.schema_of_variant("record").startswith("OBJECT"), F.col("record")).otherwise(wrapped).alias("record"))
 
@@ -53,8 +60,18 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Records of a JSON document (one for each file), each under its own wrapping key, with the fields that any of them has.
 
     Records are parsed once; their fields are taken out of the parsed form. Records that are no objects have one field, value.
+    A file of more than WHOLE_BYTES that is an array is read in splits; other documents are rows.
     """
-    found = records_of(spark.read.text(path, wholetext=True))
+    sizes = spark.read.format("binaryFile").load(path).select("path", "length")
+    large = [r["path"] for r in sizes.filter(F.col("length") > WHOLE_BYTES).collect()]
+    large = [p for p in large if arrays.begins_with_bracket(spark, p)]
+    if large:
+        found = objects(arrays.elements(spark, large))
+        others = [r["path"] for r in sizes.filter(~F.col("path").isin(large)).collect()]
+        if others:
+            found = found.unionByName(records_of(spark.read.text(others, wholetext=True)))
+    else:
+        found = records_of(spark.read.text(path, wholetext=True))
     schema = discovered(found)
     if not schema.fields:
         return spark.createDataFrame([], "value string")
