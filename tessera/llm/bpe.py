@@ -72,7 +72,8 @@ class Encoder:
     bytes tell which ids belong to which match.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int | None = None):
+        self.cache = cache or CACHE
         self.tokenizer = rank_tokenizer(path) if path.endswith(".tiktoken") else json_tokenizer(path)
         back = {c: b for b, c in enumerate(byte_characters())}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -85,7 +86,7 @@ class Encoder:
         self.old: dict[str, bytes] = {}
 
     def learn(self, found: set[str]) -> None:
-        if len(self.young) > CACHE:
+        if len(self.young) > self.cache:
             self.old, self.young = self.young, {}
         known = found & self.old.keys()
         self.young.update((m, self.old[m]) for m in known)
@@ -114,8 +115,8 @@ class Encoder:
 
 
 @lru_cache(4)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, cache: int | None = None) -> Encoder:
+    return Encoder(path, cache)
 
 
 class Decoder:

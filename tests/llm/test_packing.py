@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import packing
+from tessera.llm import bpe, packing
 from tests.llm.helpers import ODD, documents, empty, prose
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -88,3 +88,12 @@ def test_edges(spark):
     clashing = documents(spark, ["a b c"]).withColumns({n: F.lit("own") for n in ("start", "ids", "piece", "pieces", "doc_tokens", "length")})
     row = packing.pieces_of(clashing, PATH, keep_ids=True).first()
     assert row["ids"] == TOKENIZER.encode("a b c").ids + [packing.END] and row["source"] == "src0"
+
+
+def test_packing_keeps_more_matches():
+    """Packing meets so many distinct matches that a generation of the usual size would lose those in use; ids are the same."""
+    own = packing.Cutter(PATH, True)
+    usual = bpe.Encoder(PATH)
+    assert own.encoder.cache == packing.MATCHES > usual.cache
+    texts = [f"word{i} x{i % 7}" for i in range(50)]
+    assert [x.tolist() for x in own.encoder.many(texts)] == [x.tolist() for x in usual.many(texts)]
