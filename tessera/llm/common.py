@@ -61,6 +61,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             value.destroy()
         spark.sparkContext.setCheckpointDir(f"{FOLDERS[-1]}/checkpoints" if FOLDERS else checkpoint_folder(spark))
         remove(spark, own)
+        let_go_of_memory()
 
 
 def share(spark: SparkSession, value: object) -> Broadcast:
@@ -135,6 +136,13 @@ def let_go_for(module: str) -> None:
     for users, clear in HELD.items():
         if module not in users:
             clear()
+    let_go_of_memory()
+
+
+def let_go_of_memory() -> None:
+    """What the allocators of this process keep of freed memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()
 
 
 def map_rows(df: DataFrame, column: str, added: T.StructType, compute: Callable[[], Callable]) -> DataFrame:

@@ -28,12 +28,13 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import HELD, cut_lineage, let_go_for, map_rows, share, slices, values_of, written
+from tessera.llm.common import HELD, cut_lineage, let_go_for, let_go_of_memory, map_rows, share, slices, values_of, written
 
 MAX_LABELLED = 20_000
 CALIBRATED = 4_000
@@ -45,6 +46,8 @@ SMOOTHING = 1.0
 COMMON, SPARSE = 256, 64
 #: Texts that are searched together, and more than the error of single precision in a cosine.
 TOGETHER, MARGIN = 32, 1e-4
+#: Counts of a term whose logarithm is looked up.
+LOGS = 4096
 #: Natural logarithm of the inverse of the expected number of terms chosen by chance.
 CERTAINTY = 3.0
 THRESHOLD = 0.3
@@ -200,28 +203,39 @@ class BlockMaxIndex:
         common = common[held[common] * SPARSE > n]
         self.column = np.full(len(idf), -1, np.int32)
         self.column[common] = np.arange(len(common))
-        vectors = [(np.asarray(x[2], np.int32), weights(np.asarray(x[2], np.int32), np.asarray(x[3], float), idf)) for x in known]
+        vector = lambda x: (terms := np.asarray(x[2], np.int32), weights(terms, np.asarray(x[3], float), idf))
         table = np.zeros((n, len(common)), np.float32)
-        for i, (terms, weight) in enumerate(vectors):
+        for i, x in enumerate(known):
+            terms, weight = vector(x)
             column = self.column[terms]
             table[i, column[column >= 0]] = weight[column >= 0]
         #: Place of an example in the order of vectors and doc_id, by its place in the index.
         self.rank = by_likeness(table)
-        known, vectors = [known[i] for i in self.rank], [vectors[i] for i in self.rank]
+        known = [known[i] for i in self.rank]
         self.quick = table[self.rank]
+        del table
         self.idf, self.ids = idf, [x[0] for x in known]
         self.toxic = np.array([x[1] for x in known], float)
         self.rate = sum(x[1] for x in examples) / len(examples) if len(examples) else 0.0
         self.blank = (sum(blank) + self.rate) / (len(blank) + 1)
-        self.table = np.zeros((n, len(common)))
+        #: What the table has in full precision: columns and weights of each example, one after another.
+        self.ends = np.concatenate([[0], np.cumsum([int((self.column[np.asarray(x[2], np.int32)] >= 0).sum()) for x in known])]).astype(np.int64)
+        self.columns, self.weight = np.empty(self.ends[-1], np.int16), np.empty(self.ends[-1])
         held[common] = 0
         self.edges = np.concatenate([[0], np.cumsum(held)])
-        self.at, self.weight, free = np.empty(self.edges[-1], np.int64), np.empty(self.edges[-1]), self.edges[:-1].copy()
-        for i, (terms, weight) in enumerate(vectors):
-            column = self.column[terms]
+        #: Postings: places of examples and their counts, which with the examples' norms make the weights.
+        most = max((int(np.max(x[3])) for x in known), default=0)
+        self.logs = 1 + np.log(np.maximum(1, np.arange(min(most, LOGS) + 1)))
+        self.at, self.count = np.empty(self.edges[-1], np.int32), np.empty(self.edges[-1], np.min_scalar_type(most))
+        self.norm, free = np.empty(n), self.edges[:-1].copy()
+        for i, x in enumerate(known):
+            terms, weight = vector(x)
+            counts, column = np.asarray(x[3]), self.column[terms]
             rare, often = terms[column < 0], column >= 0
-            self.table[i, column[often]] = weight[often]
-            self.at[free[rare]], self.weight[free[rare]] = i, weight[~often]
+            raw = (1 + np.log(counts)) * idf[terms]
+            self.norm[i] = np.sqrt((raw * raw).sum())
+            self.columns[self.ends[i] : self.ends[i + 1]], self.weight[self.ends[i] : self.ends[i + 1]] = column[often], weight[often]
+            self.at[free[rare]], self.count[free[rare]] = i, counts[~often]
             free[rare] += 1
         self.starts = np.arange(0, n, BLOCK)
         self.most = np.maximum.reduceat(self.quick, self.starts, axis=0) if n else self.quick
@@ -242,11 +256,22 @@ class BlockMaxIndex:
         starts, sizes = starts[held], sizes[held]
         ends = np.cumsum(sizes)
         places = np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1])
-        return np.bincount(self.at[places], self.weight[places] * np.repeat(weight[held], sizes), len(self.ids))
+        counts = self.count[places]
+        logs = self.logs[counts] if counts.max() < len(self.logs) else 1 + np.log(counts)
+        return np.bincount(self.at[places], logs * np.repeat((weight * self.idf[terms])[held], sizes), len(self.ids)) / self.norm
+
+    def rows(self, examples: np.ndarray) -> np.ndarray:
+        """Rows of the table in full precision."""
+        sizes = self.ends[examples + 1] - self.ends[examples]
+        ends = np.cumsum(sizes)
+        places = np.repeat(self.ends[examples] - ends + sizes, sizes) + np.arange(sizes.sum())
+        out = np.zeros((len(examples), self.quick.shape[1]))
+        out[np.repeat(np.arange(len(examples)), sizes), self.columns[places]] = self.weight[places]
+        return out
 
     def common(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """The columns of the table, for each text."""
-        own = np.zeros((len(vectors), self.table.shape[1]))
+        own = np.zeros((len(vectors), self.quick.shape[1]))
         for i, (terms, weight) in enumerate(vectors):
             column = self.column[terms]
             own[i, column[column >= 0]] = weight[column >= 0]
@@ -285,7 +310,7 @@ class BlockMaxIndex:
             if n > k:
                 about = rare[i][rows] + row
                 able = rows[about >= np.partition(about, len(rows) - k)[len(rows) - k] - MARGIN]
-            cosine = np.round(rare[i][able] + self.table[able] @ own[i], 12)
+            cosine = np.round(rare[i][able] + self.rows(able) @ own[i], 12)
             best = np.lexsort((self.rank[able], -cosine))[:k]
             found.append([(float(cosine[j]), int(able[j])) for j in best if cosine[j] > 0])
         return found
@@ -424,7 +449,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, calibrate
     examples = []
     for batch in vector(texts).toArrow().to_batches():  # ``limit`` rows at most
         found = [values_of(batch.column(c)) for c in ("doc_id", "toxic", "terms", "counts")]
-        examples += [(d, y, a.astype(np.int32), c.astype(np.int32)) for d, y, a, c in zip(*found, strict=True)]
+        examples += [(d, y, a.astype(np.int32, copy=False), c.astype(np.int32, copy=False)) for d, y, a, c in zip(*found, strict=True)]
     examples.sort(key=lambda x: x[0])
     model = Model(terms, examples, idf, known, share(docs.sparkSession, packed(examples, idf)), None)
     if not calibrate:
@@ -441,20 +466,21 @@ HELD[(__name__,)] = INDEXES.clear
 
 
 class Packed(NamedTuple):
-    """The examples of a model in a few arrays."""
+    """The examples of a model in a few arrays, compressed: workers keep what is broadcast beside the index that they make of it."""
 
     name: str
-    idf: np.ndarray
     ids: list[int]
     toxic: list[int]
     ends: np.ndarray
-    terms: np.ndarray
-    counts: np.ndarray
+    idf: bytes
+    terms: bytes
+    counts: bytes
 
 
 def packed(examples: list[tuple[int, int, np.ndarray, np.ndarray]], idf: np.ndarray) -> Packed:
-    join = lambda k: np.concatenate([np.asarray(x[k], np.int32) for x in examples] or [np.zeros(0, np.int32)])
-    return Packed(uuid4().hex, idf, [x[0] for x in examples], [x[1] for x in examples], np.cumsum([len(x[2]) for x in examples]), join(2), join(3))
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    join = lambda k: squeeze(np.concatenate([np.asarray(x[k], np.int32) for x in examples] or [np.zeros(0, np.int32)]))
+    return Packed(uuid4().hex, [x[0] for x in examples], [x[1] for x in examples], np.cumsum([len(x[2]) for x in examples]), squeeze(np.asarray(idf, float)), join(2), join(3))
 
 
 def loaded(shared: Broadcast) -> BlockMaxIndex:
@@ -462,8 +488,11 @@ def loaded(shared: Broadcast) -> BlockMaxIndex:
     own: Packed = shared.value
     if own.name not in INDEXES:
         INDEXES.clear()
-        terms, counts = np.split(own.terms, own.ends[:-1]), np.split(own.counts, own.ends[:-1])
-        INDEXES[own.name] = BlockMaxIndex(list(zip(own.ids, own.toxic, terms, counts, strict=True)) if own.ids else [], own.idf)
+        whole = zstandard.ZstdDecompressor().decompress
+        terms, counts = (np.split(np.frombuffer(whole(x), np.int32), own.ends[:-1]) for x in (own.terms, own.counts))
+        INDEXES[own.name] = BlockMaxIndex(list(zip(own.ids, own.toxic, terms, counts, strict=True)) if own.ids else [], np.frombuffer(whole(own.idf)))
+        del terms, counts
+        let_go_of_memory()
     return INDEXES[own.name]
 
 

@@ -37,6 +37,33 @@ def test_block_max_index_is_exact(monkeypatch):
         assert [round(-c, 9) for c, _ in near] == [round(c, 9) for c, _ in sorted(every)[:7]]
 
 
+def test_the_index_is_small():
+    """What a worker keeps: a place and a count for each rare posting, common terms in full precision without zeros, compressed examples."""
+    rng = np.random.default_rng(29)
+    n, n_terms = 600, 20_000
+    idf = rng.uniform(1, 6, n_terms)
+    examples = []
+    for i in range(n):
+        terms = np.unique(np.concatenate([rng.integers(0, 256, 30), rng.integers(256, n_terms, 200)])).astype(np.int32)
+        examples.append((i, i % 2, terms, rng.integers(1, 5, len(terms)).astype(np.int32)))
+    index, total = toxicity.BlockMaxIndex(examples, idf), sum(len(x[2]) for x in examples)
+    own = sum(v.nbytes for v in vars(index).values() if isinstance(v, np.ndarray))
+    fixed = index.quick.nbytes + index.most.nbytes + index.column.nbytes + index.edges.nbytes + idf.nbytes
+    assert own - fixed < 8 * total
+    packed = toxicity.packed(examples, idf)
+    assert sum(len(x) if isinstance(x, bytes) else getattr(x, "nbytes", 0) for x in packed) < 6 * total + idf.nbytes
+    # And it is the same index: rows and cosines in full precision, from what was broadcast as well.
+    again = toxicity.loaded(type("Shared", (), {"value": packed}))
+    toxicity.INDEXES.clear()
+    for x in examples[:20]:
+        unit = toxicity.weights(x[2], x[3].astype(float), idf)
+        dense = np.zeros(n_terms)
+        dense[x[2]] = unit
+        every = sorted((-round(float(dense[y[2]] @ toxicity.weights(y[2], y[3].astype(float), idf)), 10) for y in examples))[:5]
+        near = index.nearest(x[2], unit, 5)
+        assert [-round(c, 10) for c, _ in near] == every and near == again.nearest(x[2], unit, 5)
+
+
 #: Enough labelled rows (about 3,000 to learn from) for the words of four languages.
 TABLES = "/root/testdata/sf0.1"
 
