@@ -3,7 +3,9 @@
 Units are the lines and sentences of a file, and its paragraphs of several lines, so that wrapped licence texts are whole.
 Each distinct unit is a TF-IDF vector, with document frequencies counted over all files, and takes the template with the
 highest cosine, if it reaches LEAST. Candidates come by an index that holds of each template its heaviest terms: without
-one of them the rest of the template cannot reach LEAST, so no unit that could is left out. Each matched unit votes with
+one of them the rest of the template cannot reach LEAST. Of these, units stay whose terms hold enough of some template's
+weight: a bound of the cosine that needs no weights of the unit, so no unit that could reach LEAST is left out and the
+terms of few others are counted. Each matched unit votes with
 its weight for the licences of its template; a file has the licence with the most. A file is a licence file if its name
 says so or if all its lines and sentences are matched, by themselves or in a matched paragraph; it speaks for its
 directory. Files without a licence of their own take that of the nearest ancestor directory that has one. All work is
@@ -16,6 +18,9 @@ the first name in order. Extra columns pass through, but for those with the name
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -96,6 +101,24 @@ def template_index(spark: SparkSession, counted: DataFrame, idf: Column) -> Data
     return cut_lineage(unit.select("term", "template", "v", (up_to >= LEAST - 1e-6).alias("leads")))
 
 
+def may_match(index: DataFrame) -> Callable[[Column], Column]:
+    """Whether a unit can reach LEAST: its cosine to a template is at most the norm of the template's weights on the unit's terms."""
+    squares: dict[str, list[float]] = {}
+    leading = set()
+    for r in index.collect():  # of the list of templates
+        squares.setdefault(r["term"], [0.0] * len(TEMPLATES))[r["template"]] += r["v"] * r["v"]
+        leading.update([r["term"]] * r["leads"])
+    listed = lambda found: F.array(*[F.lit(t) for t in sorted(found)])
+    every, leads, of_term = listed(squares), listed(leading), F.from_json(F.lit(json.dumps(squares)), "map<string,array<double>>")
+    add = lambda sums, term: F.zip_with(sums, F.element_at(of_term, term), lambda a, b: a + b)
+
+    def able(own: Column) -> Column:
+        bounds = F.aggregate(F.array_intersect(own, every), F.array_repeat(F.lit(0.0), len(TEMPLATES)), add)
+        return F.arrays_overlap(own, leads) & (F.array_max(bounds) >= LEAST * LEAST - 1e-6)
+
+    return lambda unit: F.exists(F.array(terms(unit)), able)
+
+
 def matched_units(units: DataFrame, counted: DataFrame, idf: Column, index: DataFrame) -> DataFrame:
     """unit_key, template, cosine and weight of the distinct units (unit_key, unit) that reach LEAST."""
     own = units.select("unit_key", F.explode(terms("unit")).alias("term")).groupBy("unit_key", "term").agg(F.count("*").alias("tf"))
@@ -167,11 +190,10 @@ def scan(files: DataFrame) -> DataFrame:
     known = templates(spark)
     counted, idf = frequencies(files)
     index = template_index(spark, counted, idf)
-    leading = [r["term"] for r in index.filter("leads").select("term").distinct().collect()]  # of the list of templates
-    leads = lambda u: F.arrays_overlap(terms(u["unit"]), F.array(*[F.lit(t) for t in sorted(leading)]))
+    able = may_match(index)
     # Other columns travel in one struct, so that their names clash with none of the steps below.
     rows = files.select(F.struct(F.col("path"), *[F.col(f"`{c}`") for c in columns]).alias("kept"), path.alias("path"), F.struct(path.alias("path"), F.xxhash64("text").alias("hash")).alias("row_key"), pieces("text").alias("units"))
-    said = cut_lineage(rows.select("kept", "path", "row_key", F.coalesce(F.size(F.filter("units", lambda u: ~u["whole"])), F.lit(0)).alias("n_units"), F.coalesce(F.filter("units", leads), F.array()).alias("units")))
+    said = cut_lineage(rows.select("kept", "path", "row_key", F.coalesce(F.size(F.filter("units", lambda u: ~u["whole"])), F.lit(0)).alias("n_units"), F.coalesce(F.filter("units", lambda u: able(u["unit"])), F.array()).alias("units")))
     distinct = said.select(F.explode("units.unit").alias("unit")).groupBy(unit_key("unit").alias("unit_key")).agg(F.first("unit").alias("unit"), F.count("*").alias("n"))
     distinct = cut_lineage(distinct)
     of_unit = matched_units(distinct.drop("n"), counted, idf, index).join(distinct.select("unit_key", "n"), "unit_key")

@@ -112,6 +112,18 @@ def test_documents_by_brute_force(spark):
     assert all((r["licence"], r["evidence"], r["licence_from"]) in expected[r["doc_id"]] for r in rows)
 
 
+def test_only_units_near_a_template_are_weighed(spark, monkeypatch):
+    """A word of a template alone is no reason to shuffle the terms of a long paragraph; the licences are found as before."""
+    weighed, weigh = [], licenses.matched_units
+    monkeypatch.setattr(licenses, "matched_units", lambda units, *rest: weighed.append(units.count()) or weigh(units, *rest))
+    prose = [(f"p/{i}.txt", " ".join(f"w{i}x{k}" for k in range(200)) + " or license\n" + " ".join(f"v{i}y{k}" for k in range(200)) + ".") for i in range(50)]
+    rows = [*prose, ("q/a.txt", "Released under the MIT License.\nx"), ("r/b.txt", "under the license or not, some words")]
+    found = licenses.scan(spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(rows)], FILES)).orderBy("doc_id").collect()
+    expected = brute(rows)
+    assert [(r["licence"], r["evidence"]) for r in found] == [(e[0], e[2]) for e in expected] and found[50]["licence"] == "MIT"
+    assert weighed[0] < 10
+
+
 def test_no_python_in_the_plan(spark):
     plan = op4_license_scan(spark, TABLES)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
