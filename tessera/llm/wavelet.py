@@ -51,7 +51,7 @@ END = 2
 #: The tokenizer's pieces of lower-cased text of PLAIN characters.
 PIECES = re.compile(r"'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\w\t-\r ]|_)+")
 #: Words whose ids a task keeps, in a generation.
-CACHE = 250_000
+CACHE = 400_000
 #: Bits set in each byte, and before each bit of a byte, from the highest.
 ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1).astype(np.int64)
 
@@ -109,14 +109,11 @@ class Words:
         """Texts of PLAIN characters: each distinct word of all is looked up once."""
         split = pc.ascii_split_whitespace(pa.array([t.lower() for t in texts], pa.string()))
         coded = split.flatten().dictionary_encode()
-        codes, each = coded.indices.to_numpy(), [self.known[w] for w in coded.dictionary.to_pylist()]
-        lengths = np.fromiter(map(len, each), np.int64, len(each)) // np.dtype(self.type).itemsize
-        starts = np.cumsum(lengths) - lengths
-        own = lengths[codes]
-        ends = np.concatenate([[0], np.cumsum(own)])
-        ids = np.frombuffer(b"".join(each), self.type)[np.arange(ends[-1]) + np.repeat(starts[codes] - ends[:-1], own)]
-        bounds = ends[split.offsets.to_numpy()].tolist()
-        return [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        each = pa.array([self.known[w] for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()], pa.large_binary())
+        _, ends, joined = each.take(coded.indices).buffers()
+        bounds = np.frombuffer(ends, np.int64)[split.offsets.to_numpy()].tolist() if len(coded) else [0] * (len(texts) + 1)
+        ids = memoryview(joined or b"")
+        return [bytes(ids[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def other(self, text: str) -> bytes:
         own = self.tokenizer.encode_batch_fast([w.decode() for w in text.encode().split()], add_special_tokens=False)
@@ -146,7 +143,7 @@ def plane_bytes(bits: np.ndarray) -> tuple[bytes, np.ndarray]:
     packed, step = np.packbits(bits), BLOCK_BITS // 8
     squeeze = zstandard.ZstdCompressor(level=1).compress
     blocks = [squeeze(packed[i : i + step].tobytes()) for i in range(0, len(packed), step)]
-    ones = np.add.reduceat(ONES[packed], np.arange(0, len(packed), step)) if len(packed) else np.zeros(0, np.int64)
+    ones = np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), step), dtype=np.int64) if len(packed) else np.zeros(0, np.int64)
     before = np.concatenate([[0], np.cumsum(ones)]).astype("<i8")
     ends = np.cumsum([0, *map(len, blocks)]).astype("<i8")
     return struct.pack("<I", len(blocks)) + ends.tobytes() + before.tobytes() + b"".join(blocks), before

@@ -76,6 +76,15 @@ def test_the_cache_forgets(monkeypatch):
         assert np.frombuffer(own.many([text])[0][0], "<u2").tolist() == ids_of(text)[:-1] and len(own.known) <= 3
 
 
+def test_words_in_use_are_worked_out_once():
+    own, asked = wavelet.Words(PATH, None), []
+    own.known.work = lambda w: asked.append(w) or b"\0\0"
+    texts = [" ".join(f"w{i}" for i in range(k, k + 10_000)) for k in range(0, 300_000, 10_000)]
+    for _ in range(2):
+        assert {len(ids) for text in texts for ids in own.many([text])[0]} == {20_000}
+    assert len(asked) == len(set(asked)) == 300_000
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 70_000) | st.integers(0, 5), max_size=300))
 def test_rank_and_select(values):
