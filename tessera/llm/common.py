@@ -64,6 +64,24 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         let_go_of_memory()
 
 
+#: Spark's setting that deletes the shuffle files of an action at its end.
+FREED_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the actions within go at the end of each, not when the driver happens to collect its garbage.
+
+    For operators of many actions over stored tables; no DataFrame with a shuffle should be run twice within.
+    """
+    before = spark.conf.get(FREED_SHUFFLES, None)
+    spark.conf.set(FREED_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(FREED_SHUFFLES) if before is None else spark.conf.set(FREED_SHUFFLES, before)
+
+
 def share(spark: SparkSession, value: object) -> Broadcast:
     """A broadcast of bounded size, which the driver and all executors hold until ``scratch`` ends or nothing refers to it."""
     made = spark.sparkContext.broadcast(value)

@@ -19,7 +19,8 @@ large buckets of its members, that which has most of its signatures in large buc
 come from has. So the buckets of many near copies have one hub, and each copy is compared once. Sets near the hub are linked through it;
 a link of a set that is far from the hub shows in the differences from the hub: two similar sets, one of which has d > k
 differences, share d - k of them at least, so they meet on the k + 1 rarest differences. These meetings are the buckets of
-the next round, with the set nearest to the old hub as the new one; a set leaves a bucket if the rarest difference that it
+the next round, each with the member that most buckets of the old hub have as the new one, so that buckets with common
+members share it; a set leaves a bucket if the rarest difference that it
 could share with any other there comes too late for enough more to follow. No candidate that could link is dropped,
 whatever the size of a bucket, and no bucket of more than SMALL is ever compared pair by pair: each round takes a hub out.
 
@@ -41,10 +42,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import cut_lineage, lookup, map_rows, slices, written
+from tessera.llm.common import cut_lineage, freed_shuffles, lookup, map_rows, slices, written
 
 #: Members of a bucket that are compared pair by pair; larger buckets go by a hub.
-SMALL = 16
+SMALL = 64
 #: Parts of the domain whose elements are counted, to pass over pairs; counts end at 255.
 SKETCH = 128
 #: Bits of the map by which texts of no pair are passed over before any of the others is moved: 1 MB, whatever the input.
@@ -268,15 +269,18 @@ def meetings(compared: DataFrame, percent: int) -> DataFrame:
 
 
 def next_pairs(buckets: DataFrame, percent: int) -> DataFrame:
-    """Pairs to compare: of each small bucket all that may link, of a ``large`` one each member with that nearest to the old hub."""
-    first = F.min(F.struct("apart", "u")).alias("first")
-    sized = buckets.groupBy("hub", "element").agg(F.count("*").alias("n"), first, F.max("far").alias("open")).filter("n > 1 and open").select("hub", "element", "n", F.col("first.u").alias("first"))
+    """Pairs to compare: of each small bucket all that may link, of a ``large`` one each member with that of most large buckets."""
+    sized = buckets.groupBy("hub", "element").agg(F.count("*").alias("n"), F.max("far").alias("open")).filter("n > 1 and open").drop("open")
     members = buckets.join(sized, ["hub", "element"])
     small = members.filter(F.col("n") <= SMALL)
     other = small.select("hub", "element", *[F.col(c).alias(f"v_{c}") for c in ("u", "far", "size", "apart", "room")])
     enough = f"apart + v_apart - (size + v_size) * {100 - percent} div {100 + percent} <= 2 + 2 * least(room, v_room)"
     pairs = small.join(other, ["hub", "element"]).filter("u > v_u and (far or v_far)").filter(enough).select("u", F.col("v_u").alias("hub")).distinct()
-    large = members.filter((F.col("n") > SMALL) & (F.col("u") != F.col("first"))).select("u", F.col("first").alias("hub")).distinct()
+    crowded = members.filter(F.col("n") > SMALL).select("hub", "element", "u", "apart")
+    often = crowded.groupBy("hub", "u").agg(F.count("*").alias("often"))
+    first = F.max(F.struct("often", -F.col("apart"), (-F.col("u")).alias("last"))).alias("first")
+    firsts = crowded.join(often, ["hub", "u"]).groupBy("hub", "element").agg(first).select("hub", "element", (-F.col("first.last")).alias("first"))
+    large = crowded.join(firsts, ["hub", "element"]).filter("u != first").select("u", F.col("first").alias("hub")).distinct()
     return both_kinds(pairs, large)
 
 
@@ -358,15 +362,17 @@ def compared(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     return with_both.mapInArrow(partial(compare, n, percent), COMPARED).withColumn("far", ~F.col("linked"))
 
 
-def links(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+def links(docs: DataFrame, pairs: DataFrame, whole: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (u, v) between representatives that connect whatever is similar, from the pairs of ``shared_signatures``."""
-    texts, found = cut_lineage(packed_texts(docs, pairs)), []
+    texts, sketches, found = cut_lineage(packed_texts(docs, pairs)), None, []
     while True:
         done = written(compared(pairs, texts, n, percent))
         found.append(done.filter("linked").select("u", F.col("hub").alias("v")))
         if pairs.filter("large").isEmpty():
             break
-        pairs = written(next_pairs(written(meetings(done.filter("large"), percent)), percent))
+        if sketches is None:  # no later round has other sets
+            sketches = written(of_pairs(whole.select("doc_id", "n_shingles", "sketch"), pairs.filter("large")))
+        pairs = written(reachable(next_pairs(written(meetings(done.filter("large"), percent)), percent), sketches, percent))
         if pairs.isEmpty():
             break
         texts = cut_lineage(of_pairs(texts, pairs))  # no others are compared any more
@@ -375,10 +381,15 @@ def links(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
 
 def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``."""
+    with freed_shuffles(docs.sparkSession):
+        return grouped(docs, n, percent)
+
+
+def grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
     whole = cut_lineage(signed(docs, n, percent))
     rows = whole.select("doc_id", "n_shingles", "key_a", "key_b")
     pairs = shared_signatures(whole, percent)
-    joined = components(links(docs, pairs, n, percent))
+    joined = components(links(docs, pairs, whole, n, percent))
     classes = rows.filter("n_shingles > 0").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))
     of_class = classes.join(joined, "node", "left").select("key_a", "key_b", "n", F.coalesce("component", "node").alias("component_id"))
     empty = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import jaccard
+from tessera.llm.common import FREED_SHUFFLES
 from tessera.llm.queries import OP7, op7_ngram_jaccard
 from tests.against import differing
 from tests.llm.helpers import ODD, documents, empty
@@ -153,3 +155,24 @@ def test_edges(spark):
     found = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in jaccard.groups(rows).collect() if r["component_id"] is not None)
     assert found == [(0, 2, 5), (5, 2, 5), (5, 2, 5), (9, 0, 9)]
     assert jaccard.groups(rows).count() == 5
+
+
+def test_large_buckets_of_a_round_share_a_hub(spark, monkeypatch):
+    """Buckets of different elements with a common member: that is the hub of all, not each bucket's nearest set."""
+    monkeypatch.setattr(jaccard, "SMALL", 3)
+    rows = [(0, e, u, True, 100, apart, 90) for e in range(6) for u, apart in ((99, 80), (10 * e + 1, 60), (10 * e + 2, 70), (10 * e + 3, 75))]
+    buckets = spark.createDataFrame(rows, "hub long, element long, u long, far boolean, size long, apart long, room long")
+    pairs = jaccard.next_pairs(buckets, 80).collect()
+    assert {(r["u"], r["hub"], r["large"]) for r in pairs} == {(10 * e + k, 99, True) for e in range(6) for k in (1, 2, 3)}
+
+
+def test_shuffle_files_go_with_their_action(spark):
+    """The rounds' shuffles do not add up on the disk, and the session's setting is as before."""
+    docs = documents(spark, corpus(random.Random(21), 20, 4, 80))
+    before = spark.conf.get(FREED_SHUFFLES)
+    top = Path(spark.sparkContext._temp_dir).parents[1]
+    files = lambda: set(top.glob("blockmgr-*/*/shuffle_*.data"))
+    held = files()
+    found = jaccard.groups(docs, 3, 90)
+    assert not files() - held and spark.conf.get(FREED_SHUFFLES) == before
+    assert found.count() == docs.count()
