@@ -32,6 +32,8 @@ AT_ONCE = 20_000
 PLAIN = re.compile(r"[^\t-\r\x20-\x7e¡-±´-¸º»¿-ɏ‐-‧‰-⁞₠-₿]")
 PLAIN_PATTERN = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\w\t-\r ]|_)+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 PATTERN = regex.compile(public_tokenizers.PATTERN)
+#: A match of a space and Latin letters: a row of such matches is cut into the same ones, by any engine.
+WORD = re.compile(r" [A-Za-zÀ-ÖØ-öø-ɏ]+")
 
 
 @lru_cache(1)
@@ -46,6 +48,10 @@ def matches(text: str) -> list[str]:
     return PATTERN.findall(text) if PLAIN.search(text) else PLAIN_PATTERN.findall(text)
 
 
+def parts(found: list[str]) -> list[list[str]]:
+    return [found[at : at + AT_ONCE] for at in range(0, len(found), AT_ONCE)]
+
+
 def rank_tokenizer(path: str) -> Tokenizer:
     """A tokenizer that merges by the ranks of a .tiktoken file: every split of a token into two tokens is a merge."""
     with open(path, "rb") as file:
@@ -68,8 +74,8 @@ class Encoder:
     """From texts to their ids as little-endian unsigned 32-bit integers.
 
     The ids of matches are kept in two generations: when the younger is full it becomes the older one, so that matches in
-    use stay. Unknown matches go through the tokenizer together, as the words of one pre-split text; token lengths in
-    bytes tell which ids belong to which match.
+    use stay. Unknown matches go through the tokenizer together, as the words of one pre-split text, or as one text where
+    it cuts that into the same matches; token lengths in bytes tell which ids belong to which match.
     """
 
     def __init__(self, path: str, cache: int | None = None):
@@ -82,33 +88,32 @@ class Encoder:
         for token, i in vocabulary.items():
             self.tokens[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
         self.lengths = np.array([len(t or b"") for t in self.tokens], np.int64)
+        #: Whether the tokenizer itself cuts texts by the pattern.
+        self.splits = not path.endswith(".tiktoken")
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def learn(self, found: set[str]) -> None:
-        if len(self.young) > self.cache:
-            self.old, self.young = self.young, {}
         known = found & self.old.keys()
         self.young.update((m, self.old[m]) for m in known)
-        new = list(found - known)
-        for at in range(0, len(new), AT_ONCE):
-            part = new[at : at + AT_ONCE]
-            ids = np.array(self.tokenizer.encode_batch_fast([part], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
-            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(m.encode()) for m in part])) + 1
-            raw, begin = ids.tobytes(), 0
-            for match, end in zip(part, (4 * ends).tolist(), strict=True):
-                self.young[match] = raw[begin:end]
-                begin = end
+        words, others = [], []
+        for match in found - known:
+            (words if self.splits and WORD.fullmatch(match) else others).append(match)
+        for part, joined in [*((x, True) for x in parts(words)), *((x, False) for x in parts(others))]:
+            # The pattern cuts a row of words before each space again, which costs less than to hand over each by itself.
+            given = "".join(part) if joined else part
+            ids = np.array(self.tokenizer.encode_batch_fast([given], is_pretokenized=not joined, add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(m.encode()) for m in part])) + 4).tolist()
+            raw = ids.tobytes()
+            self.young.update(zip(part, [raw[a:b] for a, b in zip([0, *ends], ends)], strict=True))
 
     def many(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [matches(t) if t else [] for t in texts]
-        known = self.young.get
-        ids = [list(map(known, found)) for found in split]
-        unknown = [i for i, row in enumerate(ids) if None in row]
-        self.learn({m for i in unknown for m, x in zip(split[i], ids[i], strict=True) if x is None})
-        for i in unknown:
-            ids[i] = [self.young[m] if x is None else x for m, x in zip(split[i], ids[i], strict=True)]
-        return [np.frombuffer(b"".join(row), "<u4") for row in ids]
+        if len(self.young) > self.cache:
+            self.old, self.young = self.young, {}
+        if new := set().union(*split).difference(self.young):
+            self.learn(new)
+        return [np.frombuffer(b"".join(map(self.young.__getitem__, row)), "<u4") for row in split]
 
     def encode(self, text: str | None) -> np.ndarray:
         return self.many([text])[0]

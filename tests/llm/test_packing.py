@@ -97,3 +97,22 @@ def test_packing_keeps_more_matches():
     assert own.encoder.cache == packing.MATCHES > usual.cache
     texts = [f"word{i} x{i % 7}" for i in range(50)]
     assert [x.tolist() for x in own.encoder.many(texts)] == [x.tolist() for x in usual.many(texts)]
+
+
+def test_new_words_are_encoded_as_one_text(monkeypatch):
+    """Matches of a space and letters go through the tokenizer joined, the others by themselves; ids are the tokenizer's."""
+    monkeypatch.setattr(bpe, "AT_ONCE", 7)
+    own, given = bpe.Encoder(PATH, 5), []
+    real = own.tokenizer
+
+    class Seen:
+        def encode_batch_fast(self, batch, **how):
+            given.append(batch[0])
+            return real.encode_batch_fast(batch, **how)
+
+    own.tokenizer = Seen()
+    texts = [*ODD, "plain words and über straße ǅ ƻ ǀǃ", "it's 12 <|endoftext|> x_y  two\n\nlines", " a b c d e f g h i j k", None, ""]
+    for _ in range(2):
+        for text, ids in zip(texts, own.many(texts), strict=True):
+            assert ids.tolist() == TOKENIZER.encode(text or "", add_special_tokens=False).ids
+    assert any(isinstance(x, str) for x in given) and any(isinstance(x, list) for x in given)
