@@ -45,7 +45,7 @@ from pyspark.sql import types as T
 from tessera.llm.common import cut_lineage, freed_shuffles, lookup, map_rows, slices, written
 
 #: Members of a bucket that are compared pair by pair; larger buckets go by a hub.
-SMALL = 64
+SMALL = 16
 #: Parts of the domain whose elements are counted, to pass over pairs; counts end at 255.
 SKETCH = 128
 #: Bits of the map by which texts of no pair are passed over before any of the others is moved: 1 MB, whatever the input.
