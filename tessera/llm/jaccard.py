@@ -16,13 +16,19 @@ Equal sets form a class with one representative. Buckets of at most SMALL repres
 compared pair by pair; pairs whose numbers of elements in SKETCH parts of the domain differ in more than k together cannot
 be similar and are passed over. In larger buckets all are compared with one set, the hub: of those in the bucket, and in other
 large buckets of its members, that which has most of its signatures in large buckets, as the text that many near copies
-come from has. So the buckets of many near copies have one hub, and each copy is compared once. Sets near the hub are linked through it;
-a link of a set that is far from the hub shows in the differences from the hub: two similar sets, one of which has d > k
-differences, share d - k of them at least, so they meet on the k + 1 rarest differences. These meetings are the buckets of
-the next round, each with the member that most buckets of the old hub have as the new one, so that buckets with common
-members share it; a set leaves a bucket if the rarest difference that it
-could share with any other there comes too late for enough more to follow. No candidate that could link is dropped,
-whatever the size of a bucket, and no bucket of more than SMALL is ever compared pair by pair: each round takes a hub out.
+come from has. So the buckets of many near copies have one hub, and each copy is compared once. Sets near the hub are linked through it.
+
+The sets that were compared with a hub, some of them far from it, are its group; copies that each have edits of their own
+stay far from all others, however many they are. A group of at most BLOCKS blocks is dealt to tasks by pairs of blocks, in
+order of size. A task passes over pairs whose PARITY bits, whether each part of the domain holds an odd number of elements,
+differ in more than k: a few nanoseconds a bit word, and no row. It compares the others exactly unless links that it has found
+join them already, so it returns fewer links than it has sets, however many are similar.
+
+In larger groups a link of a set that is far from the hub shows in the differences from the hub: two similar sets, one of
+which has d > k differences, share d - k of them at least, so they meet on the k + 1 rarest differences. These meetings are
+the buckets of the next round, each with the member that most buckets of the old hub have as the new one, so that buckets
+with common members share it; a set leaves a bucket if the rarest difference that it could share with any other there comes
+too late for enough more to follow. No candidate that could link is dropped, whatever the size of a bucket or a group.
 
 Null texts and texts without words have empty sets and link with nothing. Long texts are read whole. Extra columns are not
 read, whatever their names. Rows of one doc_id count as one document; rows without doc_id get the component of a document
@@ -38,7 +44,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,6 +54,10 @@ from tessera.llm.common import cut_lineage, freed_shuffles, lookup, map_rows, sl
 SMALL = 16
 #: Parts of the domain whose elements are counted, to pass over pairs; counts end at 255.
 SKETCH = 128
+#: Bits that tell whether the number of elements in a part is odd, to pass over pairs of a group.
+PARITY = 2048
+#: Most weight of a block (a set weighs MEMBER and its elements), and most blocks of a group that is compared by blocks.
+BLOCK, MEMBER, BLOCKS = 1 << 18, 100, 64
 #: Bits of the map by which texts of no pair are passed over before any of the others is moved: 1 MB, whatever the input.
 MAP_BITS = 1 << 23
 #: Of the signatures that a set may leave out, one in so many is chosen by its frequency.
@@ -245,6 +255,69 @@ def compare(n: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
 
+def open_groups(done: DataFrame) -> DataFrame:
+    """hub, its ``weight``: the hubs of large buckets with several sets, one of them far, so that links among these are open."""
+    by_hub = done.filter("large").groupBy("hub").agg(F.count("*").alias("m"), F.count_if("far").alias("far"), F.sum(F.col("size") + MEMBER).alias("weight"))
+    return by_hub.filter("m > 1 and far > 0").select("hub", "weight")
+
+
+def with_parity(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The packed texts with the PARITY bits of their sets."""
+    shingler, unpack = Shingler(n), zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        made = []
+        for packed in batch.column("packed").to_pylist():
+            part = (shingler.hashes(unpack(packed).decode()) >> np.uint64(40)) % np.uint64(PARITY)
+            made.append(np.packbits(np.bincount(part.astype(np.int64), minlength=PARITY) & 1).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("packed"), pa.array(made, pa.binary())], names=["u", "packed", "parity"])
+
+
+def link_blocks(n: int, percent: int, sets: pa.Table) -> pa.Table:
+    """Links (u, v) of sets in two blocks i <= j of a group that, with those of near sets to the hub, connect whatever is similar."""
+    sets = sets.sort_by([("block", "ascending"), ("size", "ascending"), ("u", "ascending")])
+    shingler, unpack = Shingler(n), zstandard.ZstdDecompressor().decompress
+    block, size, ids = (sets.column(c).to_numpy() for c in ("block", "size", "u"))
+    texts, known, links = sets.column("packed"), {}, []
+    bits = np.frombuffer(b"".join(sets.column("parity").to_pylist()), np.uint64).reshape(len(ids), -1).T.copy()
+    # The number of each set's component so far; near sets are linked through the hub.
+    joined = np.where(sets.column("far").to_numpy(), np.arange(len(ids)), -1)
+
+    def elements(at: int) -> np.ndarray:
+        if at not in known:  # a block's sets hold BLOCK elements at most, or are one
+            known[at] = shingler.hashes(unpack(texts[at].as_py()).decode())
+        return known[at]
+
+    one = block[0] == block[-1]
+    first = 0 if one else int(np.searchsorted(block, block[-1]))
+    for at in range(len(ids) if one else first):
+        start, end = at + 1 if one else first, int(np.searchsorted(size[first:], size[at] * 100 // percent, "right")) + first
+        if start >= end:
+            continue
+        unlike = np.bitwise_count(bits[:, start:end] ^ bits[:, at, None]).sum(axis=0, dtype=np.int64)
+        may = (unlike <= (size[start:end] + size[at]) * (100 - percent) // (100 + percent)) & (joined[start:end] != joined[at])
+        for other in (np.flatnonzero(may) + start).tolist():
+            if joined[other] != joined[at]:
+                apart = len(np.setxor1d(elements(at), elements(other), assume_unique=True))
+                common = int(size[at] + size[other] - apart) // 2
+                if 100 * common >= percent * (common + apart):
+                    links.append((ids[at], ids[other]))
+                    joined[joined == joined[other]] = joined[at]
+    return pa.table({"u": pa.array([x for x, _ in links], pa.int64()), "v": pa.array([x for _, x in links], pa.int64())})
+
+
+def links_by_blocks(groups: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (u, v) among the sets of each group (hub, u, far, size), each pair of its blocks a group of Spark's."""
+    before = F.sum(F.col("size") + MEMBER).over(Window.partitionBy("hub").orderBy("size", "u"))
+    members = written(groups.select("hub", "u", "far", "size", F.floor(before / BLOCK).cast("int").alias("block")))
+    blocks = members.groupBy("hub", "block").agg(F.min("size").alias("least"), F.max("size").alias("most"))
+    first, last = (blocks.select("hub", F.col("block").alias(k), F.col(c).alias(c)) for k, c in (("i", "most"), ("j", "least")))
+    meet = first.join(last, "hub").filter(f"i <= j and least * {percent} <= most * 100")
+    dealt = members.join(meet.select("hub", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")), ["hub", "block"])
+    own = texts.join(members.select(F.col("u").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "packed")
+    whole = dealt.join(own.mapInArrow(partial(with_parity, n), "u long, packed binary, parity binary"), "u")
+    return whole.groupBy("hub", "i", "j").applyInArrow(lambda sets: link_blocks(n, percent, sets), "u long, v long")
+
+
 def meetings(compared: DataFrame, percent: int) -> DataFrame:
     """Members of the buckets (hub, element): the rarest differences from the hub of each set, where it may link.
 
@@ -370,9 +443,15 @@ def links(docs: DataFrame, pairs: DataFrame, whole: DataFrame, n: int, percent:
         found.append(done.filter("linked").select("u", F.col("hub").alias("v")))
         if pairs.filter("large").isEmpty():
             break
+        hubs = written(open_groups(done))
+        fitting = F.col("weight") < BLOCK * BLOCKS
+        found.append(written(links_by_blocks(done.filter("large").join(hubs.filter(fitting), "hub", "left_semi"), texts, n, percent)))
+        if hubs.filter(~fitting).isEmpty():
+            break
+        beyond = done.filter("large").join(hubs.filter(~fitting), "hub", "left_semi")
         if sketches is None:  # no later round has other sets
             sketches = written(of_pairs(whole.select("doc_id", "n_shingles", "sketch"), pairs.filter("large")))
-        pairs = written(reachable(next_pairs(written(meetings(done.filter("large"), percent)), percent), sketches, percent))
+        pairs = written(reachable(next_pairs(written(meetings(beyond, percent)), percent), sketches, percent))
         if pairs.isEmpty():
             break
         texts = cut_lineage(of_pairs(texts, pairs))  # no others are compared any more

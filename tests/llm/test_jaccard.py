@@ -176,3 +176,53 @@ def test_shuffle_files_go_with_their_action(spark):
     found = jaccard.groups(docs, 3, 90)
     assert not files() - held and spark.conf.get(FREED_SHUFFLES) == before
     assert found.count() == docs.count()
+
+
+def far_copies(rng, many, chains=0.1):
+    """Copies of one text, each with many edits of its own at places that others edit too, and some copies of these."""
+    base, texts = [f"w{i}" for i in range(150)], []
+    for _ in range(many):
+        if texts and rng.random() < chains:
+            own = rng.choice(texts).split()
+            own[rng.randrange(len(own))] = f"y{rng.randrange(9)}"
+        else:
+            gone = set(rng.sample(range(150), rng.choice([2, 12, 14, 16])))
+            own = [w for i, w in enumerate(base) if i not in gone]
+        texts.append(" ".join(own))
+    return texts
+
+
+def test_copies_far_from_each_other_make_no_rounds(spark, monkeypatch):
+    """What a group stores does not grow with its pairs: no meetings on single differences, a few rows for each copy."""
+    monkeypatch.setattr(jaccard, "meetings", lambda *_: pytest.fail("a small group goes by rounds"))
+    stored = []
+    monkeypatch.setattr(jaccard, "written", lambda df, f=jaccard.written: stored.append((made := f(df)).count()) or made)
+    texts = far_copies(random.Random(31), 300)
+    found = jaccard.groups(documents(spark, texts), 5, 80).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute(list(enumerate(texts)), 5, 80)
+    assert sum(stored) < 20 * len(texts)
+
+
+@pytest.mark.parametrize("blocks", [1 << 30, 0])
+def test_groups_of_many_blocks_and_by_rounds(spark, monkeypatch, blocks):
+    """Pairs within and across blocks are found, and the rounds of groups too large for blocks find the same."""
+    for name, value in (("SMALL", 3), ("BLOCK", 2500), ("BLOCKS", blocks)):
+        monkeypatch.setattr(jaccard, name, value)
+    texts = [*far_copies(random.Random(32), 110), *far_copies(random.Random(33), 60, 0.8)]
+    found = jaccard.groups(documents(spark, texts), 5, 80).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute(list(enumerate(texts)), 5, 80)
+
+
+def test_alike_sets_of_a_block_make_a_link_each(spark):
+    """All pairs of a hundred sets are similar: 99 links, none among those near the hub."""
+    texts = [" ".join([*(f"w{i}" for i in range(200)), f"x{k}"]) for k in range(100)]
+    packed = [jaccard.zstandard.ZstdCompressor().compress(t.encode()) for t in texts]
+    batch = jaccard.pa.RecordBatch.from_arrays([jaccard.pa.array(range(100), jaccard.pa.int64()), jaccard.pa.array(packed)], names=["doc_id", "packed"])
+    sets = jaccard.pa.Table.from_batches(list(jaccard.with_parity(5, iter([batch]))))
+    for near in (0, 40):
+        own = {"size": [197] * 100, "block": [k % 2 for k in range(100)], "far": [k >= near for k in range(100)]}
+        table = sets
+        for name, values in own.items():
+            table = table.append_column(name, jaccard.pa.array(values))
+        linked = jaccard.link_blocks(5, 80, table)
+        assert linked.num_rows == 99 - max(0, near - 1)
